@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from refloom.llm.mixing import op1_mix
 from refloom.llm.quality import op10_quality
+from refloom.llm.simhash import op2_simhash
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_simhash": op2_simhash,
     "op10_quality": op10_quality,
 }
 
