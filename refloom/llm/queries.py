@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from refloom.llm.html import op9_html
 from refloom.llm.mixing import op1_mix
 from refloom.llm.quality import op10_quality
 from refloom.llm.simhash import op2_simhash
@@ -9,6 +10,7 @@ from refloom.llm.simhash import op2_simhash
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_simhash": op2_simhash,
+    "op9_html": op9_html,
     "op10_quality": op10_quality,
 }
 
