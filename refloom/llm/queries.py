@@ -6,10 +6,12 @@ from refloom.llm.html import op9_html
 from refloom.llm.mixing import op1_mix
 from refloom.llm.quality import op10_quality
 from refloom.llm.simhash import op2_simhash
+from refloom.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_simhash": op2_simhash,
+    "op7_toxicity": op7_toxicity,
     "op9_html": op9_html,
     "op10_quality": op10_quality,
 }
