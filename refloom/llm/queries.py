@@ -7,10 +7,12 @@ from refloom.llm.mixing import op1_mix
 from refloom.llm.quality import op10_quality
 from refloom.llm.simhash import op2_simhash
 from refloom.llm.toxicity import op7_toxicity
+from refloom.llm.warc import op5_warc
 
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_simhash": op2_simhash,
+    "op5_warc": op5_warc,
     "op7_toxicity": op7_toxicity,
     "op9_html": op9_html,
     "op10_quality": op10_quality,
