@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from refloom.llm.decontaminate import op8_decontaminate
 from refloom.llm.html import op9_html
+from refloom.llm.linededup import op6_linededup
 from refloom.llm.mixing import op1_mix
 from refloom.llm.quality import op10_quality
 from refloom.llm.simhash import op2_simhash
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op2_simhash": op2_simhash,
     "op5_warc": op5_warc,
+    "op6_linededup": op6_linededup,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_html": op9_html,
