@@ -7,6 +7,7 @@ from refloom.llm.html import op9_html
 from refloom.llm.linededup import op6_linededup
 from refloom.llm.mixing import op1_mix
 from refloom.llm.quality import op10_quality
+from refloom.llm.resample import op3_resample
 from refloom.llm.simhash import op2_simhash
 from refloom.llm.toxicity import op7_toxicity
 from refloom.llm.warc import op5_warc
@@ -14,6 +15,7 @@ from refloom.llm.warc import op5_warc
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_simhash": op2_simhash,
+    "op3_resample": op3_resample,
     "op5_warc": op5_warc,
     "op6_linededup": op6_linededup,
     "op7_toxicity": op7_toxicity,
