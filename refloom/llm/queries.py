@@ -9,6 +9,7 @@ from refloom.llm.mixing import op1_mix
 from refloom.llm.quality import op10_quality
 from refloom.llm.resample import op3_resample
 from refloom.llm.simhash import op2_simhash
+from refloom.llm.tokens import op4_tokens
 from refloom.llm.toxicity import op7_toxicity
 from refloom.llm.warc import op5_warc
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op2_simhash": op2_simhash,
     "op3_resample": op3_resample,
+    "op4_tokens": op4_tokens,
     "op5_warc": op5_warc,
     "op6_linededup": op6_linededup,
     "op7_toxicity": op7_toxicity,
