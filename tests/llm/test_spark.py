@@ -1,0 +1,273 @@
+"""Each operator and stage on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from refloom.llm import decontaminate, html, linededup, mixing, quality, resample, simhash, tokens, toxicity, warc
+from refloom.llm.components import connected_components
+from refloom.llm.queries import QUERIES
+from refloom.llm.shared import new_place
+from refloom.llm.text import plain_words
+from tests_llm_help import brute_fingerprint, find_classes
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(spark, rows, schema=DOC):
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder of small tables with planted cases."""
+    r = random.Random(11)
+    common = quality.COMMON_WORDS["en"][:10]
+    word = lambda: r.choice(common) if r.random() < 0.45 else "".join(r.choice("etaoinshrdlucm") for _ in range(r.randint(3, 8)))
+    line = lambda n=14: " ".join(word() for _ in range(n)).capitalize() + "."
+    item = " ".join(word() for _ in range(25))
+    docs = [[i, "\n".join(line() for _ in range(r.randint(5, 9))), "en", f"src{i % 3}", 0] for i in range(60)]
+    docs[7][1] = docs[3][1]
+    docs[8][1] = docs[3][1]
+    docs[9][1] = docs[4][1] + " extra"
+    docs[12][1] = "\n".join([line(), item, line(), line(), line(), line()])
+    docs[13][1] = docs[13][1].upper().replace(" ", "!! ")
+    docs[14][1] = "\n".join([line(), docs[15][1].split("\n")[0] + "\n" + docs[15][1].split("\n")[1], line(), line()])
+    docs[20][1], docs[21][1], docs[22][1] = None, "", " \n "
+    docs[23][2], docs[24][3] = None, None
+    docs[25][1] = " ".join(line() for _ in range(2000))
+    docs += [list(docs[30]), [None, docs[31][1], "en", "src1", 0], [None, None, None, None, None]]
+    place = str(tmp_path_factory.mktemp("tables"))
+    rows_of(spark, docs).repartition(3).write.parquet(f"{place}/documents.parquet")
+    rows_of(spark, [(1, item), (2, None), (3, "tiny item")], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    rows_of(spark, [(i, 0 if i == 13 else 1, i % 5 == 0 and 1 or 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    pages = [(i, f"http://x/{i}", f"<article><p>Text {i % 4} of the page</p></article>") for i in range(12)] + [(20, None, None), (21, "http://y", ""), (None, "http://z", "<p>x"), (3, "http://x/3", "<article><p>Text 3 of the page</p></article>")]
+    rows_of(spark, pages, "page_id long, url string, html string").write.parquet(f"{place}/pages.parquet")
+    return place
+
+
+def documents(spark, corpus):
+    return [tuple(x) for x in spark.read.parquet(f"{corpus}/documents.parquet").collect()]
+
+
+def test_every_query_runs_and_reruns_agree(spark, corpus):
+    for name, run in QUERIES.items():
+        a, b = (sorted(map(repr, run(spark, corpus).collect())) for _ in range(2))
+        assert a == b and a, name
+
+
+def test_mix(spark, corpus):
+    rows = QUERIES["op1_mix"](spark, corpus).collect()
+    docs = documents(spark, corpus)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = Counter()
+    for d in docs:
+        total[d[3]] += size(d[1])
+    names = sorted([s for s in total if s is not None]) + [None] * (None in total)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), 1.5 * sum(total.values())
+    while True:
+        w = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / w > 2 * total[s]]
+        if not over:
+            target |= {s: left * weight[s] / w for s in open_}
+            break
+        for s in over:
+            target[s] = 2.0 * total[s]
+            left -= target[s]
+            open_.remove(s)
+    by_id = {d[0]: d for d in docs}
+    assert len(rows) == len(docs)
+    for r in rows:
+        if r.doc_id is not None:
+            d = by_id[r.doc_id]
+            assert (r["size"], r.source_size) == (size(d[1]), total[d[3]]) and r.target == pytest.approx(target[d[3]]) and r.taken <= 2 * r["size"]
+
+
+def test_mix_emits_copies_near_the_target(spark):
+    docs = rows_of(spark, [(i, "a b c d", "en", "s" if i % 2 else "t", 0) for i in range(4000)])
+    out = Counter(r.source for r in mixing.mix(docs).select("source").collect())
+    assert out["s"] == pytest.approx(2 * 2000, abs=0) and out["t"] == pytest.approx(1.5 * 4000 - 4000, rel=0.1)
+    assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_simhash_against_brute_force(spark, corpus):
+    docs = documents(spark, corpus)
+    got = {r.doc_id: r for r in QUERIES["op2_simhash"](spark, corpus).collect() if r.doc_id is not None}
+    prints = [(d[0], brute_fingerprint(d[1])) for d in docs]
+    classes = find_classes(prints)
+    assert {i: (f"{f:016x}", classes[f]) for i, f in prints if i is not None} == {i: (r.fingerprint, r.component_id) for i, r in got.items()}
+
+
+def test_simhash_links_chains_of_near_fingerprints(spark):
+    r = random.Random(3)
+    fps, x = [], r.getrandbits(64)
+    for _ in range(40):
+        for b in r.sample(range(64), r.randint(1, 2)):
+            x ^= 1 << b
+        fps.append(x)
+    fps += [r.getrandbits(64) for _ in range(60)]
+    table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in set(fps)], "fp long")
+    for radius in (1, 2):
+        links = [(a.a % (1 << 64), a.b % (1 << 64)) for a in simhash.near_links(table, radius).collect()]
+        assert all(bin(a ^ b).count("1") <= 2 for a, b in links)
+        parent = {f: f for f in fps}
+
+        def find(f, parent=parent):
+            while parent[f] != f:
+                f = parent[f]
+            return f
+
+        for a, b in links:
+            parent[find(a)] = find(b)
+        want = find_classes([(i, f) for i, f in enumerate(fps)], radius)
+        assert len({find(f) for f in fps}) == len(set(want.values()))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_go(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    out = simhash.drop_near_duplicates(docs)
+    ids = Counter(r.doc_id for r in out.collect())
+    assert out.columns == docs.columns and ids[3] == 1 and not ids[7] and not ids[8] and ids[30] == 1 and max(ids.values()) == 1
+    assert ids[20] == 1 and not ids[21]  # texts without words are alike
+
+
+def test_resampling(spark, corpus):
+    rows = {r.doc_id: r for r in QUERIES["op3_resample"](spark, corpus).collect()}
+    assert not rows[20].kept and rows[20].key is None and sum(r.kept for r in rows.values()) > 40
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    good = spark.createDataFrame([(i,) for i in range(5)], "doc_id long")
+    keys = sorted((r.key for r in resample.resample(docs, good, 0.5).collect() if r.key is not None), reverse=True)
+    scored = resample.resample(docs, good, 0.5)
+    assert [resample.kth_largest(scored, k) for k in (1, 7, len(keys), len(keys) + 1, 0)] == [keys[0], keys[6], keys[-1], None, None]
+    assert resample.resample(docs.limit(0), good, 0.5).count() == 0
+
+
+def test_tokens_against_the_tokenizer(spark, corpus):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokens.default_tokenizer())
+    docs = sorted((d for d in documents(spark, corpus)), key=lambda d: (d[0] is not None, d[0] or 0))
+    rows = sorted(QUERIES["op4_tokens"](spark, corpus).collect(), key=lambda r: r.start)
+    ids = {id(d): np.array([*own.encode(d[1] or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for d in docs}
+    assert [r.doc_id for r in rows] == [d[0] for d in docs] and [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == Counter((d[0], len(ids[id(d)]) // 4, zlib.crc32(ids[id(d)])) for d in docs)
+
+
+def test_small_token_files(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    files = tokens.write_tokens(docs, new_place(spark, "t"), file_ids=500)
+    assert files.count() > 4 and sorted(map(repr, tokens.read_tokens(files).select("doc_id", "start").collect())) == sorted(map(repr, QUERIES["op4_tokens"](spark, corpus).select("doc_id", "start").collect()))
+    assert tokens.read_tokens(tokens.write_tokens(docs.limit(0), new_place(spark, "t"))).count() == 0
+
+
+def test_warc(spark, corpus):
+    pages = spark.read.parquet(f"{corpus}/pages.parquet").collect()
+    best = {}
+    for p in pages:
+        if p.page_id is not None:
+            best[p.html or ""] = max(best.get(p.html or "", -1), p.page_id)
+    want = Counter()
+    for p in pages:
+        body = (p.html or "").encode()
+        first = best.get(p.html or "")
+        again = first is not None and p.page_id != first
+        want[p.page_id, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if again else "response", first if again else None] += 1
+    assert Counter(tuple(r) for r in QUERIES["op5_warc"](spark, corpus).collect()) == want
+    small = warc.write_archives(spark.read.parquet(f"{corpus}/pages.parquet"), new_place(spark, "w"), least_bytes=1000, file_bytes=300)
+    assert small.count() > 3 and {r.record_type for r in warc.read_archives(small).collect()} == {"response"}
+    assert warc.read_archives(warc.write_archives(spark.read.parquet(f"{corpus}/pages.parquet").limit(0), new_place(spark, "w"))).count() == 0
+
+
+def test_line_dedup(spark, corpus):
+    docs = {d[0]: d[1] for d in documents(spark, corpus) if d[0] is not None}
+    rows = {r.doc_id: r for r in QUERIES["op6_linededup"](spark, corpus).collect() if r.doc_id is not None}
+    assert rows[7].text == rows[8].text == "" and rows[3].text == docs[3]
+    shared = docs[15].split("\n")[:2]
+    assert rows[14].text == docs[14] and rows[15].text == "\n".join(docs[15].split("\n")[2:]) and rows[15].n_deleted == len(shared)
+    assert rows[20].text is None and rows[21].text == "" and rows[30].text == docs[30]
+    assert {i for i, r in rows.items() if r.n_deleted} == {7, 8, 9, 15, 31}  # a row without id comes before its copy 31
+    assert linededup.dedup_lines(spark.read.parquet(f"{corpus}/documents.parquet").limit(0)).count() == 0
+
+
+def test_toxicity(spark, corpus):
+    rows = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, corpus).collect()}
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows.values())
+    assert all(r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i, r in rows.items())
+    docs, labels = (spark.read.parquet(f"{corpus}/{t}.parquet") for t in ("documents", "labels"))
+    assert len(toxicity.labelled_rows(docs, labels, toxicity.ToxicityFit(fit_rows=5))) <= 5
+    seen = {t for t, _ in toxicity.labelled_rows(docs, labels)}
+    assert not any(d[1] in seen for d in documents(spark, corpus) if d[0] is not None and rows[d[0]].held_out and d[0] not in (7, 8, 9, 20, 21, 22, 3))
+    assert toxicity.labelled_rows(docs, labels.limit(0)) == []
+
+
+def test_decontamination_against_brute_force(spark, corpus):
+    windows = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := plain_words(t)) else set()
+    item = spark.read.parquet(f"{corpus}/benchmark.parquet").where("item_id = 1").first().text
+    want = {(d[0], 1) for d in documents(spark, corpus) if len(windows(d[1]) & windows(item)) >= 0.8 * len(windows(item))}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op8_decontaminate"](spark, corpus).collect()}
+    assert got == want == {(12, 1)}
+    docs, bench = (spark.read.parquet(f"{corpus}/{t}.parquet") for t in ("documents", "benchmark"))
+    blocks = {(r.doc_id, r.item_id) for r in decontaminate.find_items(docs, bench, block_bytes=20).collect()}
+    out = decontaminate.drop_contaminated(docs, bench)
+    assert blocks == want and out.columns == docs.columns and out.count() == docs.count() - 1
+    assert decontaminate.find_items(docs, bench.limit(0)).count() == 0 and decontaminate.find_items(docs.limit(0), bench).count() == 0
+
+
+def test_html(spark, corpus):
+    rows = QUERIES["op9_html"](spark, corpus).collect()
+    pages = spark.read.parquet(f"{corpus}/pages.parquet").collect()
+    assert Counter((r.page_id, r.url, r.text, r.n_chars) for r in rows) == Counter((p.page_id, p.url, t := html.main_text(p.html), len(t)) for p in pages)
+
+
+def test_quality(spark, corpus):
+    rules = quality.QualityRules()
+    want = Counter((d[0], *quality.measure(d[1], d[2], rules).values()) for d in documents(spark, corpus))
+    assert Counter(tuple(r) for r in QUERIES["op10_quality"](spark, corpus).collect()) == want
+    kept = {r.doc_id for r in quality.filter_quality(spark.read.parquet(f"{corpus}/documents.parquet")).collect()}
+    assert 13 not in kept and 21 not in kept and {0, 2, 25} <= kept
+
+
+def test_columns_with_names_of_the_result(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    for name in ("fp", "component_id", "__id", "size", "target", "copies", "kept", "n_words", "score", "h", "id", "lo", "u", "key", "item_id", "start"):
+        docs = docs.withColumn(name, F.lit("x"))
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns
+    assert mixing.mix(docs).columns == quality.filter_quality(docs).columns == docs.columns
+    assert decontaminate.drop_contaminated(docs, spark.read.parquet(f"{corpus}/benchmark.parquet")).columns == docs.columns
+    assert linededup.dedup_lines(docs).count() == tokens.read_tokens(tokens.write_tokens(docs, new_place(spark, "t"))).count() == docs.count()
+    assert quality.score_quality(docs).count() == simhash.near_duplicates(docs).count() == docs.count()
+
+
+def test_pipeline_against_its_stages_by_brute_force(spark, corpus):
+    docs = documents(spark, corpus)
+    rules = quality.QualityRules()
+    good = [d for d in docs if quality.measure(d[1], d[2], rules)["kept"]]
+    classes = find_classes([(d[0], f) for d in good if (f := brute_fingerprint(d[1])) is not None])
+    one = {}
+    for d in good:
+        if classes[brute_fingerprint(d[1])] == d[0]:
+            one[d[0]] = d
+    clean = {i: d for i, d in one.items() if i != 12}
+    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, corpus).collect())
+    assert set(got) <= set(clean) and max(got.values()) <= 2
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near-duplicates", "decontamination", "mixing", "tokens"]
+    frame = spark.read.parquet(f"{corpus}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, frame.limit(0), corpus)
+        assert empty.count() == 0 and (k == 4 or empty.columns == frame.columns)
