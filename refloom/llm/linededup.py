@@ -180,7 +180,8 @@ def dedup_lines(docs: DataFrame, keep: Sequence[str] = ("doc_id",), min_words: i
     keep = list(keep)
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__id"), F.xxhash64("text").alias("__h"), F.col("text").cast("string").alias("text"))
     ranges = deletions(docs, min_words).groupBy("id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    joined = rows.join(materialize(ranges, "line-ranges"), (F.col("__id") == F.col("id")) & (F.col("__h") == F.col("h")), "left")
+    # the ranges grow with the documents, so they are never broadcast: one plan at every size
+    joined = rows.join(materialize(ranges, "line-ranges").hint("merge"), (F.col("__id") == F.col("id")) & (F.col("__h") == F.col("h")), "left")
     joined = joined.select(*(f"c{i}" for i in range(len(keep))), "text", F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi"))
     schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "text string, n_lines long, n_deleted long, words_deleted long"])
 
