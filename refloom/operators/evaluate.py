@@ -21,11 +21,11 @@ def read_gold(spark, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", kind)).alias("citation", "g")).select("citation", "g.*")
 
 
-def read_results(spark, path: str) -> DataFrame:
-    """Results of earlier runs, one JSON object per line or an array of them; no such file gives an empty table."""
+def read_results(spark, path: str, array: bool = False) -> DataFrame:
+    """Results of earlier runs, one JSON object per line or, with array, a JSON array; no such file gives an empty table, and what isn't JSON no rows."""
     kind = "citation_id string, api string, citation string, status string, score double, pub_id string, main_doi string, alternative_dois array<string>, apa string, final_evaluation string"
     try:
-        return spark.read.schema(kind).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        return spark.read.schema(kind).option("multiLine", array).option("mode", "DROPMALFORMED").json(path)
     except Exception as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
