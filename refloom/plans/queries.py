@@ -485,9 +485,9 @@ def verdict_query(spark, sf_dir):
 
 
 @query("classification_metrics", f"""WITH {_VERDICTS}
-SELECT a.api, count(x.api) AS total, count_if(final_evaluation = 'CORRECT') AS correct, count_if(final_evaluation = 'CORRECT' AND status = 'RESULT') AS correct_match, count_if(final_evaluation = 'CORRECT' AND status <> 'RESULT') AS correct_no_result, count_if(final_evaluation = 'INCORRECT') AS incorrect,
-  count_if(final_evaluation = 'INCORRECT' AND status = 'RESULT' AND expected IS NOT NULL) AS incorrect_match, count_if(final_evaluation = 'INCORRECT' AND status <> 'RESULT' AND expected IS NOT NULL) AS incorrect_missing, count_if(final_evaluation = 'INCORRECT' AND status = 'RESULT' AND expected IS NULL) AS incorrect_spurious,
-  round(coalesce(count_if(final_evaluation = 'CORRECT') / nullif(count(x.api), 0), 0), 6)::DOUBLE AS accuracy
+SELECT a.api, count(x.api) AS total, count(*) FILTER (WHERE final_evaluation = 'CORRECT') AS correct, count(*) FILTER (WHERE final_evaluation = 'CORRECT' AND status = 'RESULT') AS correct_match, count(*) FILTER (WHERE final_evaluation = 'CORRECT' AND status <> 'RESULT') AS correct_no_result, count(*) FILTER (WHERE final_evaluation = 'INCORRECT') AS incorrect,
+  count(*) FILTER (WHERE final_evaluation = 'INCORRECT' AND status = 'RESULT' AND expected IS NOT NULL) AS incorrect_match, count(*) FILTER (WHERE final_evaluation = 'INCORRECT' AND status <> 'RESULT' AND expected IS NOT NULL) AS incorrect_missing, count(*) FILTER (WHERE final_evaluation = 'INCORRECT' AND status = 'RESULT' AND expected IS NULL) AS incorrect_spurious,
+  round(coalesce(count(*) FILTER (WHERE final_evaluation = 'CORRECT') / nullif(count(x.api), 0), 0), 6)::DOUBLE AS accuracy
 FROM (VALUES ('openalex'), ('openaire'), ('pubmed'), ('crossref'), ('hal'), ('ensemble')) a(api) LEFT JOIN x ON a.api = x.api AND x.final_evaluation <> 'ERROR' GROUP BY a.api""")
 def metrics_query(spark, sf_dir):
     return metrics(_evaluated(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
