@@ -1,0 +1,45 @@
+"""Registered queries against their SQL in DuckDB, on the smallest tables."""
+
+import os
+
+import pytest
+
+from refloom.plans.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+TABLES = "part orders lineitem documents labels".split()
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con
+
+
+def plain(frame):
+    import pandas as pd
+
+    def value(v):
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
+            return None
+        return round(float(v), 6) if isinstance(v, float) else v if isinstance(v, (str, bool)) else v.item() if hasattr(v, "item") else v
+
+    names = sorted(frame.columns)
+    return names, sorted((tuple(map(value, row)) for row in frame[names].itertuples(index=False)), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, duck, name):
+    names, got = plain(QUERIES[name](spark, SF).toPandas())
+    want_names, want = plain(duck.execute(ORACLE_SQL[name]).fetchdf())
+    assert names == want_names and [tuple(float(x) if isinstance(x, int) and not isinstance(x, bool) else x for x in r) for r in got] == [tuple(float(x) if isinstance(x, int) and not isinstance(x, bool) else x for x in r) for r in want]
+
+
+@pytest.mark.parametrize("name", ["title_ratio", "journal_alignment", "ner_similarity"])
+def test_scores_are_shares(spark, name):
+    assert all(0 <= r.score <= 1 for r in QUERIES[name](spark, SF).collect())
