@@ -104,6 +104,15 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return stars.where("a != b").distinct()
 
 
+def _classes(rows: DataFrame, radius: int) -> DataFrame:
+    """fp2, component and component_id of each distinct fp of rows (doc_id, fp), written to the shared folder."""
+    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    linked = connected_components(near_links(groups.select("fp"), radius))
+    classes = groups.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    leaders = classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    return materialize(classes.join(leaders, "component").select(F.col("fp").alias("fp2"), "component", "component_id"), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, n: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fp (long), component_id (the least doc_id reachable over links).
 
@@ -112,48 +121,33 @@ def near_duplicates(docs: DataFrame, radius: int = 2, n: int = 3, seed: int = 42
     empty one; other columns of docs play no part.
     """
     rows = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", n, seed), "simhash")
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = connected_components(near_links(groups.select("fp"), radius))
-    classes = groups.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    leaders = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = materialize(classes.join(leaders, "component").select(F.col("fp").alias("fp2"), "component_id"), "simhash-classes")
-    return rows.join(named, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
-
-
-def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(_classes(rows, radius), F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 2, n: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of docs with the least doc_id of each group of near-duplicates, with the columns of docs.
+    """One row of docs for each group of near-duplicates, with the columns of docs: the one with the least doc_id (a null
+    one if the group has no other), of several such the one with the least text hash, of equal ones any.
 
-    Of repeated rows with that doc_id the one with the least text hash stays, and one only; rows without doc_id stay if
-    their whole group has none (one of them).
+    The choice is made on a table of ids and hashes; texts are shuffled once, to be joined with what is kept. That grows
+    with the documents, so it is never broadcast: one plan at every size.
     """
     names = docs.columns
-    found = near_duplicates(docs, radius, n, seed)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    nameless = found.where("component_id is null").groupBy("fp").count()
-    lone = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("__id", F.col(f"c{names.index('doc_id')}")).withColumn("__text", F.col(f"c{names.index('text')}"))
-    kept = lone.join(materialize(keep, "simhash-keep"), F.col("__id") == F.col("__keep"), "left_semi")
-    kept = kept.withColumn("__h", F.xxhash64("__text"))
-    out = _one_each(kept, names)
-    if nameless.limit(1).count():
-        rest = fingerprints(lone.where("__id is null"), [f"c{i}" for i in range(len(names))], "__text", n, seed)
-        alone = rest.join(nameless.select(F.col("fp").alias("fp2")), F.col("fp") == F.col("fp2"), "left_semi").dropDuplicates(["fp"])
-        out = out.unionByName(alone.select(*(F.col(f"c{i}").alias(x) for i, x in enumerate(names))))
-    return out
-
-
-def _one_each(kept: DataFrame, names: list[str]) -> DataFrame:
-    """One row for each __id; ids that occur once, nearly all, aren't shuffled with their texts."""
-    many = materialize(kept.groupBy("__id").agg(F.count(F.lit(1)).alias("k"), F.min("__h").alias("h")).where("k > 1").select(F.col("__id").alias("id2"), "h"), "simhash-repeats")
-    joined = kept.join(many, F.col("__id") == F.col("id2"), "left")
-    once = joined.where("id2 is null")
-    more = joined.where("id2 is not null and __h = h").dropDuplicates(["__id"])
-    cols = [F.col(f"c{i}").alias(x) for i, x in enumerate(names)]
-    return once.select(*cols).unionByName(more.select(*cols))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = materialize(fingerprints(hashed, ["doc_id", "h"], "text", n, seed), "simhash")
+    found = rows.join(_classes(rows, radius), F.col("fp") == F.col("fp2"))
+    equal = found.groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    best = equal.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h", "n")).alias("b"))
+    keep = materialize(best.select(F.col("b.doc_id").alias("__id"), F.col("b.h").alias("__h"), F.col("b.n").alias("__n")), "simhash-keep")
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
+    joined = own.join(keep.hint("merge"), doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")))
+    kept = joined.where("__n = 1").unionByName(joined.where("__n > 1").dropDuplicates(["__id", "__h"]))
+    return kept.select(*(F.col(f"c{i}").alias(x) for i, x in enumerate(names)))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
