@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from refloom.llm.components import connected_components
 from refloom.llm.shared import materialize
+from refloom.llm.similar import Similarity, similar_rows
 from refloom.llm.text import rows_of
 
 BITS = 64
@@ -131,10 +132,14 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 2, n: int = 3, seed: int
     The choice is made on a table of ids and hashes; texts are shuffled once, to be joined with what is kept. That grows
     with the documents, so it is never broadcast: one plan at every size.
     """
-    names = docs.columns
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     rows = materialize(fingerprints(hashed, ["doc_id", "h"], "text", n, seed), "simhash")
-    found = rows.join(_classes(rows, radius), F.col("fp") == F.col("fp2"))
+    return _keep_one(docs, rows.join(_classes(rows, radius), F.col("fp") == F.col("fp2")))
+
+
+def _keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of docs for each component of found (doc_id, h, component), as drop_near_duplicates says."""
+    names = docs.columns
     equal = found.groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
     best = equal.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h", "n")).alias("b"))
     keep = materialize(best.select(F.col("b.doc_id").alias("__id"), F.col("b.h").alias("__h"), F.col("b.n").alias("__n")), "simhash-keep")
@@ -150,5 +155,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_similar(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
+    """As drop_near_duplicates, but the groups are those of texts whose shingles have a Jaccard similarity of how.least or more."""
+    return _keep_one(docs, similar_rows(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), how))
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_similar(docs)

@@ -271,3 +271,32 @@ def test_pipeline_against_its_stages_by_brute_force(spark, corpus):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         empty = stage(spark, frame.limit(0), corpus)
         assert empty.count() == 0 and (k == 4 or empty.columns == frame.columns)
+
+
+def test_near_duplicates_stage_drops_edited_copies(spark, tmp_path):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("etaoinshrdlucm") for _ in range(6))
+    docs = [(i, " ".join(word() for _ in range(r.randint(60, 300)))) for i in range(120)]
+    for i in range(60):  # copies with 1 to 9 words changed, each of an earlier text or copy
+        words = r.choice(docs)[1].split(" ")
+        for at in r.sample(range(len(words)), r.randint(1, 9)):
+            words[at] = word()
+        docs.append((1000 + i, " ".join(words)))
+    docs += [(2000 + i, docs[0][1] + f" end{i}") for i in range(40)]  # more than a key's neighbours
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in docs if (w := t.split(" "))]
+    parent = list(range(len(docs)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    want = {docs[i][0] for i in range(len(docs)) if find(i) == i}
+    frame = rows_of(spark, [(i, t, "en", "s", 0) for i, t in docs]).repartition(3)
+    out = simhash.simhash_stage(spark, frame, str(tmp_path))
+    assert out.columns == frame.columns and sorted(x.doc_id for x in out.collect()) == sorted(want) and len(want) < len(docs) - 60
