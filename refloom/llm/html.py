@@ -75,6 +75,8 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, int, bool]] = []  # tag, side, zone, link
+    places: dict[str, list[int]] = {}  # of each tag's open elements in stack
+    block_places: list[int] = []  # of all open block elements
     side = link = heading = False
     zone = zones = 0
     at, end = 0, len(page)
@@ -99,6 +101,13 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal side, zone, link
         _, side, zone, link = stack[-1] if stack else ("", False, 0, False)
 
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            closed = stack.pop()[0]
+            places[closed].pop()
+            if closed in BLOCK_TAGS:
+                block_places.pop()
+
     while at < end:
         m = _TOKEN.search(page, at)
         if not m:
@@ -113,9 +122,9 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK_TAGS:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and (tag in BLOCK_TAGS or not any(x[0] in BLOCK_TAGS for x in stack[depth + 1 :])):
-                del stack[depth:]
+            own_places = places.get(tag)
+            if own_places and (tag in BLOCK_TAGS or not block_places or block_places[-1] < own_places[-1]):
+                close(own_places[-1])
                 restore()
                 heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
             continue
@@ -125,7 +134,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             flush()
             while stack and (tag in CLOSED_BY.get(stack[-1][0], ()) or stack[-1][0] not in BLOCK_TAGS and len(stack) > 1 and tag in CLOSED_BY.get(stack[-2][0], ())):
-                stack.pop()
+                close(len(stack) - 1)
             restore()
         if tag in RAW_TAGS:
             if not m[3].rstrip().endswith("/"):
@@ -143,6 +152,9 @@ def blocks_of(page: str) -> list[Block]:
             own = zones
         else:
             own = zone
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK_TAGS:
+            block_places.append(len(stack))
         stack.append((tag, side or _is_side(tag, m[3], zone > 0), own, link or tag == "a"))
         restore()
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") or heading and tag not in BLOCK_TAGS

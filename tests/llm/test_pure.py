@@ -169,6 +169,14 @@ def test_html_keeps_the_article():
     assert main_text(PAGE.format(f"<div><p>{long}</p><p>Short end.</p></div>")) == f"{long.strip()}\nShort end."
 
 
+def test_html_closes_elements_at_any_depth():
+    long = "the quick of and to in a brown fox " * 8
+    menu = "<nav>" + "<p><b><i>Menu" * 300 + "</nav>"
+    assert main_text(f"{menu}<p>{long}</p>") == long.strip()
+    assert main_text("<div class=advert>" + "<font>x" * 300 + f"</div><p>{long}</p>") == long.strip()
+    assert main_text(f"<article><p>{long}" + "<span>" * 300 + f"</article><p>{long}</p>") == long.strip()
+
+
 def test_patience_anchors_and_blocks():
     assert linededup.patience_anchors([1, 2, 3, 4], [1, 3, 2, 4]) in ([(0, 0), (1, 2), (3, 3)], [(0, 0), (2, 1), (3, 3)])
     words = [10] * 6
