@@ -4,7 +4,7 @@ A page is cut into blocks at block-level tags. The first pass decides each block
 sidebars, notices, adverts, forms and comments are never text), its link density, its length and its share of stop
 words; short blocks stay open. In the second pass open blocks take the label of the nearest decided neighbours. An
 article or main element is a zone of its own: blocks in it look for neighbours in it only, and count as text where
-nothing in it is decided.
+nothing in it is decided. Blocks outside such zones are left out if the first pass found main text in one.
 """
 
 from __future__ import annotations
@@ -183,7 +183,7 @@ def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     blocks = blocks_of(page) if page else []
     decided = [first_pass(b, rules) for b in blocks]
     n = len(blocks)
-    has_zone = any(b.zone and not b.side for b in blocks)
+    has_zone = any(b.zone and label for b, label in zip(blocks, decided, strict=True))
     before: list[tuple[int, bool] | None] = [None] * n
     after: list[tuple[int, bool] | None] = [None] * n
     for order, into in ((range(n), before), (range(n - 1, -1, -1), after)):

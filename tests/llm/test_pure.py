@@ -177,6 +177,12 @@ def test_html_closes_elements_at_any_depth():
     assert main_text(f"<article><p>{long}" + "<span>" * 300 + f"</article><p>{long}</p>") == long.strip()
 
 
+def test_html_keeps_text_outside_a_teaser():
+    long = "the quick of and to in a brown fox " * 8
+    assert main_text(f"<article>Read more</article><div><p>{long}</p></div>") == f"Read more\n{long.strip()}"
+    assert main_text(f"<article><p>{long}</p></article><div><p>{long}</p></div>") == long.strip()
+
+
 def test_patience_anchors_and_blocks():
     assert linededup.patience_anchors([1, 2, 3, 4], [1, 3, 2, 4]) in ([(0, 0), (1, 2), (3, 3)], [(0, 0), (2, 1), (3, 3)])
     words = [10] * 6
