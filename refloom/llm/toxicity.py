@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +38,6 @@ class ToxicityFit:
     """fit_rows bounds the labelled texts that are fitted on (those with the least hash); the rest are parameters of the fit."""
 
     fit_rows: int = 8192
-    max_words: int = 256
     least_z: float = 3.0
     ridge: float = 0.02
     counterfactual: float = 1.0
@@ -75,10 +74,44 @@ def swaps(text: str, terms: Mapping[str, Sequence[str]]) -> Iterator[tuple[set[b
                         yield words, words - {term} | {other}
 
 
+class _Cells:
+    """A sparse matrix by its cells."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, height: int, width: int):
+        self.rows, self.columns, self.values, self.height, self.width = rows, columns, values, height, width
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * v[self.columns], self.height)
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values * u[self.rows], self.width)
+
+    def squares(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values**2 * u[self.rows], self.width)
+
+
+def _solve(curve: Callable[[np.ndarray], np.ndarray], slope: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """v with curve(v) = slope, curve being linear and positive definite with the diagonal scale, by conjugate gradients."""
+    v, rest = np.zeros_like(slope), slope.copy()
+    way = rest / scale
+    size = first = float(rest @ way)
+    for _ in range(10 * len(slope)):
+        if size <= 1e-24 * first or size < 1e-300:
+            break
+        bent = curve(way)
+        share = size / float(way @ bent)
+        v += share * way
+        rest -= share * bent
+        after = float(rest @ (rest / scale))
+        way = rest / scale + after / size * way
+        size = after
+    return v
+
+
 def fit_toxicity(rows: Sequence[tuple[str | None, int]], how: ToxicityFit = ToxicityFit()) -> ToxicityModel:
     """A model from (text, label) rows. Equal texts count once, with their more frequent label (ties: 1).
 
-    Words are taken whose log-odds between the labels, less least_z standard errors, don't touch 0, the surest first.
+    Words are taken whose log-odds between the labels, less least_z standard errors, don't touch 0, all of them.
     With rows of one label only, or none, every text gets that label's smoothed share.
     """
     votes: dict[str, list[int]] = {}
@@ -100,29 +133,42 @@ def fit_toxicity(rows: Sequence[tuple[str | None, int]], how: ToxicityFit = Toxi
         z = (math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n - n1 - b + 0.5))) / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         if abs(z) >= how.least_z:
             sure.append((-abs(z), word))
-    words = [w for _, w in sorted(sure)[: how.max_words]]
+    words = [w for _, w in sorted(sure)]
     at = {w: i for i, w in enumerate(words)}
     d = len(words)
-    x = np.zeros((n, d + 1))
-    x[:, d] = 1
-    for i, own in enumerate(sets):
-        x[i, [at[w] for w in own & at.keys()]] = 1
-    # every swap adds (change of the log-odds) ** 2; its matrix is all that the fit needs
-    change, many = np.zeros((d + 1, d + 1)), 0
+    # the words of each text as (row, column); column d is the bias, of every row
+    cells = [(i, at[w]) for i, own in enumerate(sets) for w in own & at.keys()]
+    rows_at, columns = (np.array(c, np.int64) for c in zip(*sorted(cells))) if cells else (np.zeros(0, np.int64),) * 2
+    x = _Cells(rows_at, columns, np.ones(len(cells)), n, d + 1)
+    # every swap adds (change of the log-odds) ** 2; equal changes are summed up
+    changes: Counter[tuple[tuple[int, float], ...]] = Counter()
+    many = 0
     for text in texts:
         for one, other in swaps(text, how.identity_terms or IDENTITY_TERMS):
             many += 1
-            if moved := [(at[w], s) for left, right, s in ((one, other, 1.0), (other, one, -1.0)) for w in left - right if w in at]:
-                for i, s in moved:
-                    for j, t in moved:
-                        change[i, j] += s * t
-    penalty = how.counterfactual * n * change / max(many, 1)
-    ridge = np.diag([how.ridge] * d + [1e-6]) + penalty
+            if moved := tuple(sorted((at[w], s) for left, right, s in ((one, other, 1.0), (other, one, -1.0)) for w in left - right if w in at)):
+                changes[moved] += 1
+    moves = [(k, i, s) for k, moved in enumerate(sorted(changes)) for i, s in moved]
+    change = _Cells(np.array([m[0] for m in moves], np.int64), np.array([m[1] for m in moves], np.int64), np.array([m[2] for m in moves]), len(changes), d + 1)
+    weight = how.counterfactual * n / max(many, 1) * np.array([changes[m] for m in sorted(changes)], float)
+    ridge = np.array([how.ridge] * d + [1e-6])
     w = np.zeros(d + 1)
     w[d] = prior
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        p = 1 / (1 + np.exp(-np.clip(x.times(w) + w[d], -500, 500)))
+        q = p * (1 - p) + 1e-9
+
+        def curve(v: np.ndarray, q=q) -> np.ndarray:
+            u = q * (x.times(v) + v[d])
+            out = x.back(u) + ridge * v + change.back(weight * change.times(v))
+            out[d] += u.sum()
+            return out
+
+        slope = x.back(y - p) - ridge * w - change.back(weight * change.times(w))
+        slope[d] += (y - p).sum()
+        scale = x.back(q) + ridge + change.squares(weight)
+        scale[d] += q.sum()
+        step = _solve(curve, slope, scale)
         w += step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-8:
             break

@@ -244,6 +244,14 @@ def test_toxicity_learns_and_forgets_identity():
     assert toxicity.fit_toxicity([]).score("x") == 0.5 and toxicity.fit_toxicity([("a", 0)] * 9).score("x") < 0.5
 
 
+def test_toxicity_weighs_every_sure_word():
+    bad = [f"bad{i}" for i in range(400)]
+    rows = [(f"{w} t{w}x{i}", 1) for w in bad for i in range(40)] + [(f"good{i % 400} u{i}", 0) for i in range(16000)]
+    model = toxicity.fit_toxicity(rows)
+    assert set(model.weights) >= {w.encode() for w in bad} and all(model.score(w) > 0.7 for w in bad)
+    assert all(model.score(f"good{i}") < 0.3 for i in range(400))
+
+
 def test_features_of_resampling():
     how, h = resample.Resampling(), WordHashes()
     assert len(resample.feature_buckets("a b!! c", how, h)) == 4 + 3
