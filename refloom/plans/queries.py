@@ -569,7 +569,7 @@ def link_query(spark, sf_dir):
 
 @query("link_ensemble")
 def ensemble_query(spark, sf_dir):
-    apis = ("openaire", "crossref", "hal")
+    apis = tuple(SOURCES)
     c = cites(spark, sf_dir).select("citation_id", "citation")
     out = _engine(spark, sf_dir, apis).link_ensemble(c, apis)
     return out.select("citation_id", "selected_doi", "n_votes", "n_dois", F.array_join(F.transform(F.map_entries("external_ids"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("external_ids"))
