@@ -4,7 +4,12 @@ A page is cut into blocks at block-level tags. The first pass decides each block
 sidebars, notices, adverts, forms and comments are never text), its link density, its length and its share of stop
 words; short blocks stay open. In the second pass open blocks take the label of the nearest decided neighbours. An
 article or main element is a zone of its own: blocks in it look for neighbours in it only, and count as text where
-nothing in it is decided. Blocks outside such zones are left out if the first pass found main text in one.
+nothing in it is decided. Blocks outside such zones are left out if the zones hold most of the main text that the first
+pass found: so a teaser in an article element doesn't replace the page.
+
+A class, id or role names a side place only if all its parts do (cookie-banner, site-footer); where only some do
+(has-sidebar, share-price) the name is a hint: such blocks need more stop words. Stop words are of four languages; a
+page whose longer blocks hardly have any is in another one, and its blocks are decided by length and links alone.
 """
 
 from __future__ import annotations
@@ -29,44 +34,66 @@ RAW_TAGS = frozenset("script style noscript template textarea title iframe svg m
 SIDE_TAGS = frozenset("nav aside footer form menu dialog button select search head".split())
 #: Words of class, id or role that mark such elements.
 SIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe signup login search comment comments disqus respond replies reply share sharing social related recommended pagination pager widget toolbar complementary contentinfo".split())
+#: Words that stand beside those in the names of such elements, and say nothing of their content.
+PLAIN_NAMES = frozenset("site page main global top bottom left right inner outer box block list item items links link container wrapper wrap bar area section content body form box panel row col column group slot unit primary secondary text title button buttons icon icons post thread first last fixed sticky".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element is closed by these start tags (p by any block).
 CLOSED_BY = {"p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"])}
 STOP_WORDS = frozenset(w for words in COMMON_WORDS.values() for w in words)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+# Every alternative that begins to match also ends: nothing is scanned twice. Quotes count only after an equals sign.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class BlockRules:
-    """Thresholds of the first pass: lengths in characters of a block's text, densities from 0 to 1."""
+    """Thresholds of the first pass: lengths in characters of a block's text, densities from 0 to 1.
+
+    hinted: share of stop words that a block in a place with a hint of a side place needs; foreign: a page whose blocks
+    of length short or more have fewer stop words is in a language without a list of them.
+    """
 
     max_link_density: float = 0.4
     short: int = 70
     long: int = 200
     stop_low: float = 0.10
     stop_high: float = 0.20
+    hinted: float = 0.30
+    foreign: float = 0.03
 
 
 class Block:
+    """side: SIDE, HINT or neither (0)."""
+
     __slots__ = ("text", "linked", "side", "zone", "heading")
 
-    def __init__(self, text: str, linked: int, side: bool, zone: int, heading: bool):
+    def __init__(self, text: str, linked: int, side: int, zone: int, heading: bool):
         self.text, self.linked, self.side, self.zone, self.heading = text, linked, side, zone, heading
 
 
-def _is_side(tag: str, attributes: str, in_zone: bool) -> bool:
+HINT, SIDE = 1, 2
+
+
+def side_of(tag: str, attributes: str, in_zone: bool) -> int:
+    """What an element's tag and attributes say of its place: SIDE, HINT or 0."""
     if tag in SIDE_TAGS or (tag == "header" and not in_zone):
-        return True
+        return SIDE
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return 0
     if _HIDDEN.search(attributes):
-        return True
-    return any(name in SIDE_NAMES for found in _MARK.finditer(attributes) for name in _NAME.findall((found[1] or found[2] or found[3] or "").lower()))
+        return SIDE
+    found = 0
+    for mark in _MARK.finditer(attributes):
+        for name in (mark[1] or mark[2] or mark[3] or "").split():
+            parts = [x.lower() for x in _NAME.findall(name)]
+            sides = sum(x in SIDE_NAMES for x in parts)
+            if sides:
+                found = max(found, SIDE if all(x in SIDE_NAMES or x in PLAIN_NAMES for x in parts) else HINT)
+    return found
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -74,11 +101,11 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, side, zone, link
+    stack: list[tuple[str, int, int, bool]] = []  # tag, side, zone, link
     places: dict[str, list[int]] = {}  # of each tag's open elements in stack
     block_places: list[int] = []  # of all open block elements
-    side = link = heading = False
-    zone = zones = 0
+    link = heading = False
+    side = zone = zones = 0
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -99,7 +126,7 @@ def blocks_of(page: str) -> list[Block]:
 
     def restore() -> None:
         nonlocal side, zone, link
-        _, side, zone, link = stack[-1] if stack else ("", False, 0, False)
+        _, side, zone, link = stack[-1] if stack else ("", 0, 0, False)
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -138,7 +165,7 @@ def blocks_of(page: str) -> list[Block]:
             restore()
         if tag in RAW_TAGS:
             if not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{tag}\s*>|</{tag}\s[^>]*>", re.I).search(page, at)
+                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
                 at = stop.end() if stop else end
             continue
         if tag in VOID_TAGS:
@@ -155,42 +182,64 @@ def blocks_of(page: str) -> list[Block]:
         places.setdefault(tag, []).append(len(stack))
         if tag in BLOCK_TAGS:
             block_places.append(len(stack))
-        stack.append((tag, side or _is_side(tag, m[3], zone > 0), own, link or tag == "a"))
+        stack.append((tag, max(side, side_of(tag, m[3], zone > 0)), own, link or tag == "a"))
         restore()
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") or heading and tag not in BLOCK_TAGS
     flush()
     return found
 
 
-def first_pass(block: Block, rules: BlockRules) -> bool | None:
-    """True: main text; False: not; None: open."""
-    n = len(block.text)
-    if block.side or block.linked > rules.max_link_density * n:
-        return False
-    if block.heading or n < rules.short:
-        return None
-    words = _WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if density >= rules.stop_high:
-        return True
-    if density >= rules.stop_low:
-        return True if n >= rules.long else None
-    return None if block.zone else False
+def stop_words(text: str) -> tuple[int, int]:
+    """Numbers of stop words and of words in a text."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def first_pass(blocks: list[Block], rules: BlockRules) -> list[bool | None]:
+    """The label of each block by itself: True for main text, False for none, None where it stays open."""
+    out: list[bool | None] = []
+    counts: list[tuple[int, float]] = []  # of the blocks that their stop words decide
+    stops = words = 0
+    for i, block in enumerate(blocks):
+        n = len(block.text)
+        if block.side == SIDE or block.linked > rules.max_link_density * n:
+            out.append(False)
+        elif block.heading or n < rules.short:
+            out.append(False if block.side else None)
+        else:
+            a, b = stop_words(block.text)
+            stops, words = stops + a, words + b
+            counts.append((i, a / max(b, 1)))
+            out.append(None)
+    foreign = stops < rules.foreign * words
+    for i, density in counts:
+        block, n = blocks[i], len(blocks[i].text)
+        if foreign:
+            out[i] = True if n >= rules.long else None
+        elif block.side:
+            out[i] = density >= rules.hinted
+        elif density >= rules.stop_high:
+            out[i] = True
+        elif density >= rules.stop_low:
+            out[i] = True if n >= rules.long else None
+        else:
+            out[i] = None if block.zone else False
+    return out
 
 
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     """The main text of a page: its blocks in order, joined by newlines; empty for a null page or one without text."""
     blocks = blocks_of(page) if page else []
-    decided = [first_pass(b, rules) for b in blocks]
-    n = len(blocks)
-    has_zone = any(b.zone and label for b, label in zip(blocks, decided, strict=True))
+    decided, n = first_pass(blocks, rules), len(blocks)
+    inside, outside = (sum(len(b.text) for b, label in zip(blocks, decided, strict=True) if label and (b.zone > 0) == zone) for zone in (True, False))
+    has_zone = inside > 0 and inside >= outside
     before: list[tuple[int, bool] | None] = [None] * n
     after: list[tuple[int, bool] | None] = [None] * n
     for order, into in ((range(n), before), (range(n - 1, -1, -1), after)):
         last: dict[int, tuple[int, bool]] = {}
         for i in order:
             # what is left out for its place says nothing of the text round it
-            if decided[i] is not None and not blocks[i].side:
+            if decided[i] is not None and blocks[i].side != SIDE:
                 last[blocks[i].zone] = (i, decided[i])
             into[i] = last.get(blocks[i].zone)
     kept = []

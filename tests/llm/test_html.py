@@ -1,0 +1,126 @@
+"""Main text of pages: difficult pages, and pages made of random trees against a brute-force version of the rules."""
+
+import random
+import time
+
+import pytest
+
+from refloom.llm.html import HINT, SIDE, SIDE_NAMES, STOP_WORDS, BlockRules, blocks_of, main_text
+
+LONG = "The committee said that the plan for the city was good and that it would be built in the spring of the year with help from all. " * 3
+
+
+@pytest.mark.parametrize("n", [100, 199, 250, 1000])
+def test_unclosed_elements_hide_no_article(n):
+    assert main_text("<nav>" + "<font>" * n + f"menu</nav><article><p>{LONG}</p></article>") == LONG.strip()
+
+
+def test_names_of_side_places():
+    for name in ("post has-sidebar", "share-price", "search-results-ad", "no-comments-yet", "adventure", "related-work"):
+        assert main_text(f"<div class='{name}'><p>{LONG}</p></div>") == LONG.strip(), name
+    for name in ("cookie-banner", "siteFooter", "comment-list", "x sidebar", "main_menu", "AD", "footer-2"):
+        assert main_text(f"<div id='{name}'><p>{LONG}</p></div>") == "", name
+    # a hint asks for more stop words
+    few = "Plastic widgets green metal plates shine under lamps while machines and the rollers press sheets of copper. " * 2
+    assert main_text(f"<div class='has-sidebar'><p>{few}</p></div><p>{LONG}</p>") == LONG.strip() and few.strip() in main_text(f"<div class='x'><p>{few}</p></div><p>{LONG}</p>")
+
+
+def test_languages_without_stop_words():
+    ru = "Комитет сообщил, что план города был хорошим и что весной его построят с помощью всех жителей района. " * 3
+    assert main_text(f"<ul><li><a href=x>Меню</a></ul><p>{ru}</p><p>{ru}</p><footer>низ</footer>") == f"{ru.strip()}\n{ru.strip()}"
+    assert main_text(f"<p>{LONG}</p><p>{' '.join('ZZ' + str(i) for i in range(99))}</p>") == LONG.strip()
+
+
+def test_a_card_in_an_article_element_does_not_replace_the_page():
+    short = "The plan for the city is good and it was said that this would help all of them in the year."
+    assert main_text(f"<article><p>{short}</p></article><div><p>{LONG}</p><p>{LONG}</p></div>") == "\n".join([short, LONG.strip(), LONG.strip()])
+
+
+def test_attributes_with_odd_quotes():
+    assert main_text(f"<p title='a > b' data-x=\"1 > '0\">{LONG}</p>") == LONG.strip()
+    assert main_text(f"<p class=\"x\"\">{LONG}</p>") == LONG.strip()  # a quote that follows no equals sign is no quote
+    assert main_text(f"<p>{LONG}</p><a href=\"unclosed>lost") == LONG.strip()
+
+
+@pytest.mark.parametrize("junk", ["<a ", '<a href="', "<p><b><i>x", "<!--", "<script>", "<div class='", "</nav", "<nav>", "<script></script ", "&#1", "<", "<td><tr>", "<a ='", "<p \n", "< a=\"\"'"])
+def test_time_grows_with_the_page(junk):
+    start = time.process_time()
+    main_text(junk * ((1 << 20) // len(junk)) + '"')
+    main_text(f"<p {junk[1:] * ((1 << 20) // len(junk))}>")
+    assert time.process_time() - start < 10  # a megabyte each
+
+
+def random_page(r, depth=0, side=0, zone=0, state=None):
+    """A well-formed page part and the blocks (text, linked, side, zone, heading) that it holds."""
+    state = state if state is not None else {"zones": 0}
+    markup, blocks = [], []
+    for _ in range(r.randint(1, 4)):
+        kind = r.choice(["p", "p", "p", "div", "div", "nav", "article", "section", "h2", "a"])
+        words = lambda n: " ".join(r.choice(["the", "of", "and", "was", "in"]) if r.random() < share else "".join(r.choice("bcdfglmnprs") for _ in range(6)) for _ in range(n))  # noqa: B023, E731
+        share = r.choice([0, 0.05, 0.15, 0.4])
+        name, own = r.choice([("", 0), ("", 0), ("story", 0), ("ad-box", SIDE), ("has-menu", HINT)])
+        mark = f' class="{name}"' if name else ""
+        if kind in ("p", "h2", "a"):
+            text = words(r.choice([3, 8, 15, 40]))
+            if kind == "a":
+                markup.append(f"<p{mark}>{words(2)} x</p><p><a href='#'>{text}</a></p>")
+                blocks.append((markup[-1].split(">")[1].split("<")[0], 0, max(side, own), zone, False))
+                blocks.append((text, len(text), side, zone, False))
+            else:
+                markup.append(f"<{kind}{mark}>{text}</{kind}>")
+                blocks.append((text, 0, max(side, own), zone, kind == "h2"))
+        elif depth < 4:
+            inner_zone, own = zone, 0 if kind == "article" else SIDE if kind == "nav" else own
+            if kind == "article" and not zone:
+                state["zones"] += 1
+                inner_zone = state["zones"]
+            inner, found = random_page(r, depth + 1, max(side, own), inner_zone, state)
+            markup.append(f"<{kind}{mark}>{inner}</{kind}>")
+            blocks += found
+    return "".join(markup), blocks
+
+
+def brute(blocks, rules):
+    longer = [t.split() for t, linked, side, _, heading in blocks if side != SIDE and linked <= 0.4 * len(t) and not heading and len(t) >= rules.short]
+    foreign = sum(w in STOP_WORDS for t in longer for w in t) < rules.foreign * sum(map(len, longer))
+
+    def first(text, linked, side, zone, heading):
+        if side == SIDE or linked > rules.max_link_density * len(text):
+            return False
+        if heading or len(text) < rules.short:
+            return False if side else None
+        density = sum(w in STOP_WORDS for w in text.split()) / len(text.split())
+        if foreign:
+            return True if len(text) >= rules.long else None
+        if side:
+            return density >= rules.hinted
+        return True if density >= rules.stop_high or density >= rules.stop_low and len(text) >= rules.long else None if zone or density >= rules.stop_low else False
+
+    labels = [first(*b) for b in blocks]
+    inside, outside = (sum(len(b[0]) for b, x in zip(blocks, labels, strict=True) if x and bool(b[3]) == z) for z in (True, False))
+    kept = []
+    for i, (text, _, _, zone, heading) in enumerate(blocks):
+        label = labels[i]
+        if inside and inside >= outside and not zone:
+            continue
+        if label is None:
+            near = [(abs(j - i), j > i, labels[j]) for j, b in enumerate(blocks) if labels[j] is not None and b[3] == zone and b[2] != SIDE]
+            before, after = (min((x for x in near if x[1] == side), default=None) for side in (False, True))
+            if before and after and before[2] != after[2]:
+                label = after[2] if heading or after[0] <= before[0] else before[2]
+            else:
+                label = (before or after or (0, 0, True))[2]
+        if label:
+            kept.append(text)
+    return "\n".join(kept)
+
+
+def test_random_pages_against_brute_force():
+    rules, some, none = BlockRules(), 0, 0
+    for seed in range(600):
+        markup, blocks = random_page(random.Random(seed))
+        assert [(b.text, b.linked, b.side, b.zone, b.heading) for b in blocks_of(markup)] == blocks, seed
+        text = main_text(markup)
+        assert text == brute(blocks, rules), seed
+        some, none = some + bool(text), none + (not text)
+    assert some > 100 and none > 30 and "menu" in SIDE_NAMES
