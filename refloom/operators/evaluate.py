@@ -15,10 +15,10 @@ DISPLAY = {"openalex": "OpenAlex", "openaire": "OpenAIRE", "pubmed": "PubMed", "
 
 
 def read_gold(spark, path: str) -> DataFrame:
-    """A JSON object from citation to expected identifiers, as rows: citation, doi, openalex, openaire, pubmed, crossref, hal."""
+    """A JSON object from citation to expected identifiers, as rows in its order: position (from 0), citation, doi, openalex, openaire, pubmed, crossref, hal."""
     kind = "map<string,struct<doi: string, openalex: string, openaire: string, pubmed: string, crossref: string, hal: string>>"
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", kind)).alias("citation", "g")).select("citation", "g.*")
+    return text.select(F.posexplode(F.map_entries(F.from_json("value", kind))).alias("position", "x")).select("position", F.col("x.key").alias("citation"), "x.value.*")
 
 
 def read_results(spark, path: str, array: bool = False) -> DataFrame:

@@ -51,8 +51,8 @@ def cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CITES, part=_table(spark, sf_dir, "part"), orders=_table(spark, sf_dir, "orders"))
 
 
-def publications(spark: SparkSession, sf_dir: str, api: str) -> DataFrame:
-    """A source's publications: each covers part of the works; OpenAIRE's have a second DOI now and then."""
+def publications(spark: SparkSession, sf_dir: str, api: str, every: bool = False) -> DataFrame:
+    """A source's publications: each covers part of the works (every: all of them); OpenAIRE's have a second DOI now and then."""
     w = works(spark, sf_dir)
     k = F.col("work_id")
     covered = {"openalex": F.lit(True), "openaire": k % 10 < 8, "pubmed": k % 3 == 0, "crossref": k % 10 < 9, "hal": k % 50 == 0}[api]
@@ -60,7 +60,7 @@ def publications(spark: SparkSession, sf_dir: str, api: str) -> DataFrame:
     second = F.when((k % 4 == 0) & F.lit(api == "openaire"), F.array(F.concat("doi", F.lit(".v2")))).otherwise(F.array().cast("array<string>"))
     given = {"api": F.lit(api), "pub_id": ids[api], "title": F.col("title"), "authors": F.array(F.concat("surname", F.lit(", A.")), F.concat("surname2", F.lit(", B."))), "publication_year": F.col("pub_year"), "journal": F.col("journal"), "publisher": F.lit("Press"), "volume": F.col("volume"), "issue": F.col("issue"), "page_first": F.col("first_page"), "page_last": F.col("last_page"), "pages": F.concat_ws("-", "first_page", "last_page"), "main_doi": F.col("doi"), "alternative_dois": second}
     kinds = dict(x.strip().split(" ", 1) for x in PUBLICATION.split(", "))
-    return w.where(covered).select(*(given[n].cast(t).alias(n) for n, t in kinds.items()))
+    return w.where(F.lit(True) if every else covered).select(*(given[n].cast(t).alias(n) for n, t in kinds.items()))
 
 
 def entity_struct() -> F.Column:

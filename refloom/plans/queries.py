@@ -16,7 +16,7 @@ from refloom.functions.doi import clean_doi, normalize_doi, normalize_id, public
 from refloom.functions.entities import RAW_TYPE, best_entities
 from refloom.functions.journal import names_score, normalize_journal
 from refloom.functions.pages import citation_patterns, full_last_page, year_filter, year_range
-from refloom.functions.similarity import citation_similarity, doi_similarity, fuzzy, jaccard, number_similarity, page_similarity, year_similarity
+from refloom.functions.similarity import doi_similarity, fuzzy, jaccard, number_similarity, page_similarity, with_similarity, year_similarity
 from refloom.functions.text import clean_title, segment_title
 from refloom.operators.backends import RuleBackend, rule_is_citation
 from refloom.operators.cache import cache_key, hit_rate, not_yet_done
@@ -25,7 +25,7 @@ from refloom.operators.ensemble import backfill, elect, votes
 from refloom.operators.entities import group_entities, merge_fragments
 from refloom.operators.evaluate import calibration, comparison, compare_runs, expected_error, final_evaluation, metrics, precision_recall
 from refloom.operators.rank import decide
-from refloom.operators.retrieve import candidates, expand_tiers, index_catalog, search
+from refloom.operators.retrieve import BITS, candidates, expand_tiers, field_names, index_catalog, search
 from refloom.operators.spans import attach_sentences, chunk_by_newline, citation_groups, group_adjacent, mask_mention, mentions_by_id, reference_list, split_sentences
 from refloom.plans.engine import Engine
 from refloom.plans.fixtures import CITES, WORKS, cites, document_text, entity_struct, publications, works
@@ -46,7 +46,10 @@ def query(name: str, sql: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = f"{_WITH} {sql}" if not sql.lstrip().startswith("WITH") else f"{_WITH}, {sql.lstrip()[5:]}"
+            own = sql.lstrip()
+            recursive = own.startswith("WITH RECURSIVE")
+            before = _WITH.replace("WITH", "WITH RECURSIVE", 1) if recursive else _WITH
+            ORACLE_SQL[name] = f"{before}, {own[14 if recursive else 4 :].lstrip()}" if own.startswith("WITH") else f"{before} {own}"
         return f
 
     return register
@@ -200,7 +203,7 @@ def alignment_query(spark, sf_dir):
 def similarity_query(spark, sf_dir):
     c = cites(spark, sf_dir).withColumn("a", entity_struct())
     b = F.struct("doi", "title", F.concat_ws(", ", "surname", "surname2").alias("authors"), "journal", F.col("pub_year").alias("publication_year"), "volume", "issue", F.col("first_page").alias("page_first"), F.col("last_page").alias("page_last"))
-    return c.withColumn("b", b).select("citation_id", citation_similarity(F.col("a"), F.col("b"), F.col("citation"), F.col("title")).alias("score"))
+    return with_similarity(c.withColumn("b", b), "a", "b", "citation", "title", "score").select("citation_id", "score")
 
 
 # entities and spans, from line items and documents
@@ -235,13 +238,13 @@ def group_query(spark, sf_dir):
 
 
 _SPANS = """SELECT doc_id, CASE WHEN (doc_id + k) % 4 = 0 THEN 'CITATION_ID' WHEN (doc_id + k) % 4 = 1 THEN 'CITATION_SPAN' WHEN (doc_id + k // 2) % 2 = 0 THEN 'YEAR' ELSE 'AUTHOR' END AS label,
-  CAST(k * 12 AS INT) AS start, CAST(k * 12 + 10 + (doc_id + k) % 3 AS INT) AS "end", 1.0::DOUBLE AS score FROM documents, range(0, 12) r(k) WHERE length(text) >= 160"""
+  CAST(k * 12 AS INT) AS start, CAST(k * 12 + 10 + (doc_id + k) % 3 AS INT) AS "end", 1.0::DOUBLE AS score FROM (SELECT doc_id, unnest(range(0, length(text) // 12)) AS k FROM documents)"""
 
 
 def _spans(docs: DataFrame) -> DataFrame:
     k, d = F.col("k"), F.col("doc_id")
     label = F.when((d + k) % 4 == 0, "CITATION_ID").when((d + k) % 4 == 1, "CITATION_SPAN").when((d + F.floor(k / 2)) % 2 == 0, "YEAR").otherwise("AUTHOR")
-    rows = docs.where("length(text) >= 160").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
+    rows = docs.where("length(text) >= 12").select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("length(text) div 12 - 1").cast("int"))).alias("k"))
     return rows.select("doc_id", label.alias("label"), (k * 12).cast("int").alias("start"), (k * 12 + 10 + (d + k) % 3).cast("int").alias("end"), F.lit(1.0).alias("score"))
 
 
@@ -276,7 +279,12 @@ def reference_query(spark, sf_dir):
     return reference_list(group_adjacent(_spans(docs), docs))
 
 
-@query("chunk_by_newline")
+@query("chunk_by_newline", r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS cursor, CAST(0 AS BIGINT) AS begin, '' AS now, CAST(NULL AS BIGINT) AS o, CAST(NULL AS VARCHAR) AS chunk FROM documents
+  UNION ALL SELECT doc_id, i, cursor + size, CASE WHEN cut THEN cursor ELSE begin END, CASE WHEN cut THEN '' ELSE now END || line || chr(10), CASE WHEN cut THEN begin END, CASE WHEN cut THEN rtrim(now, chr(10)) END
+  FROM (SELECT f.doc_id, l.i, f.cursor, f.begin, f.now, l.line, length(l.line) + 1 AS size, length(f.now) + length(l.line) + 1 > 2000 AND regexp_matches(f.now, '[^\s\p{Z}\x{85}]') AS cut FROM f JOIN l ON f.doc_id = l.doc_id AND l.i = f.i + 1)),
+c AS (SELECT doc_id, i, o, chunk FROM f WHERE chunk IS NOT NULL UNION ALL SELECT doc_id, i + 1, begin, rtrim(now, chr(10)) FROM f WHERE regexp_matches(now, '[^\s\p{Z}\x{85}]') QUALIFY i = max(i) OVER (PARTITION BY doc_id))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_no, CAST(o AS INT) AS "offset", chunk FROM c""")
 def chunk_query(spark, sf_dir):
     return chunk_by_newline(_read(spark, sf_dir, "documents"))
 
@@ -286,7 +294,7 @@ def sentences_query(spark, sf_dir):
     return split_sentences(_read(spark, sf_dir, "documents"))
 
 
-_LINES = """SELECT doc_id, CAST(k * 50 AS INT) AS start, CAST(k * 50 + 50 AS INT) AS "end", substr(text, k * 50 + 1, 50) AS sentence FROM documents, range(0, 3) r(k) WHERE length(text) >= 160"""
+_LINES = """SELECT doc_id, CAST(k * 50 AS INT) AS start, CAST(k * 50 + 50 AS INT) AS "end", substr(text, k * 50 + 1, 50) AS sentence FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 49) // 50)) AS k FROM documents)"""
 
 
 @query("sentence_attach_mask", f"""WITH {_GROUPED}, l AS ({_LINES})
@@ -294,7 +302,7 @@ SELECT g.doc_id, g.start, g."end", l.sentence, replace(substr(l.sentence, 1, g.s
 FROM g LEFT JOIN l ON g.doc_id = l.doc_id AND g.start >= l.start AND g."end" <= l."end" """)
 def attach_query(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    rows = docs.where("length(text) >= 160").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    rows = docs.where("length(text) > 0").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.expr("(length(text) - 1) div 50").cast("int"))).alias("k"))
     sentences = rows.select("doc_id", (F.col("k") * 50).alias("start"), (F.col("k") * 50 + 50).alias("end"), F.substr("text", (F.col("k") * 50 + 1), F.lit(50)).alias("sentence"))
     groups = group_adjacent(_spans(docs), docs).select("doc_id", "start", "end")
     return mask_mention(attach_sentences(groups, sentences)).select("doc_id", "start", "end", "sentence", "masked_sentence")
@@ -318,11 +326,17 @@ def mention_query(spark, sf_dir):
 # retrieval
 
 
-@query("tier_expand")
+# a search's tiers: every citation has all fields but a DOI now and then, which some write in a way that can't be asked for
+_TIER_ROWS = ", ".join(f"({i}, '{'+'.join(f for f in BITS if f in tier)}')" for i, tier in enumerate(source("openalex").tiers))
+
+
+@query("tier_expand", f"""
+SELECT citation_id, CAST(tier AS INT) AS tier, fields, tier = min(tier) OVER (PARTITION BY citation_id, fields) AND (tier > 0 OR regexp_matches(replace(raw_doi, 'https://doi.org/', ''), '^10[.][0-9]{{4,}}/[^ ]+$')) AS run, regexp_matches(fields, 'VOLUME|ISSUE|PAGE_FIRST') AS bibliographic
+FROM cites CROSS JOIN (VALUES {_TIER_ROWS}) t(tier, fields) WHERE tier > 0 OR raw_doi IS NOT NULL""")
 def tiers_query(spark, sf_dir):
     c = cites(spark, sf_dir).select("citation_id", entity_struct().alias("e"))
     t = settled(expand_tiers(c, source("openalex"))).select("citation_id", F.explode("tiers").alias("t"))
-    return t.select("citation_id", "t.tier", F.array_join("t.fields", "+").alias("fields"), "t.run", "t.bibliographic")
+    return t.select("citation_id", "t.tier", F.array_join(field_names(F.col("t.mask")), "+").alias("fields"), "t.run", "t.bibliographic")
 
 
 @query("query_params", """
@@ -335,7 +349,19 @@ def params_query(spark, sf_dir):
     return c.select("citation_id", params_key(params_of(F.col("parts"), F.array(*map(F.lit, spec.fields)))).alias("params"))
 
 
-@query("request_urls")
+_FORM = "replace(url_encode({}), '%20', '+')"
+_URLS = {
+    "openalex": """concat('https://api.openalex.org/works?per-page=5&filter=title.search:"', url_encode(clean), '",raw_author_name.search:', url_encode(names), ',publication_year:', raw_year)""",
+    "openaire": f"concat('https://api.openaire.eu/graph/v1/researchProducts?mainTitle=', {_FORM.format('raw_title')}, '&authorFullName=', {_FORM.format('names')}, '&fromPublicationDate=', raw_year, '-01-01&toPublicationDate=', raw_year, '-12-31&pageSize=5')",
+    "pubmed": f"concat('https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esearch.fcgi?db=pubmed&retmode=json&retmax=5&term=', {_FORM.format("concat(raw_title, '[title] AND ', name, '[author] AND ', raw_year, '[pdat]')")})",
+    "crossref": f"concat('https://api.crossref.org/works?query.title=', {_FORM.format('raw_title')}, '&query.author=', {_FORM.format('name')}, '&filter=', {_FORM.format("concat('from-pub-date:', raw_year, '-01-01,until-pub-date:', raw_year, '-12-31')")}, '&rows=5')",
+    "hal": f"""concat('https://api.archives-ouvertes.fr/search/?q=', {_FORM.format("""concat('title_t:"', raw_title, '" AND authFullName_t:"', name, '" AND publicationDateY_s:"', raw_year, '"')""")}, '&fl=*&wt=json&rows=5')""",
+}
+
+
+@query("request_urls", f"""WITH q AS (SELECT *, {_TITLE} AS clean, CASE citation_id % 6 WHEN 4 THEN 'Anna' ELSE surname END AS name,
+  CASE citation_id % 6 WHEN 4 THEN 'Anna' WHEN 2 THEN concat('((', surname, ' AND ', surname2, ') OR ', surname, ' OR ', surname2, ')') ELSE surname END AS names FROM cites)
+""" + " UNION ALL ".join(f"SELECT citation_id, '{a}' AS api, {u} AS url FROM q" for a, u in _URLS.items()))
 def urls_query(spark, sf_dir):
     c = cites(spark, sf_dir).withColumn("e", entity_struct())
     out = None
@@ -353,7 +379,29 @@ def retrieve_doi_query(spark, sf_dir):
     return search(c, index_catalog(publications(spark, sf_dir, "openalex")), source("openalex")).select("citation_id", "pub_id")
 
 
-@query("retrieve_progressive")
+_TIER_MASKS = ", ".join(f"({i}, {sum(BITS[f] for f in tier)})" for i, tier in enumerate(source("openalex").tiers))
+# publications by pairs of flags, tiers by masks of flags, then the sequential stop as sums over tiers
+_RETRIEVED = f"""p AS (SELECT concat('W', work_id) AS pub_id, doi, list_distinct(string_split(lower(title), ' ')) AS tokens, lower(surname) AS n1, lower(surname2) AS n2, pub_year, journal, volume, issue, first_page FROM works),
+q AS (SELECT citation_id, CASE WHEN regexp_matches(replace(raw_doi, 'https://doi.org/', ''), '^10[.][0-9]{{4,}}/[^ ]+$') THEN doi END AS doi, title, string_split(lower(title), ' ') AS w, raw_year, journal, volume, issue, first_page,
+  CASE citation_id % 6 WHEN 4 THEN ['anna'] WHEN 2 THEN [lower(surname), lower(surname2)] ELSE [lower(surname)] END AS names FROM cites),
+t AS (SELECT DISTINCT title, list_distinct(w) AS tokens, list_distinct(w[1:len(w) // 2]) AS h1, list_distinct(w[len(w) // 2 + 1:]) AS h2 FROM q),
+tm AS (SELECT title, pub_id, list_has_all(p.tokens, t.tokens) AS is_t FROM t JOIN p ON list_has_all(p.tokens, t.h1) OR list_has_all(p.tokens, t.h2)),
+qn AS (SELECT citation_id, unnest(names) AS n, raw_year, journal FROM q), pn AS (SELECT pub_id, unnest([n1, n2]) AS n, pub_year, journal FROM p),
+pairs AS (SELECT citation_id, pub_id FROM q JOIN p ON q.doi = p.doi UNION SELECT citation_id, pub_id FROM q JOIN tm ON q.title = tm.title UNION SELECT citation_id, pub_id FROM q JOIN p ON q.journal = p.journal AND q.raw_year = p.pub_year
+  UNION SELECT citation_id, pub_id FROM qn JOIN pn ON qn.n = pn.n AND qn.raw_year = pn.pub_year UNION SELECT citation_id, pub_id FROM qn JOIN pn ON qn.n = pn.n AND qn.journal = pn.journal),
+fits AS (SELECT x.citation_id, x.pub_id, len(list_intersect(t.tokens, p.tokens)) / len(list_distinct(list_concat(t.tokens, p.tokens))) AS share,
+  CASE WHEN q.doi = p.doi THEN 1 ELSE 0 END + CASE WHEN tm.is_t THEN 2 ELSE 0 END + CASE WHEN tm.pub_id IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN list_has_any(q.names, [p.n1, p.n2]) THEN 8 ELSE 0 END + CASE WHEN q.raw_year = p.pub_year THEN 16 ELSE 0 END
+  + CASE WHEN q.journal = p.journal THEN 32 ELSE 0 END + CASE WHEN q.volume = p.volume THEN 64 ELSE 0 END + CASE WHEN q.issue = p.issue THEN 128 ELSE 0 END + CASE WHEN q.first_page = p.first_page THEN 256 ELSE 0 END AS bits
+  FROM pairs x JOIN q USING (citation_id) JOIN t USING (title) JOIN p USING (pub_id) LEFT JOIN tm ON tm.title = q.title AND tm.pub_id = x.pub_id),
+hits AS (SELECT citation_id, tier, mask, pub_id, row_number() OVER (PARTITION BY citation_id, tier ORDER BY share DESC, pub_id) AS rank FROM fits JOIN (VALUES {_TIER_MASKS}) m(tier, mask) ON (bits & mask) = mask),
+cut AS (SELECT * FROM hits WHERE rank <= CASE WHEN bit_count(mask) <= 2 AND (mask & 3) = 0 THEN 10 ELSE 5 END),
+n AS (SELECT citation_id, tier, mask, count(*) AS n FROM cut GROUP BY ALL),
+ran AS (SELECT citation_id, tier FROM n WINDOW w AS (PARTITION BY citation_id ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) QUALIFY coalesce(sum(n) OVER w, 0) < 10 AND coalesce(sum(CASE WHEN n = 1 AND bit_count(mask) >= 4 AND (mask & 451) <> 0 THEN 1 ELSE 0 END) OVER w, 0) = 0),
+firsts AS (SELECT citation_id, pub_id, tier, rank FROM cut JOIN ran USING (citation_id, tier) QUALIFY row_number() OVER (PARTITION BY citation_id, pub_id ORDER BY tier, rank) = 1)"""
+
+
+@query("retrieve_progressive", f"""WITH {_RETRIEVED}
+SELECT citation_id, CAST(pos - 1 AS INT) AS pos, CAST(tier AS INT) AS tier, pub_id FROM (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY tier, rank) AS pos FROM firsts) WHERE pos <= 10""")
 def candidates_query(spark, sf_dir):
     c = cites(spark, sf_dir).select("citation_id", entity_struct().alias("e"))
     return candidates(c, publications(spark, sf_dir, "openalex"), source("openalex"))
@@ -366,7 +414,11 @@ def dedup_query(spark, sf_dir):
     return first_per_doi(rows, "citation_id", ["pos"]).select("citation_id", "pos", "main_doi")
 
 
-@query("dedup_multi_doi")
+@query("dedup_multi_doi", """WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS c, CAST(l_linenumber AS INT) AS pos, CAST(l_suppkey AS VARCHAR) AS pub, CASE WHEN l_partkey % 5 = l_partkey % 7 THEN [CAST(l_partkey % 5 AS VARCHAR)] ELSE [CAST(l_partkey % 5 AS VARCHAR), CAST(l_partkey % 7 AS VARCHAR)] END AS dois FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY pos, pub, dois) AS k, count(*) OVER (PARTITION BY c) AS many FROM x),
+f AS (SELECT c, k, many, dois AS seen, concat(pos, ':', array_to_string(dois, '+')) AS kept FROM n WHERE k = 1
+  UNION ALL SELECT n.c, n.k, n.many, CASE WHEN list_has_any(f.seen, n.dois) THEN f.seen ELSE list_concat(f.seen, n.dois) END, CASE WHEN list_has_any(f.seen, n.dois) THEN f.kept ELSE concat(f.kept, ',', n.pos, ':', array_to_string(n.dois, '+')) END FROM f JOIN n ON n.c = f.c AND n.k = f.k + 1)
+SELECT c AS citation_id, kept FROM f WHERE k = many""")
 def dedup_multi_query(spark, sf_dir):
     kind = "struct<pos: int, pub_id: string, dois: array<string>>"
     rows = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("citation_id"), F.struct(F.col("l_linenumber").cast("int").alias("pos"), F.col("l_suppkey").cast("string").alias("pub_id"), F.array_distinct(F.array((F.col("l_partkey") % 5).cast("string"), (F.col("l_partkey") % 7).cast("string"))).alias("dois")).alias("x"))
@@ -384,14 +436,13 @@ _APA_SQL = {
     "crossref": f"concat({_AUTHORS_SQL}, ' (', pub_year, '). ', title, '. ', journal, ': Press. ', first_page, '-', last_page, '. DOI: ', doi)",
     "hal": f"concat({_AUTHORS_SQL}, ' (', pub_year, '). ', title, '. ', journal, ', ', volume, ' (', issue, ') pp. ', first_page, '-', last_page, '. DOI: ', doi)",
 }
-_COVERED_SQL = {"openalex": "true", "openaire": "work_id % 10 < 8", "pubmed": "work_id % 3 = 0", "crossref": "work_id % 10 < 9", "hal": "work_id % 50 = 0"}
 _ID_SQL = {"openalex": "concat('W', work_id)", "openaire": "concat('oa::', work_id)", "pubmed": "CAST(work_id + 100000 AS VARCHAR)", "crossref": "doi", "hal": "concat('hal-', work_id)"}
 
 for _api in SOURCES:
 
-    @query(f"apa_{_api}", f"SELECT {_ID_SQL[_api]} AS pub_id, {_APA_SQL[_api]} AS apa FROM works WHERE {_COVERED_SQL[_api]}")
+    @query(f"apa_{_api}", f"SELECT {_ID_SQL[_api]} AS pub_id, {_APA_SQL[_api]} AS apa FROM works")
     def apa_query(spark, sf_dir, api=_api):
-        return publications(spark, sf_dir, api).select("pub_id", apa_citation().alias("apa"))
+        return publications(spark, sf_dir, api, every=True).select("pub_id", apa_citation().alias("apa"))
 
 
 @query("parse_openalex_json", "SELECT concat('W', work_id) AS pub_id, title, surname AS first_author, pub_year AS publication_year, journal, volume, first_page AS page_first, doi AS main_doi FROM works")

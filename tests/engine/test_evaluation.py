@@ -1,0 +1,49 @@
+"""The evaluation runner and its command line."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from refloom.operators.evaluate import read_gold, read_results
+from refloom.plans import evaluation
+from refloom.plans.engine import Engine
+from refloom.sources.payloads import PUBLICATION
+
+CITED = {
+    "Smith, J., Doe, K. (2001). A fine title of words. Journal of Tests, 3 (4) 10-20.": {"doi": "10.1000/abc", "openalex": "W1"},
+    "This is not a citation": {},
+    "Ardito, C., Lee, B. (2023). Another fine title. Journal of Tests, 5 (6) 30-40. DOI: 10.1000/def": {"doi": "10.1000/xyz", "openalex": "W9"},
+    "Nobody, N. (1990). Unknown work. Journal of None, 1 (1) 1-2.": {},
+}
+
+
+def catalog(spark):
+    rows = [("openalex", "W1", "A fine title of words", ["Smith, J.", "Doe, K."], "2001", "Journal of Tests", None, "3", "4", "10", "20", None, "10.1000/abc", []), ("openalex", "W2", "Another fine title", ["Ardito, C.", "Lee, B."], "2023", "Journal of Tests", None, "5", "6", "30", "40", None, "10.1000/def", [])]
+    return spark.createDataFrame(rows, PUBLICATION)
+
+
+def test_run_skip_limit_and_resume(spark, tmp_path):
+    (tmp_path / "gold.json").write_text(json.dumps(CITED))
+    gold = read_gold(spark, str(tmp_path / "gold.json"))
+    engine = Engine({"openalex": catalog(spark)})
+    judged = evaluation.run_evaluation(engine, gold)
+    rows = judged.collect()
+    verdicts = {(r.citation_id, r.api): (r.status, r.final_evaluation) for r in rows}
+    assert verdicts["Cit_001", "openalex"] == ("RESULT", "CORRECT") == verdicts["Cit_001", "ensemble"]
+    assert verdicts["Cit_002", "openalex"][0] == "ERROR" and verdicts["Cit_003", "openalex"] == ("RESULT", "INCORRECT") and verdicts["Cit_004", "openalex"] == ("NO_RESULT", "CORRECT") and len(rows) == 8
+    some = evaluation.run_evaluation(engine, gold, skip=1, limit=2)
+    assert {r.citation_id for r in some.collect()} == {"Cit_002", "Cit_003"}
+    before = spark.createDataFrame(rows, judged.schema).where("citation_id < 'Cit_003'").withColumn("final_evaluation", F.lit("kept"))
+    more = {(r.citation_id, r.api): r.final_evaluation for r in evaluation.run_evaluation(engine, gold, previous=before).collect()}
+    assert more["Cit_001", "openalex"] == "kept" and more["Cit_003", "openalex"] == "INCORRECT" and len(more) == 8
+    less = {r.citation_id: r.final_evaluation for r in evaluation.run_evaluation(engine, gold, skip=1, previous=before).where("api = 'openalex'").collect()}
+    assert less == {"Cit_001": "kept", "Cit_002": "ERROR", "Cit_003": "INCORRECT", "Cit_004": "CORRECT"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "gold.json").write_text(json.dumps(CITED))
+    catalog(spark).write.parquet(str(tmp_path / "pubs"))
+    args = ["--gold", str(tmp_path / "gold.json"), "--publications", f"openalex={tmp_path}/pubs", "--output", str(tmp_path / "out"), "--limit", "3", "--preview"]
+    accuracy = evaluation.main(args, spark)
+    assert accuracy["openalex"] == 0.5 and "OpenAlex" in capsys.readouterr().out
+    assert read_results(spark, str(tmp_path / "out" / "05_results")).count() == 6
