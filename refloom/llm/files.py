@@ -10,10 +10,12 @@ from pyarrow import fs
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and the path in it; Spark's file:/x counts as file:///x."""
+    """The file system and the path in it, of a whole address as storage.shared_dir gives it; Spark's file:/x counts as file:///x."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    if "://" not in uri:
+        raise ValueError(f"{uri} names no file system")
+    return fs.FileSystem.from_uri(uri)
 
 
 @contextmanager

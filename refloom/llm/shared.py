@@ -1,34 +1,5 @@
 """Places that every executor sees, and tables written there to cut lineage."""
 
-from __future__ import annotations
+from refloom.sources.storage import materialize, new_place, remove_places, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests on one machine), a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='refloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_place(spark: SparkSession, name: str) -> str:
-    """A new folder name below shared_dir(); nothing is made."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back.
-
-    This cuts the lineage in a way that outlives lost executors, and gives Spark the true size: joins with the
-    table are broadcast only if that is below spark.sql.autoBroadcastJoinThreshold.
-    """
-    spark = df.sparkSession
-    place = new_place(spark, name)
-    df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+__all__ = ["materialize", "new_place", "remove_places", "shared_dir"]
