@@ -1,258 +1,414 @@
 """Adaptive context-mixing range coder for token ids.
 
-A block is up to BLOCK ids, coded from a fresh model, so blocks stand alone. For each id, order 2 (the two ids before)
-and order 1 (the id before) each predict the id that last followed their context. Whether order 2's is right, and if
-not whether order 1's is, are binary events; the probability of each comes from logistic mixing of what both orders and
-an order-0 rate of hits say, with weights that learn from each event. An id that neither predicts is coded by order 0:
-its high and its low byte with adaptive frequencies. All probabilities are integers, so encoder and decoder agree on
-any machine.
-
-Many blocks go through the coder in step, one NumPy lane each: a Python loop over ids would be some hundred times
-slower. Lanes don't influence each other, so a block's bytes don't depend on its neighbours.
+Ids are coded by groups of up to GROUP. A group's model holds its distinct ids, in ascending order, and what is known of
+them before coding starts: order 1, for each id the frequencies of the ids that follow it often, and order 0, the
+frequencies of the ids that order 1 leaves out. The group is cut into blocks of up to BLOCK ids; each is coded from this
+same state, so blocks stand alone.
+
+In a block, order 2 (the two ids before) predicts the id that last followed them there. Whether it is right is a binary
+event; its probability comes from logistic mixing of what order 2 (by how often its guess held) and order 1 (by how sure
+it is after the id before) say of it, with rates and weights that learn from each event. An id that order 2 doesn't give
+is coded by order 1, and one that order 1 doesn't have, after an escape, by order 0. All probabilities are integers, so
+encoder and decoder agree on any machine.
+
+The blocks of a group go through the coder in step, one NumPy lane each: a Python loop over ids would be some hundred
+times slower. Lanes don't influence each other, so a block's bytes don't depend on its neighbours'.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Sequence
 
 import numpy as np
 
-BLOCK = 2048
-#: Blocks coded in step at most; a lane takes about 30 kB.
-LANES = 4096
-_SLOTS = 1024  # of an order's table in a lane
-_EVERY = 64  # ids between new cumulative frequencies
-_TOP, _BOTTOM = np.uint64(1 << 56), np.uint64(1 << 48)
-_8, _16, _56 = np.uint64(8), np.uint64(16), np.uint64(56)
+BLOCK = 1024
+GROUP = 1 << 22
+_SLOTS = 256  # of order 2's table in a lane
+_LEAST = 3  # an id that follows another less often in a group is left to order 0
+_ONE = 1 << 16  # total of order 1's frequencies after an id
+_FULL = np.uint64((1 << 64) - 1)
+_16, _32, _LOW = np.uint64(16), np.uint64(32), np.uint64((1 << 32) - 1)
+_HEAD = struct.Struct("<IIIB")
 
 
 def _squash_table() -> np.ndarray:
-    """Probability (of 4096) of log-odds from -2047 to 2047 in 1/256, by interpolation between fixed points."""
-    points = np.array([1, 2, 3, 6, 10, 16, 27, 45, 73, 120, 194, 310, 488, 747, 1101, 1546, 2047, 2549, 2994, 3348, 3607, 3785, 3901, 3975, 4022, 4050, 4068, 4079, 4085, 4089, 4092, 4093, 4094], np.int64)
-    x = np.arange(-2048, 2048, dtype=np.int64)
-    w, i = x & 127, (x >> 7) + 16
-    return ((points[i] * (128 - w) + points[np.minimum(i + 1, 32)] * w + 64) >> 7).astype(np.int32)
+    """Probability (of 4096) of log-odds from -2047 to 2047 in 1/256."""
+    x = np.arange(-2048, 2048)
+    return (4096 / (1 + np.exp(-x / 256))).round().clip(1, 4095).astype(np.int32)
 
 
 _SQUASH = _squash_table()
 _STRETCH = (np.searchsorted(_SQUASH, np.arange(4096)) - 2048).clip(-2047, 2047).astype(np.int32)
 
 
+def block_lengths(n: int) -> np.ndarray:
+    """How n ids are cut into blocks: lengths that differ by one at most, the longer ones first; few ids make short blocks, so that they go in step too."""
+    lanes = max(-(-n // BLOCK), min(64, -(-n // 256)))
+    return np.full(lanes, n // lanes, np.int64) + (np.arange(lanes) < n % lanes) if lanes else np.zeros(0, np.int64)
+
+
+def _packed(values: np.ndarray, dtype: str) -> bytes:
+    """Whole numbers, byte plane after byte plane."""
+    raw = np.ascontiguousarray(values, dtype)
+    return raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()
+
+
+def _unpacked(data: bytes, n: int, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(dtype).reshape(n).astype(np.int64)
+
+
+class Model:
+    """A group's ids and their frequencies.
+
+    ids: the distinct ids, ascending; below, an id is its place among them, and len(ids) stands for none. Row c of order
+    1 holds the ids that follow id c and their frequencies (of 65536), ended by the escape; total of order 0: 2 ** bits.
+    """
+
+    def __init__(self, ids: np.ndarray, row: np.ndarray, follower: np.ndarray, frequency: np.ndarray, rare: np.ndarray, bits: int):
+        self.ids, self.row, self.follower, self.frequency, self.rare, self.bits = ids, row, follower, frequency, rare, bits
+        k = self.n = len(ids)
+        lengths = np.bincount(row, minlength=k + 1)
+        own = np.concatenate(([0], np.cumsum(frequency)))
+        ends = np.cumsum(lengths)
+        base = own[ends - lengths]
+        escape = own[ends] - base  # where a row's escape starts
+        place = np.arange(len(row)) + row
+        self.start = np.empty(len(row) + k + 1, np.int32)
+        self.start[place] = own[:-1] - base[row]
+        self.start[ends + np.arange(k + 1)] = escape
+        self.size = np.empty_like(self.start)
+        self.size[place] = frequency
+        self.size[ends + np.arange(k + 1)] = _ONE - escape
+        self.symbol = np.full(len(self.start), k, np.int32)
+        self.symbol[place] = follower
+        self.escape_start, self.escape_at = escape, ends + np.arange(k + 1)
+        self.rare_start = np.concatenate(([0], np.cumsum(rare)))
+        # how sure order 1 is after an id, in four steps: by its greatest frequency
+        top = np.zeros(k + 1, np.int64)
+        np.maximum.at(top, row, frequency)
+        self.sure = np.searchsorted([_ONE // 16, _ONE // 4, _ONE // 2], top, "right").astype(np.int32)
+
+    def dump(self) -> bytes:
+        gaps = np.diff(self.ids, prepend=0)
+        after = np.diff(self.follower, prepend=0) * (np.diff(self.row, prepend=-1) == 0) + self.follower * (np.diff(self.row, prepend=-1) != 0)
+        lengths = np.bincount(self.row, minlength=self.n + 1)
+        body = _packed(gaps, "<u4") + _packed(lengths, "<u4") + _packed(after, "<u4") + _packed(self.frequency, "<u4") + _packed(self.rare, "<u4")
+        return _HEAD.pack(self.n, len(self.row), zlib.crc32(body), self.bits) + zlib.compress(body)
+
+    @staticmethod
+    def load(data: bytes) -> Model:
+        n, pairs, crc, bits = _HEAD.unpack_from(data)
+        try:
+            body = zlib.decompress(data[_HEAD.size :])
+        except zlib.error as why:
+            raise ValueError("a group's model is damaged") from why
+        if zlib.crc32(body) != crc:
+            raise ValueError("a group's model doesn't fit its checksum")
+        parts, at = [], 0
+        for size in (n, n + 1, pairs, pairs, n):
+            parts.append(_unpacked(body[at : at + 4 * size], size, "<u4"))
+            at += 4 * size
+        gaps, lengths, after, frequency, rare = parts
+        row = np.repeat(np.arange(n + 1), lengths)
+        ends = np.cumsum(lengths)
+        sums = np.concatenate(([0], np.cumsum(after)))
+        follower = sums[1:] - np.repeat(sums[ends - lengths], lengths)
+        return Model(np.cumsum(gaps), row, follower, frequency, rare, bits)
+
+
+def _fitted(ids: np.ndarray, lengths: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
+    """A group's model, the places of its ids, and for each id where order 1 has it, or the escape before it."""
+    n, most = len(ids), int(ids.max())
+    if most < 1 << 24:
+        seen = np.zeros(most + 1, bool)
+        seen[ids] = True
+        distinct = np.flatnonzero(seen)
+        place_of = np.zeros(most + 1, np.int32)
+        place_of[distinct] = np.arange(len(distinct), dtype=np.int32)
+        places = place_of[ids]
+    else:
+        distinct, places = np.unique(ids, return_inverse=True)
+    k = len(distinct)
+    # pairs of neighbours in order, each with its position in the low bits
+    shift = np.uint64(max(n - 1, 1).bit_length())
+    keys = np.empty(n, np.uint64)
+    keys[1:] = places[:-1]
+    keys[np.cumsum(lengths) - lengths] = k
+    keys *= np.uint64(k + 1)
+    keys += places.astype(np.uint64)
+    keys <<= shift
+    keys |= np.arange(n, dtype=np.uint64)
+    keys.sort()
+    at = (keys & (np.uint64(1) << shift) - np.uint64(1)).astype(np.int32)
+    keys >>= shift
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    count = np.diff(first, append=n)
+    pair = keys[first].astype(np.int64)
+    row, follower = pair // (k + 1), pair % (k + 1)
+    seen = np.bincount(row, count, minlength=k + 1).astype(np.int64)
+    kept = (count >= _LEAST) & (row < k)
+    m = np.bincount(row[kept], minlength=k + 1)
+    kept &= (m < _ONE // 2)[row]
+    m = np.bincount(row[kept], minlength=k + 1)
+    frequency = 1 + count[kept] * (_ONE - 1 - m[row[kept]]) // seen[row[kept]]
+    left = np.bincount(follower[~kept], count[~kept], minlength=k).astype(np.int64)
+    bits = max(16, int(np.count_nonzero(left)).bit_length() + 2)
+    spare = (1 << bits) - int(np.count_nonzero(left))
+    rare = np.where(left > 0, 1 + left * spare // max(int(left.sum()), 1), 0)
+    model = Model(distinct.astype(np.int64), row[kept], follower[kept], frequency, rare, bits)
+    where = model.escape_at[row].astype(np.int32)
+    where[kept] = np.flatnonzero(model.symbol < k)
+    found = np.empty(n, np.int32)
+    found[at] = np.repeat(where, count)
+    return model, places, found
+
+
 class _Lanes:
-    """Model and range coder of n lanes. step() codes one id in each: given ids it encodes, without it decodes.
+    """State and range coder of the blocks of a group. step() codes one id in each lane.
 
-    The coder is a carry-less range coder with 64-bit state: range is at least 2 ** 48 before an id, which is enough for
-    the three intervals of at most 16 bits that an id takes, so bytes are shifted once an id.
+    The coder is a carry-less range coder with 64-bit state: a range is at least 2 ** 32 before the two events of 16 bits
+    that an id takes, and whole words of 32 bits are shifted.
     """
 
-    def __init__(self, n: int):
-        self.n = n
-        self.base, self.base4 = np.arange(n) * _SLOTS, np.arange(n) * 4
-        self.table1, self.table2 = np.zeros(n * _SLOTS, np.int32), np.zeros(n * _SLOTS, np.int32)  # (id + 1) * 4 + confidence, 0 where empty
-        self.rate1, self.rate2 = np.full(n * 4, 2048, np.int32), np.full(n * 4, 2048, np.int32)  # of hits, by confidence
-        self.rate_a, self.rate_b = np.full(n, 2048, np.int32), np.full(n, 1024, np.int32)  # order 0: of both events
-        self.weights = [np.full(n, 1 << 15, np.int32) for _ in range(5)]
-        self.counts = [np.ones(n * 256, np.int32) for _ in range(2)]
-        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    def __init__(self, model: Model, n: int):
+        self.model, self.n = model, n
+        self.wide = model.n.bit_length()
+        self.base = np.arange(n) * _SLOTS
+        self.table = np.zeros(n * _SLOTS, np.int32 if model.n < 1 << 19 else np.int64)  # ((check << wide) + guess) * 4 + confidence, 0 where empty
+        self.by4 = np.arange(n) * 4
+        self.rate2 = np.tile(np.array([700, 1500, 2400, 3300], np.int32), n)  # order 2's hits, by confidence
+        self.rate1 = np.tile(np.array([400, 800, 1600, 2600], np.int32), n)  # by how sure order 1 is
+        self.weight2, self.weight1 = (np.full(n, w, np.int32) for w in (40000, 20000))
         self.steps = 0
-        self.renew()
-
-    def renew(self) -> None:
-        if self.steps and self.steps % 512 == 0:
-            for counts in self.counts:
-                counts -= counts >> 1
-        self.sums = []
-        for counts in self.counts:
-            sums = np.zeros((self.n, 257), np.int32)
-            np.cumsum(counts.reshape(self.n, 256), axis=1, out=sums[:, 1:])
-            self.sums.append((sums.reshape(-1), sums[:, 256].astype(np.uint64)))
-        for w in self.weights:
-            np.clip(w, -(1 << 17), 1 << 17, out=w)
-
-    def narrow(self, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        self.low += start.astype(np.uint64) * unit
-        np.multiply(size.astype(np.uint64), unit, out=self.range)
-
-    def literals(self, at: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Codes ids by order 0, byte after byte, in the lanes at."""
-        low, wide = self.low[at], self.range[at]
-        base, found = at * 257, []
-        code = self.code[at] if ids is None else None
-        for which, shift in ((0, 8), (1, 0)):
-            sums, totals = self.sums[which]
-            total = totals[at]
-            wide //= total
-            if ids is None:
-                goal = np.minimum((code - low) // wide, total - np.uint64(1)).astype(np.int32)
-                place = base.copy()
-                for half in (128, 64, 32, 16, 8, 4, 2, 1):
-                    place += (sums[place + half] <= goal) * half
-                found.append(place - base)
-            else:
-                place = base + (ids >> shift & 255)
-            start = sums[place]
-            low += start.astype(np.uint64) * wide
-            wide *= (sums[place + 1] - start).astype(np.uint64)
-        self.low[at], self.range[at] = low, wide
-        return found[0] * 256 + found[1] if ids is None else ids
-
-    def step(self, ids: np.ndarray | None) -> np.ndarray:
-        one, two = self.one, self.two
-        mixed = one * 40503
-        slot1 = self.base + (mixed >> 5 & _SLOTS - 1)
-        slot2 = self.base + (mixed + two * 60493 >> 6 & _SLOTS - 1)
-        entry1, entry2 = self.table1[slot1], self.table2[slot2]
-        guess1, guess2, sure1, sure2 = entry1 >> 2, entry2 >> 2, entry1 & 3, entry2 & 3
-        at1, at2 = self.base4 + sure1, self.base4 + sure2
-        rate1, rate2 = self.rate1[at1], self.rate2[at2]
-        # what each order says of both events, in log-odds, and its mixing
-        said1, said2, said_a, said_b = _STRETCH[rate1], _STRETCH[rate2], _STRETCH[self.rate_a], _STRETCH[self.rate_b]
-        same = guess1 == guess2
-        signed1 = np.where(same, said1, -said1)
-        w = self.weights
-        odds_a = w[0] * said2 + w[1] * signed1 + w[2] * said_a >> 16
-        odds_b = w[3] * said1 + w[4] * said_b >> 16
-        p_a = _SQUASH[np.minimum(np.maximum(odds_a, -2047), 2047) + 2048]
-        p_b = _SQUASH[np.minimum(np.maximum(odds_b, -2047), 2047) + 2048]
-        ask_a = guess2 > 0
-        may_b = (guess1 > 0) & ~same
-        size_a = np.where(ask_a, p_a << 4, 0)
-        size_b = np.where(may_b, np.maximum((65536 - size_a) * p_b >> 12, 1), 0)
-        both = size_a + size_b
-        unit = self.range >> _16
-        if ids is None:
-            target = ((self.code - self.low) // unit).astype(np.int64)
-            hit_a = target < size_a
-            hit_b = ~hit_a & (target < both)
-        else:
-            hit_a = guess2 == ids + 1
-            hit_b = ~hit_a & (guess1 == ids + 1)
-        self.narrow(np.where(hit_a, 0, np.where(hit_b, size_a, both)), np.where(hit_a, size_a, np.where(hit_b, size_b, 65536 - both)), unit)
-        if ids is None:
-            ids = np.where(hit_a, guess2, guess1) - 1
-            at = np.flatnonzero(~(hit_a | hit_b))
-            ids[at] = self.literals(at, None)
-        else:
-            at = np.flatnonzero(~(hit_a | hit_b))
-            self.literals(at, ids[at])
-        self.shift()
-        # learn
-        ask_b = may_b & ~hit_a
-        goal_a, goal_b = hit_a * np.int32(4095), hit_b * np.int32(4095)
-        error = np.where(ask_a, (goal_a - p_a) * 6, 0)
-        for i, said in ((0, said2), (1, signed1), (2, said_a)):
-            w[i] += said * error + 8192 >> 14
-        error = np.where(ask_b, (goal_b - p_b) * 6, 0)
-        for i, said in ((3, said1), (4, said_b)):
-            w[i] += said * error + 8192 >> 14
-        self.rate2[at2] = rate2 + np.where(ask_a, goal_a - rate2 >> 4, 0)
-        self.rate1[at1] = rate1 + np.where(ask_b, goal_b - rate1 >> 4, 0)
-        self.rate_a += np.where(ask_a, goal_a - self.rate_a >> 5, 0)
-        self.rate_b += np.where(ask_b, goal_b - self.rate_b >> 5, 0)
-        own = ids + 1 << 2
-        for table, slot, guess, sure in ((self.table1, slot1, guess1, sure1), (self.table2, slot2, guess2, sure2)):
-            table[slot] = np.where(guess == ids + 1, own + np.minimum(sure + 1, 3), np.where(sure > 1, (guess << 2) + (sure >> 1), own))
-        coded = ids[at]
-        self.counts[0][at * 256 + (coded >> 8)] += 24
-        self.counts[1][at * 256 + (coded & 255)] += 24
-        self.one, self.two = ids.astype(np.int64), one
+        self.one, self.two = np.full(n, model.n), np.full(n, model.n)
+        self.low, self.range = np.zeros(n, np.uint64), np.full(n, _FULL, np.uint64)
+
+    def keep(self, n: int) -> None:
+        """Goes on with the first n lanes only."""
+        if n == self.n:
+            return
+        for name in ("base", "by4", "weight2", "weight1", "one", "two", "low", "range"):
+            setattr(self, name, getattr(self, name)[:n])
+        self.n = n
+
+    def guess(self) -> None:
+        """Order 2's guess in each lane, and the size of its interval (of 65536; 0 without one)."""
+        one = self.one
+        mixed = one * 40503 + self.two * 60493
+        self.slot = (mixed >> 4 & _SLOTS - 1) + self.base
+        entry = self.table.take(self.slot)
+        self.confidence = entry & 3
+        held = entry >> 2
+        self.check = ((mixed ^ mixed >> 11) & 255 | 256).astype(entry.dtype)
+        self.has = ((held >> self.wide) == self.check).astype(np.int32)
+        self.guessed = held & (1 << self.wide) - 1
+        self.at2, self.at1 = self.by4 + self.confidence, self.by4 + self.model.sure.take(one)
+        self.r2, self.r1 = self.rate2.take(self.at2), self.rate1.take(self.at1)
+        self.said2, self.said1 = _STRETCH.take(self.r2), _STRETCH.take(self.r1)
+        odds = self.weight2 * self.said2
+        odds += self.weight1 * self.said1
+        odds >>= 16
+        odds += 2048
+        self.p = _SQUASH.take(odds, mode="clip")
+        self.hit_size = (self.p << 4) * self.has
+
+    def learn(self, places: np.ndarray, hit: np.ndarray) -> None:
+        """Rates, weights and order 2's table after the ids at places; hit: 1 where order 2 was right, else 0."""
+        has = self.has
+        goal = hit * np.int32(4095)
+        error = goal - self.p
+        error *= 6
+        error *= has
         self.steps += 1
-        if self.steps % _EVERY == 0:
-            self.renew()
-        return ids
+        for weight, said in ((self.weight2, self.said2), (self.weight1, self.said1)):
+            change = said * error
+            change += 8192
+            change >>= 14
+            weight += change
+            if self.steps % 64 == 0:  # between, a weight moves by 2 ** 18 at most, so products stay below 2 ** 31
+                np.clip(weight, -(1 << 18), 1 << 18, out=weight)
+        for rate, at, was in ((self.rate2, self.at2, self.r2), (self.rate1, self.at1, self.r1)):
+            change = goal - was
+            change >>= 4
+            change *= has
+            change += was
+            rate[at] = change
+        # a guess that held gains confidence; one that didn't makes way for the id
+        own = self.check << self.wide
+        own += places.astype(own.dtype)
+        own <<= 2
+        sure = np.minimum(self.confidence, 2)
+        sure += 1
+        sure *= hit
+        own += sure
+        self.table[self.slot] = own
+        self.two, self.one = self.one, places
+
+    def narrow(self, start: np.ndarray, size: np.ndarray) -> None:
+        unit = self.range >> _16
+        self.low += start.astype(np.uint64) * unit
+        np.multiply(unit, size.astype(np.uint64), out=self.range)
 
     def shift(self) -> None:
-        """Moves settled bytes out (or in, when decoding) until every range is wide enough."""
-        low, wide = self.low, self.range
-        at = np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM))
-        while len(at):
-            own, size = low[at], wide[at]
-            settled = (own ^ (own + size)) < _TOP
-            size = np.where(settled, size, ~own + np.uint64(1) & _BOTTOM - np.uint64(1))
-            self.move(at, own)
-            own, size = own << _8, size << _8
-            low[at], wide[at] = own, size
-            at = at[((own ^ (own + size)) < _TOP) | (size < _BOTTOM)]
+        """Moves settled words out (or in, when decoding) until every range is 2 ** 32 at least."""
+        at = np.flatnonzero(self.range <= _LOW)
+        if len(at):
+            low, size = self.low.take(at), self.range.take(at)
+            # where a range stands across a word's end it is cut down to the part before it
+            across = (low ^ (low + size)) > _LOW
+            size = np.where(across, _LOW - (low & _LOW), size)
+            size += size == 0
+            self.move(at, low)
+            self.low[at], self.range[at] = low << _32, size << _32
 
 
 class _Encoder(_Lanes):
-    def __init__(self, n: int, longest: int):
-        super().__init__(n)
-        self.out, self.size = np.zeros((n, 7 * longest + 16), np.uint8), np.zeros(n, np.int64)
+    def __init__(self, model: Model, n: int, longest: int):
+        super().__init__(model, n)
+        self.out, self.used = np.zeros((n, 2 * longest + 8), "<u4"), np.zeros(n, np.int64)
 
     def move(self, at: np.ndarray, low: np.ndarray) -> None:
-        size = self.size[at]
-        self.out[at, size] = low >> _56
-        self.size[at] = size + 1
-
-    def finish(self) -> list[bytes]:
-        every = np.arange(self.n)
-        for _ in range(8):
-            self.move(every, self.low)
-            self.low <<= _8
-        return [self.out[i, :n].tobytes().rstrip(b"\0") for i, n in enumerate(self.size.tolist())]
+        used = self.used[at]
+        self.out[at, used] = low >> _32
+        self.used[at] = used + 1
+
+    def step(self, places: np.ndarray, start: np.ndarray, size: np.ndarray, escaped: np.ndarray) -> None:
+        """places: of the ids; start and size: of their intervals in order 1; escaped: whether order 1 lacks them."""
+        self.guess()
+        hit = (self.guessed == places).astype(np.int32)
+        hit *= self.has
+        miss = 1 - hit
+        mine = self.hit_size
+        self.narrow(mine * miss, mine + (_ONE - 2 * mine) * miss)
+        self.narrow(start * miss, _ONE + (size - _ONE) * miss)
+        self.shift()
+        at = np.flatnonzero(escaped & (hit == 0))
+        if len(at):
+            model, own = self.model, places[at]
+            unit = self.range[at] >> np.uint64(model.bits)
+            self.low[at] += model.rare_start[own].astype(np.uint64) * unit
+            self.range[at] = unit * model.rare[own].astype(np.uint64)
+            self.shift()
+        self.learn(places, hit)
+
+    def finish(self, low: np.ndarray) -> list[bytes]:
+        """The bytes of every lane; low: of every lane, also of those that ended before."""
+        every = np.arange(len(low))
+        for _ in range(2):
+            self.move(every, low)
+            low = low << _32
+        return [self.out[i, :n].tobytes().rstrip(b"\0") for i, n in enumerate(self.used.tolist())]
 
 
 class _Decoder(_Lanes):
     """Zero bytes at a block's end are left out of it; past its end, a block reads as zeros."""
 
-    def __init__(self, blocks: Sequence[bytes]):
-        super().__init__(len(blocks))
-        sizes = np.array([len(b) for b in blocks], np.int64)
+    def __init__(self, model: Model, blocks: Sequence[bytes]):
+        super().__init__(model, len(blocks))
+        padded = [b + bytes(-len(b) % 4) for b in blocks]
+        sizes = np.array([len(b) // 4 for b in padded], np.int64)
         self.end = np.cumsum(sizes)
-        self.data, self.at, self.code = np.frombuffer(b"".join(blocks) + b"\0", np.uint8), self.end - sizes, np.zeros(len(blocks), np.uint64)
+        self.data, self.at, self.code = np.frombuffer(b"".join(padded) + bytes(4), "<u4"), self.end - sizes, np.zeros(len(blocks), np.uint64)
+        # where order 1's intervals are looked up: the one in which each of many equal parts of a row begins
+        self.part = max(0, _ONE.bit_length() - 1 - max(0, min(12, 20 - (model.n + 1).bit_length())))
+        self.hint = np.repeat(np.arange(len(model.start), dtype=np.int32), -(-(model.start + model.size) // (1 << self.part)) - -(-model.start // (1 << self.part)))
+        self.keys = ((np.repeat(np.arange(model.n + 1), np.diff(model.escape_at, prepend=-1)) << 16) + model.start.astype(np.int64)).astype(np.int32 if model.n < 1 << 15 else np.int64)
+        self.ends = model.start + model.size
         every = np.arange(len(blocks))
-        for _ in range(8):
+        for _ in range(2):
             self.move(every, self.low)
 
     def move(self, at: np.ndarray, low: np.ndarray) -> None:
         place = self.at[at]
-        byte = self.data[np.minimum(place, len(self.data) - 1)] * (place < self.end[at])
-        self.code[at] = self.code[at] << _8 | byte
+        word = self.data[np.minimum(place, len(self.data) - 1)] * (place < self.end[at])
+        self.code[at] = self.code[at] << _32 | word
         self.at[at] = place + 1
 
-
-def _padded(length: int) -> int:
-    """A block is coded as if zeros followed, up to a power of two: so blocks of many lengths go in step."""
-    return max(16, 1 << (length - 1).bit_length())
-
-
-def _in_step(lengths: Sequence[int]) -> list[tuple[int, list[int]]]:
-    by: dict[int, list[int]] = {}
-    for i, n in enumerate(lengths):
-        if n:
-            by.setdefault(_padded(n), []).append(i)
-    return [(n, own[a : a + LANES]) for n, own in sorted(by.items()) for a in range(0, len(own), LANES)]
-
-
-def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
-    """The bytes of each block of ids (0 to 65535, at most BLOCK of them); an empty block has none."""
-    out = [b""] * len(blocks)
-    for longest, own in _in_step([len(b) for b in blocks]):
-        ids = np.zeros((longest, len(own)), np.int32)
-        for k, i in enumerate(own):
-            ids[: len(blocks[i]), k] = blocks[i]
-        coder = _Encoder(len(own), longest)
-        for row in ids:
-            coder.step(row)
-        for i, data in zip(own, coder.finish(), strict=True):
-            out[i] = data
-    return out
-
-
-def decode_blocks(blocks: Sequence[bytes], lengths: Sequence[int]) -> list[np.ndarray]:
-    """The ids of each block, from its bytes and its number of ids."""
-    out = [np.zeros(0, np.uint32)] * len(blocks)
-    for longest, own in _in_step(lengths):
-        coder = _Decoder([blocks[i] for i in own])
-        ids = np.zeros((longest, len(own)), np.uint32)
-        for t in range(longest):
-            ids[t] = coder.step(None)
-        for k, i in enumerate(own):
-            out[i] = ids[: lengths[i], k].copy()
-    return out
+    def target(self) -> np.ndarray:
+        goal = ((self.code[: self.n] - self.low) // (self.range >> _16)).astype(np.int64)
+        return np.minimum(goal, _ONE - 1, out=goal)
+
+    def step(self) -> np.ndarray:
+        model = self.model
+        self.guess()
+        mine = self.hit_size
+        hit = (self.target() < mine).astype(np.int32)
+        miss = 1 - hit
+        self.narrow(mine * miss, mine + (_ONE - 2 * mine) * miss)
+        goal = self.target()
+        found = self.hint.take((self.one << 16) + goal >> self.part)
+        late = np.flatnonzero(self.ends.take(found) <= goal)
+        if len(late):
+            found[late] = np.searchsorted(self.keys, (self.one[late] << 16).astype(self.keys.dtype) + goal[late].astype(self.keys.dtype), "right") - 1
+        self.narrow(model.start.take(found) * miss, _ONE + (model.size.take(found) - _ONE) * miss)
+        self.shift()
+        places = model.symbol.take(found).astype(np.int64)
+        at = np.flatnonzero((places == model.n) & (hit == 0))
+        if len(at):
+            unit = self.range[at] >> np.uint64(model.bits)
+            goal = np.minimum((self.code[at] - self.low[at]) // unit, np.uint64((1 << model.bits) - 1)).astype(np.int64)
+            own = np.searchsorted(model.rare_start, goal, "right") - 1
+            self.low[at] += model.rare_start[own].astype(np.uint64) * unit
+            self.range[at] = unit * model.rare[own].astype(np.uint64)
+            self.shift()
+            places[at] = own
+        places += (self.guessed - places) * hit
+        self.learn(places, hit)
+        return places
+
+
+def _check_ids(ids: np.ndarray) -> np.ndarray:
+    found = np.asarray(ids)
+    if len(found) and (found.dtype.kind not in "iu" or int(found.min()) < 0 or int(found.max()) >= 1 << 32):
+        raise ValueError("ids must be whole numbers from 0 to 2 ** 32 - 1")
+    return found.astype(np.uint32)
+
+
+def encode_group(ids: np.ndarray) -> tuple[bytes, list[tuple[np.ndarray, bytes]]]:
+    """A group of up to GROUP ids (0 to 2 ** 32 - 1) to its model's bytes, and the ids and bytes of each block."""
+    ids = _check_ids(ids)
+    if len(ids) > GROUP:
+        raise ValueError(f"a group has {GROUP} ids at most")
+    lengths = block_lengths(len(ids))
+    if not len(lengths):
+        return b"", []
+    model, places, found = _fitted(ids, lengths)
+    starts, longest, lanes = np.cumsum(lengths) - lengths, int(lengths[0]), len(lengths)
+    coder = _Encoder(model, lanes, longest)
+    low = coder.low
+    for t in range(longest):
+        if t % 64 == 0:  # the next columns of blocks, as rows
+            at = np.minimum(starts[:, None] + np.arange(t, min(t + 64, longest)), len(ids) - 1).T
+            where = found[at]
+            own_rows, start_rows, size_rows = np.ascontiguousarray(places[at], np.int64), model.start[where], model.size[where]
+            escaped_rows = model.symbol[where] == model.n
+        n = lanes if t < int(lengths[-1]) else int((lengths > t).sum())
+        coder.keep(n)
+        r = t % 64
+        coder.step(own_rows[r, :n], start_rows[r, :n], size_rows[r, :n], escaped_rows[r, :n])
+    coded = coder.finish(low)
+    return model.dump(), [(ids[a : a + n], data) for a, n, data in zip(starts.tolist(), lengths.tolist(), coded, strict=True)]
+
+
+def decode_group(model: bytes, blocks: Sequence[bytes], n: int) -> list[np.ndarray]:
+    """The n ids of a group, block by block, from its model's bytes and its blocks'."""
+    lengths = block_lengths(n)
+    if len(lengths) != len(blocks):
+        raise ValueError("a group's blocks don't fit its number of ids")
+    if not n:
+        return []
+    made, longest, lanes = Model.load(model), int(lengths[0]), len(lengths)
+    coder = _Decoder(made, blocks)
+    out = np.zeros((longest, lanes), np.uint32)
+    for t in range(longest):
+        k = lanes if t < int(lengths[-1]) else int((lengths > t).sum())
+        coder.keep(k)
+        out[t, :k] = made.ids[coder.step()]
+    out = np.ascontiguousarray(out.T)
+    return [out[i, :k] for i, k in enumerate(lengths.tolist())]
 
 
 def checksum(ids: np.ndarray) -> int:

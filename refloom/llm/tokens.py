@@ -1,10 +1,11 @@
 """Token ids of documents in a compressed binary format, written in the order of doc_id and read back.
 
-A file holds the ids of consecutive documents as one stream, cut into blocks of idcodec.BLOCK ids that are coded alone
-(see idcodec) and have a checksum each, and an index of its documents:
+A file holds the ids of consecutive documents as one stream, cut into groups of idcodec.GROUP ids and these into blocks
+that are coded alone (see idcodec) and have a checksum each, and an index of its documents:
 
-    header   b"RLIDS001"
-    block    ids (u32), bytes (u32), crc32 of the ids as little-endian u32 (u32), then the bytes; again and again
+    header   b"RLIDS002"
+    group    ids (u32), blocks (u32), bytes of the model (u32), then the model; again and again, each followed by its blocks
+    block    ids (u32), bytes (u32), crc32 of the ids as little-endian u32 (u32), then the bytes
     index    zlib of: null flags (a byte each), doc_ids (i64), numbers of ids (u64), one array after the other
     trailer  documents (u64), ids (u64), offset of the index (u64), crc32 of the index (u32), b"RLIDSEND"
 
@@ -14,37 +15,37 @@ Integers are little-endian.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from refloom.llm.files import opened, written
-from refloom.llm.idcodec import BLOCK, LANES, checksum, decode_blocks, encode_blocks
+from refloom.llm.idcodec import GROUP, checksum, decode_group, encode_group
 from refloom.llm.shared import materialize, new_place
 from refloom.llm.text import rows_of
 
-MAGIC, END = b"RLIDS001", b"RLIDSEND"
-_BLOCK, _TRAILER = struct.Struct("<III"), struct.Struct("<QQQI8s")
-#: A file is closed after the document with which it has so many ids.
-FILE_IDS = 1 << 24
+MAGIC, END = b"RLIDS002", b"RLIDSEND"
+_GROUP, _BLOCK, _TRAILER = struct.Struct("<III"), struct.Struct("<III"), struct.Struct("<QQQI8s")
+#: A file is closed after the document with which it has so many ids, or so many documents.
+FILE_IDS, FILE_DOCUMENTS = 1 << 24, 1 << 20
 #: Chunks whose ids a worker keeps.
-CACHED = 400_000
+CACHED = 1_000_000
+#: Bytes of text that are cut into chunks at a time (whole texts).
+SLICE = 1 << 23
 
 # Fixed value: where a byte-level BPE of this kind cuts a text.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_TWO_SPACES = re.compile(r"\s\s")
-_BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -59,14 +60,63 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _no_space(data: np.ndarray, at: np.ndarray, last: bool) -> np.ndarray:
+    """Whether the UTF-8 character that ends (last) or begins at each place is surely no white space; where unsure, false."""
+    byte = data[at]
+    sure = (byte > 32) & (byte < 127)
+    if not last:
+        return sure | (byte >= 0xC3) & (byte <= 0xE0) | (byte >= 0xE4)
+    unsure = np.flatnonzero((byte >= 0x80) & (at >= 3))
+    place = at[unsure]
+    one, two, three = data[place - 1], data[place - 2], data[place - 3]
+    # every character of white space outside ASCII begins with C2, E1, E2 or E3
+    sure[unsure] = (one >= 0xC3) & (one <= 0xDF) | (one < 0xC0) & ((two == 0xE0) | (two >= 0xE4) & (two < 0xF0) | (two < 0xC0) & (three >= 0xF0))
+    return sure
+
+
+class _Pool:
+    """Ids of strings that were met before: a string to its row, where its ids stand in one array."""
+
+    def __init__(self):
+        self.known, self.start, self.count, self.ids = pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def rows(self, strings: pa.Array, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The rows of distinct strings; learn gives the ids of new ones, one after the other, and their numbers of ids."""
+        if len(self.known) > CACHED:
+            self.__init__()
+        found = pc.index_in(strings, value_set=self.known)
+        new = found.is_null()
+        fresh = strings.filter(new)
+        if len(fresh):
+            ids, counts = learn(fresh)
+            found = np.where(new.to_numpy(zero_copy_only=False), len(self.known) + np.cumsum(new.to_numpy(zero_copy_only=False)) - 1, found.fill_null(0).to_numpy())
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.start = np.concatenate((self.start, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)))
+            self.count, self.ids = np.concatenate((self.count, counts.astype(np.int32))), np.concatenate((self.ids, ids.astype(np.uint32)))
+            return found
+        return found.to_numpy()
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows, one after the other, and where each row's end."""
+        n = self.count[rows]
+        ends = np.cumsum(n, dtype=np.int64)
+        many = int(ends[-1]) if len(ends) else 0
+        at = np.arange(many, dtype=np.int32 if many < 1 << 31 else np.int64)
+        at += np.repeat((self.start[rows] - (ends - n)).astype(at.dtype), n)
+        return self.ids[at], ends
+
+
+def _list(strings: pa.Array) -> list[bytes]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 class CachedEncoder:
-    """Ids of texts by a tokenizer of the tokenizers library, as little-endian u32 bytes.
+    """Ids of texts by a tokenizer of the tokenizers library, a column of texts at a time.
 
-    A byte-level BPE first cuts a text into pieces by a pattern, and no piece depends on the others. A space between
-    two characters that are no white space always begins a piece: so a text may be cut there, and the ids of frequent
-    chunks and pieces are kept; a new piece goes to the library's model alone, which is some times faster than a call
-    of the whole tokenizer. Any other kind of tokenizer gets whole texts. Special tokens' strings in a text are ordinary
-    text.
+    A byte-level BPE first cuts a text into pieces by a pattern, and no piece depends on the others. A space or line end
+    between two characters that are no white space always begins a piece: so texts are cut there, and the ids of chunks
+    are kept. Arrow finds a column's distinct chunks; the new ones go to the library's model all at once. Any other kind of
+    tokenizer gets whole texts. Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -74,7 +124,7 @@ class CachedEncoder:
         import json
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -83,38 +133,82 @@ class CachedEncoder:
         cut = made.get("pre_tokenizer") or {}
         ordinary = all(t.get("special") for t in made.get("added_tokens", []))
         self.by_piece = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not made.get("normalizer") and ordinary and (made.get("model") or {}).get("type", "BPE") == "BPE"
-        self.pieces_of = regex.compile(BYTE_LEVEL_PATTERN).findall
-        self.letters = _byte_letters()
-        self.model = self.tokenizer.model
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= CACHED:
-                self.pieces.clear()
-            letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+        if self.by_piece:
+            self.pieces_of = regex.compile(BYTE_LEVEL_PATTERN).findall
+            # pieces go to the model in its own letters, one a line; 255 is no byte of UTF-8
+            self.letters = _byte_letters() | {255: "\n"}
+            self.lines = Tokenizer(self.tokenizer.model)
+            self.lines.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+            self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.chunks, self.pieces = _Pool(), _Pool()
+
+    def _wholes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _learn_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that begin with a space or line end and a character, and end with one don't depend on what stands next to them, so the pattern runs over all of them at once."""
+        listed, sizes = _list(chunks), pc.binary_length(chunks).to_numpy()
+        data, ends = np.frombuffer(b"".join(listed), np.uint8), np.cumsum(sizes)
+        apart = sizes > 1
+        at = ends[apart]
+        head = data[at - sizes[apart]]
+        apart[apart] = ((head == 32) | (head == 10)) & _no_space(data, at - sizes[apart] + 1, False) & _no_space(data, at - 1, True)
+        alone = apart.tolist()
+        text = b"".join([c for c, a in zip(listed, alone, strict=True) if a]).decode()
+        pieces = pa.array(self.pieces_of(text), pa.large_string()).cast(pa.large_binary())
+        distinct = pieces.dictionary_encode()
+        ids, upto = self.pieces.of(self.pieces.rows(distinct.dictionary, self._learn_pieces)[distinct.indices.to_numpy()])
+        last = np.searchsorted(np.cumsum(pc.binary_length(pieces).to_numpy()), np.cumsum(sizes[apart]))
+        others, other_counts = self._wholes([c.decode() for c, a in zip(listed, alone, strict=True) if not a])
+        counts = np.zeros(len(listed), np.int64)
+        counts[apart], counts[~apart] = np.diff(upto[last], prepend=0), other_counts
+        out, of_apart = np.zeros(int(counts.sum()), np.uint32), np.repeat(apart, counts)
+        out[of_apart], out[~of_apart] = ids, others
+        return out, counts
+
+    def _learn_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = _list(pieces)
+        ids = np.array(self.lines.encode_batch_fast([b"\xff".join(raw).decode("latin-1").translate(self.letters)], add_special_tokens=False)[0].ids, np.int64)
+        reached, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(pc.binary_length(pieces).to_numpy())
+        last = np.searchsorted(reached, wanted)
+        if len(ids) and reached[-1] == wanted[-1] and np.array_equal(reached[last], wanted):
+            return ids, np.diff(last + 1, prepend=0)
+        return self._wholes([p.decode() for p in raw])  # a vocabulary that lacks some byte
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of some texts (strings; null: empty) after the other, all in one array, and the number of ids of each text."""
         if not self.by_piece:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _TWO_SPACES.search(text):
-            chunks = _BOUNDARY.split(text)
-        else:
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + w for w in rest]]
-        cache = self.chunks
-        if len(cache) > CACHED:
-            cache.clear()
-        for c in set(chunks):
-            if c not in cache:
-                cache[c] = b"".join([self._piece(p) for p in self.pieces_of(c)])
-        return b"".join(map(cache.__getitem__, chunks))
+            for a in range(0, len(texts), 256):
+                yield self._wholes(texts[a : a + 256].fill_null("").to_pylist())
+            return
+        texts = texts.fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        a = 0
+        while a < len(texts):
+            # some megabytes at a time, one text at least
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
+            yield self._slice(texts, offsets[a : b + 1])
+            a = b
+
+    def _slice(self, texts: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, end = int(offsets[0]), int(offsets[-1])
+        if begin == end:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        buffer = texts.buffers()[2].slice(begin, end - begin)
+        data, bounds = np.frombuffer(buffer, np.uint8), offsets - begin
+        inner = data[1:-1]
+        space = np.flatnonzero((inner == 32) | (inner == 10)) + 1
+        begins = np.zeros(len(data) + 1, bool)
+        begins[space[_no_space(data, space - 1, True) & _no_space(data, space + 1, False)]] = True
+        begins[bounds] = True
+        cuts = np.flatnonzero(begins)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), buffer]).dictionary_encode()
+        ids, ends = self.chunks.of(self.chunks.rows(chunks.dictionary, self._learn_chunks)[chunks.indices.to_numpy()])
+        reached = np.concatenate(([0], ends))[np.searchsorted(cuts, bounds)]
+        return ids, np.diff(reached)
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -127,118 +221,177 @@ def encoder_of(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def write_file(out, documents: Iterator[tuple[int | None, bytes]], most_ids: int = FILE_IDS) -> tuple[int, int]:
-    """Writes documents (id, ids as u32 bytes) up to most_ids to a stream; gives the numbers of documents and ids.
-
-    At most LANES blocks of ids are held at a time.
-    """
-    out.write(MAGIC)
-    at, total, doc_ids, lengths = len(MAGIC), 0, [], []
-    held, size, step = [], 0, 4 * BLOCK * LANES
-
-    def flush(upto: int) -> bytes:
-        nonlocal at
-        data = b"".join(held)
-        ids = np.frombuffer(data[:upto], "<u4")
-        blocks = [ids[a : a + BLOCK] for a in range(0, len(ids), BLOCK)]
-        for block, coded in zip(blocks, encode_blocks(blocks), strict=True):
-            out.write(_BLOCK.pack(len(block), len(coded), checksum(block)) + coded)
-            at += _BLOCK.size + len(coded)
-        return data[upto:]
-
-    for doc_id, ids in documents:
-        doc_ids.append(doc_id)
-        lengths.append(len(ids) // 4)
-        total += len(ids) // 4
-        held.append(ids)
-        size += len(ids)
-        while size >= step:
-            held[:] = [flush(step)]
-            size = len(held[0])
-        if total >= most_ids:
-            break
-    flush(size)
-    index = zlib.compress(np.array([d is None for d in doc_ids], np.uint8).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes())
-    out.write(index + _TRAILER.pack(len(doc_ids), total, at, zlib.crc32(index), END))
-    return len(doc_ids), total
-
-
-def read_index(file, size: int) -> tuple[list[int | None], np.ndarray, int]:
-    """Ids and lengths of a file's documents, and the offset where its blocks end; ValueError if it isn't whole."""
+class Documents(NamedTuple):
+    """Consecutive documents: ids (masked where null), the number of token ids of each, and these, one after the other."""
+
+    doc_ids: np.ma.MaskedArray
+    lengths: np.ndarray
+    ids: np.ndarray
+
+    def cut(self, k: int) -> tuple[Documents, Documents]:
+        """The first k and the others."""
+        at = int(self.lengths[:k].sum())
+        return Documents(self.doc_ids[:k], self.lengths[:k], self.ids[:at]), Documents(self.doc_ids[k:], self.lengths[k:], self.ids[at:])
+
+
+class FileWriter:
+    """Writes documents to a stream; a group of ids at most is held."""
+
+    def __init__(self, out):
+        self.out, self.at = out, len(MAGIC)
+        self.documents = self.total = self.size = 0
+        self.doc_ids: list[np.ma.MaskedArray] = []
+        self.lengths: list[np.ndarray] = []
+        self.held: list[np.ndarray] = []
+        out.write(MAGIC)
+
+    def add(self, more: Documents) -> None:
+        self.doc_ids.append(more.doc_ids)
+        self.lengths.append(more.lengths)
+        self.documents += len(more.lengths)
+        self.total += len(more.ids)
+        rest = more.ids
+        while self.size + len(rest) >= GROUP:
+            room = GROUP - self.size
+            self.held.append(rest[:room])
+            rest = rest[room:]
+            self.flush()
+        self.held.append(rest)
+        self.size += len(rest)
+
+    def flush(self) -> None:
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        if len(ids):
+            model, blocks = encode_group(ids)
+            parts = [_GROUP.pack(len(ids), len(blocks), len(model)), model]
+            for block, coded in blocks:
+                parts += [_BLOCK.pack(len(block), len(coded), checksum(block)), coded]
+            data = b"".join(parts)
+            self.out.write(data)
+            self.at += len(data)
+        self.held, self.size = [], 0
+
+    def finish(self) -> None:
+        self.flush()
+        doc_ids, lengths = np.ma.concatenate(self.doc_ids) if self.doc_ids else np.ma.zeros(0, np.int64), np.concatenate(self.lengths) if self.lengths else np.zeros(0, np.int64)
+        index = zlib.compress(np.ma.getmaskarray(doc_ids).astype(np.uint8).tobytes() + doc_ids.filled(0).astype("<i8").tobytes() + lengths.astype("<u8").tobytes())
+        self.out.write(index + _TRAILER.pack(self.documents, self.total, self.at, zlib.crc32(index), END))
+
+
+def read_index(file, size: int) -> tuple[np.ma.MaskedArray, np.ndarray, int]:
+    """Ids and lengths of a file's documents, and the offset where its groups end; ValueError if it isn't whole."""
     if size < len(MAGIC) + _TRAILER.size:
         raise ValueError("a token file is cut off")
     file.seek(size - _TRAILER.size)
     docs, ids, at, crc, end = _TRAILER.unpack(file.read(_TRAILER.size))
+    if end != END:
+        raise ValueError("a token file's end is damaged")
     file.seek(at)
     index = file.read(size - _TRAILER.size - at)
-    if end != END or zlib.crc32(index) != crc:
+    if zlib.crc32(index) != crc:
         raise ValueError("a token file's index is damaged")
     raw = zlib.decompress(index)
     null, doc_ids, lengths = np.frombuffer(raw[:docs], np.uint8), np.frombuffer(raw[docs : 9 * docs], "<i8"), np.frombuffer(raw[9 * docs :], "<u8")
     if int(lengths.sum()) != ids:
         raise ValueError("a token file's index doesn't add up")
-    return [None if n else d for n, d in zip(null.tolist(), doc_ids.tolist())], lengths.astype(np.int64), at
+    return np.ma.MaskedArray(doc_ids, null.astype(bool)), lengths.astype(np.int64), at
 
 
 def read_ids(file, end: int) -> Iterator[np.ndarray]:
-    """The ids of a file, some blocks at a time, each held against its checksum."""
+    """The ids of a file, a group at a time, each block held against its checksum."""
     file.seek(0)
     if file.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
     at = len(MAGIC)
     while at < end:
+        n, k, size = _GROUP.unpack(file.read(_GROUP.size))
+        model = file.read(size)
+        at += _GROUP.size + size
         heads, blocks = [], []
-        while at < end and len(blocks) < LANES:
+        for _ in range(k):
             head = _BLOCK.unpack(file.read(_BLOCK.size))
             heads.append(head)
             blocks.append(file.read(head[1]))
             at += _BLOCK.size + head[1]
-        found = decode_blocks(blocks, [h[0] for h in heads])
+        found = decode_group(model, blocks, n)
         for ids, head in zip(found, heads, strict=True):
-            if checksum(ids) != head[2]:
+            if len(ids) != head[0] or checksum(ids) != head[2]:
                 raise ValueError("a block of ids doesn't fit its checksum")
-        yield np.concatenate(found) if found else np.zeros(0, np.uint32)
+        yield np.concatenate(found)
 
 
-def read_documents(file, size: int) -> Iterator[tuple[int | None, int, int]]:
-    """(doc_id, number of ids, crc32 of the ids) of each document of a file, in order."""
+def read_documents(file, size: int) -> Iterator[tuple[np.ma.MaskedArray, np.ndarray, np.ndarray]]:
+    """(doc_ids, numbers of ids, crc32 of the ids) of a file's documents in order, as arrays of those that end in a group."""
     doc_ids, lengths, end = read_index(file, size)
-    stream, own, at = read_ids(file, end), b"", 0
-    for doc_id, n in zip(doc_ids, lengths.tolist(), strict=True):
-        left, crc = 4 * n, 0
-        while left:
-            if at == len(own):
-                own, at = next(stream).astype("<u4").tobytes(), 0
-            part = own[at : at + left]
-            crc = zlib.crc32(part, crc)
-            at, left = at + len(part), left - len(part)
-        yield doc_id, n, crc
+    ends = np.cumsum(lengths)
+    done, crc, reached = 0, 0, 0  # documents that are whole, what is known of the next, ids read
+    for ids in chain(read_ids(file, end), [np.zeros(0, np.uint32)]):
+        data = memoryview(np.ascontiguousarray(ids, "<u4").tobytes())
+        upto = int(np.searchsorted(ends, reached + len(ids), "right"))
+        bounds = (4 * (ends[done:upto] - reached)).tolist()
+        sums, at = [], 0
+        for bound in bounds:
+            sums.append(zlib.crc32(data[at:bound], crc))
+            at, crc = bound, 0
+        crc = zlib.crc32(data[at:], crc)
+        if bounds:
+            yield doc_ids[done:upto], lengths[done:upto], np.array(sums, np.int64)
+        done, reached = upto, reached + len(ids)
+    if done < len(lengths):
+        raise ValueError("a token file lacks ids")
+
+
+def write_files(parts: Iterable[Documents], place: str, task: int, file_ids: int = FILE_IDS, file_documents: int = FILE_DOCUMENTS) -> Iterator[tuple[int, str, int, int]]:
+    """Writes documents to files below place; gives number, path, documents and ids of each."""
+    parts = iter(parts)
+    rest, number = next(parts, None), 0
+    while rest is not None:
+        path = f"{place}/ids-{task:05d}-{number:04d}.rlids"
+        with written(path) as out:
+            file = FileWriter(out)
+            while rest is not None and file.total < file_ids and file.documents < file_documents:
+                k = min(int(np.searchsorted(np.cumsum(rest.lengths), file_ids - file.total)) + 1, file_documents - file.documents)
+                own, rest = rest.cut(k)
+                file.add(own)
+                if not len(rest.lengths):
+                    rest = next(parts, None)
+            file.finish()
+        yield number, path, file.documents, file.total
+        number += 1
 
 
 def write_tokens(docs: DataFrame, place: str, tokenizer: str | None = None, end_id: int = 0, file_ids: int = FILE_IDS, text: str = "text") -> DataFrame:
     """Writes the ids of every row of docs, then end_id, to files below place in ascending doc_id; one row per file: path, documents, ids, start.
 
     Null ids come first; rows of equal id are in the order of their text's hash; null and empty texts have the end id
-    only; an empty table gives no file. Rows are dealt out by range of doc_id and hash, so no partition's size depends
-    on a few ids, and a task holds one batch of texts and one of ids. start: ids in all files before it, from a window
-    over one row per file. Files get their names once whole, so tasks that run again do no harm.
+    only; an empty table gives no file; other columns are not looked at. A doc_id that is no whole number is refused
+    with TypeError. Rows are dealt out by range of doc_id, hash and place in the input, so no partition's size depends
+    on a few ids or on rows that are repeated, and a task holds one batch of texts and one group of ids. start: ids in
+    all files before it, from a window over one row per file. Files get their names once whole, so tasks that run
+    again do no harm.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, (IntegralType, NullType)):
+        raise TypeError("doc_id must be of a whole-number type: the file format keeps 64-bit integers")
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    order = ["doc_id", "h", "at"]
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
-        task, number = TaskContext.get().partitionId(), 0
-        documents = ((i, encoder.encode(t) + end) for batch in batches for i, t in rows_of(batch, "doc_id", "text"))
-        head = next(documents, None)
-        while head is not None:
-            name = f"{place}/ids-{task:05d}-{number:04d}.rlids"
-            with written(name) as out:
-                found = write_file(out, chain([head], documents), file_ids)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([task], pa.int32()), "number": pa.array([number], pa.int32()), "path": [name], "documents": pa.array([found[0]], pa.int64()), "ids": pa.array([found[1]], pa.int64())})
-            number += 1
-            head = next(documents, None)
+        encoder, task = encoder_of(path), TaskContext.get().partitionId()
+
+        def parts() -> Iterator[Documents]:
+            for batch in batches:
+                if batch.num_rows:
+                    doc_ids = batch.column(batch.schema.get_field_index("doc_id"))
+                    keys, at = np.ma.MaskedArray(doc_ids.fill_null(0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False)), 0
+                    for ids, lengths in encoder.encode(batch.column(batch.schema.get_field_index("text"))):
+                        # the end id after each document's
+                        yield Documents(keys[at : at + len(lengths)], lengths + 1, np.insert(ids, np.cumsum(lengths), end_id))
+                        at += len(lengths)
+
+        for number, name, documents, ids in write_files(parts(), place, task, file_ids):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([task], pa.int32()), "number": pa.array([number], pa.int32()), "path": [name], "documents": pa.array([documents], pa.int64()), "ids": pa.array([ids], pa.int64())})
 
     files = materialize(rows.mapInArrow(run, "part int, number int, path string, documents long, ids long"), "token-files")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
@@ -246,16 +399,18 @@ def write_tokens(docs: DataFrame, place: str, tokenizer: str | None = None, end_
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """One row per document of the files (path, start): doc_id, start, n_tokens, ids_crc32. A task reads files as streams."""
+    """One row per document of the files (path, start): doc_id, start, n_tokens, ids_crc32. A task reads files as streams, a group of ids at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in rows_of(batch, "path", "start"):
                 system, name = opened(path)
                 with system.open_input_file(name) as file:
-                    found = list(read_documents(file, file.size()))
-                n = np.array([x[1] for x in found], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array([x[2] for x in found], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    for doc_ids, n, sums in read_documents(file, file.size()):
+                        ends = start + np.cumsum(n)
+                        keys = pa.array(np.ma.getdata(doc_ids), pa.int64(), mask=np.ma.getmaskarray(doc_ids))
+                        yield pa.RecordBatch.from_arrays([keys, pa.array(ends - n), pa.array(n), pa.array(sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        start = int(ends[-1])
 
     files = materialize(files.select("path", "start"), "token-starts")
     return files.repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -94,52 +94,117 @@ def test_masks_cover_the_radius(radius):
         assert any(m & bits == 0 for m in masks)
 
 
-@pytest.mark.parametrize("ids", [[], [5], [65535] * 40, list(range(0, 50000, 7)), [1, 2, 3] * 900, [0] * 2048])
+@pytest.mark.parametrize("ids", [[], [5], [65535] * 40, list(range(0, 50000, 7)), [1, 2, 3] * 900, [0] * 2048, [70000, 70001, 5], [2**32 - 1, 0, 1 << 24] * 300, list(range(1 << 31, (1 << 31) + 3000))])
 def test_id_codec_round_trip(ids):
-    ids = np.array(ids, np.uint32)
-    blocks = [ids[a : a + idcodec.BLOCK] for a in range(0, len(ids), idcodec.BLOCK)]
-    coded = idcodec.encode_blocks(blocks)
-    back = idcodec.decode_blocks(coded, [len(b) for b in blocks])
-    assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
-    if len(ids) > 1000:
-        assert sum(map(len, coded)) < 3 * len(ids)  # what can't be predicted costs little over two bytes
+    model, blocks = idcodec.encode_group(np.array(ids, np.int64))
+    back = idcodec.decode_group(model, [data for _, data in blocks], len(ids))
+    assert np.concatenate([np.zeros(0, np.uint32), *back]).tolist() == ids == [i for own, _ in blocks for i in own.tolist()]
+    assert all((a == b).all() for (a, _), b in zip(blocks, back, strict=True))
+
+
+def test_id_codec_on_random_ids():
+    r = np.random.default_rng(5)
+    for n, most, power in ((1, 9, 1), (257, 3, 1), (4097, 40, 2), (30_000, 60_000, 3), (9_000, 2**32, 1), (200_000, 3000, 4)):
+        ids = (r.random(n) ** power * most).astype(np.uint32)
+        model, blocks = idcodec.encode_group(ids)
+        lengths = [len(own) for own, _ in blocks]
+        assert lengths == idcodec.block_lengths(n).tolist() and sum(lengths) == n and max(lengths) <= idcodec.BLOCK and max(lengths) - min(lengths) <= 1
+        assert (np.concatenate(idcodec.decode_group(model, [data for _, data in blocks], n)) == ids).all()
+
+
+def test_id_codec_beats_order_0_and_zlib():
+    r = np.random.default_rng(2)
+    words = [r.integers(0, 5000, r.integers(1, 5)) for _ in range(3000)]
+    ids = np.concatenate([words[i] for i in np.minimum(r.zipf(1.3, 80_000), 3000) - 1]).astype(np.uint32)
+    model, blocks = idcodec.encode_group(ids)
+    p = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    size = len(model) + sum(12 + len(data) for _, data in blocks)
+    assert size < -(p * np.log2(p)).sum() / 8 * len(ids) and size < len(zlib.compress(ids.astype("<u2").tobytes()))
+
+
+def test_ids_that_the_format_lacks_are_refused():
+    for ids in ([-1], [1 << 32], [0.5]):
+        with pytest.raises(ValueError):
+            idcodec.encode_group(np.array(ids))
 
 
 def test_blocks_stand_alone():
     r = np.random.default_rng(1)
-    blocks = [r.integers(0, 50257, n).astype(np.uint32) for n in (100, 3, 128, 17)]
-    assert idcodec.encode_blocks(blocks) == [idcodec.encode_blocks([b])[0] for b in blocks]
+    ids = r.integers(0, 300, 20_000)
+    model, blocks = idcodec.encode_group(ids)
+    whole = [data for _, data in blocks]
+    for hurt in (0, 7):  # other blocks stay readable
+        back = idcodec.decode_group(model, [b"" if i == hurt else d for i, d in enumerate(whole)], len(ids))
+        assert all((own == found).all() for i, ((own, _), found) in enumerate(zip(blocks, back, strict=True)) if i != hurt) and (back[hurt] != blocks[hurt][0]).any()
+    with pytest.raises(ValueError):
+        idcodec.decode_group(model[:-20] + bytes(20), whole, len(ids))
+
+
+def documents_of(docs):
+    keys = np.ma.MaskedArray([d or 0 for d, _ in docs], [d is None for d, _ in docs], dtype=np.int64)
+    return tokens.Documents(keys, np.array([len(x) for _, x in docs], np.int64), np.concatenate([np.zeros(0, np.uint32), *(x for _, x in docs)]).astype(np.uint32))
 
 
-def test_token_file_round_trip_and_damage():
-    docs = [(None, b""), (3, np.arange(5, dtype="<u4").tobytes()), (4, np.arange(5000, dtype="<u4").tobytes()), (4, np.array([7], "<u4").tobytes())]
+def written(docs, group=None):
     out = io.BytesIO()
-    assert tokens.write_file(out, iter(docs)) == (4, 5006)
-    data = out.getvalue()
-    back = list(tokens.read_documents(io.BytesIO(data), len(data)))
-    assert back == [(i, len(x) // 4, zlib.crc32(x)) for i, x in docs]
-    hurt = bytearray(data)
-    hurt[40] ^= 255
+    file = tokens.FileWriter(out)
+    for a in range(0, len(docs), 2):
+        file.add(documents_of(docs[a : a + 2]))
+    file.finish()
+    return out.getvalue(), file
+
+
+def read_back(data):
+    return [(None if m else int(i), int(n), int(c)) for keys, lengths, sums in tokens.read_documents(io.BytesIO(data), len(data)) for i, m, n, c in zip(np.ma.getdata(keys), np.ma.getmaskarray(keys), lengths, sums, strict=True)]
+
+
+@pytest.mark.parametrize("group", [1 << 23, 1000, 3])
+def test_token_file_round_trip_and_damage(monkeypatch, group):
+    monkeypatch.setattr(tokens, "GROUP", group)
+    docs = [(None, np.arange(0)), (3, np.arange(5)), (4, np.arange(70_000, 75_000) if group > 3 else np.arange(50)), (4, np.array([7])), (5, np.arange(0))]
+    data, file = written(docs)
+    want = [(i, len(x), zlib.crc32(x.astype("<u4").tobytes())) for i, x in docs]
+    assert (file.documents, file.total) == (5, sum(n for _, n, _ in want)) and read_back(data) == want
+    for at in (40, len(data) // 2, len(data) - 60):
+        hurt = bytearray(data)
+        hurt[at] ^= 0x55
+        with pytest.raises(Exception):  # noqa: B017
+            read_back(bytes(hurt))
     with pytest.raises(ValueError):
-        list(tokens.read_documents(io.BytesIO(bytes(hurt)), len(hurt)))
-    with pytest.raises((ValueError, zlib.error)):
-        list(tokens.read_documents(io.BytesIO(data[:-9]), len(data) - 9))
+        read_back(data[:-9])
+    assert read_back(written([])[0]) == []
 
 
-def test_file_closes_after_its_share_of_ids():
-    rest = iter([(i, np.array([i], "<u4").tobytes()) for i in range(10)])
-    assert tokens.write_file(io.BytesIO(), rest, most_ids=4) == (4, 4) and next(rest)[0] == 4
+def test_files_end_after_a_document(tmp_path):
+    docs = [(i, np.full(i % 4, i)) for i in range(40)]
+    parts = [documents_of(docs[:25]), documents_of(docs[25:])]
+    files = list(tokens.write_files(iter(parts), f"file://{tmp_path}", 3, file_ids=10))
+    assert [x[0] for x in files] == list(range(len(files))) and sum(x[2] for x in files) == 40 and all(10 <= x[3] < 13 for x in files[:-1])
+    back = [row for x in files for row in read_back((tmp_path / x[1].rsplit("/", 1)[1]).read_bytes())]
+    assert back == [(i, len(x), zlib.crc32(x.astype("<u4").tobytes())) for i, x in docs]
+    assert [x[2] for x in tokens.write_files(iter(parts), f"file://{tmp_path}", 4, file_documents=15)] == [15, 15, 10]
 
 
-def test_cached_encoder_equals_the_tokenizer():
+def test_cached_encoder_equals_the_tokenizer(monkeypatch):
     pytest.importorskip("public_tokenizers")
-    encoder = tokens.encoder_of(tokens.default_tokenizer())
-    assert encoder.by_piece
-    r = random.Random(9)
-    parts = ["a", "the", " ", "  ", "\n", "\t", "é", "日本", "😀", "12", "'s", "!", "<|endoftext|>", "\xa0", " ", "\x1c", "_", "-", "\x00"]
-    for _ in range(1500):
-        t = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
-        assert encoder.encode(t) == np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokens.default_tokenizer())
+    own.encode_special_tokens = True
+    r = random.Random(1)
+    parts = [" ", "  ", "a", "b", "'s", "\n", "\u00a0", "é", "日", "\u2003", ".", "1", "😀", "\u3000", "\t", " x", "don't", "\u0085", "ह", "\u200b", " the"]
+    odd = ["", None, " ", "  a", "a   b c", "x\u2003 y z", "tail \n", "\n\n  b", "<|endoftext|> x", "日本 語", "\x00 \x01 a\x1c b", "a" * 5000, " 'tis 'd", "\ufeff x"]
+    some = texts(300, 5) + odd + ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(4000)]
+    for cached, size in ((tokens.CACHED, tokens.SLICE), (50, 500)):
+        monkeypatch.setattr(tokens, "CACHED", cached)
+        monkeypatch.setattr(tokens, "SLICE", size)
+        encoder = tokens.CachedEncoder(tokens.default_tokenizer())
+        for array in (pa.array(some), pa.array(some)[7:3000], pa.array([None, ""], pa.string()), pa.array([], pa.string())):
+            ids, lengths = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*encoder.encode(array))) if len(array) else (np.zeros(0),) * 2
+            want = [own.encode(t or "", add_special_tokens=False).ids for t in array.to_pylist()]
+            assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
 
 
 def test_warc_reader_frames_and_verifies():
