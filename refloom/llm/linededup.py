@@ -1,10 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through rare line hashes: at each line the shortest run of lines with min_words words
-is hashed (a short line alone is common, such a run is rare). Each hash belongs to the first document that has it, and
-every later document with it is aligned with that owner only: so there are at most as many pairs as lines, whatever the
-number of copies, and still every run that occurs earlier is met. Pairs are aligned by patience diff over line hashes,
-and aligned common blocks of min_words words or more are deleted from the later document.
+Documents that overlap are found through rare hashes of runs of words: at each line the shortest run of lines with
+min_words words (a short line alone is common, such a run is rare) and, for passages that begin or end within a line or
+are wrapped otherwise, windows of min_words words, of which every WINDOW consecutive ones have one that is chosen by its
+hash alone; so no common run of min_words + WINDOW - 1 words stays unseen, wherever its lines end. Each hash belongs to
+the first document that has it, and every later document with it is aligned with that owner only: so there are at most
+as many pairs as hashes, whatever the number of copies. Pairs are aligned by patience diff over their words, and aligned
+common blocks of min_words words or more are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -15,34 +17,73 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from refloom.llm.shared import materialize
-from refloom.llm.text import rows_of
+from refloom.llm.text import WordHashes, rows_of
 
 MIN_WORDS = 20
-
-
-def lines_of(text: str | None) -> tuple[np.ndarray, list[int]]:
-    """Hashes and numbers of words of the lines that have a word; white space at a line's ends doesn't count."""
-    lines = [x for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if (x := line.strip())]
-    return np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64).view(np.int64), [len(x.split()) for x in lines]
+#: Windows of words of which one at least is met by its hash.
+WINDOW = 21
+#: Words of a line at a block's end that stay if they are fewer and the block reaches past that line's end.
+EDGE = 5
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a factor and of its inverse, modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        for i, factor in enumerate((_BASE, _INVERSE)):
+            many = np.full(2 * n, factor, np.uint64)
+            many[0] = 1
+            _POWERS[i] = np.multiply.accumulate(many)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Signed 64-bit hashes of values[start:end] for each start and end; values are 64-bit integers."""
+    power, inverse = _powers(len(values) + 1)
+    mixed = values.astype(np.uint64)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((mixed ^ mixed >> np.uint64(32)) * power[:-1], out=sums[1:])
+    found = (sums[ends] - sums[starts]) * inverse[starts]
+    found ^= found >> np.uint64(31)
+    found *= np.uint64(0x94D049BB133111EB)
+    return (found ^ found >> np.uint64(29)).view(np.int64)
 
 
 def runs_of(lines: np.ndarray, words: Sequence[int], min_words: int) -> list[tuple[int, int]]:
     """(hash, end) of the shortest run of lines from each line on that has min_words words; lines too near the end have none."""
-    found, j, total = [], 0, 0
-    for i in range(len(words)):
-        while j < len(words) and total < min_words:
-            total += words[j]
-            j += 1
-        if total < min_words:
-            break
-        found.append((xxhash.xxh64_intdigest(lines[i:j].tobytes()) - (1 << 63), j))
-        total -= words[i]
-    return found
+    upto = np.concatenate(([0], np.cumsum(np.asarray(words, np.int64))))
+    ends = np.searchsorted(upto, upto[:-1] + min_words)
+    ends = ends[ends <= len(words)]
+    return list(zip(run_hashes(np.asarray(lines, np.int64).view(np.uint64), np.arange(len(ends)), ends).tolist(), ends.tolist(), strict=True))
+
+
+def meeting_hashes(words: np.ndarray, lines: Sequence[int], min_words: int) -> list[int]:
+    """The distinct hashes by which a document is met: of its runs of lines, and of some of its windows of words.
+
+    words: hashes of all its words; lines: numbers of words of its lines that have one.
+    """
+    upto = np.concatenate(([0], np.cumsum(np.asarray(lines, np.int64)))).astype(np.int64)
+    starts = upto[:-1]
+    ends = np.searchsorted(upto, starts + min_words)
+    whole = ends < len(upto)
+    found = run_hashes(words, starts[whole], upto[ends[whole]])
+    many = len(words) - min_words + 1
+    if many > 0:
+        at = np.arange(many)
+        windows = run_hashes(words, at, at + min_words)
+        k = min(WINDOW, many)
+        chosen = np.unique(np.lib.stride_tricks.sliding_window_view(windows, k).argmin(axis=1) + at[: many - k + 1])
+        found = np.concatenate((found, windows[chosen]))
+    return np.unique(found).tolist()
 
 
 def patience_anchors(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -69,9 +110,9 @@ def patience_anchors(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]
 
 
 def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Ranges [from, to) of the lines of a that stand in b as a run too, of min_words words or more.
+    """Ranges [from, to) of the lines (or single words) of a that stand in b as a run too, of min_words words or more.
 
-    First the blocks round the anchors of patience diff; then blocks that patience diff passes over, as their order
+    First what both begin and end with; then the blocks round the anchors of patience diff; then blocks that patience diff passes over, as their order
     differs or their lines repeat, are met by the hashes of their runs.
     """
     taken = [False] * len(a)
@@ -88,9 +129,15 @@ def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], min_
         if sum(words[lo:hi]) >= min_words:
             taken[lo:hi] = [True] * (hi - lo)
 
-    for i, j in patience_anchors(a, b):
-        if not taken[i]:
-            take(*block(i, j))
+    both = min(len(a), len(b))
+    differ = np.flatnonzero(np.asarray(a[:both], np.int64) != np.asarray(b[:both], np.int64))
+    take(0, int(differ[0]) if len(differ) else both)
+    if not (taken and all(taken)):
+        differ = np.flatnonzero(np.asarray(a[len(a) - both :], np.int64) != np.asarray(b[len(b) - both :], np.int64))
+        take(len(a) - (both - 1 - int(differ[-1]) if len(differ) else both), len(a))
+        for i, j in patience_anchors(a, b):
+            if not taken[i]:
+                take(*block(i, j))
     if not all(taken):
         first: dict[int, int] = {}
         array_a, array_b = np.array(a, np.int64), np.array(b, np.int64)
@@ -114,57 +161,97 @@ def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], min_
     return found
 
 
-def delete_lines(text: str, ranges: list[tuple[int, int]]) -> str:
-    """The text without the lines of the ranges, counted among lines with a word; other lines stay as they are."""
-    gone = {i for lo, hi in ranges for i in range(lo, hi)}
-    out, k = [], 0
-    for line in text.split("\n"):
-        if line.encode("utf-8", "surrogatepass").strip():
-            if k not in gone:
-                out.append(line)
-            k += 1
-        else:
+def _without(line: bytes, dead: list[bool]) -> bytes:
+    """A line without its dead words: each stretch of them goes with the white space after it, at the line's end with that before."""
+    parts, start, at, before = [], 0, 0, False
+    for word, own in zip(line.split(), dead, strict=True):
+        place = line.index(word, at)
+        if own and not before:
+            parts.append(line[start:place])
+        elif before and not own:
+            start = place
+        at, before = place + len(word), own
+    return b"".join(parts).rstrip() if before else b"".join([*parts, line[start:]])
+
+
+def delete_words(text: str | None, ranges: Sequence[tuple[int, int]], min_words: int = MIN_WORDS) -> tuple[str | None, int, int, int]:
+    """What is left of a text without the ranges of words, and its numbers of lines with a word, of such lines deleted, and of words deleted.
+
+    A block that reaches less than EDGE words into a line, past that line's beginning or end, ends with the line before
+    (or begins with the one after) unless it would fall short of min_words. A line that loses all its words goes;
+    another loses the words and the white space before the next word that stays. Other lines stay as they are.
+    """
+    lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+    counts = [len(line.split()) for line in lines]
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    n_lines = sum(c > 0 for c in counts)
+    gone = np.zeros(int(bounds[-1]) + 1, bool)
+    for lo, hi in ranges:
+        gone[lo:hi] = True
+    if not gone.any():
+        return text, n_lines, 0, 0
+    change = np.flatnonzero(np.diff(gone, prepend=False))
+    for lo, hi in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
+        before, after = (int(bounds[np.searchsorted(bounds, x, "left")]) for x in (lo, hi))  # the line's end at or after each bound
+        first = before if lo < before < hi and before - lo < EDGE else lo
+        start = int(bounds[np.searchsorted(bounds, hi, "right") - 1])  # the start of the line that the block ends in
+        last = start if lo < start < hi < after and hi - start < EDGE else hi
+        if last - first >= min_words:
+            gone[lo:first] = gone[last:hi] = False
+    out, deleted = [], 0
+    for k, line in enumerate(lines):
+        own = gone[bounds[k] : bounds[k + 1]]
+        if not len(own) or not own.any():
             out.append(line)
-    return "\n".join(out)
+        elif own.all():
+            deleted += 1
+        else:
+            out.append(_without(line, own.tolist()))
+    return b"\n".join(out).decode("utf-8", "surrogatepass"), n_lines, deleted, int(gone.sum())
 
 
 _NO_ID = -(1 << 63)
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, h, lo, hi): ranges of lines to delete from the document with that id and text hash; ranges may overlap.
+    """(id, h, lo, hi): ranges of words to delete from the document with that id and text hash; ranges may overlap.
 
     Documents are in the order of doc_id (null first), of equal ids in that of their text's hash; rows with equal id
-    and text are one document.
+    and text are one document. A doc_id that is no whole number is refused with TypeError.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, (IntegralType, NullType)):
+        raise TypeError("doc_id must be of a whole-number type: it says which document is the later one")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            lines, words, runs = [], [], []
+            words, runs = [], []
             for (text,) in rows_of(batch, "text"):
-                hashes, counts = lines_of(text)
-                lines.append(hashes.tolist())
-                words.append(counts)
-                runs.append(sorted({x for x, _ in runs_of(hashes, counts, min_words)}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], names=["id", "h", "lines", "words", "runs"])
-
-    cut_up = materialize(rows.mapInArrow(cut, "id long, h long, lines array<long>, words array<int>, runs array<long>"), "lines")
+                data = (text or "").encode("utf-8", "surrogatepass")
+                own = hashes.of(data.split())
+                counts = [n for line in data.split(b"\n") if (n := len(line.split()))]
+                # 16 bits tell words apart well enough: a block takes min_words of them
+                words.append((own >> np.uint64(48)).astype(np.uint16).view(np.int16))
+                runs.append(meeting_hashes(own, counts, min_words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int16())), pa.array(runs, pa.list_(pa.int64()))], names=["id", "h", "words", "runs"])
+
+    cut_up = materialize(rows.mapInArrow(cut, "id long, h long, words array<short>, runs array<long>"), "lines")
     runs = cut_up.select("id", "h", F.explode("runs").alias("run"))
     owners = runs.groupBy("run").agg(F.min(F.struct("id", "h")).alias("o"), F.max(F.struct("id", "h")).alias("last")).where("o != last")
     owners = materialize(owners.select(F.col("run").alias("run2"), F.col("o.id").alias("oid"), F.col("o.h").alias("oh")), "line-owners")
     pairs = runs.join(owners, F.col("run") == F.col("run2")).where("id != oid or h != oh").select("id", "h", "oid", "oh").distinct()
-    # the owners' and the later documents' lines are joined on; rows with equal id and text are one document
-    own = cut_up.select(F.col("id").alias("oid2"), F.col("h").alias("oh2"), F.col("lines").alias("owner_lines")).dropDuplicates(["oid2", "oh2"])
+    # the owners' and the later documents' words are joined on; rows with equal id and text are one document
+    own = cut_up.select(F.col("id").alias("oid2"), F.col("h").alias("oh2"), F.col("words").alias("owner_words")).dropDuplicates(["oid2", "oh2"])
     own = materialize(own.join(pairs.select("oid", "oh").distinct(), (F.col("oid2") == F.col("oid")) & (F.col("oh2") == F.col("oh")), "left_semi"), "line-owner-lines")
-    later = materialize(cut_up.select("id", "h", "lines", "words").dropDuplicates(["id", "h"]).join(pairs.select(F.col("id").alias("i2"), F.col("h").alias("h2")).distinct(), (F.col("id") == F.col("i2")) & (F.col("h") == F.col("h2")), "left_semi"), "line-later-lines")
+    later = materialize(cut_up.select("id", "h", "words").dropDuplicates(["id", "h"]).join(pairs.select(F.col("id").alias("i2"), F.col("h").alias("h2")).distinct(), (F.col("id") == F.col("i2")) & (F.col("h") == F.col("h2")), "left_semi"), "line-later-lines")
     pairs = materialize(pairs, "line-pairs")
-    joined = pairs.join(own, (F.col("oid") == F.col("oid2")) & (F.col("oh") == F.col("oh2"))).select("id", "h", "owner_lines")
-    joined = joined.join(later.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "lines", "words"), (F.col("id") == F.col("i2")) & (F.col("h") == F.col("h2"))).select("id", "h", "lines", "words", "owner_lines")
+    joined = pairs.join(own, (F.col("oid") == F.col("oid2")) & (F.col("oh") == F.col("oh2"))).select("id", "h", "owner_words")
+    joined = joined.join(later.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "words"), (F.col("id") == F.col("i2")) & (F.col("h") == F.col("h2"))).select("id", "h", "words", "owner_words")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, h, lo, hi) for i, h, a, w, b in rows_of(batch, "id", "h", "lines", "words", "owner_lines") for lo, hi in common_blocks(a, b, w, min_words)]
+            out = [(i, h, lo, hi) for i, h, a, b in rows_of(batch, "id", "h", "words", "owner_words") for lo, hi in common_blocks(a, b, [1] * len(a), min_words)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "h", "lo", "hi"])
 
@@ -172,7 +259,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, keep: Sequence[str] = ("doc_id",), min_words: int = MIN_WORDS) -> DataFrame:
-    """keep of every row of docs, with text (what is left), n_lines (with a word), n_deleted (of these) and words_deleted.
+    """keep of every row of docs, with text (what is left), n_lines (with a word), n_deleted (of these, all words) and words_deleted.
 
     Documents without a common block, null texts and empty ones stay as they are; a copy of an earlier document loses
     all; an empty table gives an empty one; other columns play no part.
@@ -187,11 +274,7 @@ def dedup_lines(docs: DataFrame, keep: Sequence[str] = ("doc_id",), min_words: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, lo, hi in rows_of(batch, "text", "lo", "hi"):
-                lines = [x for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if x.strip()]
-                gone = sorted({i for a, b in zip(lo or (), hi or ()) for i in range(a, b)})
-                out.append((delete_lines(text, list(zip(lo, hi))) if gone else text, len(lines), len(gone), sum(len(lines[i].split()) for i in gone)))
+            out = [delete_words(text, list(zip(lo or (), hi or ())), min_words) for text, lo, hi in rows_of(batch, "text", "lo", "hi")]
             texts, *counts = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=[*(f"c{i}" for i in range(len(keep))), "text", "n_lines", "n_deleted", "words_deleted"])
 
