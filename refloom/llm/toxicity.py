@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refloom.llm.text import plain_words, rows_of
@@ -35,9 +35,10 @@ IDENTITY_TERMS: Mapping[str, Sequence[str]] = {
 
 @dataclass(frozen=True)
 class ToxicityFit:
-    """fit_rows bounds the labelled texts that are fitted on (those with the least hash); the rest are parameters of the fit."""
+    """fit_rows and fit_chars bound the labelled texts that are fitted on (those with the least hash, which reach the driver); the rest are parameters of the fit."""
 
     fit_rows: int = 8192
+    fit_chars: int = 64 << 20
     least_z: float = 3.0
     ridge: float = 0.02
     counterfactual: float = 1.0
@@ -181,7 +182,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, how: ToxicityFit = ToxicityFit()) -> list[tuple[str, int]]:
-    """At most fit_rows different (text, label) of documents with a label that is not held out, those with the least hash.
+    """At most fit_rows different (text, label) of documents with a label that is not held out, those with the least hash, and of these as many as have fit_chars characters together.
 
     The ids are bounded first, so what is broadcast is too. A document with several labels counts once for each.
     """
@@ -189,15 +190,19 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, how: ToxicityFit = Toxicit
     own = own.orderBy(F.xxhash64("__id"), "__id", "__y").limit(how.fit_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select(F.coalesce("text", F.lit("")).alias("t"), "__y")
     texts = texts.groupBy(F.xxhash64("t").alias("h"), "__y").agg(F.first("t").alias("t")).orderBy("h", "__y").limit(how.fit_rows)
-    found = texts.select("t", "__y").toArrow()
+    # a running sum over fit_rows rows at most
+    upto = F.sum(F.length("t").cast("long")).over(Window.orderBy("h", "__y").rowsBetween(Window.unboundedPreceding, 0))
+    found = texts.withColumn("upto", upto).where(F.col("upto") <= how.fit_chars).select("t", "__y").toArrow()
     return list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """keep of every row of docs, with score and predicted (1 from threshold on).
+    """keep of every row of docs, with score and predicted (1 from threshold on); columns to keep can't have these names.
 
     Null and empty texts get the score of no words; repeated rows get equal scores; other columns play no part.
     """
+    if clash := set(keep) & {"score", "predicted"}:
+        raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double"])
 
