@@ -23,7 +23,8 @@ from refloom.operators.cache import cache_key, hit_rate, not_yet_done
 from refloom.operators.dedup import first_per_doi, greedy_unique
 from refloom.operators.ensemble import backfill, elect, votes
 from refloom.operators.entities import group_entities, merge_fragments
-from refloom.operators.evaluate import calibration, comparison, compare_runs, expected_error, final_evaluation, metrics, precision_recall
+from refloom.operators.evaluate import DISPLAY, calibration, comparison, compare_runs, expected_error, final_evaluation, metrics, precision_recall
+from refloom.operators.journals import resolve_journals
 from refloom.operators.rank import decide
 from refloom.operators.retrieve import BITS, candidates, expand_tiers, field_names, index_catalog, search
 from refloom.operators.spans import attach_sentences, chunk_by_newline, citation_groups, group_adjacent, mask_mention, mentions_by_id, reference_list, split_sentences
@@ -463,6 +464,41 @@ def parse_xml_query(spark, sf_dir):
     return p.select("pub_id", "title", F.col("authors")[0].alias("first_author"), "publication_year", "journal", "volume", "page_first", "page_last", "main_doi")
 
 
+# records of the other three sources as JSON; {} are columns of works
+_JSON = {
+    "openaire": """SELECT to_json(named_struct('id', concat('oa::', work_id), 'mainTitle', title, 'publicationDate', concat(pub_year, '-05-01'), 'authors', array(named_struct('fullName', surname), named_struct('fullName', ''), named_struct('fullName', surname2)),
+        'container', named_struct('name', journal, 'vol', volume, 'iss', issue, 'sp', first_page, 'ep', last_page), 'pids', array(named_struct('scheme', 'handle', 'value', '1/2'), named_struct('scheme', 'doi', 'value', IF(work_id % 5 = 0, 'none', doi))),
+        'instances', array(named_struct('pids', array(named_struct('scheme', 'doi', 'value', doi), named_struct('scheme', 'doi', 'value', concat('https://doi.org/', doi, '.v2'))))))) AS payload FROM {works}""",
+    "crossref": """SELECT to_json(named_struct('DOI', doi, 'title', array(title), 'author', array(named_struct('given', 'A.', 'family', surname), named_struct('given', CAST(NULL AS STRING), 'family', surname2)), 'issued', named_struct('date-parts', array(array(CAST(pub_year AS INT), 3))),
+        'container-title', IF(work_id % 5 = 0, CAST(array() AS ARRAY<STRING>), array(journal)), 'publisher', 'Press', 'volume', volume, 'issue', issue, 'page', concat(first_page, '-', last_page))) AS payload FROM {works}""",
+    "hal": """SELECT to_json(named_struct('halId_s', concat('hal-', work_id), 'doiId_s', IF(work_id % 5 = 0, 'none', doi), 'title_s', array(title), 'authFullName_s', array(surname, surname2), 'conferenceStartDateY_i', IF(work_id % 3 = 0, CAST(pub_year AS INT), NULL), 'publicationDateY_i', CAST(pub_year AS INT) + 1,
+        'journalTitle_s', IF(work_id % 4 = 0, NULL, journal), 'bookTitle_s', title, 'page_s', concat(first_page, '-', last_page), 'volume_s', volume, 'issue_s', array(issue))) AS payload FROM {works}""",
+}
+_PARSED_SQL = {
+    "openaire": "SELECT concat('oa::', work_id) AS pub_id, title, concat(surname, ';', surname2) AS authors, pub_year AS publication_year, journal, volume, issue, first_page AS page_first, last_page AS page_last, doi AS main_doi, concat(doi, '.v2') AS alternatives FROM works",
+    "crossref": "SELECT doi AS pub_id, title, concat('A. ', surname, ';', surname2) AS authors, pub_year AS publication_year, CASE WHEN work_id % 5 <> 0 THEN journal END AS journal, volume, issue, first_page AS page_first, last_page AS page_last, doi AS main_doi, '' AS alternatives FROM works",
+    "hal": "SELECT concat('hal-', work_id) AS pub_id, title, concat(surname, ';', surname2) AS authors, CAST(CAST(pub_year AS INT) + CASE WHEN work_id % 3 = 0 THEN 0 ELSE 1 END AS VARCHAR) AS publication_year, CASE WHEN work_id % 4 = 0 THEN title ELSE journal END AS journal, volume, issue, first_page AS page_first, last_page AS page_last, CASE WHEN work_id % 5 <> 0 THEN doi END AS main_doi, '' AS alternatives FROM works",
+}
+
+for _api in _JSON:
+
+    @query(f"parse_{_api}_json", _PARSED_SQL[_api])
+    def parse_records_query(spark, sf_dir, api=_api):
+        p = parse_publications(spark.sql(_JSON[api], works=works(spark, sf_dir)), api)
+        return p.select("pub_id", "title", F.array_join("authors", ";").alias("authors"), "publication_year", "journal", "volume", "issue", "page_first", "page_last", "main_doi", F.array_join("alternative_dois", ";").alias("alternatives"))
+
+
+@query("journal_ids", """WITH s AS (SELECT journal AS display_name, min(work_id) AS rank, concat('S', min(work_id)) AS source_id FROM works GROUP BY journal),
+n AS (SELECT DISTINCT CASE work_id % 4 WHEN 0 THEN journal WHEN 1 THEN upper(journal) WHEN 2 THEN replace(replace(journal, 'Journal of ', ''), ' systems', ': Systems') ELSE concat(journal, ' and others') END AS name FROM works)
+SELECT name, arg_min(source_id, rank) AS source_id FROM n LEFT JOIN s ON list_has_all(string_split(lower(display_name), ' '), string_split(replace(lower(name), ':', ''), ' ')) GROUP BY name""")
+def journal_ids_query(spark, sf_dir):
+    w = works(spark, sf_dir)
+    sources = w.groupBy(F.col("journal").alias("display_name")).agg(F.min("work_id").alias("rank"), F.concat(F.lit("S"), F.min("work_id")).alias("source_id"))
+    k, short = F.col("work_id") % 4, F.replace(F.replace("journal", F.lit("Journal of "), F.lit("")), F.lit(" systems"), F.lit(": Systems"))
+    names = w.select(F.when(k == 0, F.col("journal")).when(k == 1, F.upper("journal")).when(k == 2, short).otherwise(F.concat("journal", F.lit(" and others"))).alias("name"))
+    return resolve_journals(names, sources).select("name", "source_id")
+
+
 # ranking, voting, evaluation
 
 _SCORED = "SELECT l_orderkey AS citation_id, CAST(l_linenumber AS INT) AS pos, min(l_quantity) > 15 AS sel_label, round(0.5 + min(l_discount) * 5, 4)::DOUBLE AS sel_score, round(min(l_tax) * 10 + l_linenumber / 1000.0, 4)::DOUBLE AS similarity FROM lineitem GROUP BY l_orderkey, l_linenumber"
@@ -544,10 +580,13 @@ def metrics_query(spark, sf_dir):
     return metrics(_evaluated(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
 
 
+_CELLS = ", ".join(f"coalesce(max(CASE WHEN x.api = '{a}' THEN final_evaluation END), '') AS \"{DISPLAY[a]}_Status\", coalesce(max(CASE WHEN x.api = '{a}' THEN main_doi END), '') AS \"{DISPLAY[a]}_DOI\"" for a in DISPLAY)
+
+
 @query("comparison_pivot", f"""WITH {_VERDICTS}
-SELECT citation_id, coalesce(max(CASE WHEN api = 'openalex' THEN final_evaluation END), '') AS "OpenAlex_Status", coalesce(max(CASE WHEN api = 'openalex' THEN main_doi END), '') AS "OpenAlex_DOI", coalesce(max(CASE WHEN api = 'hal' THEN final_evaluation END), '') AS "HAL_Status", coalesce(max(CASE WHEN api = 'hal' THEN main_doi END), '') AS "HAL_DOI" FROM x GROUP BY citation_id""")
+SELECT x.citation_id, any_value(CASE WHEN length(c.citation) > 80 THEN concat(left(c.citation, 80), '...') ELSE c.citation END) AS citation, {_CELLS} FROM x JOIN cites c ON x.citation_id = c.citation_id GROUP BY x.citation_id""")
 def pivot_query(spark, sf_dir):
-    return comparison(_evaluated(spark, sf_dir), ["openalex", "hal"]).drop("citation")
+    return comparison(_evaluated(spark, sf_dir))
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
