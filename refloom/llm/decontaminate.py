@@ -121,9 +121,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
 
     Words are lower-cased and taken without ASCII punctuation; shingles have n words and count once. Null texts hold no
     item and null or wordless items are in no document; an item that is there twice is found twice if its ids differ;
-    empty tables give an empty result; other columns play no part.
+    empty tables give an empty result; other columns play no part; columns to keep can't have names of the result.
     """
     keep = ["doc_id"] if keep is None else list(keep)
+    if clash := set(keep) & {"item_id", "containment", "shared"}:
+        raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), f"item_id {kind}, containment double, shared long"])
