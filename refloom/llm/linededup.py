@@ -161,6 +161,52 @@ def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], min_
     return found
 
 
+def _increasing(places: Sequence[int]) -> list[int]:
+    """Positions of a longest increasing subsequence of different numbers, by piles."""
+    tops, ends, before = [], [], []
+    for k, x in enumerate(places):
+        pile = bisect_left(tops, x)
+        before.append(ends[pile - 1] if pile else -1)
+        tops[pile : pile + 1], ends[pile : pile + 1] = [x], [k]
+    found, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        found.append(k)
+        k = before[k]
+    return found[::-1]
+
+
+def common_words(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """common_blocks of two sequences of single words, with arrays: ranges of a, made of windows of min_words words that b has.
+
+    Windows that occur once in each are the anchors; those in a row are one block, and patience diff aligns the blocks.
+    Windows that it passes over, as their order differs or they repeat, are added by their hashes.
+    """
+    if min(len(a), len(b)) < min_words:
+        return []
+    if len(a) == len(b) and (a == b).all():
+        return [(0, len(a))]
+    of_a, of_b = (run_hashes(x, at := np.arange(len(x) - min_words + 1), at + min_words) for x in (a, b))
+    known, first_b, times_b = np.unique(of_b, return_index=True, return_counts=True)
+    place = np.minimum(np.searchsorted(known, of_a), len(known) - 1)
+    both = np.flatnonzero(known[place] == of_a)
+    if not len(both):
+        return []
+    taken = np.zeros(len(a) + 1, np.int64)
+    _, inverse, times_a = np.unique(of_a[both], return_inverse=True, return_counts=True)
+    once = both[(times_a[inverse] == 1) & (times_b[place[both]] == 1)]
+    if len(once):
+        other = first_b[place[once]]
+        begins = np.flatnonzero(np.concatenate(([True], (np.diff(once) != 1) | (np.diff(other) != 1))))
+        ends = np.append(begins[1:], len(once)) - 1
+        for k in _increasing(other[begins].tolist()):
+            taken[once[begins[k]]] += 1
+            taken[once[ends[k]] + min_words] -= 1
+    np.add.at(taken, both, 1)
+    np.add.at(taken, both + min_words, -1)
+    bounds = np.flatnonzero(np.diff(np.cumsum(taken) > 0, prepend=False)).tolist()
+    return list(zip(bounds[::2], bounds[1::2], strict=True))
+
+
 def _without(line: bytes, dead: list[bool]) -> bytes:
     """A line without its dead words: each stretch of them goes with the white space after it, at the line's end with that before."""
     parts, start, at, before = [], 0, 0, False
@@ -182,6 +228,8 @@ def delete_words(text: str | None, ranges: Sequence[tuple[int, int]], min_words:
     another loses the words and the white space before the next word that stays. Other lines stay as they are.
     """
     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+    if not ranges:
+        return text, sum(not line.isspace() and line != b"" for line in lines), 0, 0
     counts = [len(line.split()) for line in lines]
     bounds = np.concatenate(([0], np.cumsum(counts)))
     n_lines = sum(c > 0 for c in counts)
@@ -213,6 +261,12 @@ def delete_words(text: str | None, ranges: Sequence[tuple[int, int]], min_words:
 _NO_ID = -(1 << 63)
 
 
+def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
+    """The lists of an Arrow column of lists of numbers, as arrays."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
+
+
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, h, lo, hi): ranges of words to delete from the document with that id and text hash; ranges may overlap.
 
@@ -251,7 +305,9 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, h, lo, hi) for i, h, a, b in rows_of(batch, "id", "h", "words", "owner_words") for lo, hi in common_blocks(a, b, [1] * len(a), min_words)]
+            own, other = (batch.column(batch.schema.get_field_index(n)) for n in ("words", "owner_words"))
+            pairs = zip(rows_of(batch, "id", "h"), _arrays(own), _arrays(other), strict=True)
+            out = [(i, h, lo, hi) for (i, h), a, b in pairs for lo, hi in common_words(a, b, min_words)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "h", "lo", "hi"])
 

@@ -69,6 +69,25 @@ def test_deleting_words(text, ranges, want):
     assert delete_words(text, ranges, min_words=99) == want
 
 
+def test_common_words_against_brute_force():
+    r = random.Random(7)
+    for _ in range(400):
+        a, b = (np.array([r.randint(0, r.choice([2, 9])) for _ in range(r.randint(0, 30))], np.int16) for _ in range(2))
+        at = r.randint(0, len(b))
+        if r.random() < 0.7:
+            b = np.concatenate((b[:at], a[r.randint(0, len(a)) :], b[at:]))
+        want = np.zeros(len(a), bool)
+        for i in range(len(a) - 3):
+            if any((a[i : i + 4] == b[j : j + 4]).all() for j in range(len(b) - 3)):
+                want[i : i + 4] = True
+        got = np.zeros(len(a), bool)
+        for lo, hi in linededup.common_words(a, b, 4):
+            assert not got[lo:hi].any() and hi - lo >= 4
+            got[lo:hi] = True
+        assert (got == want).all()
+    assert linededup._increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5] and linededup._increasing([]) == []
+
+
 def test_stray_words_of_a_line_stay():
     lines = [" ".join(f"{k}{i}" for i in range(12)) for k in "abcd"]
     text = "\n".join(lines)
