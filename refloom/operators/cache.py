@@ -28,13 +28,26 @@ def not_yet_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys), keys, "left_anti")
 
 
-def evict(store: DataFrame, limit: int, share: float = 0.8, inserted: str = "inserted_at") -> DataFrame:
-    """A store of more than limit rows, cut to its newest share * limit; a smaller one as it is."""
+def evict(store: DataFrame, limit: int, share: float = 0.8, inserted: str = "inserted_at", ranges: int = 200) -> DataFrame:
+    """A store of more than limit rows, cut to its newest share * limit; a smaller one as it is.
+
+    Rows are counted by range of their time; only the range in which the cut lies, one of ranges, is put in order.
+    """
     n = store.count()
     if n <= limit:
         return store
-    ranked = store.withColumn("__r", F.row_number().over(Window.orderBy(F.desc(inserted))))
-    return ranked.where(F.col("__r") <= int(share * limit)).drop("__r")
+    keep = int(share * limit)
+    edges = sorted(set(store.agg(F.percentile_approx(inserted, [i / ranges for i in range(1, ranges)], 10_000)).first()[0]), reverse=True)
+    # how many edges are newer than a row: 0 in the newest range
+    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e > F.col(inserted)))
+    counts = dict(store.groupBy(place.alias("place")).count().collect())
+    cut = 0
+    while counts.get(cut, 0) < keep and cut < len(edges):
+        keep -= counts.get(cut, 0)
+        cut += 1
+    placed = store.withColumn("__place", place)
+    last = placed.where(F.col("__place") == cut).withColumn("__r", F.row_number().over(Window.orderBy(F.desc(inserted)))).where(F.col("__r") <= keep)
+    return placed.where(F.col("__place") < cut).select(*store.columns).unionByName(last.select(*store.columns))
 
 
 def hit_rate(df: DataFrame, keys: list[str]) -> DataFrame:

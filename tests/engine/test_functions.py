@@ -84,3 +84,11 @@ def test_specs():
     assert [Pace(3, 2.0, 1, 1).delay(i) for i in (0, 2, 9)] == [2.0, 8.0, 30.0]
     with pytest.raises(ValueError):
         source("nowhere")
+
+
+def test_functions_of_sql(spark):
+    from refloom.functions.register import register
+
+    register(spark)
+    row = spark.sql("SELECT string_ratio('abcd', 'bcde') AS r, string_ratio('x', NULL) AS n, journal_name_score('j clin med', 'journal clinical medicine') AS s").first()
+    assert row.r == 0.75 and row.n is None and row.s == journal.name_score("j clin med", "journal clinical medicine")

@@ -171,6 +171,14 @@ def test_cache(spark):
     assert sorted(r.k for r in cache.evict(store, 5).collect()) == [6, 7, 8, 9] and cache.evict(store, 10).count() == 10
 
 
+@pytest.mark.parametrize("ranges", [2, 7, 200])
+def test_eviction_keeps_the_newest(spark, ranges):
+    r = random.Random(ranges)
+    times = [r.randint(0, 60) for _ in range(300)]
+    kept = [x.inserted_at for x in cache.evict(spark.createDataFrame(list(enumerate(times)), "k int, inserted_at int"), 250, 0.7, ranges=ranges).collect()]
+    assert sorted(kept) == sorted(times)[-175:]
+
+
 def test_python_models_plug_in(spark):
     backend = ModelBackend(classify=lambda: lambda texts: [(len(t) > 3, 0.75) for t in texts], ner=lambda: lambda texts: [{"TITLE": [t]} for t in texts])
     table = spark.createDataFrame([("long text",), ("x",), (None,)], "citation string")
