@@ -66,24 +66,52 @@ def runs_of(lines: np.ndarray, words: Sequence[int], min_words: int) -> list[tup
     return list(zip(run_hashes(np.asarray(lines, np.int64).view(np.uint64), np.arange(len(ends)), ends).tolist(), ends.tolist(), strict=True))
 
 
-def meeting_hashes(words: np.ndarray, lines: Sequence[int], min_words: int) -> list[int]:
-    """The distinct hashes by which a document is met: of its runs of lines, and of some of its windows of words.
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each width consecutive values."""
+    span = 1
+    while 2 * span <= width:
+        values, span = np.minimum(values[:-span], values[span:]), 2 * span
+    return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
 
-    words: hashes of all its words; lines: numbers of words of its lines that have one.
+
+def meeting_hashes(words: np.ndarray, documents: np.ndarray, lines: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes by which documents are met, and the document of each: of their runs of lines, and of some of their windows of words.
+
+    words: hashes of all words of the documents, one document after the other; documents and lines: where each document,
+    and each line that has a word, begins, and at the end the number of words. Hashes are distinct in a document.
     """
-    upto = np.concatenate(([0], np.cumsum(np.asarray(lines, np.int64)))).astype(np.int64)
-    starts = upto[:-1]
-    ends = np.searchsorted(upto, starts + min_words)
-    whole = ends < len(upto)
-    found = run_hashes(words, starts[whole], upto[ends[whole]])
+    of = np.repeat(np.arange(len(documents) - 1), np.diff(documents))
+    starts = lines[:-1]
+    ends = np.searchsorted(lines, starts + min_words)
+    whole = ends < len(lines)
+    starts, ends = starts[whole], lines[ends[whole]]
+    inside = of[starts] == of[ends - 1]
+    starts, ends = starts[inside], ends[inside]
+    found, owner = [run_hashes(words, starts, ends)], [of[starts]]
     many = len(words) - min_words + 1
     if many > 0:
         at = np.arange(many)
-        windows = run_hashes(words, at, at + min_words)
-        k = min(WINDOW, many)
-        chosen = np.unique(np.lib.stride_tricks.sliding_window_view(windows, k).argmin(axis=1) + at[: many - k + 1])
-        found = np.concatenate((found, windows[chosen]))
-    return np.unique(found).tolist()
+        windows, alone = run_hashes(words, at, at + min_words), of[at] == of[at + min_words - 1]
+        # each least hash of WINDOW windows of one document
+        if many >= WINDOW:
+            least = _least(windows, WINDOW)
+            own = of[: len(least)]
+            ok = own == of[np.arange(len(least)) + WINDOW + min_words - 2]
+            found.append(least[ok])
+            owner.append(own[ok])
+        # and the least of all of a document that has fewer
+        per = np.bincount(of[at[alone]], minlength=len(documents) - 1)
+        few = np.flatnonzero((per > 0) & (per < WINDOW))
+        if len(few):
+            bounds = np.stack((documents[few], documents[few] + per[few]), axis=1).ravel()
+            found.append(np.minimum.reduceat(np.append(windows, windows[-1:]), bounds)[::2])
+            owner.append(few)
+    hashes, owners = np.concatenate(found), np.concatenate(owner)
+    order = np.lexsort((hashes, owners))
+    hashes, owners = hashes[order], owners[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
+    return hashes[first], owners[first]
 
 
 def patience_anchors(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -261,6 +289,18 @@ def delete_words(text: str | None, ranges: Sequence[tuple[int, int]], min_words:
 _NO_ID = -(1 << 63)
 
 
+def _slices(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[list[str | None], int, int]]:
+    """Texts in slices of about most characters, one text at least, with where each begins and ends."""
+    begin, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or "") > most:
+            yield texts[begin:i], begin, i
+            begin, size = i, 0
+        size += len(text or "") + 1
+    if begin < len(texts):
+        yield texts[begin:], begin, len(texts)
+
+
 def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
     """The lists of an Arrow column of lists of numbers, as arrays."""
     values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -280,15 +320,22 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            words, runs = [], []
-            for (text,) in rows_of(batch, "text"):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                own = hashes.of(data.split())
-                counts = [n for line in data.split(b"\n") if (n := len(line.split()))]
+            texts = [x for (x,) in rows_of(batch, "text")]
+            for some, begin, end in _slices(texts):
+                own, documents, lines = [], [0], [0]
+                for text in some:
+                    data = (text or "").encode("utf-8", "surrogatepass")
+                    own.append(hashes.of(data.split()))
+                    for line in data.split(b"\n"):
+                        if n := len(line.split()):
+                            lines.append(lines[-1] + n)
+                    documents.append(lines[-1])
+                words, documents = np.concatenate(own), np.array(documents, np.int64)
+                found, owners = meeting_hashes(words, documents, np.array(lines, np.int64), min_words)
+                runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(len(some) + 1)).astype(np.int32)), pa.array(found))
                 # 16 bits tell words apart well enough: a block takes min_words of them
-                words.append((own >> np.uint64(48)).astype(np.uint16).view(np.int16))
-                runs.append(meeting_hashes(own, counts, min_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int16())), pa.array(runs, pa.list_(pa.int64()))], names=["id", "h", "words", "runs"])
+                short = pa.ListArray.from_arrays(pa.array(documents.astype(np.int32)), pa.array((words >> np.uint64(48)).astype(np.uint16).view(np.int16)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), short, runs], names=["id", "h", "words", "runs"])
 
     cut_up = materialize(rows.mapInArrow(cut, "id long, h long, words array<short>, runs array<long>"), "lines")
     runs = cut_up.select("id", "h", F.explode("runs").alias("run"))

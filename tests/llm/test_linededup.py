@@ -53,9 +53,23 @@ def test_every_long_common_run_is_met():
             lines = []
             while sum(lines) < len(words):
                 lines.append(min(r.randint(1, 30), len(words) - sum(lines)))
-            both.append(set(meeting_hashes(words, lines, MIN_WORDS)))
-        assert both[0] & both[1]
-    assert meeting_hashes(np.zeros(0, np.uint64), [], 20) == [] and len(meeting_hashes(np.arange(20, dtype=np.uint64), [20], 20)) == 1
+            both.append((words, lines))
+        words = np.concatenate([both[0][0], np.zeros(0, np.uint64), both[1][0]])
+        documents = np.cumsum([0, len(both[0][0]), 0, len(both[1][0])])
+        hashes, owners = meeting_hashes(words, documents, np.cumsum([0, *both[0][1], *both[1][1]]), MIN_WORDS)
+        apart = [set(hashes[owners == k].tolist()) for k in range(3)]
+        assert apart[0] & apart[2] and not apart[1] and sum(map(len, apart)) == len(hashes)
+        for k, (own, own_lines) in zip((0, 2), both, strict=True):  # a document's hashes don't depend on the others
+            alone, _ = meeting_hashes(own, np.array([0, len(own)]), np.cumsum([0, *own_lines]), MIN_WORDS)
+            windows = run_hashes(own, at := np.arange(len(own) - MIN_WORDS + 1), at + MIN_WORDS).tolist()
+            upto = np.cumsum([0, *own_lines])
+            ends = [next((e for e in upto.tolist() if e - a >= MIN_WORDS), None) for a in upto[:-1].tolist()]
+            runs = [int(run_hashes(own, np.array([a]), np.array([e]))[0]) for a, e in zip(upto[:-1].tolist(), ends, strict=True) if e]
+            want = {min(windows[i : i + WINDOW]) for i in range(max(1, len(windows) - WINDOW + 1))} | set(runs)
+            assert set(alone.tolist()) == apart[k] == want
+    none = np.zeros(0, np.uint64)
+    assert not len(meeting_hashes(none, np.array([0]), np.array([0]), 20)[0]) and not len(meeting_hashes(none, np.array([0, 0]), np.array([0]), 20)[0])
+    assert len(meeting_hashes(np.arange(20, dtype=np.uint64), np.array([0, 20]), np.array([0, 20]), 20)[0]) == 1
 
 
 @pytest.mark.parametrize("text, ranges, want", [
