@@ -324,13 +324,12 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for some, begin, end in _slices(texts):
                 own, documents, lines = [], [0], [0]
                 for text in some:
-                    data = (text or "").encode("utf-8", "surrogatepass")
-                    own.append(hashes.of(data.split()))
-                    for line in data.split(b"\n"):
-                        if n := len(line.split()):
-                            lines.append(lines[-1] + n)
-                    documents.append(lines[-1])
-                words, documents = np.concatenate(own), np.array(documents, np.int64)
+                    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
+                        if found := line.split():
+                            own += found
+                            lines.append(len(own))
+                    documents.append(len(own))
+                words, documents = hashes.of(own), np.array(documents, np.int64)
                 found, owners = meeting_hashes(words, documents, np.array(lines, np.int64), min_words)
                 runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(len(some) + 1)).astype(np.int32)), pa.array(found))
                 # 16 bits tell words apart well enough: a block takes min_words of them
@@ -341,12 +340,11 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = cut_up.select("id", "h", F.explode("runs").alias("run"))
     owners = runs.groupBy("run").agg(F.min(F.struct("id", "h")).alias("o"), F.max(F.struct("id", "h")).alias("last")).where("o != last")
     owners = materialize(owners.select(F.col("run").alias("run2"), F.col("o.id").alias("oid"), F.col("o.h").alias("oh")), "line-owners")
-    pairs = runs.join(owners, F.col("run") == F.col("run2")).where("id != oid or h != oh").select("id", "h", "oid", "oh").distinct()
+    pairs = materialize(runs.join(owners, F.col("run") == F.col("run2")).where("id != oid or h != oh").select("id", "h", "oid", "oh").distinct(), "line-pairs")
     # the owners' and the later documents' words are joined on; rows with equal id and text are one document
     own = cut_up.select(F.col("id").alias("oid2"), F.col("h").alias("oh2"), F.col("words").alias("owner_words")).dropDuplicates(["oid2", "oh2"])
     own = materialize(own.join(pairs.select("oid", "oh").distinct(), (F.col("oid2") == F.col("oid")) & (F.col("oh2") == F.col("oh")), "left_semi"), "line-owner-lines")
     later = materialize(cut_up.select("id", "h", "words").dropDuplicates(["id", "h"]).join(pairs.select(F.col("id").alias("i2"), F.col("h").alias("h2")).distinct(), (F.col("id") == F.col("i2")) & (F.col("h") == F.col("h2")), "left_semi"), "line-later-lines")
-    pairs = materialize(pairs, "line-pairs")
     joined = pairs.join(own, (F.col("oid") == F.col("oid2")) & (F.col("oh") == F.col("oh2"))).select("id", "h", "owner_words")
     joined = joined.join(later.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "words"), (F.col("id") == F.col("i2")) & (F.col("h") == F.col("h2"))).select("id", "h", "words", "owner_words")
 
