@@ -340,7 +340,8 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = cut_up.select("id", "h", F.explode("runs").alias("run"))
     owners = runs.groupBy("run").agg(F.min(F.struct("id", "h")).alias("o"), F.max(F.struct("id", "h")).alias("last")).where("o != last")
     owners = materialize(owners.select(F.col("run").alias("run2"), F.col("o.id").alias("oid"), F.col("o.h").alias("oh")), "line-owners")
-    pairs = materialize(runs.join(owners, F.col("run") == F.col("run2")).where("id != oid or h != oh").select("id", "h", "oid", "oh").distinct(), "line-pairs")
+    # owners grow with the documents, so they are never broadcast: one plan at every size
+    pairs = materialize(runs.join(owners.hint("merge"), F.col("run") == F.col("run2")).where("id != oid or h != oh").select("id", "h", "oid", "oh").distinct(), "line-pairs")
     # the owners' and the later documents' words are joined on; rows with equal id and text are one document
     own = cut_up.select(F.col("id").alias("oid2"), F.col("h").alias("oh2"), F.col("words").alias("owner_words")).dropDuplicates(["oid2", "oh2"])
     own = materialize(own.join(pairs.select("oid", "oh").distinct(), (F.col("oid2") == F.col("oid")) & (F.col("oh2") == F.col("oh")), "left_semi"), "line-owner-lines")
