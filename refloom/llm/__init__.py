@@ -1,4 +1,5 @@
-"""Operators of a training-data pipeline: mixing, near-duplicates, quality, tokens, archives, toxicity, decontamination, extraction.
+"""Operators of a training-data pipeline: mixing, near-duplicates, quality, tokens, archives, toxicity, decontamination, extraction,
+resampling, sharding, fill-in-middle.
 
 Nothing outside this subpackage imports it.
 """
