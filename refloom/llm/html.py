@@ -8,8 +8,10 @@ nothing in it is decided. Blocks outside such zones are left out if the zones ho
 pass found: so a teaser in an article element doesn't replace the page.
 
 A class, id or role names a side place only if all its parts do (cookie-banner, site-footer); where only some do
-(has-sidebar, share-price) the name is a hint: such blocks need more stop words. Stop words are of four languages; a
-page whose longer blocks hardly have any is in another one, and its blocks are decided by length and links alone.
+(has-sidebar, share-price) the name is a hint: such blocks need more stop words. Forms, and names that wrappers of whole
+pages have too (widget, overlay), are side places unless nearly all text that is main text by itself stands in them; a
+hint is none where most of it does. Stop words are of four languages; a page whose longer blocks
+hardly have any is in another one, and its blocks are decided by length and links alone.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ RAW_TAGS = frozenset("script style noscript template textarea title iframe svg m
 SIDE_TAGS = frozenset("nav aside footer form menu dialog button select search head".split())
 #: Words of class, id or role that mark such elements.
 SIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe signup login search comment comments disqus respond replies reply share sharing social related recommended pagination pager widget toolbar complementary contentinfo".split())
+#: Of the tags and names of side places those that may stand for a whole page.
+WRAPPER_TAGS = frozenset(["form"])
+WRAPPER_NAMES = frozenset("promo promotion banner header masthead notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social widget toolbar".split())
 #: Words that stand beside those in the names of such elements, and say nothing of their content.
 PLAIN_NAMES = frozenset("site page main global top bottom left right inner outer box block list item items links link container wrapper wrap bar area section content body form box panel row col column group slot unit primary secondary text title button buttons icon icons post thread first last fixed sticky".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,7 +50,9 @@ STOP_WORDS = frozenset(w for words in COMMON_WORDS.values() for w in words)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_NOT_SHOWN = re.compile(r"(?:^|\s)style\s*=\s*(?:\"[^\"]*?display\s*:\s*none|'[^']*?display\s*:\s*none|[^\s\"'>]*display:none)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -54,7 +61,8 @@ class BlockRules:
     """Thresholds of the first pass: lengths in characters of a block's text, densities from 0 to 1.
 
     hinted: share of stop words that a block in a place with a hint of a side place needs; foreign: a page whose blocks
-    of length short or more have fewer stop words is in a language without a list of them.
+    of length short or more have fewer stop words is in a language without a list of them; beside: text outside side
+    places, for each character in a wrapper, up to which the wrapper is taken for the page.
     """
 
     max_link_density: float = 0.4
@@ -64,35 +72,46 @@ class BlockRules:
     stop_high: float = 0.20
     hinted: float = 0.30
     foreign: float = 0.03
+    beside: float = 0.1
 
 
-class Block:
-    """side: SIDE, HINT or neither (0)."""
+HINT, WRAPPER, SIDE = 1, 2, 3
+#: Marked elements round a block that are told apart; further ones within them share their fate.
+MARKS = 16
+
 
-    __slots__ = ("text", "linked", "side", "zone", "heading")
+class Block:
+    """places: the kinds of the marked elements that it stands in, by the element's number on the page."""
 
-    def __init__(self, text: str, linked: int, side: int, zone: int, heading: bool):
-        self.text, self.linked, self.side, self.zone, self.heading = text, linked, side, zone, heading
+    __slots__ = ("text", "linked", "places", "zone", "heading")
 
+    def __init__(self, text: str, linked: int, places: dict[int, int], zone: int, heading: bool):
+        self.text, self.linked, self.places, self.zone, self.heading = text, linked, places, zone, heading
 
-HINT, SIDE = 1, 2
+    @property
+    def side(self) -> int:
+        """The strongest of its places: SIDE, WRAPPER, HINT or none (0)."""
+        return max(self.places.values(), default=0)
 
 
 def side_of(tag: str, attributes: str, in_zone: bool) -> int:
-    """What an element's tag and attributes say of its place: SIDE, HINT or 0."""
-    if tag in SIDE_TAGS or (tag == "header" and not in_zone):
+    """What an element's tag and attributes say of its place: SIDE, WRAPPER, HINT or 0."""
+    if tag in SIDE_TAGS - WRAPPER_TAGS or (tag == "header" and not in_zone):
         return SIDE
+    found = WRAPPER if tag in WRAPPER_TAGS else 0
     if tag in ("html", "body", "article", "main") or not attributes:
-        return 0
-    if _HIDDEN.search(attributes):
+        return found
+    if _HIDDEN.search(_VALUE.sub("=", attributes)) or _NOT_SHOWN.search(attributes):
         return SIDE
-    found = 0
     for mark in _MARK.finditer(attributes):
         for name in (mark[1] or mark[2] or mark[3] or "").split():
             parts = [x.lower() for x in _NAME.findall(name)]
-            sides = sum(x in SIDE_NAMES for x in parts)
+            sides = [x for x in parts if x in SIDE_NAMES]
             if sides:
-                found = max(found, SIDE if all(x in SIDE_NAMES or x in PLAIN_NAMES for x in parts) else HINT)
+                whole = all(x in SIDE_NAMES or x in PLAIN_NAMES for x in parts)
+                found = max(found, HINT if not whole else WRAPPER if all(x in WRAPPER_NAMES for x in sides) else SIDE)
+            elif parts == ["hidden"]:
+                found = max(found, WRAPPER)
     return found
 
 
@@ -101,11 +120,12 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, int, int, bool]] = []  # tag, side, zone, link
+    stack: list[tuple[str, dict[int, int], int, bool]] = []  # tag, marked places, zone, link
     places: dict[str, list[int]] = {}  # of each tag's open elements in stack
     block_places: list[int] = []  # of all open block elements
     link = heading = False
-    side = zone = zones = 0
+    zone = zones = marks = 0
+    inside: dict[int, int] = {}
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -113,7 +133,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, linked, side, zone, heading))
+                found.append(Block(text, linked, inside, zone, heading))
         parts, linked, heading = [], 0, bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
 
     def text(a: int, b: int) -> None:
@@ -125,8 +145,8 @@ def blocks_of(page: str) -> list[Block]:
                 linked += len(" ".join(parts[-1].split()))
 
     def restore() -> None:
-        nonlocal side, zone, link
-        _, side, zone, link = stack[-1] if stack else ("", 0, 0, False)
+        nonlocal inside, zone, link
+        _, inside, zone, link = stack[-1] if stack else ("", {}, 0, False)
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -174,15 +194,20 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if m[3].endswith("/") and tag not in BLOCK_TAGS:
             continue
+        here = inside
         if tag in ("article", "main") and not zone:
             zones += 1
             own = zones
         else:
             own = zone
+        # what stands in a side place stays there, and marks within many others share their fate
+        if SIDE not in here.values() and (kind := side_of(tag, m[3], zone > 0)) and (kind == SIDE or len(here) < MARKS):
+            marks += 1
+            here = {marks: SIDE} if kind == SIDE else here | {marks: kind}
         places.setdefault(tag, []).append(len(stack))
         if tag in BLOCK_TAGS:
             block_places.append(len(stack))
-        stack.append((tag, max(side, side_of(tag, m[3], zone > 0)), own, link or tag == "a"))
+        stack.append((tag, here, own, link or tag == "a"))
         restore()
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") or heading and tag not in BLOCK_TAGS
     flush()
@@ -195,42 +220,79 @@ def stop_words(text: str) -> tuple[int, int]:
     return sum(w in STOP_WORDS for w in words), len(words)
 
 
-def first_pass(blocks: list[Block], rules: BlockRules) -> list[bool | None]:
-    """The label of each block by itself: True for main text, False for none, None where it stays open."""
+def by_itself(blocks: list[Block], rules: BlockRules) -> tuple[list[bool | None], list[float | None]]:
+    """The label of each block without regard to its place, and its share of stop words where that was asked for."""
     out: list[bool | None] = []
-    counts: list[tuple[int, float]] = []  # of the blocks that their stop words decide
+    densities: list[float | None] = []
     stops = words = 0
-    for i, block in enumerate(blocks):
-        n = len(block.text)
-        if block.side == SIDE or block.linked > rules.max_link_density * n:
-            out.append(False)
-        elif block.heading or n < rules.short:
-            out.append(False if block.side else None)
-        else:
+    for block in blocks:
+        n, density, label = len(block.text), None, None
+        if block.linked > rules.max_link_density * n:
+            label = False
+        elif not block.heading and n >= rules.short:
             a, b = stop_words(block.text)
-            stops, words = stops + a, words + b
-            counts.append((i, a / max(b, 1)))
-            out.append(None)
+            density = a / max(b, 1)
+            if block.side != SIDE:
+                stops, words = stops + a, words + b
+        out.append(label)
+        densities.append(density)
     foreign = stops < rules.foreign * words
-    for i, density in counts:
-        block, n = blocks[i], len(blocks[i].text)
-        if foreign:
-            out[i] = True if n >= rules.long else None
-        elif block.side:
-            out[i] = density >= rules.hinted
-        elif density >= rules.stop_high:
-            out[i] = True
-        elif density >= rules.stop_low:
-            out[i] = True if n >= rules.long else None
-        else:
-            out[i] = None if block.zone else False
-    return out
+    for i, density in enumerate(densities):
+        if density is not None:
+            long = len(blocks[i].text) >= rules.long
+            out[i] = (True if long else None) if foreign or rules.stop_low <= density < rules.stop_high else density >= rules.stop_high or (None if blocks[i].zone else False)
+    return out, [None if foreign else x for x in densities]
+
+
+def undo_marks(blocks: list[Block], labels: list[bool | None], rules: BlockRules) -> list[int]:
+    """The side of each block, SIDE, HINT or 0, once marks are undone that stand for the page and not for a place on it."""
+    undone: set[int] = set()
+    dense = [(b.places, len(b.text)) for b, label in zip(blocks, labels, strict=True) if label]
+    kinds = {k: kind for places, _ in dense for k, kind in places.items()}
+
+    def outside(places: dict[int, int]) -> bool:
+        return all(kind == HINT or k in undone for k, kind in places.items())
+
+    while True:
+        beside, held = 0, dict.fromkeys((k for k, kind in kinds.items() if kind == WRAPPER and k not in undone), 0)
+        for places, n in dense:
+            if outside(places):
+                beside += n
+            elif SIDE not in places.values():
+                for k in places:
+                    if k in held:
+                        held[k] += n
+        k = max(held, key=lambda k: (held[k], -k), default=None)
+        if k is None or not held[k] or beside >= rules.beside * held[k]:
+            break
+        undone.add(k)
+    text = [(places, n) for places, n in dense if outside(places)]
+    total = sum(n for _, n in text)
+    hints = dict.fromkeys((k for k, kind in kinds.items() if kind == HINT), 0)
+    for places, n in text:
+        for k in places:
+            if k in hints:
+                hints[k] += n
+    undone.update(k for k, n in hints.items() if 2 * n > total)
+    return [SIDE if (kind := max((v for k, v in b.places.items() if k not in undone), default=0)) == WRAPPER else kind for b in blocks]
+
+
+def first_pass(blocks: list[Block], rules: BlockRules) -> tuple[list[bool | None], list[int]]:
+    """The label of each block by itself and its place: True for main text, False for none, None where it stays open; and its side as undo_marks has it."""
+    labels, densities = by_itself(blocks, rules)
+    sides = undo_marks(blocks, labels, rules)
+    for i, side in enumerate(sides):
+        if side == SIDE:
+            labels[i] = False
+        elif side == HINT and labels[i] is not False:
+            labels[i] = densities[i] >= rules.hinted if densities[i] is not None else labels[i] if not blocks[i].heading and len(blocks[i].text) >= rules.short else False
+    return labels, sides
 
 
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     """The main text of a page: its blocks in order, joined by newlines; empty for a null page or one without text."""
     blocks = blocks_of(page) if page else []
-    decided, n = first_pass(blocks, rules), len(blocks)
+    (decided, sides), n = first_pass(blocks, rules), len(blocks)
     inside, outside = (sum(len(b.text) for b, label in zip(blocks, decided, strict=True) if label and (b.zone > 0) == zone) for zone in (True, False))
     has_zone = inside > 0 and inside >= outside
     before: list[tuple[int, bool] | None] = [None] * n
@@ -239,7 +301,7 @@ def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
         last: dict[int, tuple[int, bool]] = {}
         for i in order:
             # what is left out for its place says nothing of the text round it
-            if decided[i] is not None and blocks[i].side != SIDE:
+            if decided[i] is not None and sides[i] != SIDE:
                 last[blocks[i].zone] = (i, decided[i])
             into[i] = last.get(blocks[i].zone)
     kept = []

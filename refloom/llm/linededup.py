@@ -5,14 +5,13 @@ min_words words (a short line alone is common, such a run is rare) and, for pass
 are wrapped otherwise, windows of min_words words, of which every WINDOW consecutive ones have one that is chosen by its
 hash alone; so no common run of min_words + WINDOW - 1 words stays unseen, wherever its lines end. Each hash belongs to
 the first document that has it, and every later document with it is aligned with that owner only: so there are at most
-as many pairs as hashes, whatever the number of copies. Pairs are aligned by patience diff over their words, and aligned
-common blocks of min_words words or more are deleted from the later document.
+as many pairs as hashes, whatever the number of copies. Pairs are aligned by patience diff over their windows of min_words
+words, and the aligned common blocks are deleted from the later document, as are runs of twice as many words that the
+alignment passes over since they are moved or repeated. A later document with an earlier one's text is deleted whole.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
 
-from refloom.llm.shared import materialize
+from refloom.llm.shared import free_names, materialize
 from refloom.llm.text import WordHashes, rows_of
 
 MIN_WORDS = 20
@@ -58,14 +57,6 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return (found ^ found >> np.uint64(29)).view(np.int64)
 
 
-def runs_of(lines: np.ndarray, words: Sequence[int], min_words: int) -> list[tuple[int, int]]:
-    """(hash, end) of the shortest run of lines from each line on that has min_words words; lines too near the end have none."""
-    upto = np.concatenate(([0], np.cumsum(np.asarray(words, np.int64))))
-    ends = np.searchsorted(upto, upto[:-1] + min_words)
-    ends = ends[ends <= len(words)]
-    return list(zip(run_hashes(np.asarray(lines, np.int64).view(np.uint64), np.arange(len(ends)), ends).tolist(), ends.tolist(), strict=True))
-
-
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each width consecutive values."""
     span = 1
@@ -114,123 +105,115 @@ def meeting_hashes(words: np.ndarray, documents: np.ndarray, lines: np.ndarray,
     return hashes[first], owners[first]
 
 
-def patience_anchors(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """Pairs of positions of lines that occur once in each, ascending in both: a longest such list."""
-    in_a, in_b = Counter(a), Counter(b)
-    at_b = {x: j for j, x in enumerate(b) if in_b[x] == 1}
-    pairs = [(i, at_b[x]) for i, x in enumerate(a) if in_a[x] == 1 and x in at_b]
-    tops: list[int] = []
-    chain: list[tuple[int, int, int]] = []
-    ends: list[int] = []
-    for k, (i, j) in enumerate(pairs):
-        pile = bisect_left(tops, j)
-        chain.append((i, j, ends[pile - 1] if pile else -1))
-        if pile == len(tops):
-            tops.append(j)
-            ends.append(k)
-        else:
-            tops[pile], ends[pile] = j, k
-    found, k = [], ends[-1] if ends else -1
+def _chain(begins: np.ndarray, weights: np.ndarray) -> list[int]:
+    """Positions of a chain of ascending begins (all different) with the largest sum of weights; of equal sums, the chain whose members begin least, from its end on."""
+    n = len(begins)
+    if n == 1:
+        return [0]
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(begins)] = np.arange(1, n + 1)
+    best: list[tuple[int, int, int]] = [(0, 0, -1)] * (n + 1)  # a tree of prefix maxima over ranks: sum, -rank, position
+    before = []
+    for k, (r, w) in enumerate(zip(rank.tolist(), weights.tolist(), strict=True)):
+        found, i = (0, 0, -1), r - 1
+        while i > 0:
+            found = max(found, best[i])
+            i &= i - 1
+        before.append(found[2])
+        own, i = (found[0] + w, -r, k), r
+        while i <= n:
+            best[i] = max(best[i], own)
+            i += i & -i
+    found, i = (0, 0, -1), n
+    while i > 0:
+        found = max(found, best[i])
+        i &= i - 1
+    k, out = found[2], []
     while k >= 0:
-        i, j, k = chain[k]
-        found.append((i, j))
-    return found[::-1]
-
-
-def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Ranges [from, to) of the lines (or single words) of a that stand in b as a run too, of min_words words or more.
-
-    First what both begin and end with; then the blocks round the anchors of patience diff; then blocks that patience diff passes over, as their order
-    differs or their lines repeat, are met by the hashes of their runs.
-    """
-    taken = [False] * len(a)
-
-    def block(i: int, j: int) -> tuple[int, int]:
-        lo, hi = 0, 0
-        while i - lo > 0 and j - lo > 0 and a[i - lo - 1] == b[j - lo - 1] and not taken[i - lo - 1]:
-            lo += 1
-        while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi] and not taken[i + hi]:
-            hi += 1
-        return i - lo, i + hi
-
-    def take(lo: int, hi: int) -> None:
-        if sum(words[lo:hi]) >= min_words:
-            taken[lo:hi] = [True] * (hi - lo)
-
-    both = min(len(a), len(b))
-    differ = np.flatnonzero(np.asarray(a[:both], np.int64) != np.asarray(b[:both], np.int64))
-    take(0, int(differ[0]) if len(differ) else both)
-    if not (taken and all(taken)):
-        differ = np.flatnonzero(np.asarray(a[len(a) - both :], np.int64) != np.asarray(b[len(b) - both :], np.int64))
-        take(len(a) - (both - 1 - int(differ[-1]) if len(differ) else both), len(a))
-        for i, j in patience_anchors(a, b):
-            if not taken[i]:
-                take(*block(i, j))
-    if not all(taken):
-        first: dict[int, int] = {}
-        array_a, array_b = np.array(a, np.int64), np.array(b, np.int64)
-        # the run from a line of b on takes as many lines as in a: equal lines have equal words
-        words_of = dict(zip(a, words, strict=True))
-        for j, (h, _) in enumerate(runs_of(array_b, [words_of.get(x, 0) for x in b], min_words)):
-            first.setdefault(h, j)
-        for i, (h, end) in enumerate(runs_of(array_a, words, min_words)):
-            if h in first and not all(taken[i:end]) and list(a[i:end]) == list(b[first[h] : first[h] + end - i]):
-                hi, j = end, first[h] + end - i
-                while hi < len(a) and j < len(b) and a[hi] == b[j]:
-                    hi, j = hi + 1, j + 1
-                taken[i:hi] = [True] * (hi - i)
-    found, start = [], None
-    for i, t in enumerate([*taken, False]):
-        if t and start is None:
-            start = i
-        elif not t and start is not None:
-            found.append((start, i))
-            start = None
-    return found
-
-
-def _increasing(places: Sequence[int]) -> list[int]:
-    """Positions of a longest increasing subsequence of different numbers, by piles."""
-    tops, ends, before = [], [], []
-    for k, x in enumerate(places):
-        pile = bisect_left(tops, x)
-        before.append(ends[pile - 1] if pile else -1)
-        tops[pile : pile + 1], ends[pile : pile + 1] = [x], [k]
-    found, k = [], ends[-1] if ends else -1
-    while k >= 0:
-        found.append(k)
+        out.append(k)
         k = before[k]
-    return found[::-1]
+    return out[::-1]
 
 
-def common_words(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """common_blocks of two sequences of single words, with arrays: ranges of a, made of windows of min_words words that b has.
+def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Patience diff: (from in a, from in b, length) of runs that are aligned, ascending in both. Negative numbers of a stand nowhere in b.
 
-    Windows that occur once in each are the anchors; those in a row are one block, and patience diff aligns the blocks.
-    Windows that it passes over, as their order differs or they repeat, are added by their hashes.
+    What both ranges begin and end with is aligned; then numbers that occur once in each are anchors, of which a largest
+    ascending set is aligned, and the ranges between its runs are worked on in the same way. Where no number occurs once
+    in each, the first of a that b has is aligned with its first place in b.
+    """
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        for back in (False, True):
+            n = min(ahi - alo, bhi - blo)
+            if n <= 0:
+                break
+            x, y = (a[ahi - n : ahi][::-1], b[bhi - n : bhi][::-1]) if back else (a[alo : alo + n], b[blo : blo + n])
+            differ = np.flatnonzero(x != y)
+            same = int(differ[0]) if len(differ) else n
+            if same and back:
+                ahi, bhi = ahi - same, bhi - same
+                found.append((ahi, bhi, same))
+            elif same:
+                found.append((alo, blo, same))
+                alo, blo = alo + same, blo + same
+        if alo >= ahi or blo >= bhi:
+            continue
+        place = alo + np.flatnonzero(a[alo:ahi] >= 0)
+        values, first, times = np.unique(a[place], return_index=True, return_counts=True)
+        others, other_first, other_times = np.unique(b[blo:bhi], return_index=True, return_counts=True)
+        _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
+        if not len(i):
+            continue
+        at, there = place[first[i]], blo + other_first[j]
+        once = (times[i] == 1) & (other_times[j] == 1)
+        if not once.any():
+            k = int(np.argmin(at))
+            todo.append((int(at[k]), ahi, int(there[k]), bhi))
+            continue
+        order = np.argsort(at[once])
+        at, there = at[once][order], there[once][order]
+        begins = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(there) != 1))))
+        lengths = np.diff(np.append(begins, len(at)))
+        for k in _chain(there[begins], lengths):
+            i, j, n = int(at[begins[k]]), int(there[begins[k]]), int(lengths[k])
+            found.append((i, j, n))
+            todo.append((alo, i, blo, j))
+            alo, blo = i + n, j + n
+        todo.append((alo, ahi, blo, bhi))
+    return sorted(found)
+
+
+def common_words(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, moved: int | None = None) -> list[tuple[int, int]]:
+    """Ranges [from, to) of the words of a that stand in b as a run too.
+
+    The windows of min_words words of a and b are aligned by patience diff, and the words of aligned windows are common:
+    so a run of min_words words counts where it stands in b in the order of the alignment. A run that the alignment
+    passes over, as it is moved or repeated, counts if it has `moved` words (two times min_words unless given).
     """
+    moved = 2 * min_words if moved is None else moved
     if min(len(a), len(b)) < min_words:
         return []
     if len(a) == len(b) and (a == b).all():
         return [(0, len(a))]
     of_a, of_b = (run_hashes(x, at := np.arange(len(x) - min_words + 1), at + min_words) for x in (a, b))
-    known, first_b, times_b = np.unique(of_b, return_index=True, return_counts=True)
+    known, numbers_b = np.unique(of_b, return_inverse=True)
     place = np.minimum(np.searchsorted(known, of_a), len(known) - 1)
-    both = np.flatnonzero(known[place] == of_a)
-    if not len(both):
+    numbers_a = np.where(known[place] == of_a, place, -1)
+    if not (numbers_a >= 0).any():
         return []
     taken = np.zeros(len(a) + 1, np.int64)
-    _, inverse, times_a = np.unique(of_a[both], return_inverse=True, return_counts=True)
-    once = both[(times_a[inverse] == 1) & (times_b[place[both]] == 1)]
-    if len(once):
-        other = first_b[place[once]]
-        begins = np.flatnonzero(np.concatenate(([True], (np.diff(once) != 1) | (np.diff(other) != 1))))
-        ends = np.append(begins[1:], len(once)) - 1
-        for k in _increasing(other[begins].tolist()):
-            taken[once[begins[k]]] += 1
-            taken[once[ends[k]] + min_words] -= 1
-    np.add.at(taken, both, 1)
-    np.add.at(taken, both + min_words, -1)
+    aligned = np.zeros(len(of_a), bool)
+    for i, _, n in patience_blocks(numbers_a, numbers_b):
+        aligned[i : i + n] = True
+        taken[i] += 1
+        taken[i + n - 1 + min_words] -= 1
+    if min(len(a), len(b)) >= moved and ((numbers_a >= 0) & ~aligned).any():
+        longer_a, longer_b = (run_hashes(x, at := np.arange(len(x) - moved + 1), at + moved) for x in (a, b))
+        both = np.flatnonzero(np.isin(longer_a, longer_b))
+        np.add.at(taken, both, 1)
+        np.add.at(taken, both + moved, -1)
     bounds = np.flatnonzero(np.diff(np.cumsum(taken) > 0, prepend=False)).tolist()
     return list(zip(bounds[::2], bounds[1::2], strict=True))
 
@@ -342,12 +325,17 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     owners = materialize(owners.select(F.col("run").alias("run2"), F.col("o.id").alias("oid"), F.col("o.h").alias("oh")), "line-owners")
     # owners grow with the documents, so they are never broadcast: one plan at every size
     pairs = materialize(runs.join(owners.hint("merge"), F.col("run") == F.col("run2")).where("id != oid or h != oh").select("id", "h", "oid", "oh").distinct(), "line-pairs")
+    # a copy of an earlier text goes whole, and needs no other alignment
+    copies = cut_up.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select(F.col("h").alias("ch"), "first")
+    copies = materialize(copies, "line-copies")
+    whole = cut_up.select("id", "h", F.size("words").alias("n")).where(F.col("n") >= min_words).join(copies.hint("merge"), F.col("h") == F.col("ch")).where("id != first")
+    rest = materialize(pairs.join(copies.hint("merge"), F.col("h") == F.col("ch"), "left").where("first is null or id = first").select("id", "h", "oid", "oh"), "line-pairs-to-align")
     # the owners' and the later documents' words are joined on; rows with equal id and text are one document
     own = cut_up.select(F.col("id").alias("oid2"), F.col("h").alias("oh2"), F.col("words").alias("owner_words")).dropDuplicates(["oid2", "oh2"])
-    own = materialize(own.join(pairs.select("oid", "oh").distinct(), (F.col("oid2") == F.col("oid")) & (F.col("oh2") == F.col("oh")), "left_semi"), "line-owner-lines")
-    later = materialize(cut_up.select("id", "h", "words").dropDuplicates(["id", "h"]).join(pairs.select(F.col("id").alias("i2"), F.col("h").alias("h2")).distinct(), (F.col("id") == F.col("i2")) & (F.col("h") == F.col("h2")), "left_semi"), "line-later-lines")
-    joined = pairs.join(own, (F.col("oid") == F.col("oid2")) & (F.col("oh") == F.col("oh2"))).select("id", "h", "owner_words")
-    joined = joined.join(later.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "words"), (F.col("id") == F.col("i2")) & (F.col("h") == F.col("h2"))).select("id", "h", "words", "owner_words")
+    own = own.join(rest.select("oid", "oh").distinct().hint("merge"), (F.col("oid2") == F.col("oid")) & (F.col("oh2") == F.col("oh")), "left_semi")
+    later = cut_up.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "words").dropDuplicates(["i2", "h2"])
+    joined = rest.join(own.hint("merge"), (F.col("oid") == F.col("oid2")) & (F.col("oh") == F.col("oh2"))).select("id", "h", "owner_words")
+    joined = joined.join(later.hint("merge"), (F.col("id") == F.col("i2")) & (F.col("h") == F.col("h2"))).select("id", "h", "words", "owner_words")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,16 +345,19 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "h", "lo", "hi"])
 
-    return joined.mapInArrow(align, "id long, h long, lo int, hi int")
+    aligned = joined.mapInArrow(align, "id long, h long, lo int, hi int")
+    return aligned.unionByName(whole.select("id", "h", F.lit(0).alias("lo"), F.col("n").alias("hi")))
 
 
 def dedup_lines(docs: DataFrame, keep: Sequence[str] = ("doc_id",), min_words: int = MIN_WORDS) -> DataFrame:
     """keep of every row of docs, with text (what is left), n_lines (with a word), n_deleted (of these, all words) and words_deleted.
 
     Documents without a common block, null texts and empty ones stay as they are; a copy of an earlier document loses
-    all; an empty table gives an empty one; other columns play no part.
+    all; an empty table gives an empty one; other columns play no part; a kept column that is named like a new one is
+    called input_<name>.
     """
     keep = list(keep)
+    names = free_names(keep, ["text", "n_lines", "n_deleted", "words_deleted"])
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__id"), F.xxhash64("text").alias("__h"), F.col("text").cast("string").alias("text"))
     ranges = deletions(docs, min_words).groupBy("id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     # the ranges grow with the documents, so they are never broadcast: one plan at every size
@@ -381,7 +372,7 @@ def dedup_lines(docs: DataFrame, keep: Sequence[str] = ("doc_id",), min_words: i
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=[*(f"c{i}" for i in range(len(keep))), "text", "n_lines", "n_deleted", "words_deleted"])
 
     found = joined.mapInArrow(run, schema)
-    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "text", "n_lines", "n_deleted", "words_deleted")
+    return found.select(*(F.col(f"c{i}").alias(names[c]) for i, c in enumerate(keep)), "text", "n_lines", "n_deleted", "words_deleted")
 
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from refloom.llm.html import HINT, SIDE, SIDE_NAMES, STOP_WORDS, BlockRules, blocks_of, main_text
+from refloom.llm.html import HINT, SIDE, SIDE_NAMES, STOP_WORDS, WRAPPER, BlockRules, blocks_of, main_text
 
 LONG = "The committee said that the plan for the city was good and that it would be built in the spring of the year with help from all. " * 3
 
@@ -50,53 +50,79 @@ def test_time_grows_with_the_page(junk):
     assert time.process_time() - start < 10  # a megabyte each
 
 
-def random_page(r, depth=0, side=0, zone=0, state=None):
-    """A well-formed page part and the blocks (text, linked, side, zone, heading) that it holds."""
-    state = state if state is not None else {"zones": 0}
+def random_page(r, depth=0, places=(), zone=0, state=None):
+    """A well-formed page part and the blocks (text, linked, places, zone, heading) that it holds; places: (number, kind) of the marked elements round a block."""
+    state = state if state is not None else {"zones": 0, "marks": 0}
     markup, blocks = [], []
+
+    def marked(kind):
+        if not kind or SIDE in [k for _, k in places]:
+            return places
+        state["marks"] += 1
+        return ((state["marks"], SIDE),) if kind == SIDE else (*places, (state["marks"], kind))
+
     for _ in range(r.randint(1, 4)):
         kind = r.choice(["p", "p", "p", "div", "div", "nav", "article", "section", "h2", "a"])
         words = lambda n: " ".join(r.choice(["the", "of", "and", "was", "in"]) if r.random() < share else "".join(r.choice("bcdfglmnprs") for _ in range(6)) for _ in range(n))  # noqa: B023, E731
         share = r.choice([0, 0.05, 0.15, 0.4])
-        name, own = r.choice([("", 0), ("", 0), ("story", 0), ("ad-box", SIDE), ("has-menu", HINT)])
+        name, own = r.choice([("", 0), ("", 0), ("story", 0), ("ad-box", SIDE), ("has-menu", HINT), ("widget", WRAPPER)])
         mark = f' class="{name}"' if name else ""
         if kind in ("p", "h2", "a"):
-            text = words(r.choice([3, 8, 15, 40]))
+            text, here = words(r.choice([3, 8, 15, 40])), marked(own)
             if kind == "a":
                 markup.append(f"<p{mark}>{words(2)} x</p><p><a href='#'>{text}</a></p>")
-                blocks.append((markup[-1].split(">")[1].split("<")[0], 0, max(side, own), zone, False))
-                blocks.append((text, len(text), side, zone, False))
+                blocks.append((markup[-1].split(">")[1].split("<")[0], 0, here, zone, False))
+                blocks.append((text, len(text), places, zone, False))
             else:
                 markup.append(f"<{kind}{mark}>{text}</{kind}>")
-                blocks.append((text, 0, max(side, own), zone, kind == "h2"))
+                blocks.append((text, 0, here, zone, kind == "h2"))
         elif depth < 4:
             inner_zone, own = zone, 0 if kind == "article" else SIDE if kind == "nav" else own
             if kind == "article" and not zone:
                 state["zones"] += 1
                 inner_zone = state["zones"]
-            inner, found = random_page(r, depth + 1, max(side, own), inner_zone, state)
+            inner, found = random_page(r, depth + 1, marked(own), inner_zone, state)
             markup.append(f"<{kind}{mark}>{inner}</{kind}>")
             blocks += found
     return "".join(markup), blocks
 
 
 def brute(blocks, rules):
-    longer = [t.split() for t, linked, side, _, heading in blocks if side != SIDE and linked <= 0.4 * len(t) and not heading and len(t) >= rules.short]
+    longer = [t.split() for t, linked, places, _, heading in blocks if SIDE not in [k for _, k in places] and linked <= 0.4 * len(t) and not heading and len(t) >= rules.short]
     foreign = sum(w in STOP_WORDS for t in longer for w in t) < rules.foreign * sum(map(len, longer))
+    density = lambda text: sum(w in STOP_WORDS for w in text.split()) / len(text.split())
 
-    def first(text, linked, side, zone, heading):
-        if side == SIDE or linked > rules.max_link_density * len(text):
+    def alone(text, linked, zone, heading):
+        if linked > rules.max_link_density * len(text):
             return False
         if heading or len(text) < rules.short:
-            return False if side else None
-        density = sum(w in STOP_WORDS for w in text.split()) / len(text.split())
+            return None
+        d = density(text)
         if foreign:
             return True if len(text) >= rules.long else None
-        if side:
-            return density >= rules.hinted
-        return True if density >= rules.stop_high or density >= rules.stop_low and len(text) >= rules.long else None if zone or density >= rules.stop_low else False
-
-    labels = [first(*b) for b in blocks]
+        return True if d >= rules.stop_high or d >= rules.stop_low and len(text) >= rules.long else None if zone or d >= rules.stop_low else False
+
+    labels, undone = [alone(t, linked, zone, h) for t, linked, _, zone, h in blocks], set()
+    dense = [(len(b[0]), b[2]) for b, x in zip(blocks, labels, strict=True) if x]
+    wrappers, hints = ({i for _, places in dense for i, kind in places if kind == wanted} for wanted in (WRAPPER, HINT))
+    plain = lambda places: all(kind == HINT or i in undone for i, kind in places)
+    while True:
+        beside = sum(n for n, places in dense if plain(places))
+        held = {w: sum(n for n, places in dense if w in [i for i, _ in places] and SIDE not in [k for _, k in places] and not plain(places)) for w in wrappers - undone}
+        most = [w for w in sorted(held) if held[w] == max(held.values()) and held[w] > 0]
+        if not most or beside >= rules.beside * held[most[0]]:
+            break
+        undone.add(most[0])
+    text = [(n, places) for n, places in dense if plain(places)]
+    undone |= {h for h in hints if 2 * sum(n for n, places in text if h in [i for i, _ in places]) > sum(n for n, _ in text)}
+    sides = [max([k for i, k in b[2] if i not in undone], default=0) for b in blocks]
+    for i, ((t, _, _, _, heading), side) in enumerate(zip(blocks, sides, strict=True)):
+        if side in (SIDE, WRAPPER) or labels[i] is False:
+            labels[i] = False
+        elif side == HINT and (heading or len(t) < rules.short):
+            labels[i] = False
+        elif side == HINT and not foreign:
+            labels[i] = density(t) >= rules.hinted
     inside, outside = (sum(len(b[0]) for b, x in zip(blocks, labels, strict=True) if x and bool(b[3]) == z) for z in (True, False))
     kept = []
     for i, (text, _, _, zone, heading) in enumerate(blocks):
@@ -104,7 +130,7 @@ def brute(blocks, rules):
         if inside and inside >= outside and not zone:
             continue
         if label is None:
-            near = [(abs(j - i), j > i, labels[j]) for j, b in enumerate(blocks) if labels[j] is not None and b[3] == zone and b[2] != SIDE]
+            near = [(abs(j - i), j > i, labels[j]) for j, b in enumerate(blocks) if labels[j] is not None and b[3] == zone and sides[j] not in (SIDE, WRAPPER)]
             before, after = (min((x for x in near if x[1] == side), default=None) for side in (False, True))
             if before and after and before[2] != after[2]:
                 label = after[2] if heading or after[0] <= before[0] else before[2]
@@ -119,8 +145,57 @@ def test_random_pages_against_brute_force():
     rules, some, none = BlockRules(), 0, 0
     for seed in range(600):
         markup, blocks = random_page(random.Random(seed))
-        assert [(b.text, b.linked, b.side, b.zone, b.heading) for b in blocks_of(markup)] == blocks, seed
+        assert [(b.text, b.linked, b.places, b.zone, b.heading) for b in blocks_of(markup)] == [(t, n, dict(places), zone, heading) for t, n, places, zone, heading in blocks], seed
         text = main_text(markup)
         assert text == brute(blocks, rules), seed
         some, none = some + bool(text), none + (not text)
     assert some > 100 and none > 30 and "menu" in SIDE_NAMES
+
+
+MENU = "<ul><li><a href='/'>Home</a></li><li><a href='/news'>News of the day</a></li><li><a href='/x'>About us</a></li></ul>"
+SIDES = [
+    f"<nav>{MENU}</nav>", f"<div id='main-menu'>{MENU}</div>", "<footer><p>All rights reserved. The owner of this site is not responsible for the content of other sites that are linked to from it.</p></footer>",
+    "<div class='cookie-notice'><p>We use cookies on this site, and by the use of it you agree to all of them that are needed for the site to work.</p></div>",
+    "<section class='comments'><p>I was in the city when it was said that this would be built, and it was the best of all that they have done for us.</p><p>No.</p></section>",
+    "<aside><h3>More</h3><p>The story of the week is that of a man who was in the right place at the right time and had all that he wanted.</p></aside>",
+    "<div class='advert'><p>Buy the best of all lamps now, and you will get one more of them for the price of the first, which is a great deal.</p></div>",
+    "<form action='/search'><input name=q><label>Find what you want on this site</label><button>Go</button></form>",
+]
+WRAPPERS = ["<form id='aspnetForm' method='post'>{}</form>", "<div class='mt-4 hidden lg:block'>{}</div>", "<div class='page has-sidebar'>{}</div>", "<div class='hidden'>{}</div>", *(f"<div class='{n}'>{{}}</div>" for n in ("widget", "share", "promo", "alert", "notice", "overlay", "main-banner", "site-header")), "<div id=page>{}</div>", "<main>{}</main>"]
+
+
+def article_blocks(r):
+    """Headings, paragraphs and short lines as a writer would set them."""
+    words = "the of and in was that for with on by this city lake spring report council water bridge people plan year members vote old new river money".split()
+    sentence = lambda n: (" ".join(r.choice(words[:11]) if r.random() < 0.45 else r.choice(words[11:]) for _ in range(n)) + ".").capitalize()
+    out = [("h1", sentence(6))]
+    for _ in range(r.randint(2, 5)):
+        out += [("h2", sentence(4))] * (r.random() < 0.3) + [("p", " ".join(sentence(r.randint(9, 16)) for _ in range(r.randint(2, 5))))] + [("p", sentence(7))] * (r.random() < 0.3)
+    return [*out, ("p", " ".join(sentence(14) for _ in range(3)))]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrapped_pages_give_their_article(wrapper):
+    """Pages made of a known article between side places, wrapped as whole pages are."""
+    r = random.Random(wrapper)
+    for _ in range(40):
+        blocks = article_blocks(r)
+        body = "".join(f"<{tag}>{text}</{tag}>" for tag, text in blocks)
+        if r.random() < 0.5:
+            body = f"<article>{body}</article>"
+        around = r.sample(SIDES, r.randint(0, 5))
+        k = r.randint(0, len(around))
+        inside = "".join(around[:k]) + body + "".join(around[k:])
+        page = wrapper.format(inside) if r.random() < 0.5 else "".join(around[:k]) + wrapper.format(body) + "".join(around[k:])
+        if r.random() < 0.3:
+            page = r.choice(WRAPPERS).format(page)
+        assert main_text(f"<html><body>{page}</body></html>") == "\n".join(text for _, text in blocks), page
+
+
+def test_side_places_are_no_wrappers_beside_an_article():
+    """A form, notice or widget with text of its own stays out where there is other text."""
+    own = "It was said in the notice that the use of this form is for the members of the club and that all of the rest must wait for it. " * 2
+    for wrapper in WRAPPERS[:1] + WRAPPERS[3:11]:
+        assert main_text(f"<div>{wrapper.format(f'<p>{own}</p>')}<p>{LONG}</p></div>") == LONG.strip(), wrapper
+    assert main_text(f"<div style='color:red;display: none'><p>{own}</p></div><p>{LONG}</p>") == main_text(f"<div hidden><p>{own}</p></div><p>{LONG}</p>") == LONG.strip()
+    assert main_text(f"<p title='a hidden thing' data-x=\"display:none\">{LONG}</p>") == LONG.strip()

@@ -95,11 +95,100 @@ def test_common_words_against_brute_force():
             if any((a[i : i + 4] == b[j : j + 4]).all() for j in range(len(b) - 3)):
                 want[i : i + 4] = True
         got = np.zeros(len(a), bool)
-        for lo, hi in linededup.common_words(a, b, 4):
+        for lo, hi in linededup.common_words(a, b, 4, moved=4):  # so that every common window counts, aligned or not
             assert not got[lo:hi].any() and hi - lo >= 4
             got[lo:hi] = True
         assert (got == want).all()
-    assert linededup._increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5] and linededup._increasing([]) == []
+
+
+def plain_patience(a, b, a0=0, b0=0):
+    """Patience diff of two lists, recursively: pairs of positions."""
+    found, n = [], 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    found += [(a0 + k, b0 + k) for k in range(n)]
+    a, b, a0, b0, n = a[n:], b[n:], a0 + n, b0 + n, 0
+    while n < min(len(a), len(b)) and a[-n - 1] == b[-n - 1]:
+        n += 1
+    found += [(a0 + len(a) - n + k, b0 + len(b) - n + k) for k in range(n)]
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    anchors = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
+    if not anchors:
+        if some := [i for i, x in enumerate(a) if x in b]:
+            i, j = some[0], b.index(a[some[0]])
+            found += plain_patience(a[i:], b[j:], a0 + i, b0 + j)
+        return found
+    runs = []
+    for i, j in anchors:
+        if runs and runs[-1][0] + runs[-1][2] == i and runs[-1][1] + runs[-1][2] == j:
+            runs[-1][2] += 1
+        else:
+            runs.append([i, j, 1])
+    best = []  # of chains that end with each run: anchors, -begin in b, runs
+    for i, j, n in runs:
+        before = max((x for x in best if x[2][-1][1] < j), key=lambda x: x[:2], default=(0, 0, []))
+        best.append((before[0] + n, -j, [*before[2], (i, j, n)]))
+    i0 = j0 = 0
+    for i, j, n in [*max(best, key=lambda x: x[:2])[2], (len(a), len(b), 0)]:
+        found += plain_patience(a[i0:i], b[j0:j], a0 + i0, b0 + j0) + [(a0 + i + k, b0 + j + k) for k in range(n)]
+        i0, j0 = i + n, j + n
+    return found
+
+
+def shuffled_parts(r, low, high):
+    """Two lists with common parts, some in another order, some repeated, some numbers often."""
+    parts = [[r.randint(0, r.choice([3, 40, 10_000])) for _ in range(r.randint(1, 9))] for _ in range(r.randint(low, high))]
+    a, b = ([x for k in r.choices(range(len(parts)), k=r.randint(0, len(parts) + 2)) for x in (parts[k] if r.random() < 0.8 else [r.randint(0, 50)])] for _ in range(2))
+    if r.random() < 0.5:
+        b = [x for k in sorted(r.sample(range(len(parts)), r.randint(0, len(parts)))) for x in parts[k]]
+        a = [x for p in parts for x in p]
+    return a, b
+
+
+def test_blocks_are_those_of_a_plain_patience_diff():
+    r, some = random.Random(8), 0
+    for _ in range(1500):
+        a, b = shuffled_parts(r, 1, 9)
+        known = {x: k for k, x in enumerate(sorted(set(b)))}
+        got = linededup.patience_blocks(np.array([known.get(x, -1) for x in a], np.int64), np.array([known[x] for x in b], np.int64))
+        pairs = [(i + k, j + k) for i, j, n in got for k in range(n)]
+        assert pairs == sorted(plain_patience(a, b))
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False)) and all(a[i] == b[j] for i, j in pairs)
+        some += len(got) > 2
+    assert some > 300
+
+
+def test_the_alignment_decides():
+    """Of two runs of 25 words in another order one is aligned and goes, the other stays; runs of 45 words go wherever they stand."""
+    r = random.Random(3)
+    x, y = (np.array([r.randint(-30_000, 30_000) for _ in range(n)], np.int16) for n in (26, 25))
+    gap = np.array([r.randint(-30_000, 30_000) for _ in range(30)], np.int16)
+    a, b = np.concatenate((y, gap, x)), np.concatenate((x, gap[::-1], y))
+    assert linededup.common_words(a, b) == [(55, 81)]  # the longer one is the chain
+    assert linededup.common_words(a, b, moved=20) == [(0, 25), (55, 81)]
+    long = np.array([r.randint(-30_000, 30_000) for _ in range(45)], np.int16)
+    a, b = np.concatenate((long, gap, x, long)), np.concatenate((x, x, gap[::-1], long))
+    assert sum(hi - lo for lo, hi in linededup.common_words(a, b)) == 45 + 26 + 45
+    # in order, with a word changed here and there
+    b = np.concatenate((x, gap[:5], y, gap[5:9], x))
+    a = b.copy()
+    a[[28, 53]] = 1
+    assert [(lo, hi) for lo, hi in linededup.common_words(a, b)] == [(0, 28), (29, 53), (54, len(b))]
+
+
+def test_copies_go_whole_and_short_ones_stay(spark):
+    r = random.Random(5)
+    long, short = " ".join(word_of(r) for _ in range(60)), "just these few words"
+    rows = [(5, long), (3, long), (9, long + " more"), (3, long), (1, short), (2, short), (None, long), (7, None), (8, None)]
+    got = sorted(((x.doc_id, x.text, x.words_deleted) for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    want = [(5, "", 60), (3, "", 60), (9, "more", 60), (3, "", 60), (1, short, 0), (2, short, 0), (None, long, 0), (7, None, 0), (8, None, 0)]
+    assert got == sorted(want, key=repr)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y")], "doc_id long, text string, n_lines string, words string")
+    got = linededup.dedup_lines(docs, ["doc_id", "text", "n_lines", "words"]).first()
+    assert got.asDict() == {"doc_id": 1, "input_text": "a b c", "input_n_lines": "x", "words": "y", "text": "a b c", "n_lines": 1, "n_deleted": 0, "words_deleted": 0}
 
 
 def test_stray_words_of_a_line_stay():

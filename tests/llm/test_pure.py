@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from refloom.llm import decontaminate, idcodec, linededup, quality, resample, simhash, tokens, toxicity, warc
+from refloom.llm import decontaminate, idcodec, quality, resample, simhash, tokens, toxicity, warc
 from refloom.llm.html import main_text
 from refloom.llm.text import WordHashes, ascii_words, plain_words, shingle_hashes
 
@@ -248,30 +248,6 @@ def test_html_keeps_text_outside_a_teaser():
     assert main_text(f"<article><p>{long}</p></article><div><p>{long}</p></div>") == long.strip()
 
 
-def test_patience_anchors_and_blocks():
-    assert linededup.patience_anchors([1, 2, 3, 4], [1, 3, 2, 4]) in ([(0, 0), (1, 2), (3, 3)], [(0, 0), (2, 1), (3, 3)])
-    words = [10] * 6
-    assert linededup.common_blocks([1, 2, 3, 4, 5, 6], [9, 2, 3, 9, 5, 6], words, 20) == [(1, 3), (4, 6)]
-    assert linededup.common_blocks([5, 6, 2, 3], [2, 3, 9, 5, 6], [10] * 4, 20) == [(0, 4)]  # moved blocks too
-    assert linededup.common_blocks([7, 7, 7], [7, 7, 7, 7], [10] * 3, 20) == [(0, 3)]  # repeated lines too
-    assert linededup.common_blocks([1, 2], [1, 3], [10, 10], 20) == []
-
-
-def test_common_blocks_against_brute_force():
-    r = random.Random(5)
-    for _ in range(300):
-        a, b = ([r.randint(0, 6) for _ in range(r.randint(0, 14))] for _ in range(2))
-        words, want = [x + 1 for x in a], set()
-        for i in range(len(a)):
-            for j in range(i + 1, len(a) + 1):
-                if sum(words[i:j]) >= 8 and any(b[k : k + j - i] == a[i:j] for k in range(len(b))):
-                    want |= set(range(i, j))
-        got = {i for lo, hi in linededup.common_blocks(a, b, words, 8) for i in range(lo, hi)}
-        assert got <= want
-        shortest = {i for i in want if any(sum(words[x:y]) >= 8 and sum(words[x : y - 1]) < 8 and x <= i < y and any(b[k : k + y - x] == a[x:y] for k in range(len(b))) for x in range(i + 1) for y in range(i + 1, len(a) + 1))}
-        assert shortest <= got
-
-
 def test_sketch_is_lossless():
     r = random.Random(7)
     for _ in range(300):
