@@ -671,3 +671,6 @@ def fulltext_query(spark, sf_dir):
     engine.normalize_ids = True
     refs, _, _ = engine.extract_and_link(document_text(spark, sf_dir))
     return refs.select("doc_id", "id", "text", "start", "end", "status", "pub_id", F.size("claims_in_context").alias("n_claims"))
+
+
+from refloom.plans import remote_queries  # noqa: E402, F401  registers its queries

@@ -6,7 +6,7 @@ fields wanted are read by path. Nothing here is a UDF.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,24 +82,26 @@ def _pubmed(xml: Column) -> list[Column]:
 _NORMALIZERS: dict[str, Callable[[Column], list[Column]]] = {"openalex": _openalex, "openaire": _openaire, "crossref": _crossref, "hal": _hal}
 
 
-def publications(payloads: DataFrame, api: str, column: str = "payload") -> DataFrame:
-    """Payload strings of a source to publications; a payload that can't be read gives a row of nulls."""
+def publications(payloads: DataFrame, api: str, column: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
+    """Payload strings of a source to publications, beside the columns to keep; a payload that can't be read gives a row of nulls."""
     source(api)
     if api == "pubmed":
         well = F.col(column).rlike(r"(?s)^\s*<.*>\s*$")
-        return payloads.select(F.when(well, F.col(column)).alias("x")).select(*_pubmed(F.col("x")))
-    parsed = payloads.select(F.from_json(F.col(column), PAYLOADS[api], {"mode": "PERMISSIVE"}).alias("p"))
-    return parsed.select(*_NORMALIZERS[api](F.col("p")))
+        return payloads.select(*keep, F.when(well, F.col(column)).alias("x")).select(*keep, *_pubmed(F.col("x")))
+    parsed = payloads.select(*keep, F.from_json(F.col(column), PAYLOADS[api], {"mode": "PERMISSIVE"}).alias("p"))
+    return parsed.select(*keep, *_NORMALIZERS[api](F.col("p")))
 
 
 #: Where the rows of a search's response are.
 RESPONSE_ROWS = {"openalex": "$.results", "openaire": "$.results", "crossref": "$.message.items", "hal": "$.response.docs"}
 
 
-def response_rows(responses: DataFrame, api: str, column: str = "response") -> DataFrame:
-    """Search responses (JSON) to one payload string per row; a response without rows gives none."""
+def response_rows(responses: DataFrame, api: str, column: str = "response", keep: Sequence[str] = ()) -> DataFrame:
+    """Search responses (JSON) to one payload string per row, after the columns to keep and, if there are any, rank (from 1); a response without rows gives none."""
     rows = F.from_json(F.get_json_object(F.col(column), RESPONSE_ROWS[source(api).name]), "array<variant>")
-    return responses.select(F.explode(rows).alias("v")).select(F.to_json("v").alias("payload"))
+    if not keep:
+        return responses.select(F.explode(rows).alias("v")).select(F.to_json("v").alias("payload"))
+    return responses.select(*keep, F.posexplode(rows).alias("k", "v")).select(*keep, (F.col("k") + 1).alias("rank"), F.to_json("v").alias("payload"))
 
 
 def doi_section(main: Column, alternatives: Column) -> Column:
