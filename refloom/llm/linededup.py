@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
 
 from refloom.llm.shared import free_names, materialize
-from refloom.llm.text import WordHashes, rows_of
+from refloom.llm.text import rows_of
 
 MIN_WORDS = 20
 #: Windows of words of which one at least is met by its hash.
@@ -272,16 +272,61 @@ def delete_words(text: str | None, ranges: Sequence[tuple[int, int]], min_words:
 _NO_ID = -(1 << 63)
 
 
-def _slices(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[list[str | None], int, int]]:
-    """Texts in slices of about most characters, one text at least, with where each begins and ends."""
-    begin, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text or "") > most:
-            yield texts[begin:i], begin, i
-            begin, size = i, 0
-        size += len(text or "") + 1
-    if begin < len(texts):
-        yield texts[begin:], begin, len(texts)
+#: Bytes that part words, and a fixed random number for each byte.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_NUMBERS = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+#: Bytes whose prefix sums are in memory at a time.
+_BYTES = 1 << 18
+
+
+def byte_run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for ranges of bytes in order that don't overlap."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(int(np.searchsorted(ends, starts[i] + _BYTES, "right")), i + 1)
+        first, last = int(starts[i]), int(ends[j - 1])
+        if last - first > 4 * _BYTES:  # one word, longer than all others: piece by piece
+            pieces = np.arange(first, last, _BYTES)
+            out[i] = run_hashes(byte_run_hashes(data, pieces, np.append(pieces[1:], last)), np.array([0]), np.array([len(pieces)])).view(np.uint64)[0]
+        else:
+            power, inverse = _powers(last - first + 1)
+            sums = np.zeros(last - first + 1, np.uint64)
+            np.cumsum(_NUMBERS[data[first:last]] * power[:-1], out=sums[1:])
+            found = (sums[ends[i:j] - first] - sums[starts[i:j] - first]) * inverse[starts[i:j] - first]
+            found ^= found >> np.uint64(32)
+            found *= np.uint64(0xBF58476D1CE4E5B9)
+            out[i:j] = found ^ found >> np.uint64(29)
+        i = j
+    return out
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, documents, lines) of texts data[offsets[k]:offsets[k + 1]], in UTF-8: as meeting_hashes takes them."""
+    inside = ~_SPACE[data]
+    before, after = np.empty_like(inside), np.empty_like(inside)
+    if len(data):
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        before[0] = after[-1] = False
+        borders = offsets[(offsets > 0) & (offsets < len(data))]
+        before[borders] = after[borders - 1] = False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    documents = np.searchsorted(starts, offsets)
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    begins = np.ones(len(starts), bool)
+    begins[1:] = line[1:] != line[:-1]
+    begins[documents[:-1][documents[:-1] < len(starts)]] = True
+    return byte_run_hashes(data, starts, ends), documents, np.append(np.flatnonzero(begins), len(starts))
+
+
+def _slices(texts: pa.StringArray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(bytes, offsets, begin, end): texts in slices of about most bytes, one text at least. A null text is empty."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    begin = 0
+    while begin < len(texts):
+        end = max(int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1, begin + 1)
+        yield data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], begin, end
+        begin = end
 
 
 def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
@@ -301,20 +346,12 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            texts = [x for (x,) in rows_of(batch, "text")]
-            for some, begin, end in _slices(texts):
-                own, documents, lines = [], [0], [0]
-                for text in some:
-                    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
-                        if found := line.split():
-                            own += found
-                            lines.append(len(own))
-                    documents.append(len(own))
-                words, documents = hashes.of(own), np.array(documents, np.int64)
-                found, owners = meeting_hashes(words, documents, np.array(lines, np.int64), min_words)
-                runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(len(some) + 1)).astype(np.int32)), pa.array(found))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for data, offsets, begin, end in _slices(texts if texts.type == pa.string() else texts.cast(pa.string())):
+                words, documents, lines = cut_words(data, offsets)
+                found, owners = meeting_hashes(words, documents, lines, min_words)
+                runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(end - begin + 1)).astype(np.int32)), pa.array(found))
                 # 16 bits tell words apart well enough: a block takes min_words of them
                 short = pa.ListArray.from_arrays(pa.array(documents.astype(np.int32)), pa.array((words >> np.uint64(48)).astype(np.uint16).view(np.int16)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), short, runs], names=["id", "h", "words", "runs"])

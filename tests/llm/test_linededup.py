@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from refloom.llm import linededup
@@ -32,6 +33,33 @@ def owned(r, n=60):
     return docs
 
 
+def test_words_are_cut_as_split_cuts_them(monkeypatch):
+    """Hashes are equal for equal words and different for others; documents and lines are where they begin, whatever the slices."""
+    r = random.Random(2)
+    pieces = ["a", "b", "ab", "ba", "é", "\u00a0", "😀", " ", "  ", "\n", "\n\n", "\t", "\x0b", "\x0c", "\r", "\x1f", "x" * 9, "word"]
+    texts = [None if r.random() < 0.1 else "".join(r.choice(pieces) for _ in range(r.randint(0, 40))) for _ in range(300)] + ["y" * 5000, "y" * 4999 + " y", "", None]
+    array = pa.array(texts, pa.string())
+    for source in (array, pa.concat_arrays([pa.array(["no"]), array]).slice(1)):
+        for most, size in ((1 << 21, 1 << 18), (100, 64)):
+            monkeypatch.setattr(linededup, "_BYTES", size)
+            of, seen = {}, 0
+            for data, offsets, begin, end in linededup._slices(source, most):
+                assert begin == seen
+                seen = end
+                words, documents, lines = linededup.cut_words(data, offsets)
+                want, starts, begins = [], [0], []
+                for text in texts[begin:end]:
+                    for line in (text or "").encode().split(b"\n"):
+                        if line.split():
+                            begins.append(len(want))
+                            want += line.split()
+                    starts.append(len(want))
+                assert documents.tolist() == starts and lines.tolist() == [*begins, len(want)] and len(words) == len(want)
+                for w, h in zip(want, words.tolist(), strict=True):
+                    assert of.setdefault(w, h) == h
+            assert seen == len(texts) and len(set(of.values())) == len(of) > 300
+
+
 def test_run_hashes_depend_on_the_run_only():
     r = np.random.default_rng(1)
     values = r.integers(0, 1 << 60, 500)
