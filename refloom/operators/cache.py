@@ -28,26 +28,39 @@ def not_yet_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys), keys, "left_anti")
 
 
+def _upto(counts: dict[int, int], keep: int, last: int) -> tuple[int, int]:
+    """The first of the classes 0 to last with which there are keep rows, and how many of its rows are needed."""
+    cut = 0
+    while cut < last and counts.get(cut, 0) < keep:
+        keep -= counts.get(cut, 0)
+        cut += 1
+    return cut, keep
+
+
 def evict(store: DataFrame, limit: int, share: float = 0.8, inserted: str = "inserted_at", ranges: int = 200) -> DataFrame:
     """A store of more than limit rows, cut to its newest share * limit; a smaller one as it is.
 
-    Rows are counted by range of their time; only the range in which the cut lies, one of ranges, is put in order.
+    Rows of equal time are in the order of a hash of the row, so the cut is repeatable. Rows are counted by range of
+    their time, where each edge between ranges, and so any time that many rows share, is a range of its own; only the
+    range with the cut, one of `ranges`, is put in order, or, where its rows share one time, one of 65,536 of its hashes.
     """
     n = store.count()
     if n <= limit:
         return store
-    keep = int(share * limit)
+    keep, own = int(share * limit), F.xxhash64(*store.columns)
     edges = sorted(set(store.agg(F.percentile_approx(inserted, [i / ranges for i in range(1, ranges)], 10_000)).first()[0]), reverse=True)
-    # how many edges are newer than a row: 0 in the newest range
-    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e > F.col(inserted)))
-    counts = dict(store.groupBy(place.alias("place")).count().collect())
-    cut = 0
-    while counts.get(cut, 0) < keep and cut < len(edges):
-        keep -= counts.get(cut, 0)
-        cut += 1
-    placed = store.withColumn("__place", place)
-    last = placed.where(F.col("__place") == cut).withColumn("__r", F.row_number().over(Window.orderBy(F.desc(inserted)))).where(F.col("__r") <= keep)
-    return placed.where(F.col("__place") < cut).select(*store.columns).unionByName(last.select(*store.columns))
+    all_edges = F.array(*map(F.lit, edges))
+    # newest first: above the first edge, at it, between it and the second...
+    place = 2 * F.size(F.filter(all_edges, lambda e: e > F.col(inserted))) + F.array_contains(all_edges, F.col(inserted)).cast("int")
+    rows = store.select(*store.columns, place.alias("__place"), own.alias("__hash"))
+    cut, keep = _upto(dict(rows.groupBy("__place").count().collect()), keep, 2 * len(edges))
+    whole, last = rows.where(F.col("__place") < cut), rows.where(F.col("__place") == cut)
+    if cut % 2:
+        last = last.withColumn("__place", F.shiftrightunsigned("__hash", 48).cast("int"))
+        cut, keep = _upto(dict(last.groupBy("__place").count().collect()), keep, 65_535)
+        whole, last = whole.unionByName(last.where(F.col("__place") < cut)), last.where(F.col("__place") == cut)
+    some = last.withColumn("__r", F.row_number().over(Window.orderBy(F.desc(inserted), "__hash"))).where(F.col("__r") <= keep)
+    return whole.select(*store.columns).unionByName(some.select(*store.columns))
 
 
 def hit_rate(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -25,15 +25,17 @@ from refloom.operators.ensemble import backfill, elect, votes
 from refloom.operators.entities import group_entities, merge_fragments
 from refloom.operators.evaluate import DISPLAY, calibration, comparison, compare_runs, expected_error, final_evaluation, metrics, precision_recall
 from refloom.operators.journals import resolve_journals
+from refloom.operators.pairs import count_patterns, fit_pairs, with_pattern
 from refloom.operators.rank import decide
 from refloom.operators.retrieve import BITS, candidates, expand_tiers, field_names, index_catalog, search
+from refloom.operators.store import ResultStore
 from refloom.operators.spans import attach_sentences, chunk_by_newline, citation_groups, group_adjacent, mask_mention, mentions_by_id, reference_list, split_sentences
 from refloom.plans.engine import Engine
 from refloom.plans.fixtures import CITES, WORKS, cites, document_text, entity_struct, publications, works
 from refloom.sources.payloads import apa_citation, publications as parse_publications
 from refloom.sources.requests import params_key, params_of, query_parts, request_url
 from refloom.sources.spec import SOURCES, source
-from refloom.sources.storage import settled
+from refloom.sources.storage import new_place, settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -624,6 +626,36 @@ def compare_query(spark, sf_dir):
     return out.select("n_a", "n_b", F.round("accuracy_a", 6).alias("accuracy_a"), F.round("accuracy_b", 6).alias("accuracy_b"), F.round("t", 4).alias("t"))
 
 
+# the model of pairs
+
+
+def _year_pairs(spark, sf_dir) -> DataFrame:
+    """Citations and all publications of their journal and year."""
+    c = cites(spark, sf_dir).select("citation_id", entity_struct().alias("e"))
+    p = publications(spark, sf_dir, "openalex")
+    return c.join(p, (F.col("e.journal") == p["journal"]) & (F.col("e.publication_year") == p["publication_year"]))
+
+
+_PATTERNS = """w AS (SELECT *, list_distinct(string_split(lower(title), ' ')) AS tokens FROM works),
+x AS (SELECT concat(CASE WHEN c.raw_doi IS NULL OR NOT (citation_id % 4 = 1 OR citation_id % 11 <> 2) THEN '2' WHEN c.doi = w.doi THEN '1' ELSE '0' END,
+  CASE WHEN len(list_intersect(list_distinct(string_split(lower(c.title), ' ')), tokens)) / len(list_distinct(list_concat(list_distinct(string_split(lower(c.title), ' ')), tokens))) >= 0.8 THEN '1' ELSE '0' END,
+  CASE WHEN CASE citation_id % 6 WHEN 4 THEN false WHEN 2 THEN c.surname = w.surname OR c.surname2 = w.surname2 ELSE c.surname = w.surname END THEN '1' ELSE '0' END, '11',
+  CASE WHEN c.volume = w.volume THEN '1' ELSE '0' END, CASE WHEN c.issue = w.issue THEN '1' ELSE '0' END, CASE WHEN c.first_page = w.first_page THEN '1' ELSE '0' END, CASE WHEN suffix(w.last_page, raw_last) THEN '1' ELSE '0' END) AS pattern
+  FROM cites c JOIN w ON c.journal = w.journal AND c.raw_year = w.pub_year)"""
+
+
+@query("pair_patterns", f"WITH {_PATTERNS} SELECT pattern, count(*) AS n FROM x GROUP BY pattern")
+def patterns_query(spark, sf_dir):
+    return count_patterns(with_pattern(_year_pairs(spark, sf_dir)))
+
+
+@query("pair_matches")
+def matches_query(spark, sf_dir):
+    """Each citation and publication of its journal and year with the probability that they match, by a model of all such pairs; tests hold the model against a plain loop."""
+    pairs = settled(with_pattern(_year_pairs(spark, sf_dir)).select("citation_id", "pub_id", "pattern"))
+    return pairs.select("citation_id", "pub_id", F.round(fit_pairs(pairs).probability(F.col("pattern")), 6).alias("probability"))
+
+
 # caching and resuming
 
 
@@ -638,6 +670,21 @@ def hit_rate_query(spark, sf_dir):
     return hit_rate(cites(spark, sf_dir), ["title"]).select("total", "hits")
 
 
+@query("cache_store_stats", """
+WITH k AS (SELECT DISTINCT citation FROM cites WHERE raw_doi IS NOT NULL)
+SELECT 3 AS version, (SELECT count(*) FROM k) AS entries, count(*) AS asked, count(k.citation) AS hits, count(*) - count(k.citation) AS misses, concat(round(100 * count(k.citation) / count(*), 1), '%') AS rate
+FROM cites LEFT JOIN k USING (citation)""")
+def store_query(spark, sf_dir):
+    """Two runs put results, with some citations in both; then all citations are looked up."""
+    c = cites(spark, sf_dir)
+    keyed = c.select(cache_key(F.col("citation"), F.lit("openalex"), F.lit("simple")).alias("key"), "citation_id", "doi", "raw_doi")
+    store = ResultStore(spark, new_place(spark, "results"), ["key"], "key string, doi string")
+    store.put(keyed.where("raw_doi is not null").select("key", "doi").distinct())
+    store.put(keyed.where("raw_doi like 'https%'").select("key", "doi").distinct())
+    store.look_up(keyed.select("key"))
+    return store.stats().drop("entry_limit")
+
+
 @query("resume_pending", "SELECT citation_id FROM cites WHERE citation_id % 4 <> 0")
 def resume_query(spark, sf_dir):
     c = cites(spark, sf_dir).select("citation_id")
