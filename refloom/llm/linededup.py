@@ -161,6 +161,8 @@ def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
         if alo >= ahi or blo >= bhi:
             continue
         place = alo + np.flatnonzero(a[alo:ahi] >= 0)
+        if not len(place):
+            continue
         values, first, times = np.unique(a[place], return_index=True, return_counts=True)
         others, other_first, other_times = np.unique(b[blo:bhi], return_index=True, return_counts=True)
         _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
@@ -185,6 +187,15 @@ def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _any_in(some: np.ndarray, words: np.ndarray) -> bool:
+    """Whether any of some is among words; 16-bit numbers are looked up in a table."""
+    if words.dtype != np.uint16 or some.dtype != np.uint16:
+        return bool(np.isin(some, words).any())
+    table = np.zeros(1 << 16, bool)
+    table[words] = True
+    return bool(table[some].any())
+
+
 def common_words(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, moved: int | None = None) -> list[tuple[int, int]]:
     """Ranges [from, to) of the words of a that stand in b as a run too.
 
@@ -193,29 +204,40 @@ def common_words(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, moved
     passes over, as it is moved or repeated, counts if it has `moved` words (two times min_words unless given).
     """
     moved = 2 * min_words if moved is None else moved
-    if min(len(a), len(b)) < min_words:
+    shorter = min(len(a), len(b))
+    if shorter < min_words:
         return []
     if len(a) == len(b) and (a == b).all():
         return [(0, len(a))]
-    of_a, of_b = (run_hashes(x, at := np.arange(len(x) - min_words + 1), at + min_words) for x in (a, b))
-    known, numbers_b = np.unique(of_b, return_inverse=True)
-    place = np.minimum(np.searchsorted(known, of_a), len(known) - 1)
-    numbers_a = np.where(known[place] == of_a, place, -1)
-    if not (numbers_a >= 0).any():
-        return []
-    taken = np.zeros(len(a) + 1, np.int64)
-    aligned = np.zeros(len(of_a), bool)
-    for i, _, n in patience_blocks(numbers_a, numbers_b):
-        aligned[i : i + n] = True
-        taken[i] += 1
-        taken[i + n - 1 + min_words] -= 1
-    if min(len(a), len(b)) >= moved and ((numbers_a >= 0) & ~aligned).any():
-        longer_a, longer_b = (run_hashes(x, at := np.arange(len(x) - moved + 1), at + moved) for x in (a, b))
-        both = np.flatnonzero(np.isin(longer_a, longer_b))
-        np.add.at(taken, both, 1)
-        np.add.at(taken, both + moved, -1)
-    bounds = np.flatnonzero(np.diff(np.cumsum(taken) > 0, prepend=False)).tolist()
-    return list(zip(bounds[::2], bounds[1::2], strict=True))
+    # windows of what both begin and end with are aligned; the others need the words of no more than these and their neighbours
+    differ = np.flatnonzero(a[:shorter] != b[:shorter])
+    head = max(0, (int(differ[0]) if len(differ) else shorter) - min_words + 1)
+    differ = np.flatnonzero(a[len(a) - shorter :] != b[len(b) - shorter :])
+    tail = max(0, (shorter - 1 - int(differ[-1]) if len(differ) else shorter) - min_words + 1)
+    tail = min(tail, shorter - min_words + 1 - head)
+    ranges = ([(0, head + min_words - 1)] if head else []) + ([(len(a) - tail - min_words + 1, len(a))] if tail else [])
+    middle_a, middle_b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if min(len(middle_a), len(middle_b)) >= min_words:
+        of_a, of_b = (run_hashes(x, at := np.arange(len(x) - min_words + 1), at + min_words) for x in (middle_a, middle_b))
+        known, numbers_b = np.unique(of_b, return_inverse=True)
+        place = np.minimum(np.searchsorted(known, of_a), len(known) - 1)
+        numbers_a = np.where(known[place] == of_a, place, -1)
+        if (numbers_a >= 0).any():
+            ranges += [(head + i, head + i + n - 1 + min_words) for i, _, n in patience_blocks(numbers_a, numbers_b)]
+    left = np.ones(len(a), bool)
+    for lo, hi in ranges:
+        left[lo:hi] = False
+    # a run that is moved has a word that is left, and b has that word
+    if len(middle_a) >= moved and len(b) >= moved and _any_in(a[left], b):
+        longer_a, longer_b = (run_hashes(x, at := np.arange(len(x) - moved + 1), at + moved) for x in (middle_a, b))
+        ranges += [(head + i, head + i + moved) for i in np.flatnonzero(np.isin(longer_a, longer_b)).tolist()]
+    found: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if found and lo <= found[-1][1]:
+            found[-1] = (found[-1][0], max(found[-1][1], hi))
+        else:
+            found.append((lo, hi))
+    return found
 
 
 def _without(line: bytes, dead: list[bool]) -> bytes:
@@ -242,6 +264,9 @@ def delete_words(text: str | None, ranges: Sequence[tuple[int, int]], min_words:
     if not ranges:
         return text, sum(not line.isspace() and line != b"" for line in lines), 0, 0
     counts = [len(line.split()) for line in lines]
+    if any(lo <= 0 and hi >= sum(counts) for lo, hi in ranges):
+        n_lines = sum(c > 0 for c in counts)
+        return b"\n".join(line for line, c in zip(lines, counts, strict=True) if not c).decode("utf-8", "surrogatepass"), n_lines, n_lines, sum(counts)
     bounds = np.concatenate(([0], np.cumsum(counts)))
     n_lines = sum(c > 0 for c in counts)
     gone = np.zeros(int(bounds[-1]) + 1, bool)
@@ -329,10 +354,15 @@ def _slices(texts: pa.StringArray, most: int = 1 << 21) -> Iterator[tuple[np.nda
         begin = end
 
 
+def _blobs(words: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The two upper bytes of each word's hash, as one binary value a document: they tell words apart well enough, as a block takes min_words of them."""
+    data = (words >> np.uint64(48)).astype("<u2").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((2 * bounds).astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
 def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
-    """The lists of an Arrow column of lists of numbers, as arrays."""
-    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
+    """The values of a column of _blobs, as arrays."""
+    return (np.frombuffer(x.as_buffer(), "<u2") for x in column)
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -352,11 +382,9 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 words, documents, lines = cut_words(data, offsets)
                 found, owners = meeting_hashes(words, documents, lines, min_words)
                 runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(end - begin + 1)).astype(np.int32)), pa.array(found))
-                # 16 bits tell words apart well enough: a block takes min_words of them
-                short = pa.ListArray.from_arrays(pa.array(documents.astype(np.int32)), pa.array((words >> np.uint64(48)).astype(np.uint16).view(np.int16)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), short, runs], names=["id", "h", "words", "runs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), _blobs(words, documents), runs], names=["id", "h", "words", "runs"])
 
-    cut_up = materialize(rows.mapInArrow(cut, "id long, h long, words array<short>, runs array<long>"), "lines")
+    cut_up = materialize(rows.mapInArrow(cut, "id long, h long, words binary, runs array<long>"), "lines")
     runs = cut_up.select("id", "h", F.explode("runs").alias("run"))
     owners = runs.groupBy("run").agg(F.min(F.struct("id", "h")).alias("o"), F.max(F.struct("id", "h")).alias("last")).where("o != last")
     owners = materialize(owners.select(F.col("run").alias("run2"), F.col("o.id").alias("oid"), F.col("o.h").alias("oh")), "line-owners")
@@ -365,7 +393,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # a copy of an earlier text goes whole, and needs no other alignment
     copies = cut_up.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select(F.col("h").alias("ch"), "first")
     copies = materialize(copies, "line-copies")
-    whole = cut_up.select("id", "h", F.size("words").alias("n")).where(F.col("n") >= min_words).join(copies.hint("merge"), F.col("h") == F.col("ch")).where("id != first")
+    whole = cut_up.select("id", "h", (F.octet_length("words") / 2).cast("int").alias("n")).where(F.col("n") >= min_words).join(copies.hint("merge"), F.col("h") == F.col("ch")).where("id != first")
     rest = materialize(pairs.join(copies.hint("merge"), F.col("h") == F.col("ch"), "left").where("first is null or id = first").select("id", "h", "oid", "oh"), "line-pairs-to-align")
     # the owners' and the later documents' words are joined on; rows with equal id and text are one document
     own = cut_up.select(F.col("id").alias("oid2"), F.col("h").alias("oh2"), F.col("words").alias("owner_words")).dropDuplicates(["oid2", "oh2"])

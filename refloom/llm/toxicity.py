@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.llm.text import plain_words, rows_of
@@ -182,7 +182,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, how: ToxicityFit = ToxicityFit()) -> list[tuple[str, int]]:
-    """At most fit_rows different (text, label) of documents with a label that is not held out, those with the least hash, and of these as many as have fit_chars characters together.
+    """At most fit_rows different (text, label) of documents with a label that is not held out, those with the least hash; of these, in the order of the hash, each that still has room in fit_chars characters: one that hasn't is left out, and the next are tried.
 
     The ids are bounded first, so what is broadcast is too. A document with several labels counts once for each.
     """
@@ -190,9 +190,16 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, how: ToxicityFit = Toxicit
     own = own.orderBy(F.xxhash64("__id"), "__id", "__y").limit(how.fit_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select(F.coalesce("text", F.lit("")).alias("t"), "__y")
     texts = texts.groupBy(F.xxhash64("t").alias("h"), "__y").agg(F.first("t").alias("t")).orderBy("h", "__y").limit(how.fit_rows)
-    # a running sum over fit_rows rows at most
-    upto = F.sum(F.length("t").cast("long")).over(Window.orderBy("h", "__y").rowsBetween(Window.unboundedPreceding, 0))
-    found = texts.withColumn("upto", upto).where(F.col("upto") <= how.fit_chars).select("t", "__y").toArrow()
+    sizes = texts.select("h", "__y", F.length("t").alias("n")).collect()  # fit_rows at most
+    chosen, left = [], how.fit_chars
+    for r in sorted(sizes):
+        if r.n <= left:
+            chosen.append((r.h, r["__y"]))
+            left -= r.n
+    if len(chosen) < len(sizes):
+        kept = docs.sparkSession.createDataFrame(chosen, "__h long, __k int")
+        texts = texts.join(F.broadcast(kept), (F.col("h") == F.col("__h")) & (F.col("__y") == F.col("__k")), "left_semi")
+    found = texts.orderBy("h", "__y").select("t", "__y").toArrow()
     return list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
 
 
