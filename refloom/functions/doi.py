@@ -24,10 +24,13 @@ def clean_doi(c: Column) -> Column:
     return let(strip(without_resolver(c)), lambda v: F.when(v.rlike(DOI), v))
 
 
+_PREFIX = "^(?i:" + "|".join(p.replace(".", r"\.") for p in PREFIXES) + ")"
+
+
 def normalize_doi(c: Column) -> Column:
     """A DOI for comparison: the first fitting prefix off, no trailing slashes, lower case."""
-    bare = let(strip(c), lambda v: F.coalesce(*(F.when(F.lower(v).startswith(p), F.substr(v, F.lit(len(p) + 1))) for p in PREFIXES), v))
-    return F.nullif(F.lower(F.regexp_replace(strip(bare), "/+$", "")), F.lit(""))
+    bare = strip(F.regexp_replace(strip(c), _PREFIX, ""))
+    return F.nullif(F.lower(F.rtrim(bare, F.lit("/"))), F.lit(""))
 
 
 def comparable_doi(c: Column) -> Column:

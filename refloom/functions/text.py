@@ -7,6 +7,7 @@ characters and white space are Unicode's: regular expressions carry (?U) for the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ WHITE_CLASS = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, f"^[{WHITE_CLASS}]+|[{WHITE_CLASS}]+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeeze(c: Column) -> Column:
@@ -56,7 +57,7 @@ def normalize_text(c: Column) -> Column:
 def clean_title(c: Column) -> Column:
     """Without quotes and trailing punctuation; null under 3 characters."""
     bare = strip(squeeze(F.translate(c, "'\"", "")))
-    bare = F.regexp_replace(bare, rf"[.,;:\-{WHITE_CLASS}]+$", "")
+    bare = F.rtrim(bare, F.lit(".,;:-" + WHITE))
     return let(bare, lambda b: F.when(F.length(b) >= 3, b))
 
 
@@ -93,18 +94,48 @@ def encode_form(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
+# Steps of cleaning a value that a name stands for (an element of an array, or let's): they look at it first, since most need no change.
+
+
+def _glued(v: Column) -> Column:
+    return F.when(F.contains(v, F.lit("##")), F.regexp_replace(v, r"(?U)\s*##(\w+)", "$1")).otherwise(v)
+
+
+def _closed(v: Column) -> Column:
+    joined = v
+    for mark in (r"\.", "/", ":", "-"):
+        joined = F.regexp_replace(joined, f"[{WHITE_CLASS}]*{mark}[{WHITE_CLASS}]*", mark[-1])
+    return F.when(v.rlike(rf"[./:\-][{WHITE_CLASS}]|[{WHITE_CLASS}][./:\-]"), joined).otherwise(v)
+
+
+def _single(v: Column) -> Column:
+    return F.when(v.rlike(f"[{WHITE_CLASS.replace(' ', '')}]|  "), squeeze(v)).otherwise(v)
+
+
+def _without_pieces(v: Column) -> Column:
+    return F.when(F.contains(v, F.lit("##")), F.regexp_replace(v, r"(?U)\b##[^\s]*\b\s*", "")).otherwise(v)
+
+
+def _bare(v: Column) -> Column:
+    return F.btrim(v, F.lit(".,;:-" + WHITE))
+
+
+_JOIN, _DROP = (_glued, _closed, _single, strip), (_without_pieces, _single, _bare)
+
+
 def join_subwords(c: Column) -> Column:
     """Glues ##pieces of a subword tokenizer, and drops the spaces it left around . / : and -."""
-    v = F.when(F.contains(c, F.lit("##")), F.regexp_replace(c, r"(?U)\s*##(\w+)", "$1")).otherwise(c)
-    for mark in (r"\.", "/", ":", "-"):
-        v = F.regexp_replace(v, f"[{WHITE_CLASS}]*{mark}[{WHITE_CLASS}]*", mark[-1])
-    return strip(squeeze(v))
+    return reduce(let, _JOIN, c)
 
 
 def drop_debris(c: Column) -> Column:
     """Without leftover ## pieces and without punctuation at the ends."""
-    v = F.when(F.contains(c, F.lit("##")), F.regexp_replace(c, r"(?U)\b##[^\s]*\b\s*", "")).otherwise(c)
-    return F.regexp_replace(squeeze(v), rf"^[.,;:\-{WHITE_CLASS}]+|[.,;:\-{WHITE_CLASS}]+$", "")
+    return reduce(let, _DROP, c)
+
+
+def clean_each(values: Column) -> Column:
+    """drop_debris(join_subwords()) of each value, a pass over the array for each step."""
+    return reduce(F.transform, (*_JOIN, *_DROP), values)
 
 
 #: Letters outside a-z with their usual transliteration, letter by letter.

@@ -32,6 +32,7 @@ from refloom.operators.store import ResultStore
 from refloom.operators.spans import attach_sentences, chunk_by_newline, citation_groups, group_adjacent, mask_mention, mentions_by_id, reference_list, split_sentences
 from refloom.plans.engine import Engine
 from refloom.plans.fixtures import CITES, WORKS, cites, document_text, entity_struct, publications, works
+from refloom.sources.documents import chunk_documents
 from refloom.sources.payloads import apa_citation, publications as parse_publications
 from refloom.sources.requests import params_key, params_of, query_parts, request_url
 from refloom.sources.spec import SOURCES, source
@@ -292,6 +293,16 @@ def chunk_query(spark, sf_dir):
     return chunk_by_newline(_read(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL["document_chunks"] = ORACLE_SQL["chunk_by_newline"]
+
+
+@query("document_chunks")
+def document_chunks_query(spark, sf_dir):
+    """The same chunks by the table function over documents' bytes."""
+    files = _read(spark, sf_dir, "documents").select("doc_id", F.lit("x.txt").alias("path"), F.col("text").cast("binary").alias("content"))
+    return chunk_documents(files).select("doc_id", "chunk_no", "offset", "chunk")
+
+
 @query("split_sentences")
 def sentences_query(spark, sf_dir):
     return split_sentences(_read(spark, sf_dir, "documents"))
@@ -626,6 +637,20 @@ def compare_query(spark, sf_dir):
     return out.select("n_a", "n_b", F.round("accuracy_a", 6).alias("accuracy_a"), F.round("accuracy_b", 6).alias("accuracy_b"), F.round("t", 4).alias("t"))
 
 
+@query("compare_runs_p", f"""WITH RECURSIVE s AS ({_SCORED}), g AS (SELECT CASE WHEN sel_score > 0.75 THEN 1 ELSE 0 END AS a, CASE WHEN similarity > 0.5 THEN 1 ELSE 0 END AS b FROM s),
+w AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_samp(a) / count(*) AS ea, var_samp(b) / count(*) AS eb FROM g),
+t AS (SELECT (mb - ma) / sqrt(ea + eb) AS t, (ea + eb) * (ea + eb) / ((ea * ea + eb * eb) / (n - 1)) AS f FROM w),
+z AS (SELECT t, f, f / (f + t * t) AS x0, CASE WHEN f / (f + t * t) < (f / 2 + 1) / (f / 2 + 2.5) THEN f / (f + t * t) ELSE t * t / (f + t * t) END AS x, CASE WHEN f / (f + t * t) < (f / 2 + 1) / (f / 2 + 2.5) THEN f / 2 ELSE 0.5 END AS p, CASE WHEN f / (f + t * t) < (f / 2 + 1) / (f / 2 + 2.5) THEN 0.5 ELSE f / 2 END AS q FROM t),
+r AS (SELECT 400 AS k, x, p, q, 0.0::DOUBLE AS v FROM z
+  UNION ALL SELECT k - 1, x, p, q, CASE WHEN k % 2 = 0 THEN (k // 2) * (q - k // 2) * x / ((p + k - 1) * (p + k)) ELSE -(p + k // 2) * (p + q + k // 2) * x / ((p + k - 1) * (p + k)) END / (1 + v) FROM r WHERE k > 0)
+SELECT round(t, 6)::DOUBLE AS t, round(f, 4)::DOUBLE AS freedom, round(CASE WHEN x0 = z.x THEN y ELSE 1 - y END, 9)::DOUBLE AS p_value
+FROM z, (SELECT exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(x) + q * ln(1 - x)) / p / (1 + v) AS y FROM r WHERE k = 0)""")
+def compare_p_query(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    out = compare_runs(s.select((F.col("sel_score") > 0.75).alias("correct")), s.select((F.col("similarity") > 0.5).alias("correct")))
+    return out.select(F.round("t", 6).alias("t"), F.round("freedom", 4).alias("freedom"), F.round("p_value", 9).alias("p_value"))
+
+
 # the model of pairs
 
 

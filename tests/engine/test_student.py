@@ -1,0 +1,62 @@
+"""Student's t against closed forms, and Welch's test against a loop."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from refloom.functions.student import incomplete_beta, log_gamma, two_sided
+from refloom.operators.evaluate import compare_runs
+
+
+def closed(t, f):
+    """P(|T| >= t) for 1 to 4 degrees of freedom, and beyond them by the finite sum for whole numbers."""
+    a = math.atan2(t, math.sqrt(f))
+    if f % 2:
+        total, term = 0.0, math.cos(a)
+        for k in range(1, f - 1, 2):
+            total += term
+            term *= math.cos(a) ** 2 * (k + 1) / (k + 2)
+        return 1 - 2 / math.pi * (a + math.sin(a) * total)
+    total, term = 0.0, 1.0
+    for k in range(0, f - 1, 2):
+        total += term
+        term *= math.cos(a) ** 2 * (k + 1) / (k + 2)
+    return 1 - math.sin(a) * total
+
+
+def test_two_sided_against_closed_forms(spark):
+    cases = [(t, f) for f in (1, 2, 3, 4, 7, 10, 33, 200, 5001) for t in (0.0, 0.01, 0.5, 1.0, 1.96, 3.0, 8.0)]
+    rows = spark.createDataFrame([(t, float(f)) for t, f in cases], "t double, f double")
+    for r in rows.select("t", "f", two_sided(F.col("t"), F.col("f")).alias("p"), two_sided(-F.col("t"), F.col("f")).alias("q")).collect():
+        assert r.p == pytest.approx(closed(r.t, int(r.f)), abs=1e-9) and r.p == r.q
+    # values of the usual table
+    table = {(12.706204736, 1.0): 0.05, (2.228138852, 10.0): 0.05, (2.750, 30.0): 0.01, (1.959963985, 1e9): 0.05}
+    rows = spark.createDataFrame(list(table), "t double, f double")
+    for r in rows.select("t", "f", two_sided(F.col("t"), F.col("f")).alias("p")).collect():
+        assert r.p == pytest.approx(table[r.t, r.f], abs=2e-6 if r.t == 2.750 else 1e-8)
+    assert spark.range(1).select(two_sided(F.lit(None).cast("double"), F.lit(3.0)).alias("p")).first().p is None
+
+
+def test_gamma_and_beta(spark):
+    xs = [0.5, 1.0, 1.5, 2.0, 10.25, 1000.5, 1e6]
+    for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", log_gamma(F.col("x")).alias("g")).collect():
+        assert r.g == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-12)
+    rows = spark.createDataFrame([(x / 10,) for x in range(11)], "x double")
+    for r in rows.select("x", incomplete_beta(F.col("x"), F.lit(2.0), F.lit(3.0)).alias("b")).collect():
+        assert r.b == pytest.approx(6 * r.x**2 - 8 * r.x**3 + 3 * r.x**4, abs=1e-12)
+
+
+def test_welch(spark):
+    r = random.Random(6)
+    a, b = [r.random() < 0.6 for _ in range(80)], [r.random() < 0.72 for _ in range(130)]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "correct boolean")
+    got = compare_runs(frame(a), frame(b)).first()
+    mean = lambda xs: sum(xs) / len(xs)
+    e = [sum((x - mean(xs)) ** 2 for x in xs) / (len(xs) - 1) / len(xs) for xs in (a, b)]
+    assert got.t == pytest.approx((mean(b) - mean(a)) / math.sqrt(sum(e))) and got.freedom == pytest.approx(sum(e) ** 2 / (e[0] ** 2 / 79 + e[1] ** 2 / 129))
+    low, high = (closed(abs(got.t), int(got.freedom) + k) for k in (0, 1))
+    assert min(low, high) <= got.p_value <= max(low, high)
+    same = compare_runs(frame([True] * 5), frame([True] * 5)).first()
+    assert (same.t, same.freedom, same.p_value) == (None, None, None) and same.difference == 0
