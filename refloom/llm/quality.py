@@ -2,8 +2,9 @@
 
 A document's histogram of character classes and its histogram of common words are held against reference histograms of
 its language by Jensen-Shannon distance. Rules on counts (too short, mostly repeated) come first. References are measured
-on a bounded sample of documents labelled good, language by language; for a language with few of them there are built-in
-ones. Given the references, each verdict depends on its own row only: one pass, no shuffle, nothing kept between rows.
+on a bounded sample of documents labelled good, language by language, and shrunk towards built-in ones by their number, so
+that they move smoothly from these to what is measured. Given the references, each verdict depends on its own row only: one
+pass, no shuffle, nothing kept between rows.
 """
 
 from __future__ import annotations
@@ -43,10 +44,11 @@ COMMON_SHARE = 0.40
 
 @dataclass(frozen=True)
 class Reference:
-    """What text of a language looks like: shares of CLASSES, and the shares of some words (the rest is one class)."""
+    """What text of a language looks like: shares of CLASSES, and the shares of some words (the rest is one class); documents: how many it was measured on."""
 
     classes: Sequence[float]
     words: Mapping[str, float]
+    documents: int = 0
 
 
 def zipf_reference(lang: str) -> Reference:
@@ -82,14 +84,32 @@ def jensen_shannon(p: Sequence[float], q: Sequence[float]) -> float:
     return math.sqrt(max(total / 2, 0))
 
 
-def fit_references(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, least_documents: int = 100, most_words: int = 30) -> dict[str, Reference]:
-    """References of the languages of docs that have least_documents or more of the sample, from their pooled histograms.
+#: Languages whose samples are broadcast together; with more, Spark chooses how to join.
+MOST_BROADCAST = 256
 
-    Sample: the fit_rows documents labelled good (quality 1) with the least hash of their id, so its ids are broadcast
-    whatever the table's size. Each partition counts its own words; most_words of each language reach the driver.
+
+def good_sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """__id: of each language, the documents labelled good (quality 1) with the least hash of their id, fit_rows at most."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    own = docs.where("lang is not null").select("doc_id", F.col("lang").cast("string").alias("__lang")).join(good, F.col("doc_id") == F.col("__id")).select("__id", "__lang").distinct()
+    own = materialize(own, "quality-good")
+    many = own.groupBy(F.col("__lang").alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
+    # a share by hash first, so that what is put in order is bounded too
+    share = F.shiftrightunsigned(F.xxhash64("__id"), 11) / F.lit(float(1 << 53))
+    some = own.join(many, F.col("__lang") == F.col("__l")).where(share * F.col("__n") < 2 * fit_rows + 100)
+    ranked = some.withColumn("__r", F.row_number().over(Window.partitionBy("__lang").orderBy(F.shiftrightunsigned(F.xxhash64("__id"), 11), "__id")))
+    sample = materialize(ranked.where(F.col("__r") <= fit_rows).select("__id").distinct(), "quality-sample")
+    return F.broadcast(sample) if many.count() <= MOST_BROADCAST else sample
+
+
+def fit_references(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, least_documents: int = 100, most_words: int = 30, also: Mapping[str, Sequence[str]] | None = None) -> dict[str, Reference]:
+    """References of the languages of docs that have least_documents or more of good_sample, from their pooled histograms.
+
+    Their words are the most_words most frequent ones, and those of also by language. Each partition counts its own
+    words; these words of each language reach the driver.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
-    rows = docs.select("doc_id", "lang", "text").where("lang is not null").join(F.broadcast(good), F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    good = good_sample(docs, labels, fit_rows)
+    rows = docs.select("doc_id", "lang", "text").where("lang is not null").join(good, F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[tuple[str, str]] = Counter()
@@ -106,19 +126,37 @@ def fit_references(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, lea
     special = F.contains("word", F.lit(" "))
     totals = counts.where(~special).groupBy("lang").agg(F.sum("n").alias("total"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counts.where(~special).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most_words).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
+    wanted = F.lit(False)
+    for lang, words in (also or {}).items():
+        wanted = wanted | ((F.col("lang") == lang) & F.col("word").isin(*words))
+    top = counts.where(~special).withColumn("r", F.row_number().over(order)).where((F.col("r") <= most_words) | wanted).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
     classes = counts.where(special).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("classes"))
     classes = classes.where(F.try_element_at("classes", F.lit("all documents")) >= least_documents)
     found = {}
     for r in classes.join(totals, "lang").join(top, "lang").collect():  # a language needs least_documents of the sample: there are few
         chars = sum(r.classes.get(f"class {k}", 0) for k in CLASSES)
-        found[r.lang] = Reference(tuple(r.classes.get(f"class {k}", 0) / chars for k in CLASSES), {x.word: x.n / r.total for x in r.top})
+        found[r.lang] = Reference(tuple(r.classes.get(f"class {k}", 0) / chars for k in CLASSES), {x.word: x.n / r.total for x in r.top}, r.classes["all documents"])
     return found
 
 
-def rules_for(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> QualityRules:
-    """The rules with references measured on docs where there are labels enough."""
-    return replace(rules, references={**rules.references, **fit_references(docs, labels)})
+def blend(measured: Reference, prior: Reference, prior_documents: int) -> Reference:
+    """The mean of both, weighed by the number of documents: the prior counts as prior_documents."""
+    w = measured.documents / (measured.documents + prior_documents)
+    mixed = lambda a, b: w * a + (1 - w) * b
+    words = {x: mixed(measured.words.get(x, 0.0), prior.words.get(x, 0.0)) for x in sorted(measured.words.keys() | prior.words.keys())}
+    return Reference(tuple(map(mixed, measured.classes, prior.classes)), words, measured.documents)
+
+
+def rules_for(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules(), prior_documents: int = 100) -> QualityRules:
+    """The rules with the references of rules blended with what docs and labels say, each language by its number of documents.
+
+    A language that the rules have no reference for gets one from prior_documents on: below, it is compared by character
+    classes with the nearest only, as any language without reference.
+    """
+    own = {lang: list(r.words) for lang, r in rules.references.items()}
+    found = fit_references(docs, labels, least_documents=1, also=own)
+    new = {lang: blend(r, rules.references[lang], prior_documents) if lang in rules.references else r for lang, r in found.items() if lang in rules.references or r.documents >= prior_documents}
+    return replace(rules, references={**rules.references, **new})
 
 
 def repeated_words(words: list) -> int:

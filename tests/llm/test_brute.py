@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from refloom.llm import quality, resample, tokens, toxicity
@@ -129,9 +130,44 @@ def kept_by_quality(text, reference, rules=quality.QualityRules()):
     return len(words) < rules.min_common_words or distance(found, {**reference.words, "": 1 - sum(reference.words.values())}) <= rules.max_word_distance
 
 
+def blended(docs, prior=100):
+    """The built-in reference, and what the labelled good documents (as corpus labels them) say, weighed by their number."""
+    good = [d[1] or "" for d in docs if d[0] is not None and d[0] < 60 and d[0] % 4]
+    words, built = Counter(w for t in good for w in re.findall("[a-z]+", t.lower())), quality.zipf_reference("en")
+    top = {w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:30]} | {w for w in built.words if w in words}
+    share = len(good) / (len(good) + prior)
+    kind = lambda c: "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "space" if c in " \t\n\v\f\r" else "stop" if c in ".,;:!?'\"()-" else "other"
+    seen = Counter(kind(c) for t in good for c in t)
+    classes = [share * seen[k] / seen.total() + (1 - share) * x for k, x in zip(quality.CLASSES, built.classes, strict=True)]
+    return quality.Reference(classes, {w: share * words[w] / words.total() * (w in top) + (1 - share) * built.words.get(w, 0) for w in top | set(built.words)}, len(good))
+
+
+def test_references_move_from_built_in_ones_to_measured_ones(spark, corpus):
+    place, docs, _ = corpus
+    got = quality.rules_for(spark.read.parquet(f"{place}/documents.parquet"), spark.read.parquet(f"{place}/labels.parquet")).references
+    want = blended(docs)
+    assert set(got) == set(quality.COMMON_WORDS) and got["de"] == quality.zipf_reference("de")
+    assert got["en"].documents == want.documents > 20 and got["en"].words == pytest.approx(want.words) and list(got["en"].classes) == pytest.approx(want.classes)
+    one, other = quality.Reference((1.0,) * 6, {"a": 0.5}, 300), quality.Reference((0.0,) * 6, {"b": 0.4})
+    assert quality.blend(one, other, 100) == quality.Reference((0.75,) * 6, {"a": 0.375, "b": 0.1}, 300)
+    # a language of its own: by its words from as many documents on as count for a built-in reference
+    frame = spark.read.parquet(f"{place}/documents.parquet").withColumn("lang", F.lit("xx"))
+    labels = spark.read.parquet(f"{place}/labels.parquet")
+    assert "xx" not in quality.rules_for(frame, labels).references and quality.rules_for(frame, labels, prior_documents=20).references["xx"].documents == want.documents
+
+
+def test_samples_are_bounded_by_language(spark):
+    docs = spark.createDataFrame([(i, "text", "abc"[i % 7 % 3]) for i in range(900)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    for rows in (5, 100, 5000):
+        got = Counter("abc"[r["__id"] % 7 % 3] for r in quality.good_sample(docs, labels, rows).collect())
+        whole = Counter("abc"[i % 7 % 3] for i in range(900))
+        assert got == {k: min(rows, n) for k, n in whole.items()}
+
+
 def test_quality_verdicts(spark, corpus):
     place, docs, _ = corpus
-    reference = quality.zipf_reference("en")
+    reference = blended(docs)
     want = Counter((d[0], kept_by_quality(d[1], reference)) for d in docs)
     assert Counter((r.doc_id, r.kept) for r in QUERIES["op10_quality"](spark, place).collect()) == want and want.total() - sum(n for (_, k), n in want.items() if k) >= 3
 
@@ -153,7 +189,7 @@ def test_pipeline(spark, corpus):
     from tokenizers import Tokenizer
 
     place, docs, items = corpus
-    reference = quality.zipf_reference("en")
+    reference = blended(docs)
     good = [d for d in docs if kept_by_quality(d[1], reference)]
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d in good if (w := d[1].lower().split())]
     parent = list(range(len(good)))

@@ -235,8 +235,12 @@ def test_html(spark, corpus):
     assert Counter((r.page_id, r.url, r.text, r.n_chars) for r in rows) == Counter((p.page_id, p.url, t := html.main_text(p.html), len(t)) for p in pages)
 
 
+def fitted_rules(spark, corpus):
+    return quality.rules_for(spark.read.parquet(f"{corpus}/documents.parquet"), spark.read.parquet(f"{corpus}/labels.parquet"))
+
+
 def test_quality(spark, corpus):
-    rules = quality.QualityRules()
+    rules = fitted_rules(spark, corpus)
     want = Counter((d[0], *quality.measure(d[1], d[2], rules).values()) for d in documents(spark, corpus))
     assert Counter(tuple(r) for r in QUERIES["op10_quality"](spark, corpus).collect()) == want
     kept = {r.doc_id for r in quality.filter_quality(spark.read.parquet(f"{corpus}/documents.parquet")).collect()}
@@ -256,7 +260,7 @@ def test_columns_with_names_of_the_result(spark, corpus):
 
 def test_pipeline_against_its_stages_by_brute_force(spark, corpus):
     docs = documents(spark, corpus)
-    rules = quality.QualityRules()
+    rules = fitted_rules(spark, corpus)
     good = [d for d in docs if quality.measure(d[1], d[2], rules)["kept"]]
     classes = find_classes([(d[0], f) for d in good if (f := brute_fingerprint(d[1])) is not None])
     one = {}
