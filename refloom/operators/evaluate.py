@@ -53,14 +53,14 @@ def final_evaluation(api: Column, status: Column, pub_id: Column, main_doi: Colu
 
 
 def evaluate(results: DataFrame, gold: DataFrame, loose: bool = False) -> DataFrame:
-    """Adds expected and final_evaluation to results (citation, api, status, pub_id, main_doi, alternative_dois) of citations in gold."""
+    """Adds expected, final_evaluation and gold_doi to results (citation, api, status, pub_id, main_doi, alternative_dois) of citations in gold."""
     ids = F.create_map(*(x for a in ("openalex", "openaire", "pubmed", "hal") for x in (F.lit(a), F.col(f"g_{a}"))))
     g = gold.select(F.col("citation").alias("g_citation"), F.col("doi").alias("g_doi"), *(F.col(a).alias(f"g_{a}") for a in ("openalex", "openaire", "pubmed", "hal")))
     rows = results.join(g, F.col("citation") == F.col("g_citation"))
     own = F.when(F.col("api").isin("crossref", "ensemble"), F.col("g_doi")).otherwise(F.try_element_at(ids, F.col("api")))
     meta = F.col("metadata_match") if "metadata_match" in results.columns else F.lit(None).cast("string")
     verdict = final_evaluation(F.col("api"), F.col("status"), F.col("pub_id"), F.col("main_doi"), F.col("alternative_dois"), F.col("g_doi"), own, meta, loose)
-    return rows.select(*results.columns, present(own).alias("expected"), verdict.alias("final_evaluation"))
+    return rows.select(*(c for c in results.columns if c != "gold_doi"), present(own).alias("expected"), verdict.alias("final_evaluation"), present(F.col("g_doi")).alias("gold_doi"))
 
 
 def metrics(evaluated: DataFrame, apis: Sequence[str] = tuple(DISPLAY)) -> DataFrame:
@@ -86,8 +86,18 @@ def comparison(evaluated: DataFrame, apis: Sequence[str] = tuple(DISPLAY)) -> Da
 
 
 def details(evaluated: DataFrame, api: str) -> DataFrame:
-    """An approach's rows, for its own table."""
-    return evaluated.where(F.col("api") == api).select("citation_id", "citation", "status", "score", "pub_id", "main_doi", F.array_join("alternative_dois", "; ").alias("alternative_dois"), "expected", "final_evaluation")
+    """An approach's rows as its own table: twelve columns of a source's result, seven of the ensemble's. What evaluated doesn't have is empty."""
+    has = lambda c: F.col(c) if c in evaluated.columns else F.lit(None).cast("string")
+    head = {"Citation_ID": F.col("citation_id"), "Citation": F.col("citation"), "Gold_DOI": has("gold_doi")}
+    tail = {"Status": F.col("status"), "Final_Evaluation": F.col("final_evaluation")}
+    if api == "ensemble":
+        own = {"Consensus_DOI": F.col("main_doi"), "External_IDs": F.to_json("external_ids") if "external_ids" in evaluated.columns else has("external_ids")}
+        columns = head | own | tail
+    else:
+        dois = all_dois(F.col("main_doi"), F.col("alternative_dois"))
+        own = {f"Gold_{DISPLAY.get(api, api)}_ID": F.col("expected"), "Retrieved_ID": F.col("pub_id"), "Main_DOI": F.col("main_doi"), "Alternative_DOIs": F.array_join("alternative_dois", "; "), "Total_DOIs": F.size(dois), "Score": has("score")}
+        columns = head | own | tail | {"Formatted_Citation": has("apa")}
+    return evaluated.where(F.col("api") == api).select(*(c.alias(k) for k, c in columns.items()))
 
 
 def dashboard(measured: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from refloom.operators.evaluate import dashboard, evaluate, metrics, read_gold, read_results, save_reports
 from refloom.plans.engine import Engine
 from refloom.sources.spec import SOURCES, source
-from refloom.sources.storage import settled
+from refloom.sources.storage import scratch, settled
 
 RESULT = ("citation_id", "api", "citation", "status", "score", "pub_id", "main_doi", "alternative_dois", "apa")
 
@@ -47,9 +47,9 @@ def run_evaluation(engine: Engine, gold: DataFrame, apis: Sequence[str] | None =
     cited = own.select("citation_id", "citation")
     single = settled(engine.link_all(cited, apis))
     voted = engine.vote(cited, single, apis)
-    rows = single.select(*RESULT)
+    rows = single.select(*RESULT, F.lit(None).cast("map<string,string>").alias("external_ids"))
     status = F.when(F.col("selected_doi").isNotNull(), "RESULT").otherwise("NO_RESULT")
-    vote = voted.join(cited, "citation_id").select("citation_id", F.lit("ensemble").alias("api"), "citation", status.alias("status"), F.col("n_votes").cast("double").alias("score"), F.lit(None).cast("string").alias("pub_id"), F.col("selected_doi").alias("main_doi"), F.array().cast("array<string>").alias("alternative_dois"), F.lit(None).cast("string").alias("apa"))
+    vote = voted.join(cited, "citation_id").select("citation_id", F.lit("ensemble").alias("api"), "citation", status.alias("status"), F.col("n_votes").cast("double").alias("score"), F.lit(None).cast("string").alias("pub_id"), F.col("selected_doi").alias("main_doi"), F.array().cast("array<string>").alias("alternative_dois"), F.lit(None).cast("string").alias("apa"), "external_ids")
     judged = evaluate(rows.unionByName(vote), own, loose)
     return judged if kept is None else judged.unionByName(kept, allowMissingColumns=True)
 
@@ -72,14 +72,15 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
     tables = dict(p.partition("=")[::2] for p in asked.publications)
     engine = Engine({source(api).name: spark.read.parquet(path) for api, path in tables.items()})
     previous = read_results(spark, asked.resume_from) if asked.resume_from else None
-    judged = settled(run_evaluation(engine, read_gold(spark, asked.gold), list(tables), asked.skip, asked.limit, previous, asked.mode == "loose"))
-    apis = [a for a in (*SOURCES, "ensemble") if a in tables or a == "ensemble"]
-    save_reports(judged, asked.output, apis, asked.mode)
-    measured = metrics(judged, apis)
-    if asked.preview:
-        for r in dashboard(measured).orderBy("no").collect():
-            print(r.line)
-    return {r.api: r.accuracy for r in measured.collect()}
+    with scratch(spark):
+        judged = settled(run_evaluation(engine, read_gold(spark, asked.gold), list(tables), asked.skip, asked.limit, previous, asked.mode == "loose"))
+        apis = [a for a in (*SOURCES, "ensemble") if a in tables or a == "ensemble"]
+        save_reports(judged, asked.output, apis, asked.mode)
+        measured = metrics(judged, apis)
+        if asked.preview:
+            for r in dashboard(measured).orderBy("no").collect():
+                print(r.line)
+        return {r.api: r.accuracy for r in measured.collect()}
 
 
 if __name__ == "__main__":

@@ -21,9 +21,9 @@ from refloom.functions.text import clean_title, segment_title
 from refloom.operators.backends import RuleBackend, rule_is_citation
 from refloom.operators.cache import cache_key, hit_rate, not_yet_done
 from refloom.operators.dedup import first_per_doi, greedy_unique
-from refloom.operators.ensemble import backfill, elect, votes
+from refloom.operators.ensemble import admit, backfill, elect, votes
 from refloom.operators.entities import group_entities, merge_fragments
-from refloom.operators.evaluate import DISPLAY, calibration, comparison, compare_runs, expected_error, final_evaluation, metrics, precision_recall
+from refloom.operators.evaluate import DISPLAY, calibration, comparison, compare_runs, evaluate, expected_error, final_evaluation, metrics, precision_recall
 from refloom.operators.journals import resolve_journals
 from refloom.operators.pairs import count_patterns, fit_pairs, with_pattern
 from refloom.operators.rank import decide
@@ -566,6 +566,23 @@ def backfill_query(spark, sf_dir):
     return backfill(elect(votes(results, _APIS)), results, pubs, _APIS)
 
 
+@query("ensemble_admitted", f"""WITH r AS ({_RESULTS}) SELECT citation_id, api FROM r WHERE main_doi IS NOT NULL AND (api = 'openaire' OR citation_id % 10 >= 6)""")
+def admitted_query(spark, sf_dir):
+    rows = _results(spark, sf_dir).withColumns({"apa": F.when(F.col("api") != "openaire", F.col("citation")), "similarity": (F.col("citation_id") % 10) / 10})
+    return admit(rows).select("citation_id", "api")
+
+
+@query("evaluate_results", f"""WITH r AS ({_RESULTS}), g AS (SELECT citation, max(doi) AS doi, max(work_id) AS work_id FROM cites GROUP BY citation),
+x AS (SELECT r.*, g.doi, CASE WHEN r.api = 'crossref' THEN g.doi ELSE concat(r.api, '-', g.work_id) END AS expected FROM r JOIN cites c ON r.citation_id = c.citation_id JOIN g ON c.citation = g.citation)
+SELECT citation_id, api, expected, CASE WHEN main_doi IS NOT NULL AND (main_doi = doi OR alt = doi OR api <> 'crossref' AND expected = pub_id) THEN 'CORRECT' ELSE 'INCORRECT' END AS final_evaluation FROM x""")
+def evaluate_query(spark, sf_dir):
+    """The join of results with a gold standard by the citation's text, and the verdicts."""
+    named = [F.concat(F.lit(f"{a}-"), F.max("work_id")).alias(a) for a in ("openalex", "openaire", "pubmed", "hal")]
+    gold = cites(spark, sf_dir).groupBy("citation").agg(F.max("doi").alias("doi"), *named)
+    rows = _results(spark, sf_dir).withColumn("status", F.when(F.col("main_doi").isNull(), "NO_RESULT").otherwise("RESULT"))
+    return evaluate(rows, gold).select("citation_id", "api", "expected", "final_evaluation")
+
+
 _VERDICTS = f"""r AS ({_RESULTS}), e AS (SELECT r.citation_id, r.api, CASE WHEN r.citation_id % 23 = 5 THEN 'ERROR' WHEN r.main_doi IS NULL THEN 'NO_RESULT' ELSE 'RESULT' END AS status, CASE WHEN r.citation_id % 6 = 1 THEN NULL ELSE c.doi END AS gold_doi, CASE WHEN r.citation_id % 6 = 1 THEN NULL WHEN r.api = 'crossref' THEN c.doi ELSE concat(r.api, '-', c.work_id + CASE WHEN r.citation_id % 9 = 0 THEN 1 ELSE 0 END) END AS expected, r.main_doi, r.pub_id FROM r JOIN cites c ON r.citation_id = c.citation_id),
 x AS (SELECT *, CASE WHEN status = 'ERROR' THEN 'ERROR' WHEN status = 'NO_RESULT' THEN CASE WHEN expected IS NULL THEN 'CORRECT' ELSE 'INCORRECT' END WHEN main_doi = gold_doi OR (api <> 'crossref' AND expected = pub_id) THEN 'CORRECT' ELSE 'INCORRECT' END AS final_evaluation FROM e)"""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
 
 @dataclass(frozen=True)
 class SearchField:
@@ -242,3 +244,9 @@ class Limits:
     target: int = 10
     per_page: int = 5
     per_page_broad: int = 10
+
+
+def capability_summary(spark) -> DataFrame:
+    """What each source can be asked for, a row each: source, fields, tiers, several_dois, pause, retries, timeout, address."""
+    rows = [(s.name, list(s.fields), len(s.tiers), s.several_dois, float(s.pace.pause), s.pace.retries, float(s.pace.timeout), s.base_url) for s in SOURCES.values()]
+    return spark.createDataFrame(rows, "source string, fields array<string>, tiers int, several_dois boolean, pause double, retries int, timeout double, address string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,15 +48,25 @@ def new_place(spark: SparkSession, name: str) -> str:
     return _MADE[-1]
 
 
-def remove_places(spark: SparkSession) -> int:
-    """Deletes what was written to places of new_place, once no result that reads them is needed any more; gives their number."""
+def remove_places(spark: SparkSession, since: int = 0) -> int:
+    """Deletes what was written to places of new_place (but the first `since` of them), once no result that reads them is needed any more; gives their number."""
     gone = 0
-    while _MADE:
+    while len(_MADE) > since:
         path, system = _hadoop_path(spark, _MADE.pop())
         gone += bool(system.delete(path, True))
     return gone
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, tables may be written to the shared folder as needed; at its end those are deleted. What is computed from them has to be written elsewhere, or collected, before."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        remove_places(spark, before)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df in as many partitions as the session shuffles to, by keys if given: for much work on rows that take little space, which adaptive execution would put into few tasks."""
     spark = df.sparkSession

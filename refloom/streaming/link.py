@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from refloom.functions.entities import best_entities
 from refloom.plans.engine import Engine
+from refloom.sources.storage import scratch
 
 
 def parse_stream(citations: DataFrame, engine: Engine) -> DataFrame:
@@ -21,9 +22,10 @@ def unique_citations(citations: DataFrame, event_time: str, delay: str = "10 min
 
 
 def link_stream(citations: DataFrame, engine: Engine, api: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Links each micro-batch and writes it below out, in a folder of the batch's own that a repeated batch overwrites."""
+    """Links each micro-batch and writes it below out, in a folder of the batch's own that a repeated batch overwrites. A batch's intermediate tables go with it."""
 
     def write(batch: DataFrame, number: int) -> None:
-        engine.link(batch, api).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with scratch(batch.sparkSession):
+            engine.link(batch, api).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return citations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

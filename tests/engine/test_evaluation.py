@@ -47,3 +47,27 @@ def test_command_line(spark, tmp_path, capsys):
     accuracy = evaluation.main(args, spark)
     assert accuracy["openalex"] == 0.5 and "OpenAlex" in capsys.readouterr().out
     assert read_results(spark, str(tmp_path / "out" / "05_results")).count() == 6
+
+
+def test_detail_tables_have_all_columns(spark):
+    from refloom.operators.evaluate import details, evaluate
+
+    kind = "citation_id string, api string, citation string, status string, score double, pub_id string, main_doi string, alternative_dois array<string>, apa string, external_ids map<string,string>"
+    rows = [("Cit_001", "openaire", "a text", "RESULT", 0.9, "oa::1", "10.1000/a", ["10.1000/b"], "apa", None), ("Cit_001", "ensemble", "a text", "RESULT", 2.0, None, "10.1000/a", [], None, {"openaire": "oa::1"})]
+    gold = spark.createDataFrame([(0, "a text", "10.1000/A", "W1", "oa::1", None, None, None)], "position int, citation string, doi string, openalex string, openaire string, pubmed string, crossref string, hal string")
+    judged = evaluate(spark.createDataFrame(rows, kind), gold)
+    assert details(judged, "openaire").first().asDict() == {
+        "Citation_ID": "Cit_001", "Citation": "a text", "Gold_DOI": "10.1000/A", "Gold_OpenAIRE_ID": "oa::1", "Retrieved_ID": "oa::1", "Main_DOI": "10.1000/a", "Alternative_DOIs": "10.1000/b",
+        "Total_DOIs": 2, "Score": 0.9, "Status": "RESULT", "Final_Evaluation": "CORRECT", "Formatted_Citation": "apa",
+    }
+    assert details(judged, "ensemble").first().asDict() == {"Citation_ID": "Cit_001", "Citation": "a text", "Gold_DOI": "10.1000/A", "Consensus_DOI": "10.1000/a", "External_IDs": '{"openaire":"oa::1"}', "Status": "RESULT", "Final_Evaluation": "CORRECT"}
+    # an earlier run's rows have less
+    assert details(judged.drop("gold_doi", "score", "apa", "external_ids"), "openaire").first().Gold_DOI is None
+
+
+def test_capabilities(spark):
+    from refloom.sources.spec import SOURCES, capability_summary
+
+    rows = {r.source: r for r in capability_summary(spark).collect()}
+    assert list(rows) == list(SOURCES) and rows["openaire"].several_dois and not rows["crossref"].several_dois
+    assert rows["pubmed"].pause == 1.2 and rows["hal"].retries == 3 and "DOI" in rows["openalex"].fields and rows["hal"].tiers == len(SOURCES["hal"].tiers)
