@@ -763,3 +763,4 @@ def fulltext_query(spark, sf_dir):
 
 
 from refloom.plans import remote_queries  # noqa: E402, F401  registers its queries
+from refloom.plans import more_queries  # noqa: E402, F401
