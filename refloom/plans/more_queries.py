@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from refloom.functions.doi import doi_match
 from refloom.functions.entities import RAW_TYPE, best_entities
+from refloom.operators.backends import RuleBackend
 from refloom.operators.cache import evict
 from refloom.operators.ensemble import elect, votes
 from refloom.operators.evaluate import read_results
 from refloom.operators.retrieve import BITS, expand_tiers, field_names, wanted
+from refloom.operators.spans import mentions_by_author_year, prescreen
 from refloom.plans.evaluation import numbered
 from refloom.plans.fixtures import cites, entity_struct
 from refloom.plans.queries import _APIS, _VOTES_SQL, _results, query
@@ -115,3 +117,24 @@ def rest_query(spark, sf_dir):
     ).cast(RAW_TYPE)
     found = cites(spark, sf_dir).withColumn("e", best_entities(raw))
     return found.select("citation_id", F.concat(F.regexp_replace("e.authors", r"\s+,", ","), F.lit(".")).alias("authors"), "e.journal", "e.issue", "e.page_last")
+
+
+@query("mention_match_author_year", """
+WITH m AS (SELECT citation_id // 10 AS doc_id, citation_id % 10 AS start, surname, raw_year, concat('case ', citation_id) AS sentence FROM cites),
+r AS (SELECT citation_id // 10 AS doc_id, CAST(100 + citation_id % 10 AS INT) AS ref_start, surname, pub_year FROM cites)
+SELECT r.doc_id, r.ref_start, string_agg(m.sentence, ';' ORDER BY m.start) AS claims FROM r JOIN m ON r.doc_id = m.doc_id AND r.surname = m.surname AND r.pub_year = m.raw_year GROUP BY 1, 2""")
+def author_year_query(spark, sf_dir):
+    k = F.col("citation_id")
+    rows = cites(spark, sf_dir).withColumn("doc_id", F.floor(k / 10))
+    mentions = rows.select("doc_id", (k % 10).cast("int").alias("start"), F.concat(F.lit("("), "surname", F.lit(" et al., "), "raw_year", F.lit(")")).alias("text"), F.concat(F.lit("case "), k).alias("masked_sentence"))
+    refs = rows.select("doc_id", (k % 10 + 100).cast("int").alias("start"), F.lit(None).cast("string").alias("id"), F.struct(F.concat("surname", F.lit(" & "), "surname2").alias("authors"), F.col("pub_year").alias("publication_year")).alias("e"))
+    return mentions_by_author_year(refs, mentions).select("doc_id", "ref_start", F.array_join("claims", ";").alias("claims"))
+
+
+@query("prescreen_references", r"""
+SELECT citation_id, length(text) >= 10 AND CAST(regexp_matches(text, '\b(19|20)\d{2}\b') AS INT) + CAST(regexp_matches(text, '10\.\d{4,}/\S+') AS INT) + CAST(regexp_matches(text, '\d+\s*\(\d+\)\s*\d+-\d+') AS INT) + CAST(text LIKE 'Surname_, A., %' AS INT) >= 2 AS valid
+FROM (SELECT citation_id, CASE WHEN citation_id % 5 = 1 THEN left(citation, 8) ELSE citation END AS text FROM cites)""")
+def prescreen_query(spark, sf_dir):
+    """References that are long enough and look like citations; every fifth is cut to eight characters."""
+    text = F.when(F.col("citation_id") % 5 == 1, F.substr("citation", F.lit(1), F.lit(8))).otherwise(F.col("citation"))
+    return prescreen(cites(spark, sf_dir).select("citation_id", text.alias("text")), RuleBackend()).select("citation_id", "valid")
