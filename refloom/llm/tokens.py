@@ -39,7 +39,7 @@ _GROUP, _BLOCK, _TRAILER = struct.Struct("<III"), struct.Struct("<III"), struct.
 #: A file is closed after the document with which it has so many ids, or so many documents.
 FILE_IDS, FILE_DOCUMENTS = 1 << 24, 1 << 20
 #: Chunks whose ids a worker keeps.
-CACHED = 1_000_000
+CACHED = 400_000
 #: Bytes of text that are cut into chunks at a time (whole texts).
 SLICE = 1 << 23
 
