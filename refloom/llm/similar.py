@@ -1,6 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, met through MinHash tables.
+"""Near-duplicates by exact Jaccard similarity of word shingles, met by SimHash and, further apart, through MinHash tables.
 
-Texts with equal sets of shingles are one node. Nodes meet in tables whose key is a few MinHash values; within a key
+Texts with equal sets of shingles are one node. Nodes whose SimHash fingerprints differ in few bits meet by the covering
+search, which misses none of them. Such a radius holds nearly equal texts only (at a similarity of 0.8 some 10 of 64
+bits differ, and no covering search is selective there), so nodes meet in tables too, whose key is a few MinHash values; within a key
 they are sorted by further values, so that those most alike are neighbours. First each is compared with the first of
 its key, then with its nearest neighbours that are not yet in its component. That joins nearly all that belongs
 together, without pairs of a whole group. Where nodes of one key are then still in several components, those of
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.llm.components import connected_components
+from refloom.llm.covering import BITS, bits_set, majority, near_links
 from refloom.llm.shared import materialize
 from refloom.llm.text import WordHashes, rows_of, shingle_hashes
 
@@ -36,6 +39,8 @@ class Similarity:
     n: int = 5
     tables: int = 20
     values: int = 4
+    #: differing bits of two fingerprints up to which texts are compared
+    radius: int = 2
     #: neighbours within a key that each is compared with first
     neighbours: int = 8
     #: share of equal MinHash values from which two texts are compared: 4.5 standard errors below 0.8 for 80 values
@@ -59,6 +64,15 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def sketch(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingles, signed; 0 for an empty one. Equal sets have equal ones."""
+    ones = np.zeros(BITS, np.int64)
+    for a in range(0, len(shingles), STRETCH):
+        ones += bits_set(shingles[a : a + STRETCH])
+    found = majority(ones, len(shingles))
+    return found - (1 << 64) if found >> 63 else found
+
+
 class MinHashes:
     """MinHash values of a set; equal sets have equal ones."""
 
@@ -207,6 +221,15 @@ def _links(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
     return materialize(joined.mapInArrow(run, "a long, b long"), "similar-links")
 
 
+def _near(nodes: DataFrame, how: Similarity) -> DataFrame:
+    """(a, b) of nodes (node, fp) that are to be compared: those of equal fingerprints with the least of them, and the least ones of fingerprints that near_links links."""
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "similar-fingerprints")
+    left, right = (heads.select(F.col("fp").alias(f"f{x}"), F.col("head").alias(f"h{x}")) for x in "ab")
+    apart = near_links(heads.select("fp"), how.radius).join(left, F.col("a") == F.col("fa")).join(right, F.col("b") == F.col("fb")).select(F.greatest("ha", "hb").alias("a"), F.least("ha", "hb").alias("b"))
+    equal = nodes.select("node", "fp").join(left, F.col("fp") == F.col("fa")).where("node != ha").select(F.col("node").alias("a"), F.col("ha").alias("b"))
+    return apart.unionByName(equal)
+
+
 def similar_rows(hashed: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """doc_id, h and component of every row of hashed (doc_id, h, text), h being a hash of the text.
 
@@ -218,23 +241,24 @@ def similar_rows(hashed: DataFrame, how: Similarity = Similarity()) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minima = WordHashes(), MinHashes(how)
         for batch in batches:
-            nodes, keys, places = [], [], []
+            nodes, fps, keys, places = [], [], [], []
             for (text,) in rows_of(batch, "text"):
                 own = shingle_set(text, how.n, hashes)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
+                fps.append(sketch(own))
                 k, p = minima.keys(own) if len(own) else ([], [])
                 keys.append(k)
                 places.append(p)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(places, longs)], names=["doc_id", "h", "node", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, longs), pa.array(places, longs)], names=["doc_id", "h", "node", "fp", "keys", "places"])
 
-    rows = materialize(hashed.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h long, node long, keys array<long>, places array<long>"), "similar")
+    rows = materialize(hashed.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h long, node long, fp long, keys array<long>, places array<long>"), "similar")
     # equal nodes have equal keys; h of one of its texts stands for a node
-    nodes = materialize(rows.groupBy("node").agg(F.min("h").alias("h"), F.min("keys").alias("keys"), F.min("places").alias("places")), "similar-nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("places").alias("places")), "similar-nodes")
     tables = nodes.select("node", F.posexplode(F.arrays_zip("keys", "places")).alias("t", "x")).select("t", F.col("x.keys").alias("key"), F.col("x.places").alias("place"), "node")
     order = ["t", "key", "place", "node"]
     met = materialize(_meetings(tables.repartitionByRange(*order).sortWithinPartitions(*order)), "similar-meetings")
-    pairs = materialize(met.where("a != b").select("a", "b").distinct(), "similar-pairs")
+    pairs = materialize(met.where("a != b").select("a", "b").unionByName(_near(nodes, how)).distinct(), "similar-pairs")
     full = materialize(met.where("t is not null").groupBy("t", "key").agg(F.sum("n").alias("n")).where(F.col("n") > how.neighbours + 1).select("t", "key"), "similar-full")
     # every node that met another met the first of its key, or is that first; a key that ranges part has a first in each
     both = pairs.select(F.explode(F.array("a", "b")).alias("met")).unionByName(tables.join(met.where("t is not null and n = 1").select(F.col("t").alias("__t"), F.col("key").alias("__key")), (F.col("t") == F.col("__t")) & (F.col("key") == F.col("__key"))).select(F.col("node").alias("met"))).distinct()
