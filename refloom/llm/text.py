@@ -15,6 +15,8 @@ import xxhash
 _PUNCTUATION_TO_SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 #: Distinct words whose hashes a worker keeps; beyond that it starts anew, so memory stays bounded.
 CACHED_WORDS = 400_000
+#: Rows of a batch that are turned into Python values at a time: a batch may have 64 MB of texts.
+HELD_ROWS = 256
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -56,5 +58,7 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def rows_of(batch, *names: str) -> Iterator[tuple]:
-    """The named columns of an Arrow batch, row by row, as Python values."""
-    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+    """The named columns of an Arrow batch, row by row, as Python values, of which some rows' are held at a time."""
+    columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    for a in range(0, batch.num_rows, HELD_ROWS):
+        yield from zip(*(c.slice(a, HELD_ROWS).to_pylist() for c in columns), strict=True)
