@@ -316,7 +316,8 @@ class _Decoder(_Lanes):
         self.part = max(0, _ONE.bit_length() - 1 - max(0, min(12, 20 - (model.n + 1).bit_length())))
         self.hint = np.repeat(np.arange(len(model.start), dtype=np.int32), -(-(model.start + model.size) // (1 << self.part)) - -(-model.start // (1 << self.part)))
         self.keys = ((np.repeat(np.arange(model.n + 1), np.diff(model.escape_at, prepend=-1)) << 16) + model.start.astype(np.int64)).astype(np.int32 if model.n < 1 << 15 else np.int64)
-        self.ends = model.start + model.size
+        # an interval's start, size less 1 and symbol in one number, so that they take one look-up; a start is up to 2 ** 16
+        self.whole = model.symbol.astype(np.int64) << 33 | model.start.astype(np.int64) << 16 | model.size - 1
         every = np.arange(len(blocks))
         for _ in range(2):
             self.move(every, self.low)
@@ -340,12 +341,15 @@ class _Decoder(_Lanes):
         self.narrow(mine * miss, mine + (_ONE - 2 * mine) * miss)
         goal = self.target()
         found = self.hint.take((self.one << 16) + goal >> self.part)
-        late = np.flatnonzero(self.ends.take(found) <= goal)
+        whole = self.whole.take(found)
+        start, size = whole >> 16 & (_ONE << 1) - 1, (whole & _ONE - 1) + 1
+        late = np.flatnonzero(start + size <= goal)
         if len(late):
-            found[late] = np.searchsorted(self.keys, (self.one[late] << 16).astype(self.keys.dtype) + goal[late].astype(self.keys.dtype), "right") - 1
-        self.narrow(model.start.take(found) * miss, _ONE + (model.size.take(found) - _ONE) * miss)
+            place = np.searchsorted(self.keys, (self.one[late] << 16).astype(self.keys.dtype) + goal[late].astype(self.keys.dtype), "right") - 1
+            whole[late], start[late], size[late] = self.whole[place], model.start[place], model.size[place]
+        self.narrow(start * miss, _ONE + (size - _ONE) * miss)
         self.shift()
-        places = model.symbol.take(found).astype(np.int64)
+        places = whole >> 33
         at = np.flatnonzero((places == model.n) & (hit == 0))
         if len(at):
             unit = self.range[at] >> np.uint64(model.bits)

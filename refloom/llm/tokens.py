@@ -18,7 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +38,7 @@ MAGIC, END = b"RLIDS002", b"RLIDSEND"
 _GROUP, _BLOCK, _TRAILER = struct.Struct("<III"), struct.Struct("<III"), struct.Struct("<QQQI8s")
 #: A file is closed after the document with which it has so many ids, or so many documents.
 FILE_IDS, FILE_DOCUMENTS = 1 << 24, 1 << 20
-#: Chunks whose ids a worker keeps.
+#: Chunks whose ids a worker keeps; beyond that it forgets those that it met once.
 CACHED = 400_000
 #: Bytes of text that are cut into chunks at a time (whole texts).
 SLICE = 1 << 23
@@ -78,23 +78,36 @@ class _Pool:
     """Ids of strings that were met before: a string to its row, where its ids stand in one array."""
 
     def __init__(self):
-        self.known, self.start, self.count, self.ids = pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.known: dict[bytes, int] = {}
+        self.start, self.count, self.met, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def forget(self) -> None:
+        """Keeps the strings that were met again, three quarters of CACHED at most: those met most often. Earlier meetings count half from now on."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > 3 * CACHED // 4:
+            keep = np.sort(keep[np.argpartition(-self.met[keep], 3 * CACHED // 4)[: 3 * CACHED // 4]])
+        ids, ends = self.of(keep)
+        names = list(self.known)
+        self.known = {names[i]: row for row, i in enumerate(keep.tolist())}
+        self.count, self.met, self.ids = self.count[keep], self.met[keep] >> 1, ids
+        self.start = (ends - self.count).astype(np.int32)
 
     def rows(self, strings: pa.Array, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The rows of distinct strings; learn gives the ids of new ones, one after the other, and their numbers of ids."""
         if len(self.known) > CACHED:
-            self.__init__()
-        found = pc.index_in(strings, value_set=self.known)
-        new = found.is_null()
-        fresh = strings.filter(new)
-        if len(fresh):
+            self.forget()
+        found = np.fromiter(map(self.known.get, _list(strings), repeat(-1)), np.int64, len(strings))
+        new = found < 0
+        if new.any():
+            fresh, many = strings.filter(pa.array(new)), len(self.known)
             ids, counts = learn(fresh)
-            found = np.where(new.to_numpy(zero_copy_only=False), len(self.known) + np.cumsum(new.to_numpy(zero_copy_only=False)) - 1, found.fill_null(0).to_numpy())
-            self.known = pa.concat_arrays([self.known, fresh])
+            found[new] = np.arange(many, many + len(fresh))
+            self.known.update(zip(_list(fresh), range(many, many + len(fresh))))
             self.start = np.concatenate((self.start, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)))
             self.count, self.ids = np.concatenate((self.count, counts.astype(np.int32))), np.concatenate((self.ids, ids.astype(np.uint32)))
-            return found
-        return found.to_numpy()
+            self.met = np.concatenate((self.met, np.zeros(len(fresh), np.int32)))
+        self.met[found] += 1
+        return found
 
     def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows, one after the other, and where each row's end."""

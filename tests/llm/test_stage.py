@@ -50,3 +50,24 @@ def test_rounds_of_few_links_write_few_files(spark, monkeypatch):
 def test_links_of_the_search_stay_the_same(spark):
     table = spark.createDataFrame([(0,), (3,), (-1,)], "fp long")
     assert [tuple(x) for x in near_links(table, 2).collect()] == [(3, 0)]
+
+
+def test_a_full_pool_keeps_what_it_met_again(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from refloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHED", 8)
+    pool, learned = tokens._Pool(), []
+
+    def learn(fresh):
+        learned.extend(fresh.to_pylist())
+        return np.array([ord(x[:1]) for x in fresh.to_pylist() for _ in range(2)], np.uint32), np.full(len(fresh), 2)
+
+    for k in range(30):
+        strings = [b"a", b"b", *(f"{chr(99 + k % 20)}{k}{i}".encode() for i in range(3))]
+        rows = pool.rows(pa.array(strings, pa.large_binary()), learn)
+        ids, ends = pool.of(rows)
+        assert ids.tolist() == [x[0] for x in strings for _ in range(2)] and ends.tolist() == [2, 4, 6, 8, 10]
+    assert learned.count(b"a") == learned.count(b"b") == 1 and len(pool.known) <= 13
