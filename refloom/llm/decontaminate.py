@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from refloom.llm.text import WordHashes, plain_words, rows_of, shingle_hashes
+from refloom.llm.text import WordHashes, lean, plain_words, rows_of, shingle_hashes
 
 #: Bytes of item texts that go to executors at once; a larger benchmark is searched for in several blocks, each against all documents.
 BLOCK_BYTES = 8 << 20
@@ -142,7 +142,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
                     at, ids, share, shared = (list(c) for c in zip(*hits))
                     yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in range(len(keep))), pa.array(ids, item_type), pa.array(share, pa.float64()), pa.array(shared, pa.int64())], names=[*keep, "item_id", "containment", "shared"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(lean(run), schema)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -158,7 +158,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, contain
             for batch in batches:
                 yield batch.filter(pa.array([not search.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refloom.llm.shared import materialize
-from refloom.llm.text import rows_of
+from refloom.llm.text import lean, rows_of
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "other")
@@ -121,7 +121,7 @@ def fit_references(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, lea
                 words.update({(lang, f"class {k}"): n for k, n in zip(CLASSES, class_histogram(text or "", data), strict=True)} | {(lang, "all documents"): 1})
         yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in words], pa.string()), "word": pa.array([k[1] for k in words], pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
-    counts = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "quality-words")
     special = F.contains("word", F.lit(" "))
     totals = counts.where(~special).groupBy("lang").agg(F.sum("n").alias("total"))
@@ -252,7 +252,7 @@ def score_quality(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str
             found = [measure(t, g, rules) for t, g in rows_of(batch, "__text", "__lang")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array([x[k] for x in found], kinds[v]) for k, v in _FIELDS.items())], names=[*keep, *_FIELDS])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def filter_quality(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from refloom.llm.components import connected_components
 from refloom.llm.covering import BITS, bits_set, covering_masks, majority, near_links
 from refloom.llm.shared import materialize
 from refloom.llm.similar import Similarity, similar_rows
-from refloom.llm.text import rows_of
+from refloom.llm.text import lean, rows_of
 
 __all__ = ["BITS", "covering_masks", "drop_near_duplicates", "drop_similar", "fingerprint", "fingerprints", "near_duplicates", "near_links", "op2_simhash", "simhash_stage"]
 
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", n: int =
             found = np.array([fingerprint(t, n, seed) for (t,) in rows_of(batch, "__text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found)], names=[*keep, "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _classes(rows: DataFrame, radius: int) -> DataFrame:

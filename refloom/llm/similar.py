@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from refloom.llm.components import connected_components
 from refloom.llm.covering import BITS, bits_set, majority, near_links
 from refloom.llm.shared import materialize
-from refloom.llm.text import WordHashes, rows_of, shingle_hashes
+from refloom.llm.text import WordHashes, lean, rows_of, shingle_hashes
 
 #: Shingles that are hashed at once, which bounds the memory that a long text takes.
 STRETCH = 4096
@@ -124,7 +124,7 @@ def _meetings(tables: DataFrame) -> DataFrame:
         if own:
             yield _meeting_batch([], [(*own, n)])
 
-    return tables.mapInArrow(run, "a long, b long, t int, key long, n long")
+    return tables.mapInArrow(lean(run), "a long, b long, t int, key long, n long")
 
 
 def _neighbours(tables: DataFrame, of: DataFrame, how: Similarity) -> DataFrame:
@@ -152,8 +152,8 @@ def _neighbours(tables: DataFrame, of: DataFrame, how: Similarity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
     order, few = ["t", "key", "place", "node"], F.col("n") <= how.neighbours + 1
-    met = some.where(few).repartition("t", "key").sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
-    return met.unionByName(some.where(~few).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")).distinct()
+    met = some.where(few).repartition("t", "key").sortWithinPartitions(*order).mapInArrow(lean(run), "a long, b long")
+    return met.unionByName(some.where(~few).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(run), "a long, b long")).distinct()
 
 
 def _meeting_batch(pairs: list[tuple], keys: list[tuple]) -> pa.RecordBatch:
@@ -181,7 +181,7 @@ def _across(tables: DataFrame, full: DataFrame, of: DataFrame, texts: DataFrame,
 
     members = own.join(many, ["t", "key"])
     needed = members.select(F.col("node").alias("__node")).distinct()
-    values = materialize(texts.select("node", "text").join(needed, F.col("node") == F.col("__node"), "left_semi").mapInArrow(sign, "node long, values binary"), "similar-values")
+    values = materialize(texts.select("node", "text").join(needed, F.col("node") == F.col("__node"), "left_semi").mapInArrow(lean(sign), "node long, values binary"), "similar-values")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = members.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("t", "key", "node", "component", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).join(values.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
@@ -218,7 +218,7 @@ def _links(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    return materialize(joined.mapInArrow(run, "a long, b long"), "similar-links")
+    return materialize(joined.mapInArrow(lean(run), "a long, b long"), "similar-links")
 
 
 def _near(nodes: DataFrame, how: Similarity) -> DataFrame:
@@ -252,7 +252,7 @@ def similar_rows(hashed: DataFrame, how: Similarity = Similarity()) -> DataFrame
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, longs), pa.array(places, longs)], names=["doc_id", "h", "node", "fp", "keys", "places"])
 
-    rows = materialize(hashed.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h long, node long, fp long, keys array<long>, places array<long>"), "similar")
+    rows = materialize(hashed.select("doc_id", "h", "text").mapInArrow(lean(run), f"doc_id {kind}, h long, node long, fp long, keys array<long>, places array<long>"), "similar")
     # equal nodes have equal keys; h of one of its texts stands for a node
     nodes = materialize(rows.groupBy("node").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("places").alias("places")), "similar-nodes")
     tables = nodes.select("node", F.posexplode(F.arrays_zip("keys", "places")).alias("t", "x")).select("t", F.col("x.keys").alias("key"), F.col("x.places").alias("place"), "node")

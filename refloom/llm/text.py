@@ -6,10 +6,12 @@ these six bytes, which is faster than a regular expression and needs no table.
 
 from __future__ import annotations
 
+import ctypes
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _PUNCTUATION_TO_SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -19,6 +21,46 @@ CACHED_WORDS = 400_000
 HELD_ROWS = 256
 
 
+#: What this worker process keeps from task to task, by name.
+_KEPT: dict = {}
+
+
+def kept(name: object, make: Callable):
+    """The worker process's object of that name, made by the first task that asks for it."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def release() -> None:
+    """Gives memory that is free within this process back to the system, where its C library can do that."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def forget() -> None:
+    """Drops what tasks have kept."""
+    if _KEPT:
+        _KEPT.clear()
+        release()
+
+
+def lean(run: Callable, keeps: bool = False) -> Callable:
+    """run, a task's function of Arrow batches, for workers that Spark uses again for other tasks: it gives back free memory at a task's end.
+
+    Unless it keeps things itself it begins by dropping what tasks of other kinds have kept.
+    """
+
+    def leanly(batches: Iterator) -> Iterator:
+        if not keeps:
+            forget()
+        yield from run(batches)
+        release()
+
+    return leanly
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """The words of a text in UTF-8; a null text has none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

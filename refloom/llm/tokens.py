@@ -32,7 +32,7 @@ from pyspark.sql.types import IntegralType, NullType
 from refloom.llm.files import opened, written
 from refloom.llm.idcodec import GROUP, checksum, decode_group, encode_group
 from refloom.llm.shared import materialize, new_place
-from refloom.llm.text import rows_of
+from refloom.llm.text import kept, lean, rows_of
 
 MAGIC, END = b"RLIDS002", b"RLIDSEND"
 _GROUP, _BLOCK, _TRAILER = struct.Struct("<III"), struct.Struct("<III"), struct.Struct("<QQQI8s")
@@ -224,14 +224,9 @@ class CachedEncoder:
         return ids, np.diff(reached)
 
 
-_ENCODERS: dict[str, CachedEncoder] = {}
-
-
 def encoder_of(path: str) -> CachedEncoder:
     """The worker process's encoder, which keeps its chunks from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: CachedEncoder(path))
 
 
 class Documents(NamedTuple):
@@ -406,7 +401,7 @@ def write_tokens(docs: DataFrame, place: str, tokenizer: str | None = None, end_
         for number, name, documents, ids in write_files(parts(), place, task, file_ids):
             yield pa.RecordBatch.from_pydict({"part": pa.array([task], pa.int32()), "number": pa.array([number], pa.int32()), "path": [name], "documents": pa.array([documents], pa.int64()), "ids": pa.array([ids], pa.int64())})
 
-    files = materialize(rows.mapInArrow(run, "part int, number int, path string, documents long, ids long"), "token-files")
+    files = materialize(rows.mapInArrow(lean(run, keeps=True), "part int, number int, path string, documents long, ids long"), "token-files")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("path", "documents", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
 
@@ -426,7 +421,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         start = int(ends[-1])
 
     files = materialize(files.select("path", "start"), "token-starts")
-    return files.repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, files.count())).mapInArrow(lean(run, keeps=True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,14 @@ def test_a_finished_stream_leaves_no_tables(spark, tmp_path, monkeypatch):
     stream = spark.readStream.schema("citation_id long, citation string").parquet(f"{tmp_path}/in")
     link_stream(stream, engine, "openalex", f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     assert [r.pub_id for r in spark.read.parquet(f"{tmp_path}/out").select(F.col("pub_id")).collect()] == ["W1"] and os.listdir(tmp_path / "shared") == []
+
+
+def test_what_was_shuffled_for_a_table_goes_with_its_writing(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(storage, "_named", lambda _: f"file://{tmp_path}")
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    setting = spark.conf.get(storage._CLEANUP)
+    before = held()
+    table = storage.materialize(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("n")), "t")
+    assert held() <= before and table.count() == 100 and spark.conf.get(storage._CLEANUP) == setting
