@@ -42,6 +42,14 @@ FILE_IDS, FILE_DOCUMENTS = 1 << 24, 1 << 20
 CACHED = 400_000
 #: Bytes of text that are cut into chunks at a time (whole texts).
 SLICE = 1 << 23
+#: Pieces that go to the library's model at a time: it makes some 200 bytes of an id.
+LEARNED = 1 << 15
+#: Kinds of bytes that a piece has side by side: 1 letter, 2 digit, 3 another sign; 0 where that takes a closer look.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = 1
+_KIND[[*b"0123456789"]] = 2
+_KIND[ord("'")] = 0
 
 # Fixed value: where a byte-level BPE of this kind cuts a text.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -123,13 +131,23 @@ def _list(strings: pa.Array) -> list[bytes]:
     return strings.to_numpy(zero_copy_only=False).tolist()
 
 
+def _merged(first: np.ndarray, ids: np.ndarray, counts: np.ndarray, others: np.ndarray, other_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their numbers of strings in order: where first is set the next of ids and counts, else the next of the others."""
+    many = np.zeros(len(first), np.int64)
+    many[first], many[~first] = counts, other_counts
+    out, own = np.zeros(int(many.sum()), np.uint32), np.repeat(first, many)
+    out[own], out[~own] = ids, others
+    return out, many
+
+
 class CachedEncoder:
     """Ids of texts by a tokenizer of the tokenizers library, a column of texts at a time.
 
     A byte-level BPE first cuts a text into pieces by a pattern, and no piece depends on the others. A space or line end
-    between two characters that are no white space always begins a piece: so texts are cut there, and the ids of chunks
-    are kept. Arrow finds a column's distinct chunks; the new ones go to the library's model all at once. Any other kind of
-    tokenizer gets whole texts. Special tokens' strings in a text are ordinary text.
+    between two characters that are no white space always begins a piece, and so does an ASCII letter, digit or other sign
+    (but the apostrophe) after one of another of these kinds: so texts are cut there, and the ids of chunks are kept. Arrow
+    finds a column's distinct chunks; of the new ones those of one kind are pieces and go to the library's model, others
+    are cut by the pattern first. Any other kind of tokenizer gets whole texts. Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -162,7 +180,20 @@ class CachedEncoder:
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
     def _learn_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, one after the other, and their numbers of ids. A chunk of one kind, or a space and one kind, is a piece."""
+        data, sizes = np.frombuffer(b"".join(_list(chunks)), np.uint8), pc.binary_length(chunks).to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        unsure = _KIND[data] == 0
+        unsure[starts] &= (data[starts] != 32) | (sizes == 1)
+        pieces = ~np.logical_or.reduceat(unsure, starts)
+        ids, counts = self._learn_pieces(chunks.filter(pa.array(pieces)))
+        others, other_counts = self._learn_cut(chunks.filter(pa.array(~pieces)))
+        return _merged(pieces, ids, counts, others, other_counts)
+
+    def _learn_cut(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Chunks that begin with a space or line end and a character, and end with one don't depend on what stands next to them, so the pattern runs over all of them at once."""
+        if not len(chunks):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         listed, sizes = _list(chunks), pc.binary_length(chunks).to_numpy()
         data, ends = np.frombuffer(b"".join(listed), np.uint8), np.cumsum(sizes)
         apart = sizes > 1
@@ -176,13 +207,13 @@ class CachedEncoder:
         ids, upto = self.pieces.of(self.pieces.rows(distinct.dictionary, self._learn_pieces)[distinct.indices.to_numpy()])
         last = np.searchsorted(np.cumsum(pc.binary_length(pieces).to_numpy()), np.cumsum(sizes[apart]))
         others, other_counts = self._wholes([c.decode() for c, a in zip(listed, alone, strict=True) if not a])
-        counts = np.zeros(len(listed), np.int64)
-        counts[apart], counts[~apart] = np.diff(upto[last], prepend=0), other_counts
-        out, of_apart = np.zeros(int(counts.sum()), np.uint32), np.repeat(apart, counts)
-        out[of_apart], out[~of_apart] = ids, others
-        return out, counts
+        return _merged(apart, ids, np.diff(upto[last], prepend=0), others, other_counts)
 
     def _learn_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._some_pieces(pieces.slice(a, LEARNED)) for a in range(0, len(pieces), LEARNED)]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _some_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raw = _list(pieces)
         ids = np.array(self.lines.encode_batch_fast([b"\xff".join(raw).decode("latin-1").translate(self.letters)], add_special_tokens=False)[0].ids, np.int64)
         reached, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(pc.binary_length(pieces).to_numpy())
@@ -216,6 +247,8 @@ class CachedEncoder:
         space = np.flatnonzero((inner == 32) | (inner == 10)) + 1
         begins = np.zeros(len(data) + 1, bool)
         begins[space[_no_space(data, space - 1, True) & _no_space(data, space + 1, False)]] = True
+        kind = _KIND[data]
+        begins[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
         begins[bounds] = True
         cuts = np.flatnonzero(begins)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), buffer]).dictionary_encode()

@@ -3,10 +3,11 @@
 import os
 import sys
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from refloom.llm import text
+from refloom.llm import text, tokens
 
 
 def test_workers_drop_what_other_tasks_kept(spark):
@@ -46,3 +47,13 @@ def test_a_task_gives_free_memory_back():
 
     before = held()
     assert len(list(text.lean(run)(iter(())))) == 1 and held() - before < 60_000_000
+
+
+def test_texts_are_cut_where_kinds_of_signs_change():
+    encoder = tokens.CachedEncoder(tokens.default_tokenizer())
+    texts = ["word, word (x2), don't; it's.", "naïve, é. 'tis a's", "", "a1b2 c--d\n\n e", "..'s ''ll x'd"]
+    ids, counts = (np.concatenate(x) for x in zip(*encoder.encode(pa.array(texts))))
+    assert {b"word", b",", b" word", b" (", b"x", b"2"} <= set(encoder.chunks.known) and b"word," not in encoder.chunks.known
+    assert b"word" not in encoder.pieces.known
+    for own, n in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert n.tolist() == encoder.tokenizer.encode(own, add_special_tokens=False).ids
