@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
 
 from refloom.llm.shared import free_names, materialize
-from refloom.llm.text import rows_of
+from refloom.llm.text import lean, rows_of
 
 MIN_WORDS = 20
 #: Windows of words of which one at least is met by its hash.
@@ -135,6 +135,22 @@ def _chain(begins: np.ndarray, weights: np.ndarray) -> list[int]:
     return out[::-1]
 
 
+def _places(sought: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each of sought stands in known, which is sorted and not empty; -1 where it doesn't."""
+    at = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+    return np.where(known[at] == sought, at, -1)
+
+
+def _distinct(values: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, the first place of each and how often it occurs; values are from 0 to many - 1. Without sorting where these are few enough."""
+    if many > 4 * len(values):
+        return np.unique(values, return_index=True, return_counts=True)
+    times, first = np.bincount(values, minlength=many), np.empty(many, np.int64)
+    first[values[::-1]] = np.arange(len(values) - 1, -1, -1)  # of equal indices the last one counts
+    found = np.flatnonzero(times)
+    return found, first[found], times[found]
+
+
 def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """Patience diff: (from in a, from in b, length) of runs that are aligned, ascending in both. Negative numbers of a stand nowhere in b.
 
@@ -143,6 +159,7 @@ def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     in each, the first of a that b has is aligned with its first place in b.
     """
     found, todo = [], [(0, len(a), 0, len(b))]
+    many = 1 + max(int(a.max(initial=-1)), int(b.max(initial=-1)))
     while todo:
         alo, ahi, blo, bhi = todo.pop()
         for back in (False, True):
@@ -163,11 +180,13 @@ def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
         place = alo + np.flatnonzero(a[alo:ahi] >= 0)
         if not len(place):
             continue
-        values, first, times = np.unique(a[place], return_index=True, return_counts=True)
-        others, other_first, other_times = np.unique(b[blo:bhi], return_index=True, return_counts=True)
-        _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
+        values, first, times = _distinct(a[place], many)
+        others, other_first, other_times = _distinct(b[blo:bhi], many)
+        j = _places(values, others)
+        i = np.flatnonzero(j >= 0)
         if not len(i):
             continue
+        j = j[i]
         at, there = place[first[i]], blo + other_first[j]
         once = (times[i] == 1) & (other_times[j] == 1)
         if not once.any():
@@ -220,8 +239,7 @@ def common_words(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, moved
     if min(len(middle_a), len(middle_b)) >= min_words:
         of_a, of_b = (run_hashes(x, at := np.arange(len(x) - min_words + 1), at + min_words) for x in (middle_a, middle_b))
         known, numbers_b = np.unique(of_b, return_inverse=True)
-        place = np.minimum(np.searchsorted(known, of_a), len(known) - 1)
-        numbers_a = np.where(known[place] == of_a, place, -1)
+        numbers_a = _places(of_a, known)
         if (numbers_a >= 0).any():
             ranges += [(head + i, head + i + n - 1 + min_words) for i, _, n in patience_blocks(numbers_a, numbers_b)]
     left = np.ones(len(a), bool)
@@ -230,7 +248,7 @@ def common_words(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, moved
     # a run that is moved has a word that is left, and b has that word
     if len(middle_a) >= moved and len(b) >= moved and _any_in(a[left], b):
         longer_a, longer_b = (run_hashes(x, at := np.arange(len(x) - moved + 1), at + moved) for x in (middle_a, b))
-        ranges += [(head + i, head + i + moved) for i in np.flatnonzero(np.isin(longer_a, longer_b)).tolist()]
+        ranges += [(head + i, head + i + moved) for i in np.flatnonzero(_places(longer_a, np.sort(longer_b)) >= 0).tolist()]
     found: list[tuple[int, int]] = []
     for lo, hi in sorted(ranges):
         if found and lo <= found[-1][1]:
@@ -365,6 +383,15 @@ def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
     return (np.frombuffer(x.as_buffer(), "<u2") for x in column)
 
 
+def _owners(runs: DataFrame, own_ids: bool) -> DataFrame:
+    """(run2, oid, oh): the first document of each run (id, h, run) that several have. own_ids: whether no two texts have one id, so that numbers alone are compared, which takes no sorting."""
+    by_run = runs.groupBy(F.col("run").alias("run2"))
+    if own_ids:
+        return by_run.agg(F.min("id").alias("oid"), F.min_by("h", "id").alias("oh"), F.max("id").alias("last")).where("oid != last").drop("last")
+    found = by_run.agg(F.min(F.struct("id", "h")).alias("o"), F.max(F.struct("id", "h")).alias("last")).where("o != last")
+    return found.select("run2", F.col("o.id").alias("oid"), F.col("o.h").alias("oh"))
+
+
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, h, lo, hi): ranges of words to delete from the document with that id and text hash; ranges may overlap.
 
@@ -384,12 +411,12 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(end - begin + 1)).astype(np.int32)), pa.array(found))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), _blobs(words, documents), runs], names=["id", "h", "words", "runs"])
 
-    cut_up = materialize(rows.mapInArrow(cut, "id long, h long, words binary, runs array<long>"), "lines")
+    cut_up = materialize(rows.mapInArrow(lean(cut), "id long, h long, words binary, runs array<long>"), "lines")
     runs = cut_up.select("id", "h", F.explode("runs").alias("run"))
-    owners = runs.groupBy("run").agg(F.min(F.struct("id", "h")).alias("o"), F.max(F.struct("id", "h")).alias("last")).where("o != last")
-    owners = materialize(owners.select(F.col("run").alias("run2"), F.col("o.id").alias("oid"), F.col("o.h").alias("oh")), "line-owners")
-    # owners grow with the documents, so they are never broadcast: one plan at every size
-    pairs = materialize(runs.join(owners.hint("merge"), F.col("run") == F.col("run2")).where("id != oid or h != oh").select("id", "h", "oid", "oh").distinct(), "line-pairs")
+    owners = materialize(_owners(runs, cut_up.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").isEmpty()), "line-owners")
+    # owners grow with the documents, so they are never broadcast: one plan at every size. A run has one owner, so their side
+    # of a partition is never larger than its share
+    pairs = materialize(runs.join(owners.hint("shuffle_hash"), F.col("run") == F.col("run2")).where("id != oid or h != oh").select("id", "h", "oid", "oh").distinct(), "line-pairs")
     # a copy of an earlier text goes whole, and needs no other alignment
     copies = cut_up.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select(F.col("h").alias("ch"), "first")
     copies = materialize(copies, "line-copies")
@@ -410,7 +437,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "h", "lo", "hi"])
 
-    aligned = joined.mapInArrow(align, "id long, h long, lo int, hi int")
+    aligned = joined.mapInArrow(lean(align), "id long, h long, lo int, hi int")
     return aligned.unionByName(whole.select("id", "h", F.lit(0).alias("lo"), F.col("n").alias("hi")))
 
 
@@ -436,7 +463,7 @@ def dedup_lines(docs: DataFrame, keep: Sequence[str] = ("doc_id",), min_words: i
             texts, *counts = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=[*(f"c{i}" for i in range(len(keep))), "text", "n_lines", "n_deleted", "words_deleted"])
 
-    found = joined.mapInArrow(run, schema)
+    found = joined.mapInArrow(lean(run), schema)
     return found.select(*(F.col(f"c{i}").alias(names[c]) for i, c in enumerate(keep)), "text", "n_lines", "n_deleted", "words_deleted")
 
 

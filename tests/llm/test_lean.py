@@ -1,4 +1,4 @@
-"""Memory that Python workers keep from task to task."""
+"""Memory that Python workers keep from task to task, and the shuffles and passes that tasks don't need."""
 
 import os
 import sys
@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from refloom.llm import text, tokens
+from refloom.llm import linededup, text, tokens
 
 
 def test_workers_drop_what_other_tasks_kept(spark):
@@ -57,3 +57,14 @@ def test_texts_are_cut_where_kinds_of_signs_change():
     assert b"word" not in encoder.pieces.known
     for own, n in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
         assert n.tolist() == encoder.tokenizer.encode(own, add_special_tokens=False).ids
+
+
+def test_owners_of_runs_are_found_without_sorting_where_ids_are_unique(spark, capsys):
+    rows = [(i, 100 - i, run) for i in range(-3, 9) for run in {i % 3, i % 5, 7 * i}]
+    runs = spark.createDataFrame(rows, "id long, h long, run long")
+    fast, slow = (linededup._owners(runs, own) for own in (True, False))
+    assert sorted(fast.collect()) == sorted(slow.collect()) != []
+    fast.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+    fast = linededup._distinct(np.array([3, 1, 3, 0, 1, 3]), 5)
+    assert [x.tolist() for x in fast] == [x.tolist() for x in np.unique([3, 1, 3, 0, 1, 3], return_index=True, return_counts=True)]
