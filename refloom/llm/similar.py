@@ -7,7 +7,8 @@ they are sorted by further values, so that those most alike are neighbours. Firs
 its key, then with its nearest neighbours that are not yet in its component. That joins nearly all that belongs
 together, without pairs of a whole group. Where nodes of one key are then still in several components, those of
 different components are compared by all their MinHash values, block by block, and what may be similar by these is
-compared too. What meets is linked only if the exact similarity of the whole texts is high enough.
+compared by its shingles there and then: a block gives a forest of links, at most one a node, and no pairs that are not
+linked. What meets is linked only if the exact similarity of the whole texts is high enough.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ class Similarity:
     may: float = 0.6
     #: nodes of a key that are compared with each other, or with as many others, at a time
     block: int = 1024
+    #: shingles that these have together, at about
+    block_shingles: int = 1 << 19
 
 
 def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -162,40 +165,72 @@ def _meeting_batch(pairs: list[tuple], keys: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["a", "b", "t", "key", "n"])
 
 
+def _forest(node: np.ndarray, component: np.ndarray, apart: np.ndarray | None, minima: np.ndarray, shingles: list[np.ndarray], how: Similarity) -> list[tuple[int, int]]:
+    """Links (a, b) between similar nodes of a block, or of two (apart says which one has a node): enough to join all components that such links join, and none within one.
+
+    The sets are compared where least of the minima say that they may be similar.
+    """
+    size = np.fromiter(map(len, shingles), np.int64, len(shingles))
+    ends = np.cumsum(size)
+    starts = ends - size
+    words, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles]), return_inverse=True)
+    component, own, found = component.copy(), np.zeros(len(words), bool), []
+    least = int(how.may * how.tables * how.values)
+    for k in range(len(node)):
+        other = component != component[k]
+        other[: k + 1] = False
+        if apart is not None:
+            other &= apart != apart[k]
+        other &= np.minimum(size, size[k]) >= (how.least - 1e-9) * np.maximum(size, size[k])
+        other = np.flatnonzero(other)
+        near = other[(minima[other] == minima[k]).sum(axis=1) >= least].tolist()
+        if not near:
+            continue
+        mine = ids[starts[k] : ends[k]]
+        own[mine] = True
+        for x in near:
+            if component[x] != component[k]:
+                both = np.count_nonzero(own[ids[starts[x] : ends[x]]])
+                if both >= (how.least - 1e-12) * (size[x] + size[k] - both):
+                    found.append((max(int(node[x]), int(node[k])), min(int(node[x]), int(node[k]))))
+                    component[component == component[x]] = component[k]
+        own[mine] = False
+    return found
+
+
 def _across(tables: DataFrame, full: DataFrame, of: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame | None:
-    """(a, b): nodes of one key (of those in full) and different components that may be similar by their MinHash values; null if all keys' nodes are joined.
+    """Links (a, b) between similar nodes of one key (of those in full) and different components, enough to join these; null if all keys' nodes are joined.
 
-    Pairs of blocks of a key's nodes are groups, so a group has 2 * how.block nodes at about, however many a key has.
+    Pairs of blocks of a key's nodes are groups, so a group has 2 * how.block nodes and 2 * how.block_shingles shingles
+    at about, however many a key has.
     """
     own = tables.select("t", "key", "node").join(full, ["t", "key"], "left_semi").join(of.select(F.col("node").alias("__node"), "component"), F.col("node") == F.col("__node"), "left").select("t", "key", "node", F.coalesce("component", "node").alias("component"))
     own = materialize(own, "similar-keys")
-    many = materialize(own.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("t", "key", F.ceil(F.col("n") / how.block).cast("int").alias("blocks")), "similar-open")
+    many = materialize(own.groupBy("t", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("t", "key"), "similar-open")
     if many.isEmpty():
         return None
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minima = WordHashes(), MinHashes(how)
         for batch in batches:
-            found = [(minima.of(x := shingle_set(text, how.n, hashes)) >> np.uint64(32)).astype(np.uint32).tobytes() + np.array([len(x)], np.uint32).tobytes() for (text,) in rows_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "values"])
+            sets = [shingle_set(text, how.n, hashes) for (text,) in rows_of(batch, "text")]
+            found = [(minima.of(x) >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "minima", "shingles"])
 
-    members = own.join(many, ["t", "key"])
+    members = own.join(many, ["t", "key"], "left_semi")
     needed = members.select(F.col("node").alias("__node")).distinct()
-    values = materialize(texts.select("node", "text").join(needed, F.col("node") == F.col("__node"), "left_semi").mapInArrow(lean(sign), "node long, values binary"), "similar-values")
+    values = materialize(texts.select("node", "text").join(needed, F.col("node") == F.col("__node"), "left_semi").mapInArrow(lean(sign), "node long, minima binary, shingles binary"), "similar-values").withColumnRenamed("node", "__node")
+    sized = materialize(members.join(values.select("__node", (F.length("shingles") / 8).alias("size")), F.col("node") == F.col("__node")).drop("__node"), "similar-members")
+    blocks = sized.groupBy("t", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / how.block), F.ceil(F.sum("size") / how.block_shingles)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = members.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("t", "key", "node", "component", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).join(values.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
-    least, ratio = int(how.may * how.tables * how.values), how.least
+    pairs = sized.join(blocks, ["t", "key"]).withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("t", "key", "node", "component", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).join(values, F.col("node") == F.col("__node")).drop("__node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node").drop_duplicates("node")
-        rows = np.frombuffer(b"".join(group["values"]), np.uint32).reshape(len(group), -1)
-        node, component, i, size, rows = group["node"].to_numpy(), group["component"].to_numpy(), group["i"].to_numpy(), rows[:, -1].astype(float), rows[:, :-1]
-        whole, found = len(np.unique(i)) == 1, []
-        for k in range(len(node)):
-            other = np.flatnonzero((component != component[k]) & (node > node[k]) & (whole | (i != i[k])) & (np.minimum(size, size[k]) >= (ratio - 1e-9) * np.maximum(size, size[k])))
-            near = other[(rows[other] == rows[k]).sum(axis=1) >= least]
-            found += [(int(node[x]), int(node[k])) for x in near]
+        group = group.drop_duplicates("node")
+        minima, i = np.frombuffer(b"".join(group["minima"]), np.uint32).reshape(len(group), -1), group["i"].to_numpy()
+        apart = i if group["lo"].iloc[0] != group["hi"].iloc[0] else None
+        found = _forest(group["node"].to_numpy(), group["component"].to_numpy(), apart, minima, [np.frombuffer(x, np.uint64) for x in group["shingles"]], how)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return pairs.groupBy("t", "key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
@@ -272,7 +307,7 @@ def similar_rows(hashed: DataFrame, how: Similarity = Similarity()) -> DataFrame
     if not full.isEmpty():
         more = _across(tables.select(F.col("t").cast("int").alias("t"), "key", "node"), full, of, texts, how)
         if more is not None:
-            links = links.unionByName(_links(materialize(more, "similar-across"), texts, how))
+            links = links.unionByName(materialize(more, "similar-across"))
             of = materialize(connected_components(links), "similar-components")
     of = of.withColumnRenamed("node", "__node")
     return rows.select("doc_id", "h", "node").join(of, F.col("node") == F.col("__node"), "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))
