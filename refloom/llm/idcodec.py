@@ -183,7 +183,8 @@ class _Lanes:
         self.rate1 = np.tile(np.array([400, 800, 1600, 2600], np.int32), n)  # by how sure order 1 is
         self.weight2, self.weight1 = (np.full(n, w, np.int32) for w in (40000, 20000))
         self.steps = 0
-        self.one, self.two = np.full(n, model.n), np.full(n, model.n)
+        # places of the two ids before; 32 bits do, as of what is made of them below only bits up to the 19th count
+        self.one, self.two = np.full(n, model.n, np.int32), np.full(n, model.n, np.int32)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, _FULL, np.uint64)
 
     def keep(self, n: int) -> None:
@@ -197,12 +198,18 @@ class _Lanes:
     def guess(self) -> None:
         """Order 2's guess in each lane, and the size of its interval (of 65536; 0 without one)."""
         one = self.one
-        mixed = one * 40503 + self.two * 60493
-        self.slot = (mixed >> 4 & _SLOTS - 1) + self.base
+        mixed = one * np.int32(40503)
+        mixed += self.two * np.int32(60493)
+        slot = mixed >> 4
+        slot &= _SLOTS - 1
+        self.slot = slot + self.base
         entry = self.table.take(self.slot)
         self.confidence = entry & 3
         held = entry >> 2
-        self.check = ((mixed ^ mixed >> 11) & 255 | 256).astype(entry.dtype)
+        mixed ^= mixed >> 11
+        mixed &= 255
+        mixed |= 256
+        self.check = mixed.astype(entry.dtype, copy=False)
         self.has = ((held >> self.wide) == self.check).astype(np.int32)
         self.guessed = held & (1 << self.wide) - 1
         self.at2, self.at1 = self.by4 + self.confidence, self.by4 + self.model.sure.take(one)
@@ -238,7 +245,7 @@ class _Lanes:
             rate[at] = change
         # a guess that held gains confidence; one that didn't makes way for the id
         own = self.check << self.wide
-        own += places.astype(own.dtype)
+        own += places.astype(own.dtype, copy=False)
         own <<= 2
         sure = np.minimum(self.confidence, 2)
         sure += 1
@@ -329,27 +336,40 @@ class _Decoder(_Lanes):
         self.at[at] = place + 1
 
     def target(self) -> np.ndarray:
-        goal = ((self.code[: self.n] - self.low) // (self.range >> _16)).astype(np.int64)
+        """Where in its range, cut into _ONE parts, each lane's code stands."""
+        above, unit = self.code[: self.n] - self.low, self.range >> _16
+        goal = (above.astype(np.float64) / unit).astype(np.int64)
+        # a quotient of floats may be off by one; whole numbers take several times as long
+        off = np.flatnonzero(above - goal.view(np.uint64) * unit >= unit)
+        if len(off):
+            goal[off] = above[off] // unit[off]
         return np.minimum(goal, _ONE - 1, out=goal)
 
     def step(self) -> np.ndarray:
         model = self.model
         self.guess()
         mine = self.hit_size
-        hit = (self.target() < mine).astype(np.int32)
-        miss = 1 - hit
-        self.narrow(mine * miss, mine + (_ONE - 2 * mine) * miss)
+        unit = self.range >> _16
+        bound = mine.astype(np.uint64)
+        bound *= unit
+        miss = (self.code[: self.n] - self.low >= bound).astype(np.int32)
+        hit = 1 - miss
+        bound *= miss.astype(np.uint64)
+        self.low += bound
+        np.multiply(unit, (mine + (_ONE - 2 * mine) * miss).astype(np.uint64), out=self.range)
         goal = self.target()
-        found = self.hint.take((self.one << 16) + goal >> self.part)
+        row = self.one.astype(np.int64)
+        row <<= 16
+        found = self.hint.take(row + goal >> self.part)
         whole = self.whole.take(found)
         start, size = whole >> 16 & (_ONE << 1) - 1, (whole & _ONE - 1) + 1
         late = np.flatnonzero(start + size <= goal)
         if len(late):
-            place = np.searchsorted(self.keys, (self.one[late] << 16).astype(self.keys.dtype) + goal[late].astype(self.keys.dtype), "right") - 1
+            place = np.searchsorted(self.keys, (row[late] + goal[late]).astype(self.keys.dtype), "right") - 1
             whole[late], start[late], size[late] = self.whole[place], model.start[place], model.size[place]
         self.narrow(start * miss, _ONE + (size - _ONE) * miss)
         self.shift()
-        places = whole >> 33
+        places = (whole >> 33).astype(np.int32)
         at = np.flatnonzero((places == model.n) & (hit == 0))
         if len(at):
             unit = self.range[at] >> np.uint64(model.bits)
@@ -387,7 +407,7 @@ def encode_group(ids: np.ndarray) -> tuple[bytes, list[tuple[np.ndarray, bytes]]
         if t % 64 == 0:  # the next columns of blocks, as rows
             at = np.minimum(starts[:, None] + np.arange(t, min(t + 64, longest)), len(ids) - 1).T
             where = found[at]
-            own_rows, start_rows, size_rows = np.ascontiguousarray(places[at], np.int64), model.start[where], model.size[where]
+            own_rows, start_rows, size_rows = np.ascontiguousarray(places[at], np.int32), model.start[where], model.size[where]
             escaped_rows = model.symbol[where] == model.n
         n = lanes if t < int(lengths[-1]) else int((lengths > t).sum())
         coder.keep(n)

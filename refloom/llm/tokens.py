@@ -50,6 +50,9 @@ _KIND[33:127] = 3
 _KIND[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = 1
 _KIND[[*b"0123456789"]] = 2
 _KIND[ord("'")] = 0
+#: And in higher bits: 4 space or line end, 8 ASCII that is no white space, 16 surely begins a character that is none, 32 of a character beyond ASCII.
+_BYTE = np.arange(256)
+_CLASSES = (_KIND + 4 * np.isin(_BYTE, (10, 32)) + 8 * ((_BYTE > 32) & (_BYTE < 127)) + 16 * ((_BYTE > 32) & (_BYTE < 127) | (_BYTE >= 0xC3) & (_BYTE <= 0xE0) | (_BYTE >= 0xE4)) + 32 * (_BYTE >= 128)).astype(np.uint8).tobytes()
 
 # Fixed value: where a byte-level BPE of this kind cuts a text.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -170,6 +173,9 @@ class CachedEncoder:
             self.letters = _byte_letters() | {255: "\n"}
             self.lines = Tokenizer(self.tokenizer.model)
             self.lines.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+            # the model's own cache of pieces only costs time, as it gets none twice
+            if resize := getattr(self.lines.model, "_resize_cache", None):
+                resize(0)
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
             self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
             self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
@@ -243,11 +249,14 @@ class CachedEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         buffer = texts.buffers()[2].slice(begin, end - begin)
         data, bounds = np.frombuffer(buffer, np.uint8), offsets - begin
-        inner = data[1:-1]
-        space = np.flatnonzero((inner == 32) | (inner == 10)) + 1
+        classes = np.frombuffer(buffer.to_pybytes().translate(_CLASSES), np.uint8)
         begins = np.zeros(len(data) + 1, bool)
-        begins[space[_no_space(data, space - 1, True) & _no_space(data, space + 1, False)]] = True
-        kind = _KIND[data]
+        space = classes[1:-1] >> 2
+        space &= classes[2:] >> 4
+        begins[1:-2] = (space & classes[:-2] >> 3 & 1).view(bool)
+        beyond = np.flatnonzero(space & classes[:-2] >> 5 & 1) + 1
+        begins[beyond[_no_space(data, beyond - 1, True)]] = True
+        kind = classes & 3
         begins[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
         begins[bounds] = True
         cuts = np.flatnonzero(begins)

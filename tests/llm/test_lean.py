@@ -68,3 +68,33 @@ def test_owners_of_runs_are_found_without_sorting_where_ids_are_unique(spark, ca
     assert "SortAggregate" not in capsys.readouterr().out
     fast = linededup._distinct(np.array([3, 1, 3, 0, 1, 3]), 5)
     assert [x.tolist() for x in fast] == [x.tolist() for x in np.unique([3, 1, 3, 0, 1, 3], return_index=True, return_counts=True)]
+
+
+def test_places_of_cuts_are_looked_at_one_by_one_only_after_characters_beyond_ascii(monkeypatch):
+    looked, no_space = [], tokens._no_space
+    monkeypatch.setattr(tokens, "_no_space", lambda data, at, last: looked.append(len(at)) or no_space(data, at, last))
+    encoder = tokens.CachedEncoder(tokens.default_tokenizer())
+    monkeypatch.setattr(encoder, "_learn_cut", lambda chunks: encoder._wholes([c.decode() for c in chunks.to_pylist()]))
+    texts = ["plain words, 12 of them " * 40, "é a\nà b ü　c  d", "", "x", " ", "a\n", "don't  stop\tnow é", "  x", "日本 語 text"]
+    ids, counts = next(encoder.encode(pa.array(texts, pa.large_string())))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    assert sum(looked) <= 8
+
+
+def test_targets_are_whole_quotients_and_places_take_32_bits():
+    from refloom.llm import idcodec
+
+    r = np.random.Generator(np.random.PCG64(1))
+    ids = r.integers(0, 50, 3000, np.uint32)
+    model, blocks = idcodec.encode_group(ids)
+    coder = idcodec._Decoder(idcodec.Model.load(model), [b for _, b in blocks])
+    assert coder.one.dtype == coder.two.dtype == np.int32
+    for _ in range(300):
+        n = coder.n
+        coder.range = r.integers(1 << 20, 1 << 64, n, np.uint64) >> r.integers(0, 40, n, np.uint64) | np.uint64(1 << 20)
+        unit, goal = coder.range >> np.uint64(16), r.integers(0, 1 << 16, n, np.uint64)
+        above = goal * unit + r.choice(np.array([0, 1], np.uint64), n) * (unit - np.uint64(1))  # just at and just below the next
+        coder.low = r.integers(0, 1 << 64, n, np.uint64)
+        coder.code = coder.low + above
+        assert coder.target().tolist() == goal.tolist()
