@@ -24,12 +24,13 @@ from collections.abc import Sequence
 import numpy as np
 
 BLOCK = 1024
-GROUP = 1 << 22
+GROUP = 1 << 23
 _SLOTS = 256  # of order 2's table in a lane
+_PART = 1 << 16  # ids that a pass takes at a time where several follow each other
 _LEAST = 3  # an id that follows another less often in a group is left to order 0
 _ONE = 1 << 16  # total of order 1's frequencies after an id
 _FULL = np.uint64((1 << 64) - 1)
-_16, _32, _LOW = np.uint64(16), np.uint64(32), np.uint64((1 << 32) - 1)
+_16, _32, _LOW, _TOTAL = np.uint64(16), np.uint64(32), np.uint64((1 << 32) - 1), np.uint64(_ONE)
 _HEAD = struct.Struct("<IIIB")
 
 
@@ -89,7 +90,7 @@ class Model:
         # how sure order 1 is after an id, in four steps: by its greatest frequency
         top = np.zeros(k + 1, np.int64)
         np.maximum.at(top, row, frequency)
-        self.sure = np.searchsorted([_ONE // 16, _ONE // 4, _ONE // 2], top, "right").astype(np.int32)
+        self.sure4 = np.searchsorted([_ONE // 16, _ONE // 4, _ONE // 2], top, "right") + 4
 
     def dump(self) -> bytes:
         gaps = np.diff(self.ids, prepend=0)
@@ -124,11 +125,14 @@ def _fitted(ids: np.ndarray, lengths: np.ndarray) -> tuple[Model, np.ndarray, np
     n, most = len(ids), int(ids.max())
     if most < 1 << 24:
         seen = np.zeros(most + 1, bool)
-        seen[ids] = True
+        for a in range(0, n, _PART):
+            seen[ids[a : a + _PART]] = True
         distinct = np.flatnonzero(seen)
         place_of = np.zeros(most + 1, np.int32)
         place_of[distinct] = np.arange(len(distinct), dtype=np.int32)
-        places = place_of[ids]
+        places = np.empty(n, np.int32)
+        for a in range(0, n, _PART):
+            places[a : a + _PART] = place_of[ids[a : a + _PART]]
     else:
         distinct, places = np.unique(ids, return_inverse=True)
     k = len(distinct)
@@ -137,17 +141,26 @@ def _fitted(ids: np.ndarray, lengths: np.ndarray) -> tuple[Model, np.ndarray, np
     keys = np.empty(n, np.uint64)
     keys[1:] = places[:-1]
     keys[np.cumsum(lengths) - lengths] = k
-    keys *= np.uint64(k + 1)
-    keys += places.astype(np.uint64)
-    keys <<= shift
-    keys |= np.arange(n, dtype=np.uint64)
+    for a in range(0, n, _PART):  # within the processor's caches
+        some = keys[a : a + _PART]
+        some *= np.uint64(k + 1)
+        some += places[a : a + _PART].astype(np.uint64)
+        some <<= shift
+        some |= np.arange(a, a + len(some), dtype=np.uint64)
     keys.sort()
-    at = (keys & (np.uint64(1) << shift) - np.uint64(1)).astype(np.int32)
-    keys >>= shift
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    at, new, low = np.empty(n, np.int32), np.ones(n, bool), (np.uint64(1) << shift) - np.uint64(1)
+    for a in range(0, n, _PART):
+        some = keys[a : a + _PART]
+        at[a : a + _PART] = some & low
+        some >>= shift
+        np.not_equal(keys[max(a, 1) : a + len(some)], keys[max(a, 1) - 1 : a + len(some) - 1], out=new[max(a, 1) : a + len(some)])
+    first = np.flatnonzero(new)
     count = np.diff(first, append=n)
     pair = keys[first].astype(np.int64)
-    row, follower = pair // (k + 1), pair % (k + 1)
+    del keys, some, new
+    row = pair // (k + 1)
+    follower = pair - row * (k + 1)
+    del pair
     seen = np.bincount(row, count, minlength=k + 1).astype(np.int64)
     kept = (count >= _LEAST) & (row < k)
     m = np.bincount(row[kept], minlength=k + 1)
@@ -178,10 +191,9 @@ class _Lanes:
         self.wide = model.n.bit_length()
         self.base = np.arange(n) * _SLOTS
         self.table = np.zeros(n * _SLOTS, np.int32 if model.n < 1 << 19 else np.int64)  # ((check << wide) + guess) * 4 + confidence, 0 where empty
-        self.by4 = np.arange(n) * 4
-        self.rate2 = np.tile(np.array([700, 1500, 2400, 3300], np.int32), n)  # order 2's hits, by confidence
-        self.rate1 = np.tile(np.array([400, 800, 1600, 2600], np.int32), n)  # by how sure order 1 is
-        self.weight2, self.weight1 = (np.full(n, w, np.int32) for w in (40000, 20000))
+        # a lane's rates of order 2's hits: four by confidence, then four by how sure order 1 is; below them its weights of both
+        self.rate = np.tile(np.array([700, 1500, 2400, 3300, 400, 800, 1600, 2600], np.int32), n)
+        self.weight = np.repeat(np.array([[40000], [20000]], np.int32), n, 1)
         self.steps = 0
         # places of the two ids before; 32 bits do, as of what is made of them below only bits up to the 19th count
         self.one, self.two = np.full(n, model.n, np.int32), np.full(n, model.n, np.int32)
@@ -191,114 +203,122 @@ class _Lanes:
         """Goes on with the first n lanes only."""
         if n == self.n:
             return
-        for name in ("base", "by4", "weight2", "weight1", "one", "two", "low", "range"):
+        for name in ("base", "one", "two", "low", "range"):
             setattr(self, name, getattr(self, name)[:n])
         self.n = n
 
     def guess(self) -> None:
-        """Order 2's guess in each lane, and the size of its interval (of 65536; 0 without one)."""
-        one = self.one
-        mixed = one * np.int32(40503)
+        """The lanes in which order 2 has a guess (some in seven; only these are mixed), and there the guess and the size of its interval (of 65536)."""
+        mixed = self.one * np.int32(40503)
         mixed += self.two * np.int32(60493)
         slot = mixed >> 4
         slot &= _SLOTS - 1
         self.slot = slot + self.base
         entry = self.table.take(self.slot)
-        self.confidence = entry & 3
-        held = entry >> 2
         mixed ^= mixed >> 11
         mixed &= 255
         mixed |= 256
         self.check = mixed.astype(entry.dtype, copy=False)
-        self.has = ((held >> self.wide) == self.check).astype(np.int32)
-        self.guessed = held & (1 << self.wide) - 1
-        self.at2, self.at1 = self.by4 + self.confidence, self.by4 + self.model.sure.take(one)
-        self.r2, self.r1 = self.rate2.take(self.at2), self.rate1.take(self.at1)
-        self.said2, self.said1 = _STRETCH.take(self.r2), _STRETCH.take(self.r1)
-        odds = self.weight2 * self.said2
-        odds += self.weight1 * self.said1
+        self.has = has = np.flatnonzero(entry >> self.wide + 2 == self.check)
+        entry = entry.take(has)
+        self.confidence = entry & 3
+        entry >>= 2
+        entry &= (1 << self.wide) - 1
+        self.guessed = entry
+        self.which = at = np.empty((2, len(has)), np.int64)
+        at[0], at[1] = self.confidence, self.model.sure4.take(self.one.take(has))
+        at += has * 8
+        self.was = self.rate.take(at)
+        self.said, self.own_weight = _STRETCH.take(self.was), self.weight.take(has, 1)
+        odds = self.own_weight * self.said
+        odds = odds[0] + odds[1]
         odds >>= 16
         odds += 2048
         self.p = _SQUASH.take(odds, mode="clip")
-        self.hit_size = (self.p << 4) * self.has
+        self.mine = self.p << 4
 
     def learn(self, places: np.ndarray, hit: np.ndarray) -> None:
-        """Rates, weights and order 2's table after the ids at places; hit: 1 where order 2 was right, else 0."""
-        has = self.has
+        """Rates, weights and order 2's table after the ids at places; hit: whether order 2 was right, for the lanes in which it had a guess."""
+        has, hit = self.has, hit.astype(np.int32)
         goal = hit * np.int32(4095)
         error = goal - self.p
         error *= 6
-        error *= has
         self.steps += 1
-        for weight, said in ((self.weight2, self.said2), (self.weight1, self.said1)):
-            change = said * error
-            change += 8192
-            change >>= 14
-            weight += change
-            if self.steps % 64 == 0:  # between, a weight moves by 2 ** 18 at most, so products stay below 2 ** 31
-                np.clip(weight, -(1 << 18), 1 << 18, out=weight)
-        for rate, at, was in ((self.rate2, self.at2, self.r2), (self.rate1, self.at1, self.r1)):
-            change = goal - was
-            change >>= 4
-            change *= has
-            change += was
-            rate[at] = change
+        change = self.said * error
+        change += 8192
+        change >>= 14
+        change += self.own_weight
+        self.weight[:, has] = change
+        if self.steps % 64 == 0:  # between, a weight moves by 2 ** 18 at most, so products stay below 2 ** 31
+            np.clip(self.weight, -(1 << 18), 1 << 18, out=self.weight)
+        change = goal - self.was
+        change >>= 4
+        change += self.was
+        self.rate[self.which] = change
         # a guess that held gains confidence; one that didn't makes way for the id
         own = self.check << self.wide
-        own += places.astype(own.dtype, copy=False)
+        own += places
         own <<= 2
         sure = np.minimum(self.confidence, 2)
         sure += 1
         sure *= hit
-        own += sure
+        own[has] += sure
         self.table[self.slot] = own
         self.two, self.one = self.one, places
 
-    def narrow(self, start: np.ndarray, size: np.ndarray) -> None:
-        unit = self.range >> _16
-        self.low += start.astype(np.uint64) * unit
-        np.multiply(unit, size.astype(np.uint64), out=self.range)
+    def narrow(self, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
+        """To an interval of 2 ** 16 units; all are uint64."""
+        self.low += start * unit
+        np.multiply(unit, size, out=self.range)
+
+    def narrow_rare(self, at: np.ndarray, places: np.ndarray, unit: np.ndarray) -> None:
+        """The lanes at to their ids' intervals in order 0."""
+        self.low[at] += self.model.rare_start[places].astype(np.uint64) * unit
+        self.range[at] = unit * self.model.rare[places].astype(np.uint64)
+        self.shift(at)
 
-    def shift(self) -> None:
-        """Moves settled words out (or in, when decoding) until every range is 2 ** 32 at least."""
-        at = np.flatnonzero(self.range <= _LOW)
+    def shift(self, among: np.ndarray | None = None) -> None:
+        """Moves settled words out (or in, when decoding) until every range is 2 ** 32 at least; among: the lanes that may need it, else any."""
+        at = np.flatnonzero(self.range <= _LOW) if among is None else among[self.range[among] <= _LOW]
         if len(at):
             low, size = self.low.take(at), self.range.take(at)
             # where a range stands across a word's end it is cut down to the part before it
-            across = (low ^ (low + size)) > _LOW
-            size = np.where(across, _LOW - (low & _LOW), size)
-            size += size == 0
+            across = np.flatnonzero((low ^ (low + size)) > _LOW)
+            if len(across):
+                cut = _LOW - (low[across] & _LOW)
+                cut += cut == 0
+                size[across] = cut
             self.move(at, low)
-            self.low[at], self.range[at] = low << _32, size << _32
+            low <<= _32
+            size <<= _32
+            self.low[at], self.range[at] = low, size
 
 
 class _Encoder(_Lanes):
-    def __init__(self, model: Model, n: int, longest: int):
+    def __init__(self, model: Model, n: int):
         super().__init__(model, n)
-        self.out, self.used = np.zeros((n, 2 * longest + 8), "<u4"), np.zeros(n, np.int64)
+        #: words that were moved out, and their lanes (a lane's in order)
+        self.words, self.lanes = [], []
 
     def move(self, at: np.ndarray, low: np.ndarray) -> None:
-        used = self.used[at]
-        self.out[at, used] = low >> _32
-        self.used[at] = used + 1
+        self.words.append((low >> _32).astype("<u4"))
+        self.lanes.append(at.astype(np.uint16 if at[-1] < 1 << 16 else np.int64))
 
     def step(self, places: np.ndarray, start: np.ndarray, size: np.ndarray, escaped: np.ndarray) -> None:
-        """places: of the ids; start and size: of their intervals in order 1; escaped: whether order 1 lacks them."""
+        """places: of the ids; start and size: of their intervals in order 1 (written to); escaped: whether order 1 lacks them (written to)."""
         self.guess()
-        hit = (self.guessed == places).astype(np.int32)
-        hit *= self.has
-        miss = 1 - hit
-        mine = self.hit_size
-        self.narrow(mine * miss, mine + (_ONE - 2 * mine) * miss)
-        self.narrow(start * miss, _ONE + (size - _ONE) * miss)
+        has, mine = self.has, self.mine.astype(np.uint64)
+        hit = self.guessed == places.take(has)
+        unit = self.range.take(has) >> _16
+        self.low[has] += mine * ~hit * unit
+        self.range[has] = np.where(hit, mine, _TOTAL - mine) * unit
+        right = has[hit]
+        start[right], size[right], escaped[right] = 0, _ONE, False
+        self.narrow(start, size, self.range >> _16)
         self.shift()
-        at = np.flatnonzero(escaped & (hit == 0))
+        at = np.flatnonzero(escaped)
         if len(at):
-            model, own = self.model, places[at]
-            unit = self.range[at] >> np.uint64(model.bits)
-            self.low[at] += model.rare_start[own].astype(np.uint64) * unit
-            self.range[at] = unit * model.rare[own].astype(np.uint64)
-            self.shift()
+            self.narrow_rare(at, places[at], self.range[at] >> np.uint64(self.model.bits))
         self.learn(places, hit)
 
     def finish(self, low: np.ndarray) -> list[bytes]:
@@ -307,7 +327,10 @@ class _Encoder(_Lanes):
         for _ in range(2):
             self.move(every, low)
             low = low << _32
-        return [self.out[i, :n].tobytes().rstrip(b"\0") for i, n in enumerate(self.used.tolist())]
+        lanes = np.concatenate(self.lanes)
+        data = np.concatenate(self.words)[np.argsort(lanes, kind="stable")].tobytes()
+        ends = (4 * np.cumsum(np.bincount(lanes, minlength=len(low)))).tolist()
+        return [data[a:b].rstrip(b"\0") for a, b in zip([0, *ends], ends)]
 
 
 class _Decoder(_Lanes):
@@ -319,25 +342,33 @@ class _Decoder(_Lanes):
         sizes = np.array([len(b) // 4 for b in padded], np.int64)
         self.end = np.cumsum(sizes)
         self.data, self.at, self.code = np.frombuffer(b"".join(padded) + bytes(4), "<u4"), self.end - sizes, np.zeros(len(blocks), np.uint64)
-        # where order 1's intervals are looked up: the one in which each of many equal parts of a row begins
-        self.part = max(0, _ONE.bit_length() - 1 - max(0, min(12, 20 - (model.n + 1).bit_length())))
-        self.hint = np.repeat(np.arange(len(model.start), dtype=np.int32), -(-(model.start + model.size) // (1 << self.part)) - -(-model.start // (1 << self.part)))
-        self.keys = ((np.repeat(np.arange(model.n + 1), np.diff(model.escape_at, prepend=-1)) << 16) + model.start.astype(np.int64)).astype(np.int32 if model.n < 1 << 15 else np.int64)
         # an interval's start, size less 1 and symbol in one number, so that they take one look-up; a start is up to 2 ** 16
         self.whole = model.symbol.astype(np.int64) << 33 | model.start.astype(np.int64) << 16 | model.size - 1
+        # where order 1's intervals are looked up: the one in which each of a row's equal parts begins, of which there are some more than intervals
+        many = np.diff(model.escape_at, prepend=-1)
+        parts = np.where(many > 1, np.minimum((many * (4 if len(self.whole) < 1 << 18 else 1) - 1), _ONE - 1), 0)
+        bits = np.frexp(parts.astype(np.float64))[1].astype(np.int64)
+        self.parts = (np.cumsum(1 << bits) - (1 << bits)) << 5 | 16 - bits  # a row's first part, and a part's width in bits
+        width = np.repeat(16 - bits, many)
+        self.hint = np.repeat(np.arange(len(self.whole), dtype=np.int32), -(-(model.start + model.size) >> width) - -(-model.start >> width))
+        self.first = self.whole[self.hint]
         every = np.arange(len(blocks))
         for _ in range(2):
             self.move(every, self.low)
 
     def move(self, at: np.ndarray, low: np.ndarray) -> None:
-        place = self.at[at]
-        word = self.data[np.minimum(place, len(self.data) - 1)] * (place < self.end[at])
-        self.code[at] = self.code[at] << _32 | word
-        self.at[at] = place + 1
-
-    def target(self) -> np.ndarray:
-        """Where in its range, cut into _ONE parts, each lane's code stands."""
-        above, unit = self.code[: self.n] - self.low, self.range >> _16
+        place = self.at.take(at)
+        word = self.data.take(place, mode="clip") * (place < self.end.take(at))
+        code = self.code.take(at)
+        code <<= _32
+        code |= word
+        self.code[at] = code
+        place += 1
+        self.at[at] = place
+
+    def target(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Where in its range, cut into _ONE parts, the code stands in each of the lanes at."""
+        above, unit = self.code[: self.n][at] - self.low[at], self.range[at] >> _16
         goal = (above.astype(np.float64) / unit).astype(np.int64)
         # a quotient of floats may be off by one; whole numbers take several times as long
         off = np.flatnonzero(above - goal.view(np.uint64) * unit >= unit)
@@ -345,41 +376,59 @@ class _Decoder(_Lanes):
             goal[off] = above[off] // unit[off]
         return np.minimum(goal, _ONE - 1, out=goal)
 
+    def part_of(self, row: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """The part of a row in which a goal stands."""
+        part = self.parts.take(row)
+        width = part & 31
+        part >>= 5
+        part += goal >> width
+        return part
+
+    def interval_of(self, row: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """The interval of a row in which a goal stands, from the first of its part on."""
+        place, late = self.hint.take(self.part_of(row, goal)), np.arange(len(row))
+        while len(late):
+            late = late[(self.model.start.take(own := place[late]) + self.model.size.take(own)) <= goal[late]]
+            place[late] += 1
+        return place
+
     def step(self) -> np.ndarray:
         model = self.model
         self.guess()
-        mine = self.hit_size
-        unit = self.range >> _16
-        bound = mine.astype(np.uint64)
-        bound *= unit
-        miss = (self.code[: self.n] - self.low >= bound).astype(np.int32)
-        hit = 1 - miss
-        bound *= miss.astype(np.uint64)
-        self.low += bound
-        np.multiply(unit, (mine + (_ONE - 2 * mine) * miss).astype(np.uint64), out=self.range)
-        goal = self.target()
-        row = self.one.astype(np.int64)
-        row <<= 16
-        found = self.hint.take(row + goal >> self.part)
-        whole = self.whole.take(found)
-        start, size = whole >> 16 & (_ONE << 1) - 1, (whole & _ONE - 1) + 1
-        late = np.flatnonzero(start + size <= goal)
+        has, mine = self.has, self.mine.astype(np.uint64)
+        unit, low = self.range.take(has) >> _16, self.low.take(has)
+        bound = mine * unit
+        hit = self.code.take(has) - low < bound
+        self.low[has] = low + bound * ~hit
+        self.range[has] = np.where(hit, mine, _TOTAL - mine) * unit
+        above, unit = self.code[: self.n] - self.low, self.range >> _16
+        goal = (above.astype(np.float64) / unit).astype(np.int64)
+        whole = self.first.take(self.part_of(self.one, np.minimum(goal, _ONE - 1, out=goal)))
+        start, size = whole >> 16, whole & _ONE - 1
+        start &= (_ONE << 1) - 1
+        size += 1
+        whole >>= 33
+        places = whole.astype(np.int32)
+        right = has[hit]
+        start[right], size[right], places[right] = 0, _ONE, self.guessed[hit]
+        start, size = start.view(np.uint64) * unit, size.view(np.uint64) * unit
+        # the code stands in the interval found, or in a later one of its part, or the quotient of floats was off
+        above -= start
+        late = np.flatnonzero(above >= size)
         if len(late):
-            place = np.searchsorted(self.keys, (row[late] + goal[late]).astype(self.keys.dtype), "right") - 1
-            whole[late], start[late], size[late] = self.whole[place], model.start[place], model.size[place]
-        self.narrow(start * miss, _ONE + (size - _ONE) * miss)
+            place, of = self.interval_of(self.one[late], self.target(late)), unit[late]
+            places[late] = model.symbol[place]
+            start[late], size[late] = model.start[place].astype(np.uint64) * of, model.size[place].astype(np.uint64) * of
+        self.low += start
+        self.range = size
         self.shift()
-        places = (whole >> 33).astype(np.int32)
-        at = np.flatnonzero((places == model.n) & (hit == 0))
+        at = np.flatnonzero(places == model.n)
         if len(at):
             unit = self.range[at] >> np.uint64(model.bits)
             goal = np.minimum((self.code[at] - self.low[at]) // unit, np.uint64((1 << model.bits) - 1)).astype(np.int64)
             own = np.searchsorted(model.rare_start, goal, "right") - 1
-            self.low[at] += model.rare_start[own].astype(np.uint64) * unit
-            self.range[at] = unit * model.rare[own].astype(np.uint64)
-            self.shift()
+            self.narrow_rare(at, own, unit)
             places[at] = own
-        places += (self.guessed - places) * hit
         self.learn(places, hit)
         return places
 
@@ -388,7 +437,19 @@ def _check_ids(ids: np.ndarray) -> np.ndarray:
     found = np.asarray(ids)
     if len(found) and (found.dtype.kind not in "iu" or int(found.min()) < 0 or int(found.max()) >= 1 << 32):
         raise ValueError("ids must be whole numbers from 0 to 2 ** 32 - 1")
-    return found.astype(np.uint32)
+    return found.astype(np.uint32, copy=False)
+
+
+def _columns(values: np.ndarray, lengths: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Places a to b of every block, a row for each place; lengths as block_lengths gives them. Past a block's end anything."""
+    lanes, longest = len(lengths), int(lengths[0])
+    long = int((lengths == longest).sum())
+    out, cut = np.zeros((b - a, lanes), values.dtype), long * longest
+    out[:, :long] = values[:cut].reshape(long, longest)[:, a:b].T
+    if long < lanes:
+        rest = values[cut:].reshape(lanes - long, longest - 1)[:, a:b].T
+        out[: len(rest), long:] = rest
+    return out
 
 
 def encode_group(ids: np.ndarray) -> tuple[bytes, list[tuple[np.ndarray, bytes]]]:
@@ -401,14 +462,18 @@ def encode_group(ids: np.ndarray) -> tuple[bytes, list[tuple[np.ndarray, bytes]]
         return b"", []
     model, places, found = _fitted(ids, lengths)
     starts, longest, lanes = np.cumsum(lengths) - lengths, int(lengths[0]), len(lengths)
-    coder = _Encoder(model, lanes, longest)
+    places = places.astype(np.int32, copy=False)
+    coder = _Encoder(model, lanes)
+    # start, whether it is an escape, and size in one number, so that they take one look-up
+    intervals = model.start.astype(np.uint64) | (model.symbol == model.n).astype(np.uint64) << np.uint64(31) | model.size.astype(np.uint64) << _32
     low = coder.low
     for t in range(longest):
         if t % 64 == 0:  # the next columns of blocks, as rows
-            at = np.minimum(starts[:, None] + np.arange(t, min(t + 64, longest)), len(ids) - 1).T
-            where = found[at]
-            own_rows, start_rows, size_rows = np.ascontiguousarray(places[at], np.int32), model.start[where], model.size[where]
-            escaped_rows = model.symbol[where] == model.n
+            own_rows, where = (_columns(x, lengths, t, min(t + 64, longest)) for x in (places, found))
+            start_rows = intervals[where]
+            size_rows = start_rows >> _32
+            escaped_rows = start_rows & np.uint64(1 << 31) > 0
+            start_rows &= np.uint64((1 << 31) - 1)
         n = lanes if t < int(lengths[-1]) else int((lengths > t).sum())
         coder.keep(n)
         r = t % 64
@@ -426,15 +491,16 @@ def decode_group(model: bytes, blocks: Sequence[bytes], n: int) -> list[np.ndarr
         return []
     made, longest, lanes = Model.load(model), int(lengths[0]), len(lengths)
     coder = _Decoder(made, blocks)
-    out = np.zeros((longest, lanes), np.uint32)
+    ids, rows, out = made.ids.astype(np.uint32), np.zeros((64, lanes), np.int32), np.empty((lanes, longest), np.uint32)
     for t in range(longest):
         k = lanes if t < int(lengths[-1]) else int((lengths > t).sum())
         coder.keep(k)
-        out[t, :k] = made.ids[coder.step()]
-    out = np.ascontiguousarray(out.T)
+        rows[t % 64, :k] = coder.step()
+        if t % 64 == 63 or t + 1 == longest:  # columns of blocks
+            out[:, t - t % 64 : t + 1] = ids[rows[: t % 64 + 1]].T
     return [out[i, :k] for i, k in enumerate(lengths.tolist())]
 
 
 def checksum(ids: np.ndarray) -> int:
     """crc32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))

@@ -98,3 +98,38 @@ def test_targets_are_whole_quotients_and_places_take_32_bits():
         coder.low = r.integers(0, 1 << 64, n, np.uint64)
         coder.code = coder.low + above
         assert coder.target().tolist() == goal.tolist()
+
+
+def test_only_lanes_with_a_guess_are_mixed_and_intervals_are_found_from_their_parts():
+    from refloom.llm import idcodec
+
+    r = np.random.Generator(np.random.PCG64(2))
+    ids = np.minimum(r.zipf(1.3, 40_000), 60_000).astype(np.uint32)
+    lengths = idcodec.block_lengths(len(ids))
+    model, places, _ = idcodec._fitted(ids, lengths)
+    coder, column = idcodec._Encoder(model, len(lengths)), np.cumsum(lengths) - lengths
+    for t in range(int(lengths[-1])):
+        coder.guess()
+        own = places[column + t].astype(np.int32)
+        assert len(coder.has) == len(coder.guessed) == len(coder.mine) < coder.n
+        coder.learn(own, coder.guessed == own[coder.has])
+    assert t > 200 and len(coder.has)
+    decoder = idcodec._Decoder(model, [b""] * 3)
+    row, goal = r.integers(0, model.n + 1, 20_000), r.integers(0, 1 << 16, 20_000)
+    goal[:4000] = r.choice(np.array([0, (1 << 16) - 1]), 4000)
+    keys = (np.repeat(np.arange(model.n + 1), np.diff(model.escape_at, prepend=-1)) << 16) + model.start
+    assert decoder.interval_of(row, goal).tolist() == (np.searchsorted(keys, (row << 16) + goal, "right") - 1).tolist()
+    whole, coded = idcodec.encode_group(ids)
+    assert (np.concatenate(idcodec.decode_group(whole, [c for _, c in coded], len(ids))) == ids).all()
+
+
+def test_words_with_latin_letters_or_after_a_line_end_take_no_pattern(monkeypatch):
+    encoder, cut = tokens.CachedEncoder(tokens.default_tokenizer()), []
+    learn_cut = encoder._learn_cut
+    monkeypatch.setattr(encoder, "_learn_cut", lambda chunks: cut.extend(chunks.to_pylist()) or learn_cut(chunks))
+    texts = ["Über naïve\nÉté\nwords\n12\n,; à", "3×4 a÷b é1 1é é's don't x y", "\n", "\n\nw", "\nw", " \nÿ", "w\n", "ÀÖØöøÿ ×÷", "日é\nж é日", "é́ e"]
+    ids, counts = next(encoder.encode(pa.array(texts, pa.large_string())))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    assert {"Über".encode(), " naïve".encode(), "\nÉté".encode(), b"\nwords", b"\n12", b"\n,;"} <= set(encoder.chunks.known) - set(cut)
+    assert {" é1".encode(), b"\n"} <= set(cut)
