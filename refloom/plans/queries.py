@@ -36,7 +36,7 @@ from refloom.sources.documents import chunk_documents
 from refloom.sources.payloads import apa_citation, publications as parse_publications
 from refloom.sources.requests import params_key, params_of, query_parts, request_url
 from refloom.sources.spec import SOURCES, source
-from refloom.sources.storage import new_place, settled
+from refloom.sources.storage import new_place, settled, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -473,7 +473,7 @@ def parse_xml_query(spark, sf_dir):
         "<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>%s</PMID><Article><Journal><JournalIssue><Volume>%s</Volume><Issue>%s</Issue><PubDate><MedlineDate>%s Jan-Feb</MedlineDate></PubDate></JournalIssue><Title>%s</Title></Journal><ArticleTitle>%s</ArticleTitle><Pagination><MedlinePgn>%s-%s</MedlinePgn></Pagination><ELocationID EIdType='doi'>%s</ELocationID><AuthorList><Author><LastName>%s</LastName><Initials>A</Initials></Author></AuthorList></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>",
         F.col("work_id").cast("string"), "volume", "issue", "pub_year", "journal", "title", "first_page", "last_page", "doi", "surname",
     )
-    p = parse_publications(works(spark, sf_dir).select(xml.alias("payload")), "pubmed")
+    p = parse_publications(spread(works(spark, sf_dir)).select(xml.alias("payload")), "pubmed")
     return p.select("pub_id", "title", F.col("authors")[0].alias("first_author"), "publication_year", "journal", "volume", "page_first", "page_last", "main_doi")
 
 

@@ -67,16 +67,29 @@ def _hal(p: Column) -> list[Column]:
     return _publication("hal", pub_id=p["halId_s"], title=F.get(p["title_s"], F.lit(0)), authors=p["authFullName_s"], publication_year=F.coalesce(p["conferenceStartDateY_i"], p["publicationStartDateY_i"], p["publicationDateY_i"]), journal=F.coalesce(p["journalTitle_s"], p["bookTitle_s"]), volume=p["volume_s"], issue=F.get(p["issue_s"], F.lit(0)), page_first=_pages(p["page_s"], 0), page_last=_pages(p["page_s"], 1), pages=p["page_s"], main_doi=clean_doi(p["doiId_s"]), alternative_dois=F.array().cast(_NO_STRINGS))
 
 
-def _pubmed(xml: Column) -> list[Column]:
-    article = "//PubmedArticle[1]/MedlineCitation/Article"
-    at = lambda path: present(F.xpath_string(xml, F.lit(path)))
-    every = lambda path: F.xpath(xml, F.lit(path))
-    last, initials = every(f"{article}/AuthorList/Author/LastName/text()"), every(f"{article}/AuthorList/Author/Initials/text()")
+_ARTICLE = "//PubmedArticle[1]/MedlineCitation/Article"
+_ISSUE = f"{_ARTICLE}/Journal/JournalIssue"
+#: Single values of a PubMed article by XPath.
+_PUBMED = {
+    "id": "//PubmedArticle[1]/MedlineCitation/PMID", "title": f"{_ARTICLE}/ArticleTitle", "year": f"{_ISSUE}/PubDate/Year", "date": f"{_ISSUE}/PubDate/MedlineDate", "journal": f"{_ARTICLE}/Journal/Title", "short": f"{_ARTICLE}/Journal/ISOAbbreviation",
+    "volume": f"{_ISSUE}/Volume", "issue": f"{_ISSUE}/Issue", "first": f"{_ARTICLE}/Pagination/StartPage", "last": f"{_ARTICLE}/Pagination/EndPage", "pages": f"{_ARTICLE}/Pagination/MedlinePgn", "doi": f"{_ARTICLE}/ELocationID[@EIdType='doi']",
+}
+#: No XML text has it.
+_BETWEEN = "\x01"
+
+
+def _pubmed_values(xml: Column) -> list[Column]:
+    """The article's single values in the order of _PUBMED, and its authors' last names and initials: each XPath expression reads the whole text anew, so one gives all the values."""
+    path = "concat(" + f", '{_BETWEEN}', ".join(f"string({p})" for p in _PUBMED.values()) + ")"
+    name = lambda part: F.xpath(xml, F.lit(f"{_ARTICLE}/AuthorList/Author/{part}/text()"))
+    return [F.split(F.xpath_string(xml, F.lit(path)), _BETWEEN), name("LastName"), name("Initials")]
+
+
+def _pubmed(v: Column, last: Column, initials: Column) -> list[Column]:
+    at = {n: present(F.get(v, F.lit(i))) for i, n in enumerate(_PUBMED)}
     authors = F.zip_with(last, F.slice(initials, F.lit(1), F.size(last)), lambda n, i: F.when(i.isNotNull(), F.concat(n, F.lit(", "), i, F.lit("."))).otherwise(n))
-    issue = f"{article}/Journal/JournalIssue"
-    range_ = at(f"{article}/Pagination/MedlinePgn")
-    year = F.coalesce(at(f"{issue}/PubDate/Year"), first_match(at(f"{issue}/PubDate/MedlineDate"), r"\d{4}"))
-    return _publication("pubmed", pub_id=at("//PubmedArticle[1]/MedlineCitation/PMID"), title=at(f"{article}/ArticleTitle"), authors=authors, publication_year=year, journal=F.coalesce(at(f"{article}/Journal/Title"), at(f"{article}/Journal/ISOAbbreviation")), volume=at(f"{issue}/Volume"), issue=at(f"{issue}/Issue"), page_first=F.coalesce(at(f"{article}/Pagination/StartPage"), _pages(range_, 0)), page_last=F.coalesce(at(f"{article}/Pagination/EndPage"), _pages(range_, 1)), main_doi=clean_doi(at(f"{article}/ELocationID[@EIdType='doi']")), alternative_dois=F.array().cast(_NO_STRINGS))
+    year = F.coalesce(at["year"], first_match(at["date"], r"\d{4}"))
+    return _publication("pubmed", pub_id=at["id"], title=at["title"], authors=authors, publication_year=year, journal=F.coalesce(at["journal"], at["short"]), volume=at["volume"], issue=at["issue"], page_first=F.coalesce(at["first"], _pages(at["pages"], 0)), page_last=F.coalesce(at["last"], _pages(at["pages"], 1)), main_doi=clean_doi(at["doi"]), alternative_dois=F.array().cast(_NO_STRINGS))
 
 
 _NORMALIZERS: dict[str, Callable[[Column], list[Column]]] = {"openalex": _openalex, "openaire": _openaire, "crossref": _crossref, "hal": _hal}
@@ -87,7 +100,8 @@ def publications(payloads: DataFrame, api: str, column: str = "payload", keep: S
     source(api)
     if api == "pubmed":
         well = F.col(column).rlike(r"(?s)^\s*<.*>\s*$")
-        return payloads.select(*keep, F.when(well, F.col(column)).alias("x")).select(*keep, *_pubmed(F.col("x")))
+        read = payloads.select(*keep, F.when(well, F.col(column)).alias("x")).select(*keep, *(c.alias(f"__{i}") for i, c in enumerate(_pubmed_values(F.col("x")))))
+        return read.select(*keep, *_pubmed(*map(F.col, ("__0", "__1", "__2"))))
     parsed = payloads.select(*keep, F.from_json(F.col(column), PAYLOADS[api], {"mode": "PERMISSIVE"}).alias("p"))
     return parsed.select(*keep, *_NORMALIZERS[api](F.col("p")))
 
