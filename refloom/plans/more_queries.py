@@ -10,13 +10,13 @@ from refloom.operators.backends import RuleBackend
 from refloom.operators.cache import evict
 from refloom.operators.ensemble import elect, votes
 from refloom.operators.evaluate import read_results
-from refloom.operators.retrieve import BITS, expand_tiers, field_names, wanted
+from refloom.operators.retrieve import BITS, expand_tiers, joined_names, wanted
 from refloom.operators.spans import mentions_by_author_year, prescreen
 from refloom.plans.evaluation import numbered
 from refloom.plans.fixtures import cites, entity_struct
 from refloom.plans.queries import _APIS, _VOTES_SQL, _results, query
 from refloom.sources.spec import SOURCES, source
-from refloom.sources.storage import new_place, settled
+from refloom.sources.storage import new_place, settled, spread
 
 _OTHERS = [s for s in SOURCES if s != "openalex"]
 
@@ -38,10 +38,10 @@ SELECT api, citation_id, CAST(tier AS INT) AS tier, fields, tier = min(tier) OVE
 FROM cites CROSS JOIN (VALUES {_tier_values()}) t(api, tier, fields) WHERE fields <> 'DOI' OR raw_doi IS NOT NULL""")
 def tiers_query(spark, sf_dir):
     """The tiers of the four sources that tier_expand leaves out."""
-    c, out = cites(spark, sf_dir).select("citation_id", entity_struct().alias("e")), None
+    c, out = spread(cites(spark, sf_dir).select("citation_id", entity_struct().alias("e"))), None
     for api in _OTHERS:
         t = settled(expand_tiers(c, source(api))).select(F.lit(api).alias("api"), "citation_id", F.explode("tiers").alias("t"))
-        one = t.select("api", "citation_id", "t.tier", F.array_join(field_names(F.col("t.mask")), "+").alias("fields"), "t.run", "t.bibliographic")
+        one = t.select("api", "citation_id", "t.tier", joined_names(F.col("t.mask")).alias("fields"), "t.run", "t.bibliographic")
         out = one if out is None else out.unionByName(one)
     return out
 
