@@ -7,6 +7,7 @@ scored candidates, and documents. The SQL is written on its own, from what an op
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -377,11 +378,12 @@ _URLS = {
   CASE citation_id % 6 WHEN 4 THEN 'Anna' WHEN 2 THEN concat('((', surname, ' AND ', surname2, ') OR ', surname, ' OR ', surname2, ')') ELSE surname END AS names FROM cites)
 """ + " UNION ALL ".join(f"SELECT citation_id, '{a}' AS api, {u} AS url FROM q" for a, u in _URLS.items()))
 def urls_query(spark, sf_dir):
-    c = cites(spark, sf_dir).withColumn("e", entity_struct())
-    out = None
+    c = spread(cites(spark, sf_dir).select("citation_id", entity_struct().alias("e")))
+    asked, out = ("TITLE", "AUTHORS", "PUBLICATION_YEAR"), None
     for api in SOURCES:
-        spec = source(api)
-        one = c.withColumn("parts", query_parts(spec, F.col("e"), normalize_journal(F.col("journal")))).select("citation_id", F.lit(api).alias("api"), request_url(api, params_of(F.col("parts"), F.array(F.lit("TITLE"), F.lit("AUTHORS"), F.lit("PUBLICATION_YEAR"))), F.lit(5)).alias("url"))
+        # parts of the fields that are asked for, and no others
+        spec = replace(source(api), fields={f: how for f, how in source(api).fields.items() if f in asked})
+        one = c.withColumn("parts", query_parts(spec, F.col("e"))).select("citation_id", F.lit(api).alias("api"), request_url(api, params_of(F.col("parts"), F.array(*map(F.lit, asked))), F.lit(5)).alias("url"))
         out = one if out is None else out.unionByName(one)
     return out
 
