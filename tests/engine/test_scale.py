@@ -3,10 +3,12 @@
 import os
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from refloom.operators.retrieve import expand_tiers
+from refloom.operators.spans import DOCUMENTS, _merge, merged_spans
 from refloom.plans.fixtures import cites
 from refloom.plans.queries import QUERIES
 from refloom.sources.payloads import publications
@@ -61,3 +63,20 @@ def test_tiers_look_once_at_what_a_citation_has(spark):
 @needs_data
 def test_addresses_ask_for_their_own_fields_only(spark):
     assert "VOLUME" not in plan(QUERIES["request_urls"](spark, SF)) and "TITLE_SEGMENTED" not in plan(QUERIES["request_urls"](spark, SF))
+
+
+@needs_data
+def test_spans_are_made_where_their_document_is(spark):
+    """Documents are dealt out, not their spans, of which there is one for every few characters."""
+    lines = plan(QUERIES["span_group"](spark, SF)).splitlines()
+    last, first = (next(i for i, x in enumerate(lines) if name in x) for name in ("functions=[collect_list", "functions=[partial_collect_list"))
+    assert not any("Exchange" in x for x in lines[last:first])
+
+
+def test_merged_spans_of_many_documents_are_columns():
+    n = 3 * DOCUMENTS + 5
+    texts = [None if k % 50 == 7 else f"ab {k} cd\nef" for k in range(n)]
+    spans = [[(0, 2, "A", 1.0), (3, 4, "A", 0.5), (10, 12, "B", 1.0)][: k % 4] for k in range(n)]
+    own = [pa.array([[s[i] for s in x] for x in spans], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.float64()))]
+    (out,) = _merge.func(iter([(pa.array(texts, pa.string()), *own)]))
+    assert out.to_pylist() == [merged_spans(t or "", x) for t, x in zip(texts, spans, strict=True)]
